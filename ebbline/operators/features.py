@@ -168,15 +168,13 @@ def stratified_split(
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """(label, n, balanced_weight, scale_pos_weight): n / (2 · n_label), and negatives per positive."""
-    counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    # Two rows per binary label; folded into one so that the table is scanned once.
-    folded = counts.agg(
-        F.sum("n").alias("total"),
-        F.sum(F.when(F.col("label") == 0, F.col("n"))).alias("neg"),
-        F.sum(F.when(F.col("label") == 1, F.col("n"))).alias("pos"),
-        F.collect_list(F.struct("label", "n")).alias("parts"),
-    )
-    return folded.select("total", "neg", "pos", F.inline("parts")).select(
-        "label", "n", (F.col("total") / (2 * F.col("n"))).alias("balanced_weight"),
-        (F.col("neg") / F.col("pos")).alias("scale_pos_weight"),
-    )
+    neg, pos = F.col("neg"), F.col("pos")
+    counts = df.agg(F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos"))
+
+    def line(value: int, n: Column) -> Column:
+        return F.struct(
+            F.lit(value).alias("label"), n.alias("n"), ((neg + pos) / (2 * F.nullif(n, F.lit(0)))).alias("balanced_weight"),
+            (neg / F.nullif(pos, F.lit(0))).alias("scale_pos_weight"),
+        )
+
+    return counts.select(F.inline(F.array(line(0, neg), line(1, pos)))).where("n > 0")

@@ -165,16 +165,11 @@ def risk_profile(
 
 
 def prob_by_contract(wide: DataFrame, model: str = "xgboost") -> DataFrame:
-    """Mean score per contract with the overall mean, from one grouped pass."""
-    value = F.col(PROBABILITY_COLUMNS[model])
-    sums = wide.groupBy("contract").agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    # The second level has one row per contract; collecting them into one row keeps it a single scan.
-    folded = sums.agg(
-        (F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("overall_avg"),
-        F.collect_list(F.struct("contract", (F.col("s") / F.nullif(F.col("n"), F.lit(0))).alias("avg_probability"))).alias("parts"),
-    )
-    return folded.select("overall_avg", F.inline("parts")).where("contract is not null").select(
-        "contract", "avg_probability", "overall_avg"
+    """Mean score per contract, and over all rows as the line without a contract; one grouped pass."""
+    return (
+        wide.rollup("contract")
+        .agg(F.avg(PROBABILITY_COLUMNS[model]).alias("avg_probability"), (F.grouping("contract") == 1).alias("overall"))
+        .where("overall or contract is not null")
     )
 
 
