@@ -11,7 +11,7 @@ from ebbline.operators import evaluate, explain, features, models, shape
 from ebbline.plans import explain as explain_plan
 from ebbline.plans.store import run_etl
 from ebbline.plans.training import Trained, scored_test, train_all, train_eval
-from ebbline.session import scratch_path
+from ebbline.session import scratch_path, spread
 
 # ── features ────────────────────────────────────────────────────────────────
 
@@ -240,7 +240,7 @@ def importance_gbt(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir):
-    return features.add_features(enriched(spark, sf_dir), trained(spark, sf_dir).features)
+    return features.add_features(spread(enriched(spark, sf_dir)), trained(spark, sf_dir).features)
 
 
 def _tree_attributions(spark, sf_dir):
@@ -296,13 +296,13 @@ def shap_waterfall(spark, sf_dir):
 @query("explain_all")
 def explain_all(spark, sf_dir):
     fit = trained(spark, sf_dir)
-    return rounded(explain_plan.explain_all(enriched(spark, sf_dir), fit.features, fit.models["xgb"])["shap_global"])
+    return rounded(explain_plan.explain_all(spread(enriched(spark, sf_dir)), fit.features, fit.models["xgb"])["shap_global"])
 
 
 @query("score_requests")
 def score_requests(spark, sf_dir):
     fit = trained(spark, sf_dir)
-    valid, _ = shape.split_valid(shape.rename_snake(enriched(spark, sf_dir)))
+    valid, _ = shape.split_valid(shape.rename_snake(spread(enriched(spark, sf_dir))))
     answers = explain_plan.answer_requests(valid, fit.features, fit.models["xgb"], "xgboost", key=["customer_id"])
     return answers.select(
         "customer_id", "churn_probability", "churn_prediction", "risk_level", "model_used",

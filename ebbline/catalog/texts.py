@@ -130,9 +130,9 @@ def enriched(spark, sf_dir):
 
 
 @query("ticket_sentiment", _TICKET_SENTIMENT + """
-SELECT "CustomerID", ROUND(COALESCE(score, 0), 6) AS ticket_sentiment FROM tickets LEFT JOIN felt ON "CustomerID" = k""")
+SELECT "CustomerID", ROUND(COALESCE(score, 0), 9) AS ticket_sentiment FROM tickets LEFT JOIN felt ON "CustomerID" = k""")
 def ticket_sentiment(spark, sf_dir):
-    return rounded(text.text_sentiment(made_tickets(spark, sf_dir)).select("CustomerID", "ticket_sentiment"))
+    return rounded(text.text_sentiment(made_tickets(spark, sf_dir)).select("CustomerID", "ticket_sentiment"), 9)
 
 
 @query("sentiment_summary", _TICKET_SENTIMENT + """
@@ -157,19 +157,19 @@ _DOC_NEGATORS = ["and", "to", "a", "les", "er"]
 
 @query("text_sentiment", "WITH " + _sentiment_sql(
     "documents", "doc_id", "text", _DOC_POLARITY, _DOC_STRONG, _DOC_NEGATORS) + """
-SELECT doc_id, ROUND(COALESCE(score, 0), 6) AS polarity FROM documents LEFT JOIN felt ON doc_id = k""")
+SELECT doc_id, ROUND(COALESCE(score, 0), 9) AS polarity FROM documents LEFT JOIN felt ON doc_id = k""")
 def text_sentiment(spark, sf_dir):
     scored = text.text_sentiment(
         read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "polarity",
         polarity=_DOC_POLARITY, intensifiers=_DOC_STRONG, negators=_DOC_NEGATORS,
     )
-    return rounded(scored.select("doc_id", "polarity"))
+    return rounded(scored.select("doc_id", "polarity"), 9)
 
 
 @query("conversation_sentiment", "WITH " + _sentiment_sql(
     "(SELECT conv_id * 100000 + turn AS turn_key, text FROM conversations WHERE role = 'user')", "turn_key", "text",
     _DOC_POLARITY, _DOC_STRONG, _DOC_NEGATORS) + """
-SELECT conv_id, COUNT(*) AS texts, ROUND(AVG(COALESCE(score, 0)), 6) AS polarity
+SELECT conv_id, COUNT(*) AS texts, ROUND(AVG(COALESCE(score, 0)), 9) AS polarity
 FROM (SELECT conv_id, conv_id * 100000 + turn AS turn_key FROM conversations WHERE role = 'user') c
 LEFT JOIN felt ON turn_key = k GROUP BY conv_id""")
 def conversation_sentiment(spark, sf_dir):
@@ -177,4 +177,4 @@ def conversation_sentiment(spark, sf_dir):
     scored = text.text_sentiment(
         turns, "text", "polarity", polarity=_DOC_POLARITY, intensifiers=_DOC_STRONG, negators=_DOC_NEGATORS
     )
-    return rounded(scored.groupBy("conv_id").agg(F.count(F.lit(1)).alias("texts"), F.avg("polarity").alias("polarity")))
+    return rounded(scored.groupBy("conv_id").agg(F.count(F.lit(1)).alias("texts"), F.avg("polarity").alias("polarity")), 9)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ebbline.session import scratch_path
 
 NEGLIGIBLE = 1e-6
-CHUNK_CELLS = 2_000_000
+CHUNK_CELLS = 200_000
 
 # The one function that runs in Python workers travels with the task, so the
 # workers need not have this package installed.
@@ -72,10 +72,10 @@ def _boxes(nodes: dict[int, object], scale: float) -> list[tuple[dict[int, tuple
 def leaf_table(spark: SparkSession, model) -> dict[str, Any]:
     """All leaves of a fitted boosted model, each as the box its path cuts out of feature space.
 
-    Row i of the arrays is a leaf, column k one of the features on its path:
+    Column i of the arrays is a leaf, row k one of the features on its path:
     the ``feature``, the interval (``low``, ``high``] it must lie in, and the
     ``share`` of training rows that the path keeps on account of it.  Unused
-    columns have an unbounded interval and share 1.
+    places have an unbounded interval and share 1.
 
     The trees are read from the saved model.  The size is set by the model (rounds × 2^depth leaves), not by the data.
     The score is 1 / (1 + e^(-2F)), so log-odds are twice the weighted sum of trees.
@@ -87,14 +87,14 @@ def leaf_table(spark: SparkSession, model) -> dict[str, Any]:
         trees.setdefault(row["treeID"], {})[row["id"]] = row
     leaves = [leaf for t, nodes in trees.items() for leaf in _boxes(nodes, 2.0 * model.treeWeights[t])]
     width = max([len(box) for box, _ in leaves] + [1])
-    shape = (len(leaves), width)
+    shape = (width, len(leaves))
     feature, share = np.zeros(shape, dtype=np.int32), np.ones(shape)
     low, high = np.full(shape, -np.inf), np.full(shape, np.inf)
     for i, (box, _) in enumerate(leaves):
         for k, (f, (lo, hi, kept)) in enumerate(box.items()):
-            feature[i, k], low[i, k], high[i, k], share[i, k] = f, lo, hi, kept
+            feature[k, i], low[k, i], high[k, i], share[k, i] = f, lo, hi, kept
     value = np.array([v for _, v in leaves])
-    base = float((value * share.prod(axis=1)).sum())
+    base = float((value * share.prod(axis=0)).sum())
     return {"feature": feature, "low": low, "high": high, "share": share, "value": value, "base": base}
 
 
@@ -107,24 +107,30 @@ def leaf_attributions(table: dict[str, Any], x: np.ndarray) -> np.ndarray:
     The integrand is a polynomial, so a few Gauss points give it exactly.
     """
     feature, share, value = table["feature"], table["share"], table["value"]
-    points, weights = np.polynomial.legendre.leggauss((feature.shape[1] + 1) // 2 + 1)
+    width, leaves = feature.shape
+    points, weights = np.polynomial.legendre.leggauss((width + 1) // 2)
     points, weights = (points + 1) / 2, weights / 2
-    slots = feature.ravel()
-    order = np.argsort(slots, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(slots[order]) > 0])
-    present = slots[order][starts]
+    # Per path position, its leaves in the order of their features, to sum up runs of one feature.
+    orders = [np.argsort(row, kind="stable") for row in feature]
+    starts = [np.flatnonzero(np.r_[True, np.diff(row[order]) > 0]) for row, order in zip(feature, orders)]
     out = np.zeros(x.shape)
     step = max(1, CHUNK_CELLS // feature.size)
     for begin in range(0, len(x), step):
-        block = x[begin:begin + step][:, feature]
-        inside = ((block > table["low"]) & (block <= table["high"])).astype(float)
-        total = np.zeros_like(inside)
+        rows = x[begin:begin + step]
+        target = out[begin:begin + step]
+        inside = [(rows[:, f] > low) & (rows[:, f] <= high) for f, low, high in zip(feature, table["low"], table["high"])]
+        totals = [np.zeros((len(rows), leaves)) for _ in range(width)]
         for t, w in zip(points, weights):
-            factor = share * (1 - t) + inside * t
-            total += w * factor.prod(axis=2, keepdims=True) / factor
-        total *= (inside - share) * value[:, None]
-        flat = total.reshape(len(block), -1)[:, order]
-        out[begin:begin + step, present] = np.add.reduceat(flat, starts, axis=1)
+            factors = [z * (1 - t) + o * t for z, o in zip(share, inside)]
+            product = w * value * factors[0]
+            for factor in factors[1:]:
+                product *= factor
+            for total, factor in zip(totals, factors):
+                total += product / factor
+        for k in range(width):
+            totals[k] *= inside[k] - share[k]
+            runs = np.add.reduceat(totals[k][:, orders[k]], starts[k], axis=1)
+            target[:, feature[k][orders[k]][starts[k]]] += runs
     return out
 
 

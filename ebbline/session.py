@@ -71,3 +71,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer partitions than cores one for each core; leave others as they are.
+
+    For costly work per row on a few files.  ``df`` must be a narrow plan:
+    asking a plan with shuffles for its partitions would run them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
