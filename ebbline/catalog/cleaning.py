@@ -319,3 +319,20 @@ def _binary(column: str) -> str:
     + " UNION ALL ".join(_binary(c) for c in _TEXT), "profile"))
 def column_groups(spark, sf_dir):
     return profiling.column_groups(customers(spark, sf_dir))
+
+
+@query("dedup_mostly_unique", using(
+    "SELECT " + camel_list() + f" FROM (SELECT MIN(customer_id) AS customer_id, {_REST} FROM dirty GROUP BY {_REST})", "dirty"))
+def dedup_by_hash(spark, sf_dir):
+    return dedup.dedup_mostly_unique(dirty_customers(spark, sf_dir))
+
+
+_LINE_KEYS = "l_partkey, l_quantity, l_discount"
+
+
+@query("dedup_lineitem", f"""
+SELECT {_LINE_KEYS}, l_orderkey, l_linenumber FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY {_LINE_KEYS} ORDER BY l_orderkey, l_linenumber) AS rn FROM lineitem) WHERE rn = 1""")
+def dedup_lineitem(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount")
+    return dedup.dedup(lines, ["l_partkey", "l_quantity", "l_discount"], order_col="l_orderkey")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from ebbline.catalog.base import customers, key_order, labelled_scores, profile, query, read, rounded, using
@@ -247,19 +249,19 @@ def _tree_attributions(spark, sf_dir):
     return explain.shap_tree(_vectors(spark, sf_dir), trained(spark, sf_dir).models["xgb"])
 
 
-def _long(explained, names):
-    """(CustomerID, feature, shap): one row per customer and feature."""
+def _long(explained, names, key="CustomerID"):
+    """(key, feature, shap): one row per customer and feature."""
     labels = F.array(*[F.lit(n) for n in names])
-    return rounded(explained.select("CustomerID", F.posexplode("shap").alias("i", "shap")).select(
-        "CustomerID", F.get(labels, F.col("i")).alias("feature"), "shap"
+    return rounded(explained.select(key, F.posexplode("shap").alias("i", "shap")).select(
+        key, F.get(labels, F.col("i")).alias("feature"), "shap"
     ))
 
 
-@query("shap_linear")
-def shap_linear(spark, sf_dir):
-    fit = trained(spark, sf_dir)
-    vectors = _vectors(spark, sf_dir)
-    return _long(explain.shap_linear(vectors, fit.models["lr"], explain.feature_means(vectors)), fit.names)
+def _factors(explained, names):
+    ranked = explain.top_factors(explained, names)
+    return ranked.select("CustomerID", F.posexplode("top_factors").alias("i", "f")).select(
+        "CustomerID", (F.col("i") + 1).alias("rank"), "f.feature", "f.shap_value", "f.contribution"
+    )
 
 
 @query("shap_tree")
@@ -267,32 +269,108 @@ def shap_tree(spark, sf_dir):
     return _long(_tree_attributions(spark, sf_dir), trained(spark, sf_dir).names)
 
 
-@query("top_factors")
-def top_factors(spark, sf_dir):
-    ranked = explain.top_factors(_tree_attributions(spark, sf_dir), trained(spark, sf_dir).names)
-    return ranked.select("CustomerID", F.posexplode("top_factors").alias("i", "f")).select(
-        "CustomerID", (F.col("i") + 1).alias("rank"), "f.feature", "f.shap_value", "f.contribution"
-    )
+@query("shap_linear_trained")
+def shap_linear_trained(spark, sf_dir):
+    fit = trained(spark, sf_dir)
+    vectors = _vectors(spark, sf_dir)
+    return _long(explain.shap_linear(vectors, fit.models["lr"], explain.feature_means(vectors)), fit.names)
 
 
-@query("shap_global")
-def shap_global(spark, sf_dir):
+@query("top_factors_tree")
+def top_factors_tree(spark, sf_dir):
+    return _factors(_tree_attributions(spark, sf_dir), trained(spark, sf_dir).names)
+
+
+@query("shap_global_tree")
+def shap_global_tree(spark, sf_dir):
     return rounded(explain.shap_global(_tree_attributions(spark, sf_dir), trained(spark, sf_dir).names))
 
 
-@query("shap_dependence")
-def shap_dependence(spark, sf_dir):
+@query("shap_dependence_tree")
+def shap_dependence_tree(spark, sf_dir):
     names = trained(spark, sf_dir).names
     return rounded(explain.shap_dependence(_tree_attributions(spark, sf_dir), names, "Tenure"))
 
 
-@query("shap_waterfall")
-def shap_waterfall(spark, sf_dir):
+@query("shap_waterfall_tree")
+def shap_waterfall_tree(spark, sf_dir):
     explained = _tree_attributions(spark, sf_dir)
     first = enriched(spark, sf_dir).agg(F.min(roles.ID_COL)).first()[0]
     return rounded(explain.shap_waterfall(explained, trained(spark, sf_dir).names, roles.ID_COL, first))
 
 
+# The same readings over a linear model with stated coefficients, which SQL can follow.
+_FIXED = SimpleNamespace(coefficients=[0.5, -0.3, 0.8, 0.4, -0.2, 0.1], intercept=0.25)
+_FIXED_NAMES = ["Tenure", "MonthlyCharges", "SupportTickets", "Contract_Month-to-month", "Contract_One year", "Contract_Two year"]
+
+
+def _linear_sql() -> str:
+    z = ", ".join(
+        f"({c} - (SELECT AVG({c}) FROM profile)) / (SELECT STDDEV_POP({c}) FROM profile) AS f{i}" for i, c in enumerate(_NUM)
+    )
+    hot = ", ".join(f"CAST(contract = '{v}' AS DOUBLE) AS f{i}" for i, v in enumerate(_CONTRACTS, len(_NUM)))
+    count = len(_FIXED_NAMES)
+    lines = " UNION ALL ".join(
+        f"SELECT customer_id, {i} AS i, '{name}' AS feature, f{i} AS v, {w}::DOUBLE * (f{i} - a{i}) AS s FROM x, mean"
+        for i, (name, w) in enumerate(zip(_FIXED_NAMES, _FIXED.coefficients))
+    )
+    base = " + ".join(f"{w}::DOUBLE * a{i}" for i, w in enumerate(_FIXED.coefficients))
+    return f"""x AS (SELECT customer_id, {z}, {hot} FROM profile),
+mean AS (SELECT {', '.join(f'AVG(f{i}) AS a{i}' for i in range(count))} FROM x),
+shap AS ({lines}),
+base AS (SELECT 0.25::DOUBLE + {base} AS b FROM mean)"""
+
+
+def _linear_attributions(spark, sf_dir):
+    frame = customers(spark, sf_dir)
+    vectors = features.add_features(frame, features.fit_features(frame, list(_NUM.values()), ["Contract"]))
+    return explain.shap_linear(vectors, _FIXED, explain.feature_means(vectors))
+
+
+@query("shap_linear", using(
+    'SELECT customer_id AS "CustomerID", feature, ROUND(s, 6) AS shap FROM shap', "profile", extra=_linear_sql()))
+def shap_linear(spark, sf_dir):
+    return _long(_linear_attributions(spark, sf_dir), _FIXED_NAMES)
+
+
+@query("top_factors", using("""
+SELECT customer_id AS "CustomerID", CAST(rank AS INTEGER) AS rank, feature, ROUND(s, 6) AS shap_value,
+  CASE WHEN s > 0 THEN '+' ELSE '-' END AS contribution
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_id ORDER BY ABS(ROUND(s, 6)) DESC, i) AS rank
+      FROM shap WHERE ABS(s) >= 1e-6) WHERE rank <= 5""", "profile", extra=_linear_sql()))
+def top_factors(spark, sf_dir):
+    return _factors(_linear_attributions(spark, sf_dir), _FIXED_NAMES)
+
+
+@query("shap_global", using("""
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY m DESC, feature) AS INTEGER) AS rank, feature, ROUND(m, 6) AS importance
+FROM (SELECT feature, AVG(ABS(s)) AS m FROM shap GROUP BY feature)""", "profile", extra=_linear_sql()))
+def shap_global(spark, sf_dir):
+    return rounded(explain.shap_global(_linear_attributions(spark, sf_dir), _FIXED_NAMES))
+
+
+@query("shap_dependence", using("""
+SELECT feature, ROUND(v, 6) AS value, ROUND(s, 6) AS shap_value FROM shap
+WHERE feature = (SELECT feature FROM shap GROUP BY feature ORDER BY AVG(ABS(s)) DESC, feature LIMIT 1)""",
+    "profile", extra=_linear_sql()))
+def shap_dependence(spark, sf_dir):
+    return rounded(explain.shap_dependence(_linear_attributions(spark, sf_dir), _FIXED_NAMES))
+
+
+@query("shap_waterfall", using("""
+SELECT CAST(step AS INTEGER) AS step, feature, ROUND(shap_value, 6) AS shap_value FROM (
+  SELECT 0 AS step, 'base_value' AS feature, b AS shap_value FROM base
+  UNION ALL SELECT r, feature, s FROM one WHERE r <= 3
+  UNION ALL SELECT 4, '3 other features', SUM(s) FROM one WHERE r > 3
+  UNION ALL SELECT 5, 'log_odds', MAX(b) + SUM(s) FROM one, base)""", "profile", extra=_linear_sql() + """,
+one AS (SELECT feature, s, ROW_NUMBER() OVER (ORDER BY ABS(s) DESC, i) AS r FROM shap
+  WHERE customer_id = (SELECT MIN(customer_id) FROM profile))"""))
+def shap_waterfall(spark, sf_dir):
+    explained = _linear_attributions(spark, sf_dir)
+    first = explained.agg(F.min(roles.ID_COL)).first()[0]
+    return rounded(explain.shap_waterfall(explained, _FIXED_NAMES, roles.ID_COL, first, shown=4))
+
+
 @query("explain_all")
 def explain_all(spark, sf_dir):
     fit = trained(spark, sf_dir)

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbline.functions import roles
+from ebbline.session import staged
+
+REPEATED_LIMIT = 1_000_000
 
 
 def _subset(df: DataFrame, subset: list[str] | None) -> list[str]:
@@ -42,13 +45,51 @@ def dedup(
     return grouped.select(*[back[c].alias(c) if c in back else F.col(c) for c in df.columns])
 
 
-def dedup_report(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
+def _split_repeated(df: DataFrame, subset: list[str], limit: int) -> tuple[DataFrame, DataFrame] | None:
+    """(rows with no equal, rows that may have one) by a 64-bit hash of the subset.
+
+    None when more than ``limit`` hashes repeat: only a set of a checked size is broadcast.
+    """
+    hashed = df.withColumn("_hash", F.xxhash64(*subset))
+    counts = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n"))
+    repeated = staged(counts.where("n > 1").select("_hash"), "repeated-hashes")
+    if repeated.limit(limit + 1).count() > limit:
+        return None
+    few = F.broadcast(repeated)
+    return hashed.join(few, "_hash", "left_anti").drop("_hash"), hashed.join(few, "_hash", "left_semi").drop("_hash")
+
+
+def dedup_mostly_unique(
+    df: DataFrame,
+    subset: list[str] | None = None,
+    keep: str | bool = "first",
+    order_col: str = roles.ID_COL,
+    *,
+    limit: int = REPEATED_LIMIT,
+) -> DataFrame:
+    """The same result as ``dedup``, shuffling hashes instead of rows while few groups repeat.
+
+    Rows whose hash occurs once are passed on where they are; only the others
+    are grouped, by the columns themselves, so a hash collision changes nothing.
+    """
+    subset = _subset(df, subset)
+    parts = _split_repeated(df, subset, limit)
+    if parts is None:
+        return dedup(df, subset, keep, order_col)
+    unique, candidates = parts
+    return unique.unionByName(dedup(candidates, subset, keep, order_col))
+
+
+def dedup_report(df: DataFrame, subset: list[str] | None = None, *, limit: int = REPEATED_LIMIT) -> DataFrame:
     """One row: all members of repeated groups, and the rows a dedup that keeps one removes."""
-    sizes = df.groupBy(*_subset(df, subset)).agg(F.count(F.lit(1)).alias("n"))
-    repeated = F.col("n") > 1
-    return sizes.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.count_if(repeated).alias("groups"),
-        F.coalesce(F.sum(F.when(repeated, F.col("n"))), F.lit(0)).alias("members"),
-        F.coalesce(F.sum(F.when(repeated, F.col("n") - 1)), F.lit(0)).alias("removed"),
+    subset = _subset(df, subset)
+    parts = _split_repeated(df, subset, limit)
+    rows = df.count()
+    sizes = (parts[1] if parts else df).groupBy(*subset).agg(F.count(F.lit(1)).alias("n"))
+    repeated = sizes.where("n > 1")
+    return repeated.agg(
+        F.lit(rows).cast("bigint").alias("rows"),
+        F.count(F.lit(1)).alias("groups"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("members"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("removed"),
     )

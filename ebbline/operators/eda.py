@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ebbline.functions import roles
 from ebbline.functions.scalar import bin_index, share_yes, yes_flag
-from ebbline.operators.quantiles import exact_quantiles
+from ebbline.operators.quantiles import exact_quantiles, exact_summary
 
 LABELS = ["No", "Yes"]
 
@@ -126,16 +126,8 @@ def value_stats(df: DataFrame, value: str, target: str = roles.TARGET_COL) -> Da
     segments = {
         "overall": column, "churned": F.when(label == "Yes", column), "retained": F.when(label == "No", column),
     }
-    aggs = [
-        f(v).alias(f"{name}_{stat}")
-        for name, v in segments.items()
-        for stat, f in (("mean", F.avg), ("std", F.stddev), ("min", F.min), ("max", F.max))
-    ]
-    row = df.agg(*aggs).first()
-    medians = exact_quantiles(df, segments, [0.5])
     rows = [
-        (name, row[f"{name}_mean"], medians[name][0], row[f"{name}_std"], row[f"{name}_min"], row[f"{name}_max"])
-        for name in segments
+        (name, s.mean, s.quantiles[0], s.std, s.low, s.high) for name, s in exact_summary(df, segments, [0.5]).items()
     ]
     return df.sparkSession.createDataFrame(
         rows, "segment string, mean double, median double, std double, min double, max double"

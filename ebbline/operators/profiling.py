@@ -8,10 +8,10 @@ from pyspark.sql import types as T
 
 from ebbline.functions import roles
 from ebbline.functions.scalar import share_yes
-from ebbline.operators.cleaning import CHARGES_RTOL, charges_inconsistent, iqr_fences, missing, outlier_columns
+from ebbline.operators.cleaning import CHARGES_RTOL, charges_inconsistent, iqr_fences, missing_counts, outlier_columns
 from ebbline.operators.counts import value_counts
 from ebbline.operators.dedup import dedup_report
-from ebbline.operators.quantiles import exact_quantiles
+from ebbline.operators.quantiles import exact_summary
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -22,13 +22,6 @@ def other_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if not isinstance(f.dataType, T.NumericType)]
 
 
-def _shares(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, int]]:
-    row = df.agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.count_if(missing(df, c)).alias(c) for c in columns]
-    ).first().asDict()
-    return row.pop("_rows"), row
-
-
 def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per numeric column: missing, mean, std, quartiles, extremes (4 decimals)."""
     columns = columns or numeric_columns(df)
@@ -39,24 +32,13 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFra
     )
     if not columns:
         return spark.createDataFrame([], schema)
-    rows, gaps = _shares(df, columns)
-    aggs = []
-    for i, name in enumerate(columns):
-        value = F.when(~missing(df, name), F.col(name).cast("double"))
-        aggs += [
-            F.avg(value).alias(f"mean{i}"), F.stddev(value).alias(f"std{i}"),
-            F.min(value).alias(f"min{i}"), F.max(value).alias(f"max{i}"),
-        ]
-    moments = df.agg(*aggs).first()
-    quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    rows = df.count()
     types = dict(df.dtypes)
-    out = [
-        (
-            name, types[name], rows - gaps[name], gaps[name], gaps[name] * 100.0 / rows if rows else None,
-            moments[f"mean{i}"], moments[f"std{i}"], moments[f"min{i}"], *quartiles[name], moments[f"max{i}"],
-        )
-        for i, name in enumerate(columns)
-    ]
+    out = []
+    for name, s in exact_summary(df, columns, [0.25, 0.5, 0.75]).items():
+        gaps = rows - s.count
+        share = gaps * 100.0 / rows if rows else None
+        out.append((name, types[name], s.count, gaps, share, s.mean, s.std, s.low, *s.quantiles, s.high))
     result = spark.createDataFrame(out, schema)
     rounded = {c: F.round(c, 4) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")}
     return result.withColumns(rounded | {"missing_pct": F.round("missing_pct", 2)})
@@ -129,7 +111,7 @@ def quality_checks(df: DataFrame, rtol: float = CHARGES_RTOL) -> DataFrame:
 
     ``charges_deviation`` is reported only: the cleaning tolerates ``rtol``.
     """
-    total_gaps = sum(_shares(df, df.columns)[1].values())
+    total_gaps = sum(missing_counts(df).values())
     removable = dedup_report(df).first()["removed"]
     fences = iqr_fences(df, outlier_columns(df))
     tenure, monthly, total = F.col("Tenure"), F.col("MonthlyCharges"), F.col("TotalCharges")

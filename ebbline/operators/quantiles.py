@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,24 +19,51 @@ FETCH_LIMIT = 50_000
 SKETCH_ACCURACY = 10_000
 
 
+@dataclass
+class Summary:
+    """One column: its count of values, moments, extremes, and the wanted quantiles."""
+
+    count: int
+    mean: float | None
+    std: float | None
+    low: float | None
+    high: float | None
+    distinct: int
+    quantiles: list[float | None] = field(default_factory=list)
+
+
 @dataclass
 class _Bracket:
-    """Values in [low, high] of one column; ``below`` of its values are smaller."""
+    """Values in [low, high] of one column hold the wanted ranks; ``below`` of its values are smaller."""
 
     name: str
-    rank: int
+    ranks: list[int]
     low: float
     high: float
     below: int
     inside: int
     distinct: int
 
-    def holds(self, below: int, inside: int) -> bool:
-        return below <= self.rank < below + inside
+    def held_by(self, below: int, inside: int) -> bool:
+        return below <= self.ranks[0] and self.ranks[-1] < below + inside
 
 
-def _columns(columns: Sequence[str] | Mapping[str, Column]) -> dict[str, Column]:
-    return dict(columns) if isinstance(columns, Mapping) else {c: F.col(c) for c in columns}
+def _view(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], integral: bool) -> DataFrame:
+    """Only the wanted columns, as doubles without NaN or as 64-bit integers."""
+    named = dict(columns) if isinstance(columns, Mapping) else {c: F.col(c) for c in columns}
+    if integral:
+        return df.select(*[value.cast("bigint").alias(name) for name, value in named.items()])
+    doubles = {name: value.cast("double") for name, value in named.items()}
+    return df.select(*[F.when(~F.isnan(value), value).alias(name) for name, value in doubles.items()])
+
+
+def _summaries(view: DataFrame) -> dict[str, Summary]:
+    stats = [F.count, F.avg, F.stddev, F.min, F.max, F.approx_count_distinct]
+    aggs = [f(name).alias(f"c{i}_{k}") for i, name in enumerate(view.columns) for k, f in enumerate(stats)]
+    row = view.agg(*aggs).first()
+    return {
+        name: Summary(*[row[f"c{i}_{k}"] for k in range(len(stats))]) for i, name in enumerate(view.columns)
+    }
 
 
 def _within(value: Column, low: float, high: float) -> Column:
@@ -57,100 +84,75 @@ def _counts(view: DataFrame, candidates: list[tuple[str, float, float]]) -> list
     return [(row[f"b{i}"], row[f"n{i}"], row[f"d{i}"]) for i in range(len(candidates))]
 
 
-def _narrow(view: DataFrame, open_brackets: list[_Bracket], integral: bool, accuracy: int) -> None:
-    """Shrink every open bracket: by the sketch, else by halving its value range."""
+def _narrow(view: DataFrame, brackets: list[_Bracket], integral: bool, accuracy: int) -> list[_Bracket]:
+    """Shrink every bracket: by the sketch, else by halving its value range."""
     slack = 2.0 / accuracy
     aggs = []
-    for i, b in enumerate(open_brackets):
-        at = (b.rank - b.below) / max(b.inside - 1, 1)
-        ends = [max(0.0, at - slack), min(1.0, at + slack)]
+    for i, b in enumerate(brackets):
+        first, last = ((rank - b.below) / max(b.inside - 1, 1) for rank in (b.ranks[0], b.ranks[-1]))
+        ends = [max(0.0, first - slack), min(1.0, last + slack)]
         aggs.append(F.percentile_approx(_within(F.col(b.name), b.low, b.high), ends, accuracy).alias(f"q{i}"))
     row = view.agg(*aggs).first()
-    guesses = [(b.name, *row[f"q{i}"]) for i, b in enumerate(open_brackets)]
-    for b, (_, low, high), (below, inside, distinct) in zip(open_brackets, guesses, _counts(view, guesses)):
-        if b.holds(below, inside) and (low, high) != (b.low, b.high):
-            b.low, b.high, b.below, b.inside, b.distinct = low, high, below, inside, distinct
+    guesses = [(b.name, *row[f"q{i}"]) for i, b in enumerate(brackets)]
+    out = []
+    for b, (_, low, high), (below, inside, distinct) in zip(brackets, guesses, _counts(view, guesses)):
+        if b.held_by(below, inside) and (low, high) != (b.low, b.high):
+            out.append(_Bracket(b.name, b.ranks, low, high, below, inside, distinct))
         else:
-            _halve(view, b, integral)
+            out += _halve(view, b, integral)
+    return out
 
 
-def _halve(view: DataFrame, b: _Bracket, integral: bool) -> None:
+def _halve(view: DataFrame, b: _Bracket, integral: bool) -> list[_Bracket]:
+    """The lower and the upper half of the value range, as far as they hold wanted ranks."""
     middle = b.low + (b.high - b.low) // 2 if integral else b.low + (b.high - b.low) / 2
     value = F.col(b.name)
-    upper = F.when((value > F.lit(middle)) & (value <= F.lit(b.high)), value)
-    # The next stored value above the middle bounds the upper half from below.
-    row = view.agg(
-        F.count(_within(value, b.low, middle)).alias("n"), F.min(upper).alias("above"),
-        F.max(_within(value, b.low, middle)).alias("under"),
-    ).first()
-    ends = (b.low, row["under"]) if b.holds(b.below, row["n"]) else (row["above"], b.high)
-    (b.low, b.high) = ends
-    ((b.below, b.inside, b.distinct),) = _counts(view, [(b.name, *ends)])
+    lower, upper = _within(value, b.low, middle), F.when((value > F.lit(middle)) & (value <= F.lit(b.high)), value)
+    row = view.agg(F.count(lower).alias("n"), F.max(lower).alias("last"), F.min(upper).alias("first")).first()
+    border = b.below + row["n"]
+    halves = [
+        (b.low, row["last"], [rank for rank in b.ranks if rank < border]),
+        (row["first"], b.high, [rank for rank in b.ranks if rank >= border]),
+    ]
+    wanted = [half for half in halves if half[2]]
+    measured = _counts(view, [(b.name, low, high) for low, high, _ in wanted])
+    return [_Bracket(b.name, ranks, low, high, *counts) for (low, high, ranks), counts in zip(wanted, measured)]
 
 
-def exact_ranks(
-    df: DataFrame,
-    columns: Sequence[str] | Mapping[str, Column],
-    ranks: Mapping[str, Sequence[int]],
-    *,
-    integral: bool = False,
-    limit: int = FETCH_LIMIT,
-    accuracy: int = SKETCH_ACCURACY,
+def _solve(
+    view: DataFrame, ranks: Mapping[str, Sequence[int]], summaries: dict[str, Summary], integral: bool, limit: int, accuracy: int
 ) -> dict[str, dict[int, float]]:
-    """The values at the given 0-based ranks of each column (nulls left out).
-
-    ``integral`` keeps 64-bit integers exact instead of going through doubles.
-    """
-    view, _ = _prepare(df, columns, integral)
-    return _solve(view, ranks, _summary(view), integral, limit, accuracy)
-
-
-def _prepare(df: DataFrame, columns, integral: bool) -> tuple[DataFrame, list[str]]:
-    named = _columns(columns)
-    if integral:
-        picked = [value.cast("bigint").alias(name) for name, value in named.items()]
-    else:
-        doubles = {name: value.cast("double") for name, value in named.items()}
-        picked = [F.when(~F.isnan(value), value).alias(name) for name, value in doubles.items()]
-    return df.select(*picked), list(named)
-
-
-def _summary(view: DataFrame) -> dict[str, tuple]:
-    names = view.columns
-    aggs = []
-    for i, name in enumerate(names):
-        aggs += [
-            F.count(name).alias(f"n{i}"), F.min(name).alias(f"lo{i}"), F.max(name).alias(f"hi{i}"),
-            F.approx_count_distinct(name).alias(f"d{i}"),
-        ]
-    row = view.agg(*aggs).first()
-    return {name: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"], row[f"d{i}"]) for i, name in enumerate(names)}
-
-
-def _solve(view, ranks, summary, integral, limit, accuracy) -> dict[str, dict[int, float]]:
-    brackets = [
-        _Bracket(name, rank, low, high, 0, count, distinct)
-        for name, wanted in ranks.items()
-        for count, low, high, distinct in [summary[name]]
-        for rank in sorted(set(wanted))
-        if 0 <= rank < count
-    ]
-    while still_open := [b for b in brackets if b.distinct > limit and b.low != b.high]:
-        _narrow(view, still_open, integral, accuracy)
+    """The value at each wanted rank of each column."""
+    todo: list[_Bracket] = []
+    for name, wanted in ranks.items():
+        s = summaries[name]
+        valid = sorted({rank for rank in wanted if 0 <= rank < s.count})
+        if s.distinct <= limit:
+            groups = [valid] if valid else []
+        else:  # neighbouring ranks, as interpolation needs them, share a bracket
+            groups = []
+            for rank in valid:
+                if groups and rank - groups[-1][-1] <= 1:
+                    groups[-1].append(rank)
+                else:
+                    groups.append([rank])
+        todo += [_Bracket(name, group, s.low, s.high, 0, s.count, s.distinct) for group in groups]
+    small: list[_Bracket] = []
+    while todo:
+        small += [b for b in todo if b.distinct <= limit or b.low == b.high]
+        todo = [b for b in todo if b.distinct > limit and b.low != b.high]
+        todo = _narrow(view, todo, integral, accuracy) if todo else []
 
     found: dict[str, dict[int, float]] = {name: {} for name in ranks}
-    pending: dict[tuple[str, float, float], list[_Bracket]] = {}
-    for b in brackets:
+    pending = [b for b in small if b.low != b.high]
+    for b in small:
         if b.low == b.high:
-            found[b.name][b.rank] = b.low
-        else:
-            pending.setdefault((b.name, b.low, b.high), []).append(b)
+            found[b.name].update(dict.fromkeys(b.ranks, b.low))
     if not pending:
         return found
-    keys = list(pending)
     candidates = F.array(*[
-        F.struct(F.lit(i).alias("bracket"), _within(F.col(name), low, high).alias("value"))
-        for i, (name, low, high) in enumerate(keys)
+        F.struct(F.lit(i).alias("bracket"), _within(F.col(b.name), b.low, b.high).alias("value"))
+        for i, b in enumerate(pending)
     ])
     rows = (
         view.select(F.inline(candidates)).where("value is not null")
@@ -160,54 +162,73 @@ def _solve(view, ranks, summary, integral, limit, accuracy) -> dict[str, dict[in
     by_bracket: dict[int, list] = {}
     for row in rows:
         by_bracket.setdefault(row["bracket"], []).append((row["value"], row["count"]))
-    for i, key in enumerate(keys):
-        waiting = sorted(pending[key], key=lambda b: b.rank)
-        seen = waiting[0].below
-        at = 0
+    for i, b in enumerate(pending):
+        seen, waiting = b.below, iter(b.ranks)
+        rank = next(waiting, None)
         for value, count in sorted(by_bracket[i]):
             seen += count
-            while at < len(waiting) and waiting[at].rank < seen:
-                found[key[0]][waiting[at].rank] = value
-                at += 1
+            while rank is not None and rank < seen:
+                found[b.name][rank] = value
+                rank = next(waiting, None)
     return found
 
 
-def exact_quantiles(
+def exact_ranks(
+    df: DataFrame,
+    columns: Sequence[str] | Mapping[str, Column],
+    ranks: Mapping[str, Sequence[int]],
+    *,
+    integral: bool = False,
+    limit: int = FETCH_LIMIT,
+    accuracy: int = SKETCH_ACCURACY,
+) -> dict[str, dict[int, float]]:
+    """The values at the given 0-based ranks of each column (nulls left out).
+
+    ``integral`` keeps 64-bit integers exact instead of going through doubles.
+    """
+    view = _view(df, columns, integral)
+    return _solve(view, ranks, _summaries(view), integral, limit, accuracy)
+
+
+def exact_summary(
     df: DataFrame,
     columns: Sequence[str] | Mapping[str, Column],
     probs: Sequence[float],
     *,
     limit: int = FETCH_LIMIT,
     accuracy: int = SKETCH_ACCURACY,
+) -> dict[str, Summary]:
+    """Moments, extremes and linearly interpolated quantiles of each column.
+
+    Two passes over the wanted columns while each has at most ``limit``
+    distinct values, two more for each time a bracket has to be narrowed.
+    """
+    view = _view(df, columns, False)
+    summaries = _summaries(view)
+    places = {
+        name: [p * (s.count - 1) for p in probs] if s.count else [] for name, s in summaries.items()
+    }
+    ranks = {name: [r for at in wanted for r in (math.floor(at), math.ceil(at))] for name, wanted in places.items()}
+    values = _solve(view, ranks, summaries, False, limit, accuracy)
+    for name, s in summaries.items():
+        for at in places[name]:
+            low, high = values[name][math.floor(at)], values[name][math.ceil(at)]
+            s.quantiles.append(low + (high - low) * (at - math.floor(at)))
+        s.quantiles = s.quantiles or [None] * len(probs)
+    return summaries
+
+
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str] | Mapping[str, Column], probs: Sequence[float], **limits: int
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation; None for a column without values."""
-    view, names = _prepare(df, columns, False)
-    summary = _summary(view)
-    wanted = {name: [] for name in names}
-    for name in names:
-        for p in probs:
-            position = p * (summary[name][0] - 1)
-            wanted[name] += [math.floor(position), math.ceil(position)]
-    values = _solve(view, wanted, summary, False, limit, accuracy)
-    out: dict[str, list[float | None]] = {}
-    for name in names:
-        count = summary[name][0]
-        row: list[float | None] = []
-        for p in probs:
-            if count == 0:
-                row.append(None)
-                continue
-            position = p * (count - 1)
-            low, high = values[name][math.floor(position)], values[name][math.ceil(position)]
-            row.append(low + (high - low) * (position - math.floor(position)))
-        out[name] = row
-    return out
+    return {name: s.quantiles for name, s in exact_summary(df, columns, probs, **limits).items()}
 
 
 def approx_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], *, accuracy: int = SKETCH_ACCURACY
 ) -> dict[str, list[float | None]]:
     """One-pass quantiles with a rank error of at most rows / accuracy."""
-    view, names = _prepare(df, columns, False)
-    row = view.agg(*[F.percentile_approx(F.col(c), list(probs), accuracy).alias(c) for c in names]).first()
-    return {name: list(row[name]) if row[name] else [None] * len(probs) for name in names}
+    view = _view(df, columns, False)
+    row = view.agg(*[F.percentile_approx(c, list(probs), accuracy).alias(c) for c in view.columns]).first()
+    return {name: list(row[name]) if row[name] else [None] * len(probs) for name in view.columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ebbline.operators.cleaning import IQR_MULTIPLIER, charges_fix, impute, outlier_cap, outlier_flag
-from ebbline.operators.dedup import dedup
+from ebbline.operators.dedup import dedup_mostly_unique
 from ebbline.operators.shape import cast_types
 from ebbline.session import staged
 from ebbline.sources.readers import read_zone
@@ -19,13 +19,13 @@ def clean_table(
 ) -> DataFrame:
     """Gaps, duplicates, outliers, charges, types, in this order.
 
-    The fences need the deduplicated rows, which cost a shuffle, so those are
-    staged once; everything after them is one narrow pass.
+    The fences need the deduplicated rows, so those are staged once;
+    everything after them is one narrow pass.
     """
     strategies = {"cap": outlier_cap, "flag": outlier_flag}
     if outlier_strategy not in strategies:
         raise ValueError(f"outlier strategy must be cap or flag, not {outlier_strategy!r}")
-    unique = staged(dedup(impute(df)), "deduplicated")
+    unique = staged(dedup_mostly_unique(impute(df)), "deduplicated")
     return cast_types(charges_fix(strategies[outlier_strategy](unique, multiplier=iqr_multiplier)))
 
 

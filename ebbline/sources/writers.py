@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbline.functions import roles
+from ebbline.operators.dedup import dedup_mostly_unique
 from ebbline.operators.scores import scores_long
 from ebbline.operators.shape import rename_snake, select_available
 
@@ -30,11 +31,11 @@ def export_filtered(df: DataFrame, path: str) -> str:
 def users_table(df: DataFrame) -> DataFrame:
     """The rows of the users table: snake-case names, known columns, one row per customer.
 
-    Of several rows of one customer the smallest is kept, merged map-side.
+    Of several rows of one customer the smallest is kept.  Customers are
+    expected to be unique already, so whole rows are shuffled only for those that are not.
     """
     users = select_available(rename_snake(df), roles.USER_COLUMNS)
-    rest = [c for c in users.columns if c != "customer_id"]
-    return users.groupBy("customer_id").agg(F.min(F.struct(*rest)).alias("_row")).select("customer_id", "_row.*")
+    return dedup_mostly_unique(users, ["customer_id"])
 
 
 def predictions_table(wide: DataFrame) -> DataFrame:
@@ -59,7 +60,9 @@ def create_tables(spark: SparkSession, *, drop_first: bool = False, location: st
     return [name for name, _, _ in plan]
 
 
-def _replace(df: DataFrame, target: str, partition: str | None, jdbc_url: str | None, properties: dict | None) -> None:
+def _replace(
+    df: DataFrame, target: str, partition: str | None, buckets: int | None, jdbc_url: str | None, properties: dict | None
+) -> None:
     if jdbc_url:
         options = {"batchsize": str(BATCH_ROWS)} | (properties or {})
         df.write.mode("overwrite").jdbc(jdbc_url, target, properties=options)
@@ -67,21 +70,36 @@ def _replace(df: DataFrame, target: str, partition: str | None, jdbc_url: str |
     writer = df.write.mode("overwrite").format("parquet")
     writer = writer.partitionBy(partition) if partition else writer
     if "/" in target:
+        if buckets:
+            raise ValueError("buckets need a table name as target")
         writer.save(target)
+    elif buckets:
+        # Brought together by bucket first, so that each bucket is one file and not one per task.
+        gathered = df.repartition(buckets, "customer_id").write.mode("overwrite").format("parquet")
+        gathered = gathered.partitionBy(partition) if partition else gathered
+        gathered.bucketBy(buckets, "customer_id").sortBy("customer_id").saveAsTable(target)
     else:
         writer.saveAsTable(target)
 
 
-def sink_users(df: DataFrame, target: str = "users", *, jdbc_url: str | None = None, properties: dict | None = None) -> None:
-    """Replace the users table; the target is a table name or a path."""
-    _replace(users_table(df), target, None, jdbc_url, properties)
+def sink_users(
+    df: DataFrame, target: str = "users", *, buckets: int | None = None, jdbc_url: str | None = None,
+    properties: dict | None = None,
+) -> None:
+    """Replace the users table; the target is a table name or a path.
+
+    With both tables in the same number of buckets by customer, reports that
+    bring them together need no shuffle.
+    """
+    _replace(users_table(df), target, None, buckets, jdbc_url, properties)
 
 
 def sink_predictions(
-    wide: DataFrame, target: str = "predictions", *, jdbc_url: str | None = None, properties: dict | None = None
+    wide: DataFrame, target: str = "predictions", *, buckets: int | None = None, jdbc_url: str | None = None,
+    properties: dict | None = None,
 ) -> None:
     """Replace the predictions table, partitioned by model so a report reads one model's files."""
-    _replace(predictions_table(wide), target, "model_name", jdbc_url, properties)
+    _replace(predictions_table(wide), target, "model_name", buckets, jdbc_url, properties)
 
 
 def append_predictions(rows: DataFrame, target: str = "predictions") -> None:

@@ -140,3 +140,26 @@ def test_tables_are_created_and_replaced(spark, tmp_path):
     writers.create_tables(spark, drop_first=True, location=str(tmp_path / "b"))
     assert spark.table("users").count() == 0
     assert spark.table("predictions").columns == ["customer_id", "probability", "prediction", "model_name"]
+
+
+def test_bucketed_store_needs_no_shuffle(spark):
+    from ebbline.operators.scores import scores_wide
+
+    wide = scored(spark)
+    for name in ("users", "predictions"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    writers.sink_users(wide, buckets=4)
+    writers.sink_predictions(wide, buckets=4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = scores_wide(spark.table("users"), spark.table("predictions"))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for name in ("users", "predictions"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    with pytest.raises(ValueError):
+        writers.sink_users(wide, "/tmp/users", buckets=4)
