@@ -22,6 +22,19 @@ def _matrix(df: DataFrame, by: Sequence[str], label: str, prediction: str) -> Da
     )
 
 
+def _sums(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The same matrix from counts of positives and negatives per score and prediction."""
+    said = F.col("said") == 1
+
+    def total(column: str, chosen: Column) -> Column:
+        return F.coalesce(F.sum(F.when(chosen, F.col(column))), F.lit(0))
+
+    return counts.groupBy(*by).agg(
+        total("pos", said).alias("tp"), total("neg", said).alias("fp"),
+        total("pos", ~said).alias("fn"), total("neg", ~said).alias("tn"),
+    )
+
+
 def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
@@ -41,16 +54,20 @@ def metrics(
     df: DataFrame, label: str = "label", prediction: str = "prediction", probability: str = "probability",
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Accuracy, precision, recall, F1 of the positive class and the ROC area; 0 where nothing is divided by."""
+    """Accuracy, precision, recall, F1 of the positive class and the ROC area; 0 where nothing is divided by.
+
+    The rows are read once: they are merged per score and prediction, and both parts come from that.
+    """
+    counts = _score_counts(df, label, probability, by, F.coalesce(F.col(prediction), F.lit(0)).alias("said"))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    rates = _matrix(df, by, label, prediction).select(
+    rates = _sums(counts, by).select(
         *by,
         _ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"),
         _ratio(tp, tp + fp).alias("precision"),
         _ratio(tp, tp + fn).alias("recall"),
         _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
     )
-    area = roc_auc(df, label, probability, by)
+    area = _area(_running(counts, by, ROWS_PER_BUCKET), by)
     if by:
         return rates.join(area, list(by))
     return rates.withColumn("roc_auc", F.lit(area.first()["roc_auc"]).cast("double"))
@@ -91,24 +108,30 @@ def class_report(
 # ── ROC ─────────────────────────────────────────────────────────────────────
 
 
-def _running(df: DataFrame, label: str, probability: str, by: Sequence[str], rows_per_bucket: int) -> DataFrame:
-    """Per distinct score: its positives and negatives, their sums over this and all higher scores, and the totals.
-
-    Rows are merged per score before any ordering.  The distinct scores are then
-    cut into buckets of about equal size: sums within a bucket run in parallel
-    and start from the bucket totals, of which there are at most 1024 a group.
-    """
-    counts = staged(
-        df.where(F.col(label).isNotNull() & F.col(probability).isNotNull())
-        .groupBy(*by, F.col(probability).alias("threshold"))
+def _score_counts(df: DataFrame, label: str, probability: str, by: Sequence[str], *more: Column) -> DataFrame:
+    """Positives and negatives per distinct score (and further keys), written once."""
+    return staged(
+        df.where(F.col(label).isNotNull())
+        .groupBy(*by, F.col(probability).alias("threshold"), *more)
         .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")),
         "score-counts",
     )
-    buckets = min(MAX_BUCKETS, counts.count() // rows_per_bucket + 1)
+
+
+def _running(score_counts: DataFrame, by: Sequence[str], rows_per_bucket: int) -> DataFrame:
+    """Per distinct score: its positives and negatives, their sums over this and all higher scores, and the totals.
+
+    The distinct scores are cut into buckets of about equal size: sums within a
+    bucket run in parallel and start from the bucket totals, of which there are
+    at most 1024 a group.
+    """
+    scored = score_counts.where("threshold is not null")
+    buckets = min(MAX_BUCKETS, scored.count() // rows_per_bucket + 1)
     splits: list[float] = []
     if buckets > 1:
         shares = [i / buckets for i in range(1, buckets)]
-        splits = sorted(set(counts.approxQuantile("threshold", shares, 0.2 / buckets)))
+        splits = sorted(set(scored.approxQuantile("threshold", shares, 0.2 / buckets)))
+    counts = scored.groupBy(*by, "threshold").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     if not splits:
         bucketed = counts.withColumn("bucket", F.lit(0.0))
     else:
@@ -136,12 +159,20 @@ def _running(df: DataFrame, label: str, probability: str, by: Sequence[str], row
     )
 
 
+def _area(points: DataFrame, by: Sequence[str]) -> DataFrame:
+    lower = F.col("total_neg") - F.col("fp")
+    return points.groupBy(*by).agg(
+        F.sum(F.col("pos") * (lower + F.col("neg") / 2)).alias("ordered"),
+        F.max("total_pos").cast("double").alias("p"), F.max("total_neg").cast("double").alias("n"),
+    ).select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("ordered") / F.col("p") / F.col("n")).alias("roc_auc"))
+
+
 def roc_curve(
     df: DataFrame, label: str = "label", probability: str = "probability", by: Sequence[str] = (),
     *, rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score; the curve starts at (0, 0) above the highest."""
-    return _running(df, label, probability, by, rows_per_bucket).select(
+    return _running(_score_counts(df, label, probability, by), by, rows_per_bucket).select(
         *by, "threshold",
         (F.col("fp") / F.nullif("total_neg", F.lit(0))).alias("fpr"),
         (F.col("tp") / F.nullif("total_pos", F.lit(0))).alias("tpr"),
@@ -153,9 +184,4 @@ def roc_auc(
     *, rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties half; null with one class only."""
-    points = _running(df, label, probability, by, rows_per_bucket)
-    lower = F.col("total_neg") - F.col("fp")
-    return points.groupBy(*by).agg(
-        F.sum(F.col("pos") * (lower + F.col("neg") / 2)).alias("ordered"),
-        F.max("total_pos").cast("double").alias("p"), F.max("total_neg").cast("double").alias("n"),
-    ).select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("ordered") / F.col("p") / F.col("n")).alias("roc_auc"))
+    return _area(_running(_score_counts(df, label, probability, by), by, rows_per_bucket), by)

@@ -37,9 +37,12 @@ def scores_long(wide: DataFrame, key: str = "CustomerID") -> DataFrame:
 
 
 def pivot_scores(predictions: DataFrame) -> DataFrame:
-    """One row per customer; of repeated scores of one model the highest is kept."""
+    """One row per customer; of repeated scores of one model the highest score and label are kept.
+
+    Maxima of plain numbers, so the rows are merged by a hash aggregate, without sorting.
+    """
     def of(model: str, column: str):
-        return F.max(F.when(F.col("model_name") == model, F.struct("probability", "prediction")))[column]
+        return F.max(F.when(F.col("model_name") == model, F.col(column)))
 
     return predictions.groupBy("customer_id").agg(
         of("xgboost", "probability").alias("xgb_churn_prob"),
