@@ -65,6 +65,11 @@ def request_id(*key: Column) -> Column:
     return F.concat(F.lit("api-"), F.substring(F.sha2(F.concat_ws("|", *key), 256), 1, 8))
 
 
+def distinct_estimate(column: Column) -> Column:
+    """Approximate number of distinct values (about 2 %), nulls left out, by a sketch of fixed size."""
+    return F.hll_sketch_estimate(F.hll_sketch_agg(F.when(column.isNotNull(), F.xxhash64(column))))
+
+
 def hash_order(key: Column, seed: int = 42) -> Column:
     """A pseudo-random sort key that does not depend on the partitioning."""
     return F.xxhash64(key, F.lit(seed))

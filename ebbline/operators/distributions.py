@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from ebbline.functions import roles
 from ebbline.functions.scalar import hash_order
 from ebbline.operators.cleaning import IQR_MULTIPLIER
-from ebbline.operators.eda import LABELS, bin_dimension_join, quantiles_by_label
+from ebbline.operators.eda import LABELS, SegmentSummaries, bin_dimension_join, by_label
 
 
-def histogram(df: DataFrame, value: str, bins: int = 40) -> DataFrame:
+def histogram(df: DataFrame, value: str, bins: int = 40, summaries: SegmentSummaries | None = None) -> DataFrame:
     """Equal-width bins from minimum to maximum, the maximum in the last bin, empty bins kept."""
     column = F.col(value).cast("double")
-    low, high = df.agg(F.min(column), F.max(column)).first()
+    if summaries:
+        low, high = summaries[value]["overall"].low, summaries[value]["overall"].high
+    else:
+        low, high = df.agg(F.min(column), F.max(column)).first()
     if low is None:
         low, high = 0.0, 1.0
     if low == high:
@@ -31,8 +34,17 @@ def histogram(df: DataFrame, value: str, bins: int = 40) -> DataFrame:
     )
 
 
+def _label_moments(df: DataFrame, value: str, target: str) -> dict[str, tuple]:
+    """Per label (count, std, low, high), in one aggregate."""
+    parts = {name: F.when(F.col(target) == name, F.col(value).cast("double")) for name in LABELS}
+    aggs = [f(v).alias(f"{name}{k}") for name, v in parts.items() for k, f in enumerate((F.count, F.stddev, F.min, F.max))]
+    row = df.agg(*aggs).first()
+    return {name: tuple(row[f"{name}{k}"] for k in range(4)) for name in LABELS}
+
+
 def kde_by_label(
-    df: DataFrame, value: str, target: str = roles.TARGET_COL, *, points: int = 200, cut: float = 3.0
+    df: DataFrame, value: str, target: str = roles.TARGET_COL, summaries: SegmentSummaries | None = None,
+    *, points: int = 200, cut: float = 3.0,
 ) -> DataFrame:
     """Gaussian density per label on an even grid, Scott bandwidth.
 
@@ -41,19 +53,16 @@ def kde_by_label(
     at most ``points`` rows per label and task.
     """
     column, label = F.col(value).cast("double"), F.col(target)
-    parts = {name: F.when(label == name, column) for name in LABELS}
-    row = df.agg(*[
-        f(v).alias(f"{name}_{stat}") for name, v in parts.items()
-        for stat, f in (("n", F.count), ("sd", F.stddev), ("lo", F.min), ("hi", F.max))
-    ]).first()
+    if summaries:
+        moments = {name: (s.count, s.std, s.low, s.high) for name, s in by_label(df, value, target, summaries).items()}
+    else:
+        moments = _label_moments(df, value, target)
     grids = {}
-    for name in LABELS:
-        n, sd = row[f"{name}_n"], row[f"{name}_sd"]
+    for name, (n, sd, low, high) in moments.items():
         if n >= 2 and sd:
             bandwidth = sd * n ** -0.2
-            start = row[f"{name}_lo"] - cut * bandwidth
-            step = (row[f"{name}_hi"] + cut * bandwidth - start) / (points - 1)
-            grids[name] = (n, bandwidth, start, step)
+            start = low - cut * bandwidth
+            grids[name] = (n, bandwidth, start, (high + cut * bandwidth - start) / (points - 1))
     schema = "churn string, point int, x double, density double"
     if not grids:
         return df.sparkSession.createDataFrame([], schema)
@@ -80,11 +89,12 @@ def kde_by_label(
 
 
 def box_stats(
-    df: DataFrame, value: str, target: str = roles.TARGET_COL, multiplier: float = IQR_MULTIPLIER
+    df: DataFrame, value: str, target: str = roles.TARGET_COL, summaries: SegmentSummaries | None = None,
+    *, multiplier: float = IQR_MULTIPLIER,
 ) -> DataFrame:
     """Per label: quartiles, whisker ends (the outermost values within the fences) and outliers."""
     column, label = F.col(value).cast("double"), F.col(target)
-    quartiles = {k: q for k, q in quantiles_by_label(df, value, [0.25, 0.5, 0.75], target).items() if q[0] is not None}
+    quartiles = {name: s.quantiles for name, s in by_label(df, value, target, summaries).items()}
     schema = (
         "churn string, q25 double, q50 double, q75 double, whisker_low double, whisker_high double, outliers bigint"
     )
@@ -104,9 +114,10 @@ def box_stats(
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def violin_quartiles(df: DataFrame, value: str, target: str = roles.TARGET_COL) -> DataFrame:
-    quartiles = quantiles_by_label(df, value, [0.25, 0.5, 0.75], target)
-    rows = [(k, *q) for k, q in quartiles.items() if q[0] is not None]
+def violin_quartiles(
+    df: DataFrame, value: str, target: str = roles.TARGET_COL, summaries: SegmentSummaries | None = None
+) -> DataFrame:
+    rows = [(label, *s.quantiles) for label, s in by_label(df, value, target, summaries).items()]
     return df.sparkSession.createDataFrame(rows, "churn string, q25 double, q50 double, q75 double")
 
 

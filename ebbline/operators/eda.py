@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ebbline.functions import roles
 from ebbline.functions.scalar import bin_index, share_yes, yes_flag
-from ebbline.operators.quantiles import exact_quantiles, exact_summary
+from ebbline.operators.quantiles import Summary, exact_summary
 
 LABELS = ["No", "Yes"]
 
@@ -120,36 +120,54 @@ def churn_by_company(df: DataFrame, target: str = roles.TARGET_COL) -> DataFrame
     )
 
 
-def value_stats(df: DataFrame, value: str, target: str = roles.TARGET_COL) -> DataFrame:
-    """(segment, mean, median, std, min, max) overall, of churned and of retained rows."""
-    column, label = F.col(value).cast("double"), F.col(target)
-    segments = {
-        "overall": column, "churned": F.when(label == "Yes", column), "retained": F.when(label == "No", column),
+SEGMENTS = {"overall": None, "churned": "Yes", "retained": "No"}
+QUARTILES = [0.25, 0.5, 0.75]
+
+# Per column and segment: count, moments, extremes and quartiles.
+SegmentSummaries = dict[str, dict[str, Summary]]
+
+
+def segment_summaries(df: DataFrame, values: Sequence[str], target: str = roles.TARGET_COL) -> SegmentSummaries:
+    """Exact summaries of several columns, overall and by label, from the same passes.
+
+    The reports below take them as ``summaries``, so that a set of reports
+    reads the table once for all its quartiles; each computes its own otherwise.
+    """
+    columns = {
+        f"{segment} {value}": F.col(value) if label is None else F.when(F.col(target) == label, F.col(value))
+        for value in values for segment, label in SEGMENTS.items()
     }
-    rows = [
-        (name, s.mean, s.quantiles[0], s.std, s.low, s.high) for name, s in exact_summary(df, segments, [0.5]).items()
-    ]
+    found = exact_summary(df, columns, QUARTILES)
+    return {value: {segment: found[f"{segment} {value}"] for segment in SEGMENTS} for value in values}
+
+
+def by_label(df: DataFrame, value: str, target: str, summaries: SegmentSummaries | None) -> dict[str, Summary]:
+    """Summaries of the labels that have values, keyed by label."""
+    mine = (summaries or segment_summaries(df, [value], target))[value]
+    return {label: mine[segment] for segment, label in SEGMENTS.items() if label and mine[segment].count}
+
+
+def value_stats(
+    df: DataFrame, value: str, target: str = roles.TARGET_COL, summaries: SegmentSummaries | None = None
+) -> DataFrame:
+    """(segment, mean, median, std, min, max) overall, of churned and of retained rows."""
+    mine = (summaries or segment_summaries(df, [value], target))[value]
+    rows = [(name, s.mean, s.quantiles[1], s.std, s.low, s.high) for name, s in mine.items()]
     return df.sparkSession.createDataFrame(
         rows, "segment string, mean double, median double, std double, min double, max double"
     )
 
 
-def recency_stats(df: DataFrame, target: str = roles.TARGET_COL) -> DataFrame:
-    return value_stats(df, "LastLoginDays", target)
+def recency_stats(df: DataFrame, target: str = roles.TARGET_COL, summaries: SegmentSummaries | None = None) -> DataFrame:
+    return value_stats(df, "LastLoginDays", target, summaries)
 
 
-def tenure_stats(df: DataFrame, target: str = roles.TARGET_COL) -> DataFrame:
-    return value_stats(df, "Tenure", target)
+def tenure_stats(df: DataFrame, target: str = roles.TARGET_COL, summaries: SegmentSummaries | None = None) -> DataFrame:
+    return value_stats(df, "Tenure", target, summaries)
 
 
-def quantiles_by_label(
-    df: DataFrame, value: str, probs: Sequence[float], target: str = roles.TARGET_COL
-) -> dict[str, list[float | None]]:
-    """Exact quantiles of a column for each of the two labels."""
-    parts = {name: F.when(F.col(target) == name, F.col(value)) for name in LABELS}
-    return exact_quantiles(df, parts, probs)
-
-
-def median_by_label(df: DataFrame, value: str, target: str = roles.TARGET_COL) -> DataFrame:
-    rows = [(name, q[0]) for name, q in quantiles_by_label(df, value, [0.5], target).items() if q[0] is not None]
+def median_by_label(
+    df: DataFrame, value: str, target: str = roles.TARGET_COL, summaries: SegmentSummaries | None = None
+) -> DataFrame:
+    rows = [(label, s.quantiles[1]) for label, s in by_label(df, value, target, summaries).items()]
     return df.sparkSession.createDataFrame(rows, "churn string, median double")

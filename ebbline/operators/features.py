@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbline.functions import roles
-from ebbline.functions.scalar import hash_order
+from ebbline.functions.scalar import distinct_estimate, hash_order
 from ebbline.operators.quantiles import exact_ranks
 
 MAX_CATEGORIES = 1000
@@ -40,7 +40,7 @@ def standardize(df: DataFrame, columns: Sequence[str], fitted: dict[str, tuple[f
 
 def _check_categories(df: DataFrame, columns: Sequence[str]) -> None:
     """Category lists are held by the driver and every task, so their size is checked before they are built."""
-    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first().asDict()
+    counts = df.agg(*[distinct_estimate(F.col(c)).alias(c) for c in columns]).first().asDict()
     wide = {c: n for c, n in counts.items() if n > MAX_CATEGORIES}
     if wide:
         raise ValueError(f"too many categories to one-hot encode (limit {MAX_CATEGORIES}): {wide}")

@@ -15,13 +15,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ebbline.functions.scalar import distinct_estimate
+
 FETCH_LIMIT = 50_000
 SKETCH_ACCURACY = 10_000
 
 
 @dataclass
 class Summary:
-    """One column: its count of values, moments, extremes, and the wanted quantiles."""
+    """One column: its count of values, moments, extremes, about how many are distinct, and the wanted quantiles."""
 
     count: int
     mean: float | None
@@ -58,8 +60,8 @@ def _view(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], integral
 
 
 def _summaries(view: DataFrame) -> dict[str, Summary]:
-    stats = [F.count, F.avg, F.stddev, F.min, F.max, F.approx_count_distinct]
-    aggs = [f(name).alias(f"c{i}_{k}") for i, name in enumerate(view.columns) for k, f in enumerate(stats)]
+    stats = [F.count, F.avg, F.stddev, F.min, F.max, distinct_estimate]
+    aggs = [f(F.col(name)).alias(f"c{i}_{k}") for i, name in enumerate(view.columns) for k, f in enumerate(stats)]
     row = view.agg(*aggs).first()
     return {
         name: Summary(*[row[f"c{i}_{k}"] for k in range(len(stats))]) for i, name in enumerate(view.columns)
@@ -78,7 +80,7 @@ def _counts(view: DataFrame, candidates: list[tuple[str, float, float]]) -> list
         aggs += [
             F.count_if(F.col(name) < F.lit(low)).alias(f"b{i}"),
             F.count(inside).alias(f"n{i}"),
-            F.approx_count_distinct(inside).alias(f"d{i}"),
+            distinct_estimate(inside).alias(f"d{i}"),
         ]
     row = view.agg(*aggs).first()
     return [(row[f"b{i}"], row[f"n{i}"], row[f"d{i}"]) for i in range(len(candidates))]

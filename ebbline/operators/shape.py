@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbline.functions import roles
-from ebbline.functions.scalar import yes_flag
+from ebbline.functions.scalar import distinct_estimate, yes_flag
 
 _CJK = re.compile("[一-鿿]")
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -102,7 +102,7 @@ def _proposals(df: DataFrame, max_ratio: float) -> list[tuple[str, str, str, boo
     for i, field in enumerate(df.schema):
         value = F.col(field.name)
         if isinstance(field.dataType, T.StringType):
-            aggs.append(F.approx_count_distinct(value).alias(f"d{i}"))
+            aggs.append(distinct_estimate(value).alias(f"d{i}"))
         elif isinstance(field.dataType, T.DoubleType):
             moved = F.abs(value - value.cast("float").cast("double"))
             aggs.append(F.max(moved).alias(f"m{i}"))

@@ -9,22 +9,27 @@ from ebbline.operators import distributions, eda
 
 
 def eda_all(df: DataFrame) -> dict[str, DataFrame]:
-    """Every report by name, each a small frame.  Pass a table that is cheap to read again."""
+    """Every report by name, each a small frame.
+
+    Quartiles, moments and extremes of both columns, overall and by label, are
+    taken in the same passes and shared by the reports that need them.
+    """
+    shared = eda.segment_summaries(df, ["LastLoginDays", "Tenure"])
     reports = {
         "churn_overall": eda.churn_overall(df),
         "churn_by_contract": eda.churn_by_contract(df),
         "churn_by_industry": eda.churn_by_industry(df),
         "churn_by_company": eda.churn_by_company(df),
-        "login_stats": eda.recency_stats(df),
+        "login_stats": eda.recency_stats(df, summaries=shared),
         "login_bins": eda.login_bins(df),
-        "tenure_stats": eda.tenure_stats(df),
+        "tenure_stats": eda.tenure_stats(df, summaries=shared),
         "tenure_bins": eda.tenure_bins(df),
     }
     for name, column in (("login", "LastLoginDays"), ("tenure", "Tenure")):
-        reports[f"{name}_histogram"] = distributions.histogram(df, column)
-        reports[f"{name}_density"] = distributions.kde_by_label(df, column)
-        reports[f"{name}_box"] = distributions.box_stats(df, column)
-        reports[f"{name}_violin"] = distributions.violin_quartiles(df, column)
+        reports[f"{name}_histogram"] = distributions.histogram(df, column, summaries=shared)
+        reports[f"{name}_density"] = distributions.kde_by_label(df, column, summaries=shared)
+        reports[f"{name}_box"] = distributions.box_stats(df, column, summaries=shared)
+        reports[f"{name}_violin"] = distributions.violin_quartiles(df, column, summaries=shared)
     reports["tenure_vs_charges"] = distributions.scatter_sample(df)
     return reports
 

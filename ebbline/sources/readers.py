@@ -36,10 +36,11 @@ def read_csv(
     spelling of the header works, then cast by name: unknown columns stay text,
     null spellings become null and a value that does not parse becomes null
     (the reason to ``keep_corrupt`` is to see such rows: it adds a flag column).
+    All files of a folder must have the same header; another one is an error.
     """
     names = _header(spark, path)
     text = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    df = spark.read.schema(text).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").csv(path)
+    df = spark.read.schema(text).option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE").csv(path)
     if normalize:
         df = normalize_columns(df)
     known = {field.name: field.dataType for field in schema}

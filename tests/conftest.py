@@ -24,6 +24,14 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(autouse=True, scope="module")
+def compile_only_large_plans(request, spark):
+    """Tiny inputs run faster without compiling each plan; the catalog is tested with compilation."""
+    compiled = request.module.__name__.endswith("test_catalog")
+    spark.conf.set("spark.sql.codegen.wholeStage", str(compiled).lower())
+    spark.conf.set("spark.sql.shuffle.partitions", "8" if compiled else "3")
+
+
 @pytest.fixture
 def rows():
     """All rows of a frame as dicts."""

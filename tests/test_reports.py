@@ -74,6 +74,20 @@ def test_density_integrates_to_one(spark):
         assert math.isclose(np.trapezoid(part["density"], part["x"]), 1.0, abs_tol=0.01)
 
 
+def test_shared_summaries_change_nothing(spark, rows):
+    df = spark.range(300).selectExpr(
+        "cast(id as string) CustomerID", "cast(id % 23 as int) LastLoginDays", "cast(id % 71 as int) Tenure", "1D MonthlyCharges",
+        "'a' Contract", "'b' Industry", "'Micro (<10)' CompanySize", "if(id % 3 = 0, 'Yes', 'No') Churn")
+    together = eda_all(df)
+    for name, alone in {
+        "login_stats": eda.recency_stats(df), "tenure_histogram": distributions.histogram(df, "Tenure"),
+        "login_density": distributions.kde_by_label(df, "LastLoginDays"), "tenure_box": distributions.box_stats(df, "Tenure"),
+        "login_violin": distributions.violin_quartiles(df, "LastLoginDays"),
+    }.items():
+        first, second = sorted(map(str, rows(together[name]))), sorted(map(str, rows(alone)))
+        assert first == second, name
+
+
 def test_sample_is_the_same_for_any_partitioning(spark):
     df = spark.range(5000).selectExpr("cast(id as string) CustomerID")
     picks = [sorted(r[0] for r in distributions.sample_n(df.repartition(n), 100).collect()) for n in (1, 6)]

@@ -83,6 +83,13 @@ def test_csv_spellings(spark, tmp_path, rows):
     assert readers.read_csv(spark, str(path)).columns == ["Tenure", "MonthlyCharges", "Contract", "Churn", "extra_col"]
 
 
+def test_files_with_another_header_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Tenure,Contract\n1,x\n")
+    (tmp_path / "b.csv").write_text("Contract,Tenure\nx,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_csv(spark, str(tmp_path)).collect()
+
+
 def test_missing_inputs_raise(spark, tmp_path):
     with pytest.raises(AnalysisException):
         readers.read_csv(spark, str(tmp_path / "no.csv"))
