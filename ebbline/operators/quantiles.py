@@ -89,13 +89,21 @@ def _counts(view: DataFrame, candidates: list[tuple[str, float, float]]) -> list
 def _narrow(view: DataFrame, brackets: list[_Bracket], integral: bool, accuracy: int) -> list[_Bracket]:
     """Shrink every bracket: by the sketch, else by halving its value range."""
     slack = 2.0 / accuracy
-    aggs = []
-    for i, b in enumerate(brackets):
+    ends: dict[tuple[str, float, float], list[float]] = {}  # one sketch serves all brackets over the same range
+    place = []
+    for b in brackets:
         first, last = ((rank - b.below) / max(b.inside - 1, 1) for rank in (b.ranks[0], b.ranks[-1]))
-        ends = [max(0.0, first - slack), min(1.0, last + slack)]
-        aggs.append(F.percentile_approx(_within(F.col(b.name), b.low, b.high), ends, accuracy).alias(f"q{i}"))
-    row = view.agg(*aggs).first()
-    guesses = [(b.name, *row[f"q{i}"]) for i, b in enumerate(brackets)]
+        wanted = ends.setdefault((b.name, b.low, b.high), [])
+        place.append(len(wanted))
+        wanted += [max(0.0, first - slack), min(1.0, last + slack)]
+    row = view.agg(*[
+        F.percentile_approx(_within(F.col(name), low, high), wanted, accuracy).alias(f"q{i}")
+        for i, ((name, low, high), wanted) in enumerate(ends.items())
+    ]).first()
+    sketches = {key: row[f"q{i}"] for i, key in enumerate(ends)}
+    guesses = [
+        (b.name, *sketches[b.name, b.low, b.high][at:at + 2]) for b, at in zip(brackets, place)
+    ]
     out = []
     for b, (_, low, high), (below, inside, distinct) in zip(brackets, guesses, _counts(view, guesses)):
         if b.held_by(below, inside) and (low, high) != (b.low, b.high):
