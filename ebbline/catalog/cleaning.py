@@ -58,7 +58,7 @@ def impute_categorical_label(spark, sf_dir):
 
 @query("missing_report", using(
     " UNION ALL ".join(
-        f"SELECT '{name}' AS \"column\", COUNT(*) FILTER (WHERE {low} IS NULL) AS missing_before, 0 AS missing_after FROM dirty"
+        f"SELECT '{name}' AS \"column\", COUNT(*) FILTER (WHERE {low} IS NULL) AS missing_before, CAST(0 AS BIGINT) AS missing_after FROM dirty"
         for low, name in CAMEL.items()
     ), "dirty"))
 def missing_report(spark, sf_dir):
