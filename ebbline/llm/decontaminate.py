@@ -54,38 +54,48 @@ def runs(words: np.ndarray) -> np.ndarray:
     return mix(total)
 
 
-def embed(windows: np.ndarray, repeat: int, places: np.ndarray) -> np.ndarray:
-    """Keys of the rows of ``windows`` (one word hash a column): the walk's symbols at ``places``, hashed."""
+def sample_places(size: int, repeats: int) -> np.ndarray:
+    """(repeat, step): whether the walk's step is sampled.  A walk leaves a text after about two steps a word."""
+    rng, chosen = np.random.default_rng([size, 11]), np.zeros((MOST_REPEATS, 2 * size), bool)
+    for row in chosen:
+        row[rng.choice(2 * size, min(PLACES, 2 * size), replace=False)] = True
+    return chosen[:repeats]
+
+
+def embed(windows: np.ndarray, repeats: int) -> np.ndarray:
+    """(window, repeat): hash of the symbols that each repeat's walk writes at its sampled places.
+
+    ``windows`` has a row for each window and one word hash a column; behind its end a walk writes 0.
+    """
     rows, size = windows.shape
     padded = np.concatenate([windows, np.zeros((rows, 1), np.uint64)], axis=1)
-    pointer, at, key = np.zeros(rows, np.int64), np.arange(rows), np.full(rows, repeat, np.uint64)
-    for step in range(int(places.max()) + 1):
-        symbol = padded[at, np.minimum(pointer, size)]
-        if step in places:
-            key = mix(key * _STEP + symbol)
-        pointer += (mix(symbol, 1 + repeat * 4096 + step) >> np.uint64(63)).astype(np.int64)
+    sampled, at = sample_places(size, repeats), np.arange(rows)[:, None]
+    pointer = np.zeros((rows, repeats), np.int64)
+    key = np.broadcast_to(np.arange(repeats, dtype=np.uint64), (rows, repeats)).copy()
+    walks = mix(np.arange(repeats), 77)
+    for step in range(sampled.shape[1]):
+        symbol = padded[at, pointer]
+        if (now := sampled[:, step]).any():
+            key[:, now] = mix(key[:, now] * _STEP + symbol[:, now])
+        moves = mix(symbol + walks, 1 + step) >> np.uint64(63)
+        pointer = np.minimum(pointer + moves.astype(np.int64), size)
     return key
 
 
-def sample_places(size: int, repeat: int) -> np.ndarray:
-    return np.sort(np.random.default_rng([size, repeat]).choice(3 * size, min(PLACES, 3 * size), replace=False))
-
-
-def distance(a: list[int], b: list[int], most: int) -> int:
-    """Edit distance of two word sequences, or ``most`` + 1 if it is larger; only the diagonals within ``most``."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        low, high = max(1, i - most), min(len(b), i + most)
-        now = [most + 1] * (len(b) + 1)
-        now[0] = i
-        for j in range(low, high + 1):
-            now[j] = min(before[j - 1] + (x != b[j - 1]), before[j] + 1, now[j - 1] + 1)
-        if min(now[max(0, low - 1) : high + 1]) > most:
-            return most + 1
-        before = now
-    return min(before[-1], most + 1)
+def nearest(item: list[int], segment: list[int]) -> tuple[int, int]:
+    """(edits, start) of the passage of ``segment`` nearest to ``item`` by edit distance, the first of several."""
+    costs, starts = [0] * (len(segment) + 1), list(range(len(segment) + 1))
+    for i, x in enumerate(item, 1):
+        cost, start = i, 0
+        now, begun = [cost], [start]
+        for j, y in enumerate(segment):
+            cost, start = min(
+                (costs[j] + (x != y), starts[j]), (costs[j + 1] + 1, starts[j + 1]), (cost + 1, start)
+            )
+            now.append(cost)
+            begun.append(start)
+        costs, starts = now, begun
+    return min(zip(costs, starts, strict=True))
 
 
 class Items:
@@ -97,21 +107,22 @@ class Items:
         self.ids = [ids[i] for i in kept]
         self.words = [words[i] for i in kept]
         self.repeats = self._repeats()
-        found = [runs(w) for w in self.words]
-        self.runs = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
-        self.table = np.zeros(1 << TABLE_BITS, bool)
-        self.table[(self.runs >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-        self.keys: dict[tuple[int, int], dict[int, list[int]]] = {}
         sizes = np.array([len(w) for w in self.words], np.int64)
         self.sizes = [int(s) for s in np.unique(sizes)]
+        self.runs: dict[int, np.ndarray] = {}
+        self.keys: dict[int, list[dict[int, list[int]]]] = {}
+        self.table = np.zeros(1 << TABLE_BITS, bool)
         for size in self.sizes:
             members = np.flatnonzero(sizes == size)
             block = np.stack([self.words[m] for m in members])
-            for repeat in range(self.repeats):
-                table: dict[int, list[int]] = {}
-                for member, key in zip(members.tolist(), embed(block, repeat, sample_places(size, repeat)).tolist(), strict=True):
+            self.runs[size] = np.unique(np.concatenate([runs(w) for w in block]))
+            self.table[(self.runs[size] >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+            tables: list[dict[int, list[int]]] = [{} for _ in range(self.repeats)]
+            for member, keys in zip(members.tolist(), embed(block, self.repeats).tolist(), strict=True):
+                for table, key in zip(tables, keys, strict=True):
                     table.setdefault(key, []).append(member)
-                self.keys[size, repeat] = table
+            self.keys[size] = tables
+        self.every = np.unique(np.concatenate([*self.runs.values(), np.empty(0, np.uint64)]))
 
     def _repeats(self) -> int:
         """Repeats that reach RECALL on items with as many random edits as are allowed."""
@@ -128,49 +139,47 @@ class Items:
                     del changed[at]
             window = (changed + [int(x) for x in rng.integers(1 << 62, size=len(words))])[: len(words)]
             pairs.append(np.stack([words, np.array(window, np.uint64)]))
-        missed = np.ones(len(pairs), bool)
-        for repeat in range(MOST_REPEATS):
-            for i in np.flatnonzero(missed):
-                a, b = embed(pairs[i], repeat, sample_places(pairs[i].shape[1], repeat))
-                missed[i] = a != b
-            if missed.mean() <= 1 - RECALL if len(pairs) else True:
-                return repeat + 1
-        return MOST_REPEATS
+        if not pairs:
+            return 1
+        keys = [embed(pair, MOST_REPEATS) for pair in pairs]
+        found = np.logical_or.accumulate(np.array([a == b for a, b in keys]), axis=1).mean(axis=0)
+        return int(np.argmax(found >= RECALL)) + 1 if found[-1] >= RECALL else MOST_REPEATS
 
     def find(self, words: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, first word, edits) of every item in a document: its nearest window, the first of several."""
         grams = runs(words)
         known = np.flatnonzero(self.table[(grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-        if not len(known) or not len(self.runs):
-            return []
-        known = known[self.runs[np.minimum(np.searchsorted(self.runs, grams[known]), len(self.runs) - 1)] == grams[known]]
-        if not len(known):
-            return []
-        hits = np.zeros(len(grams) + 1, np.int64)
-        hits[known + 1] = 1
-        before = np.cumsum(hits)
+        if len(known):
+            known = known[self.every[np.minimum(np.searchsorted(self.every, grams[known]), len(self.every) - 1)] == grams[known]]
         best: dict[int, tuple[int, int]] = {}
-        for size in self.sizes:
-            span = size - GRAM + 1
+        found: dict[int, list[int]] = {}
+        for size in self.sizes if len(known) else []:
+            own = self.runs[size]
+            hit = known[own[np.minimum(np.searchsorted(own, grams[known]), len(own) - 1)] == grams[known]]
+            if not len(hit):
+                continue
+            span, most = size - GRAM + 1, edits(size)
             # a window may reach over the end of a text that lacks words of the item
-            starts = np.unique(np.clip((known[:, None] - np.arange(span)[None, :]).ravel(), 0, None))
-            held = before[np.minimum(starts + span, len(grams))] - before[starts]
-            starts = starts[held >= max(1, span - GRAM * edits(size))]
-            for at in range(0, len(starts), 4096):  # bounds memory on long texts
-                part = starts[at : at + 4096]
+            starts = np.unique(np.clip((hit[:, None] - np.arange(span)[None, :]).ravel(), 0, None))
+            held = np.searchsorted(hit, starts + span) - np.searchsorted(hit, starts)
+            starts = starts[held >= max(1, span - GRAM * most)]
+            for at in range(0, len(starts), 1024):  # bounds memory on long texts
+                part = starts[at : at + 1024]
                 places = part[:, None] + np.arange(size)[None, :]
                 windows = np.where(places < len(words), words[np.minimum(places, len(words) - 1)], np.uint64(1))
-                pairs = set()
-                for repeat in range(self.repeats):
-                    table = self.keys[size, repeat]
-                    keys = embed(windows, repeat, sample_places(size, repeat)).tolist()
-                    pairs.update((row, item) for row, key in enumerate(keys) if key in table for item in table[key])
+                keys = embed(windows, self.repeats).tolist()
+                tables = self.keys[size]
+                pairs = {(row, item) for row, own_ in enumerate(keys) for table, key in zip(tables, own_, strict=True) if key in table for item in table[key]}
                 for row, item in sorted(pairs):
-                    first = int(part[row])
-                    most = edits(size)
-                    near = min(distance(self.words[item].tolist(), words[first : first + size + d].tolist(), most) for d in range(-most, most + 1))
-                    if near <= most and (near, first) < best.get(item, (most + 1, 0)):
-                        best[item] = near, first
+                    found.setdefault(item, []).append(int(part[row]))
+        for item, firsts in found.items():
+            own, most = self.words[item].tolist(), edits(len(self.words[item]))
+            ends = [i for i in range(1, len(firsts)) if firsts[i] - firsts[i - 1] > len(own)]
+            for run in np.split(np.array(firsts), ends):  # windows that overlap are one stretch of text
+                begin = max(0, int(run[0]) - most)
+                near, start = nearest(own, words[begin : int(run[-1]) + len(own) + most].tolist())
+                if near <= most:
+                    best[item] = min(best.get(item, (most + 1, 0)), (near, begin + start))
         return [(item, first, near) for item, (near, first) in sorted(best.items())]
 
 

@@ -210,8 +210,10 @@ def ngram_join(
     shared = stage(shared.distinct(), "ngram-shared")
 
     def candidates(x: DataFrame) -> DataFrame:
-        """Pairs (a, na, b, nb) once for each bucket they share, reduced to those that share enough."""
-        counted = x.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("shared"))
+        """Pairs (a, na, b, nb) once for each bucket they share, reduced to those of like size that share enough."""
+        alike = F.least("na", "nb") * denominator >= F.greatest("na", "nb") * numerator
+        sized = F.col("na").isNotNull() & F.col("nb").isNotNull()
+        counted = x.where(alike | ~sized).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("shared"))
         return stage(counted.where(_enough(F.col("shared"), F.col("na"), F.col("nb"), numerator, denominator)).select("a", "b").distinct(), "ngram-pairs")
 
     # a star around the smallest document of each bucket
@@ -232,7 +234,7 @@ def ngram_join(
     left = open_.select("token", F.col("component").alias("ca"), F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"))
     right = open_.select("token", F.col("component").alias("cb"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"))
     across = apart.join(left, ["token", "ca"]).join(right, ["token", "cb"])
-    across = across.where(F.coalesce(F.least("na", "nb") * denominator >= F.greatest("na", "nb") * numerator, F.lit(True))).select("a", "na", "b", "nb")
+    across = across.select("a", "na", "b", "nb")
     found = _verified(candidates(across), docs, levels, width, numerator, denominator).toDF("u", "v")
     edges = stage(edges.unionByName(found), "ngram-edges")
     labels = stage(connected_components(edges, "ngram-stars"), "ngram-labels")
