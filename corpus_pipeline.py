@@ -1,7 +1,8 @@
 """The training-data pipeline over ``documents``: toxicity, near duplicates, decontamination, mixing.
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor
-kept, and returns the columns of ``documents``; the last one adds its weights.
+kept, and returns the columns of ``documents``; the last one adds tokens, topic and weights.
+Documents without an id or a text pass the stages like others.
 """
 
 from __future__ import annotations
@@ -10,23 +11,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbline.llm.common import stage, table
+from ebbline.llm.corpus import TARGETS
+from ebbline.llm.decontaminate import find_benchmark
+from ebbline.llm.mixing import mix_sources
 from ebbline.llm.ngram_join import ngram_join
+from ebbline.llm.toxicity import drop_toxic
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the lexicon, learned from ``labels``, judges toxic."""
+    return drop_toxic(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each component of similar documents.
 
-    Rows that repeat a doc_id are copies of one document; one row of them stays.  A null doc_id stays.
+    Of rows that repeat a doc_id one stays; rows without a doc_id all stay.
     """
-    labels = ngram_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(labels, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    gone = ngram_join(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    known = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+    order = F.struct(*(F.col(c) for c in COLUMNS[1:]))
+    repeated = known.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    single = known.join(repeated, "doc_id", "left_anti")
+    first = known.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(order).alias("first")).select("doc_id", "first.*")
+    return single.select(*COLUMNS).unionByName(first).unionByName(docs.where("doc_id IS NULL"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a passage of ``benchmark``."""
+    found = find_benchmark(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), COLUMNS)
+    return found.where(F.size("matches") == 0).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sample the documents to the target shares of the tokens."""
+    return mix_sources(docs.select(*COLUMNS), TARGETS).where("kept").drop("kept")
 
 
 STAGES = [
+    ("toxicity", toxicity),
     ("ngram_join", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
 ]
 
 #: The first stage scores with a learned lexicon, which SQL cannot express; tests compare the rows with brute force.

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbline.llm import corpus
+from ebbline.llm.chat import rotate_perspectives
 from ebbline.llm.common import table
 from ebbline.llm.decontaminate import find_benchmark
+from ebbline.llm.html_extract import extract
 from ebbline.llm.licenses import scan_licenses
 from ebbline.llm.mixing import mix_sources
 from ebbline.llm.ngram_join import ngram_join
@@ -64,6 +66,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_html_extraction")
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).drop("n_blocks")
+
+
+@query("op7_chat_perspectives")
+def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = rotate_perspectives(table(spark, sf_dir, "conversations"))
+    masked = F.transform("spans", lambda s: F.concat_ws("-", s["begin"].cast("string"), s["end"].cast("string")))
+    return views.select("conv_id", "speaker", "part", "n_turns", "n_own", "rendered", F.array_join(masked, ",").alias("masked"))
+
+
 @query("op8_top_k")
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)

@@ -24,11 +24,11 @@ from ebbline.llm.common import arrow_map, mix, texts_of
 #: Edits allowed for each word of an item, and words an item needs to be looked for.
 EDIT_SHARE, LEAST_WORDS = 0.2, 5
 #: Words of a run that the skip test counts, sampled places of a key, wished recall and most repeats to reach it.
-GRAM, PLACES, RECALL, MOST_REPEATS = 3, 3, 0.99, 48
+GRAM, PLACES, RECALL, MOST_REPEATS = 3, 2, 0.99, 48
 #: Items that go to the tasks at once, in UTF-8 bytes.
 BLOCK_BYTES = 8 << 20
 #: Bits of the table that tells quickly whether a run occurs in an item.
-TABLE_BITS = 22
+TABLE_BITS = 20
 
 _SPACE = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -50,8 +50,8 @@ def runs(words: np.ndarray) -> np.ndarray:
         return np.empty(0, np.uint64)
     total = np.zeros(len(words) - GRAM + 1, np.uint64)
     for k in range(GRAM):
-        total = total * _STEP + words[k : len(words) - GRAM + 1 + k]
-    return mix(total)
+        total = (total + words[k : len(words) - GRAM + 1 + k]) * _STEP
+    return total
 
 
 def sample_places(size: int, repeats: int) -> np.ndarray:
@@ -84,18 +84,19 @@ def embed(windows: np.ndarray, repeats: int) -> np.ndarray:
 
 def nearest(item: list[int], segment: list[int]) -> tuple[int, int]:
     """(edits, start) of the passage of ``segment`` nearest to ``item`` by edit distance, the first of several."""
-    costs, starts = [0] * (len(segment) + 1), list(range(len(segment) + 1))
+    one = 1 << 32  # a cell holds edits * one + start, so that the smaller start wins ties
+    row = list(range(len(segment) + 1))
     for i, x in enumerate(item, 1):
-        cost, start = i, 0
-        now, begun = [cost], [start]
-        for j, y in enumerate(segment):
-            cost, start = min(
-                (costs[j] + (x != y), starts[j]), (costs[j + 1] + 1, starts[j + 1]), (cost + 1, start)
-            )
-            now.append(cost)
-            begun.append(start)
-        costs, starts = now, begun
-    return min(zip(costs, starts, strict=True))
+        left, diagonal, now = i * one, row[0], [i * one]
+        for y, above in zip(segment, row[1:], strict=True):
+            if x == y:
+                left = min(diagonal, above + one, left + one)
+            else:
+                left = min(diagonal, above, left) + one
+            now.append(left)
+            diagonal = above
+        row = now
+    return divmod(min(row), one)
 
 
 class Items:

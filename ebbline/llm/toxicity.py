@@ -105,6 +105,7 @@ def features(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
 def _matches(docs: DataFrame, lexicon: Lexicon, more: str = "") -> DataFrame:
     """The columns named in ``more`` with weight, hits and words of every text."""
     names = [part.split()[0] for part in more.split(", ")]
+    columns = list(dict.fromkeys([*names, "text"]))
 
     def work(batches):
         automaton = lexicon.automaton()
@@ -117,7 +118,7 @@ def _matches(docs: DataFrame, lexicon: Lexicon, more: str = "") -> DataFrame:
                 [*names, "weight", "hits", "n_words", "score"],
             )
 
-    return docs.select(*names, "text").mapInArrow(work, f"{more}, weight double, hits long, n_words long, score double")
+    return docs.select(*columns).mapInArrow(work, f"{more}, weight double, hits long, n_words long, score double")
 
 
 def _term_counts(docs: DataFrame) -> DataFrame:
@@ -217,3 +218,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from the labels of documents that are not held out, then score all documents."""
     lexicon = fit(docs, labels.where(~F.coalesce(held_out(), F.lit(True))))
     return score_toxicity(docs, lexicon).withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows that are not judged toxic, with all their columns."""
+    kinds = ", ".join(f"{name} {kind}" for name, kind in docs.dtypes)
+    lexicon = fit(docs, labels.where(~F.coalesce(held_out(), F.lit(True))))
+    return _matches(docs, lexicon, kinds).where(F.col("score") < CUT).select(*docs.columns)
