@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm import corpus
+from ebbline.llm import corpus, oracles
 from ebbline.llm.chat import rotate_perspectives
 from ebbline.llm.common import table
 from ebbline.llm.decontaminate import find_benchmark
@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op1_license_scan")
+@query("op1_license_scan", oracles.licenses())
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -44,7 +44,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-@query("op3_ngram_join")
+@query("op3_ngram_join", oracles.NGRAM_JOIN)
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -71,14 +71,14 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages")).drop("n_blocks")
 
 
-@query("op7_chat_perspectives")
+@query("op7_chat_perspectives", oracles.CHAT)
 def op7_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = rotate_perspectives(table(spark, sf_dir, "conversations"))
     masked = F.transform("spans", lambda s: F.concat_ws("-", s["begin"].cast("string"), s["end"].cast("string")))
     return views.select("conv_id", "speaker", "part", "n_turns", "n_own", "rendered", F.array_join(masked, ",").alias("masked"))
 
 
-@query("op8_top_k")
+@query("op8_top_k", oracles.TOP_K)
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 

@@ -51,7 +51,7 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 _FOLDS = {ord(c): letter for letter, others in LOOKALIKES.items() for c in others} | {
     0xFF41 + k: chr(97 + k) for k in range(26)  # full-width letters
 } | dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])  # invisible signs go
-_DIGIT = re.compile(r"(?<=[^\W\d_])[0134578]|[0134578](?=[^\W\d_])|(?<=[^\W\d_])[@$](?=[^\W\d_])")
+_DIGIT = re.compile(r"(?<=[^\W\d_])[0134578]|[0134578](?=[^\W\d_])|(?<=[^\W_])[@$](?=[^\W_])")
 _GAP = re.compile(r"[\W_]+")
 
 
@@ -102,10 +102,11 @@ def features(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(weight)), np.log1p(weight), np.log1p(100 * weight / (words + 20))])
 
 
-def _matches(docs: DataFrame, lexicon: Lexicon, more: str = "") -> DataFrame:
-    """The columns named in ``more`` with weight, hits and words of every text."""
-    names = [part.split()[0] for part in more.split(", ")]
+def _matches(docs: DataFrame, lexicon: Lexicon, names: list[str]) -> DataFrame:
+    """The named columns as c0, c1, ... (their names may be those of the scores) with weight, hits, n_words and score."""
+    kinds = dict(docs.dtypes)
     columns = list(dict.fromkeys([*names, "text"]))
+    schema = "".join(f"c{i} {kinds[n]}, " for i, n in enumerate(names)) + "weight double, hits long, n_words long, score double"
 
     def work(batches):
         automaton = lexicon.automaton()
@@ -115,10 +116,10 @@ def _matches(docs: DataFrame, lexicon: Lexicon, more: str = "") -> DataFrame:
             score = lexicon.score(features(weight, words)) if rows else weight
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), pa.array(weight, pa.float64()), pa.array(hits.astype(np.int64)), pa.array(words.astype(np.int64)), pa.array(score, pa.float64())],
-                [*names, "weight", "hits", "n_words", "score"],
+                [*(f"c{i}" for i in range(len(names))), "weight", "hits", "n_words", "score"],
             )
 
-    return docs.select(*columns).mapInArrow(work, f"{more}, weight double, hits long, n_words long, score double")
+    return docs.select(*columns).mapInArrow(work, schema)
 
 
 def _term_counts(docs: DataFrame) -> DataFrame:
@@ -193,8 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
         if shorter < row["bound"] - 0.5:  # else a beginning of it says as much
             lexicon.weights[row["term"]] = float(row["bound"])
     if sizes.get((1, True)) and sizes.get((0, True)):
-        seen = _matches(taught.where("calibrates"), lexicon, "toxic int").toArrow()  # at most TRAIN_DOCS rows
-        weight, words, label = (seen.column(n).to_numpy().astype(float) for n in ("weight", "n_words", "toxic"))
+        seen = _matches(taught.where("calibrates"), lexicon, ["toxic"]).toArrow()  # at most TRAIN_DOCS rows
+        weight, words, label = (seen.column(n).to_numpy().astype(float) for n in ("weight", "n_words", "c0"))
         lexicon.coefficients = tuple(_logistic(features(weight, words), label))
     return lexicon
 
@@ -210,8 +211,8 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     A null or empty text has no weight and gets the score of that.  Texts are
     read whole.  Repeated rows are scored alike, an empty table gives no rows, other columns are ignored.
     """
-    scored = _matches(docs, lexicon, "doc_id long")
-    return scored.select("doc_id", "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "weight", "hits", "n_words")
+    scored = _matches(docs, lexicon, ["doc_id"])
+    return scored.select(F.col("c0").alias("doc_id"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "weight", "hits", "n_words")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -222,6 +223,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that are not judged toxic, with all their columns."""
-    kinds = ", ".join(f"{name} {kind}" for name, kind in docs.dtypes)
     lexicon = fit(docs, labels.where(~F.coalesce(held_out(), F.lit(True))))
-    return _matches(docs, lexicon, kinds).where(F.col("score") < CUT).select(*docs.columns)
+    scored = _matches(docs, lexicon, docs.columns).where(F.col("score") < CUT)
+    return scored.drop("weight", "hits", "n_words", "score").toDF(*docs.columns)
