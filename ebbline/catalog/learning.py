@@ -138,9 +138,6 @@ def class_report(spark, sf_dir):
 
 # ── models, over the generated customers with ticket sentiment ──────────────
 
-# The registered queries fit smaller ensembles than the library's defaults
-# (200 trees, 200 rounds), to keep a run of all queries short.
-QUERY_PARAMS = {"rf": {"trees": 60}, "xgb": {"rounds": 40}}
 _trained: dict[tuple[str, str], Trained] = {}
 
 
@@ -148,7 +145,7 @@ def trained(spark, sf_dir) -> Trained:
     """The three models, fitted once per application and input folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _trained:
-        _trained[key] = train_all(enriched(spark, sf_dir), params=QUERY_PARAMS)
+        _trained[key] = train_all(enriched(spark, sf_dir))
     return _trained[key]
 
 
@@ -273,7 +270,7 @@ def shap_tree(spark, sf_dir):
 def shap_linear_trained(spark, sf_dir):
     fit = trained(spark, sf_dir)
     vectors = _vectors(spark, sf_dir)
-    return _long(explain.shap_linear(vectors, fit.models["lr"], explain.feature_means(vectors)), fit.names)
+    return _long(explain.shap_linear(vectors, fit.models["lr"], fit.means), fit.names)
 
 
 @query("top_factors_tree")
@@ -289,7 +286,7 @@ def shap_global_tree(spark, sf_dir):
 @query("shap_dependence_tree")
 def shap_dependence_tree(spark, sf_dir):
     names = trained(spark, sf_dir).names
-    return rounded(explain.shap_dependence(_tree_attributions(spark, sf_dir), names, "Tenure"))
+    return rounded(explain.shap_dependence(_tree_attributions(spark, sf_dir), names))
 
 
 @query("shap_waterfall_tree")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ebbline.catalog.base import CAMEL, camel_list, customers, dirty_customers, profile, query, scores, using, wide
@@ -19,19 +21,32 @@ _AS_READ = camel_list(customer_id="CAST(customer_id AS VARCHAR)")
 _ALIASED = {"Tenure": "使用时长", "Contract": "合同类型", "MonthlyCharges": " 月费 ", "CustomerID": "customer_id", "Churn": "churn"}
 
 
+#: Text with quotes, commas and line breaks, for one customer in three, and a number that is none for one in seven.
+_NOTE = "CASE customer_id % 3 WHEN 1 THEN 'He said \"hi, there\" twice,' || chr(10) || 'then \"\"left ' || CAST(customer_id AS VARCHAR(20)) WHEN 2 THEN ' a,b ' END"
+_NOTED = f'{_AS_READ}, {_NOTE} AS "TicketNote"'
+
+
+_SPARK_NOTE = _NOTE.replace("VARCHAR(20)", "STRING")
+
+
+def _noted(frame):
+    return frame.withColumn("TicketNote", F.expr(_SPARK_NOTE.replace("customer_id", "CustomerID")))
+
+
 def _csv_of_customers(spark, sf_dir) -> str:
-    """The customers as CSV with some columns under other spellings and gaps spelled out."""
-    frame = dirty_customers(spark, sf_dir)
-    frame = frame.withColumn("MonthlyCharges", F.coalesce(F.col("MonthlyCharges").cast("string"), F.lit("N/A")))
+    """The customers as CSV with some columns under other spellings, gaps and bad numbers spelled out, and notes in free text."""
+    frame = _noted(dirty_customers(spark, sf_dir))
+    bad = F.when(F.col("CustomerID") % 37 == 0, F.when(F.col("CustomerID") % 2 == 0, "12f").otherwise("N/A"))
+    frame = frame.withColumn("MonthlyCharges", F.coalesce(F.col("MonthlyCharges").cast("string"), bad, F.lit("10.5d")))
     return writers.export_filtered(frame.withColumnsRenamed(_ALIASED), scratch_path(spark, "csv"))
 
 
-@query("read_csv", using(f"SELECT {_AS_READ} FROM dirty", "dirty"))
+@query("read_csv", using(f"SELECT {_NOTED} FROM dirty", "dirty"))
 def read_csv(spark, sf_dir):
     return readers.read_csv(spark, _csv_of_customers(spark, sf_dir), drop_ids=False)
 
 
-@query("ingest_uri", using(f'SELECT {camel_list(customer_id="")} FROM dirty', "dirty"))
+@query("ingest_uri", using(f'SELECT {camel_list(customer_id="")}, {_NOTE} AS "TicketNote" FROM dirty', "dirty"))
 def ingest_uri(spark, sf_dir):
     return readers.ingest_uri(spark, _csv_of_customers(spark, sf_dir), scratch_path(spark, "raw"), "customers")
 
@@ -43,18 +58,18 @@ def read_zone(spark, sf_dir):
     return readers.read_zone(spark, zone, "customers")
 
 
-@query("write_zone", using(f"SELECT {_AS_READ} FROM profile", "profile"))
+@query("write_zone", using(f"SELECT {_NOTED} FROM profile", "profile"))
 def write_zone(spark, sf_dir):
     zone = scratch_path(spark, "zone")
-    writers.write_zone(customers(spark, sf_dir), zone, "customers", format="csv")
+    writers.write_zone(_noted(customers(spark, sf_dir)), zone, "customers", format="csv")
     return readers.read_zone(spark, zone, "customers", format="csv")
 
 
-@query("export_filtered", using("SELECT customer_id, contract, xgb_churn_prob FROM wide WHERE contract = 'One year'", "wide"))
+@query("export_filtered", using(f"SELECT customer_id, contract, xgb_churn_prob, {_NOTE} AS note FROM wide WHERE contract = 'One year'", "wide"))
 def export_filtered(spark, sf_dir):
-    chosen = wide(spark, sf_dir).where("contract = 'One year'").select("customer_id", "contract", "xgb_churn_prob")
+    chosen = wide(spark, sf_dir).where("contract = 'One year'").select("customer_id", "contract", "xgb_churn_prob", F.expr(_SPARK_NOTE).alias("note"))
     path = writers.export_filtered(chosen, scratch_path(spark, "export"))
-    return spark.read.schema(chosen.schema).option("header", True).csv(path)
+    return spark.read.schema(chosen.schema).options(**readers.CSV_DIALECT).option("header", True).csv(path)
 
 
 def _scored(spark, sf_dir):
@@ -95,13 +110,13 @@ def append_predictions(spark, sf_dir):
 SELECT CAST(customer_id AS VARCHAR) AS customer_id, tenure, contract, gender FROM (
   SELECT customer_id, tenure, contract, CAST(NULL AS VARCHAR) AS gender FROM profile)""", "profile"))
 def create_tables(spark, sf_dir):
-    writers.create_tables(spark, drop_first=True, location=scratch_path(spark, "store"))
+    users, _ = writers.create_tables(spark, drop_first=True, location=scratch_path(spark, "store"), database="ebbline_created")
     have = profile(spark, sf_dir)
     row = [
         (F.col(f.name) if f.name in have.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in roles.USERS_SCHEMA
     ]
-    have.select(*row).write.insertInto("users")
-    return spark.table("users").select("customer_id", "tenure", "contract", "gender")
+    have.select(*row).write.insertInto(users)
+    return spark.table(users).select("customer_id", "tenure", "contract", "gender")
 
 
 @query("read_sql", using(
@@ -131,13 +146,12 @@ def register(spark, sf_dir):
     location = scratch_path(spark, "store")
     strings = _scored(spark, sf_dir).withColumn("customer_id", F.col("customer_id").cast("string"))
     load_store(spark, strings, location)
-    for table in ("users", "predictions"):
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-    register_store(spark, location)
+    database = f"ebbline_{uuid.uuid4().hex[:12]}"  # of this query alone
+    register_store(spark, location, database)
     return readers.read_sql(
         spark,
         "SELECT model_name, count(*) AS n, count(DISTINCT u.contract) AS contracts "
-        "FROM predictions p JOIN users u ON p.customer_id = u.customer_id GROUP BY model_name",
+        f"FROM {database}.predictions p JOIN {database}.users u ON p.customer_id = u.customer_id GROUP BY model_name",
     )
 
 

@@ -212,7 +212,7 @@ def charges_fix(df: DataFrame, rtol: float = CHARGES_RTOL, *, fix: bool = True)
     tenure, monthly, total = (to_number(df, c) for c in _CHARGES)
     kind = df.schema["Tenure"].dataType
     out = df.withColumns({
-        "Tenure": tenure.cast(kind) if isinstance(kind, T.IntegralType) else tenure,
+        "Tenure": tenure.try_cast(kind) if isinstance(kind, T.IntegralType) else tenure,
         "MonthlyCharges": monthly,
         "TotalCharges": total,
     })

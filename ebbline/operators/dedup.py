@@ -8,25 +8,13 @@ from pyspark.sql import functions as F
 from ebbline.functions import roles
 from ebbline.session import staged
 
-REPEATED_LIMIT = 1_000_000
-
 
 def _subset(df: DataFrame, subset: list[str] | None) -> list[str]:
     return subset or [c for c in df.columns if c != roles.ID_COL]
 
 
-def dedup(
-    df: DataFrame, subset: list[str] | None = None, keep: str | bool = "first", order_col: str = roles.ID_COL
-) -> DataFrame:
-    """Keep the first or last row of each group of equals, or none of a repeated group.
-
-    The order is ``order_col``, ties by the other columns.  One grouped minimum
-    (or maximum): equal rows are merged before the shuffle, so a group that
-    holds a third of the table costs no more than any other.  Nulls are equal.
-    """
-    if keep not in ("first", "last", False):
-        raise ValueError(f"keep must be 'first', 'last' or False, not {keep!r}")
-    subset = _subset(df, subset)
+def _grouped(df: DataFrame, subset: list[str], keep: str | bool, order_col: str) -> DataFrame:
+    """The kept rows by one grouped minimum or maximum, equal rows merged before the shuffle."""
     rest = [c for c in df.columns if c not in subset]
     if not rest:
         grouped = df.groupBy(*subset).agg(F.count(F.lit(1)).alias("_n"))
@@ -45,50 +33,47 @@ def dedup(
     return grouped.select(*[back[c].alias(c) if c in back else F.col(c) for c in df.columns])
 
 
-def _split_repeated(df: DataFrame, subset: list[str], limit: int) -> tuple[DataFrame, DataFrame] | None:
+def _split_repeated(df: DataFrame, subset: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows with no equal, rows that may have one) by a 64-bit hash of the subset.
 
-    None when more than ``limit`` hashes repeat: only a set of a checked size is broadcast.
+    The hashes are counted by a hash aggregate.  The joins carry no hint:
+    adaptive execution sees how many hashes repeat and chooses.
     """
     hashed = df.withColumn("_hash", F.xxhash64(*subset))
     counts = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n"))
     repeated = staged(counts.where("n > 1").select("_hash"), "repeated-hashes")
-    if repeated.limit(limit + 1).count() > limit:
-        return None
-    few = F.broadcast(repeated)
-    return hashed.join(few, "_hash", "left_anti").drop("_hash"), hashed.join(few, "_hash", "left_semi").drop("_hash")
-
-
-def dedup_mostly_unique(
-    df: DataFrame,
-    subset: list[str] | None = None,
-    keep: str | bool = "first",
-    order_col: str = roles.ID_COL,
-    *,
-    limit: int = REPEATED_LIMIT,
+    return hashed.join(repeated, "_hash", "left_anti").drop("_hash"), hashed.join(repeated, "_hash", "left_semi").drop("_hash")
+
+
+def dedup(
+    df: DataFrame, subset: list[str] | None = None, keep: str | bool = "first", order_col: str = roles.ID_COL
 ) -> DataFrame:
-    """The same result as ``dedup``, shuffling hashes instead of rows while few groups repeat.
+    """Keep the first or last row of each group of equals, or none of a repeated group.
 
-    Rows whose hash occurs once are passed on where they are; only the others
-    are grouped, by the columns themselves, so a hash collision changes nothing.
+    The order is ``order_col``, ties by the other columns; nulls are equal.  Rows
+    whose hash occurs once are passed on as they are; only the others are grouped
+    (and sorted, where text is compared), by the columns themselves, so a hash
+    collision changes nothing.  Equal rows merge before the shuffle, so a
+    group that holds a third of the table costs no more than any other.
     """
+    if keep not in ("first", "last", False):
+        raise ValueError(f"keep must be 'first', 'last' or False, not {keep!r}")
     subset = _subset(df, subset)
-    parts = _split_repeated(df, subset, limit)
-    if parts is None:
-        return dedup(df, subset, keep, order_col)
-    unique, candidates = parts
-    return unique.unionByName(dedup(candidates, subset, keep, order_col))
+    unique, candidates = _split_repeated(df, subset)
+    return unique.unionByName(_grouped(candidates, subset, keep, order_col))
+
+
+#: The name of the plan from when there were two.
+dedup_mostly_unique = dedup
 
 
-def dedup_report(df: DataFrame, subset: list[str] | None = None, *, limit: int = REPEATED_LIMIT) -> DataFrame:
+def dedup_report(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     """One row: all members of repeated groups, and the rows a dedup that keeps one removes."""
     subset = _subset(df, subset)
-    parts = _split_repeated(df, subset, limit)
-    rows = df.count()
-    sizes = (parts[1] if parts else df).groupBy(*subset).agg(F.count(F.lit(1)).alias("n"))
+    sizes = _split_repeated(df, subset)[1].groupBy(*subset).agg(F.count(F.lit(1)).alias("n"))
     repeated = sizes.where("n > 1")
     return repeated.agg(
-        F.lit(rows).cast("bigint").alias("rows"),
+        F.lit(df.count()).cast("bigint").alias("rows"),
         F.count(F.lit(1)).alias("groups"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("members"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("removed"),

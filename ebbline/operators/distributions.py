@@ -48,9 +48,7 @@ def kde_by_label(
 ) -> DataFrame:
     """Gaussian density per label on an even grid, Scott bandwidth.
 
-    Rows are first merged per distinct value.  Each distinct value then adds to
-    the grid points, and those sums are merged map-side, so the shuffle carries
-    at most ``points`` rows per label and task.
+    One aggregate of ``points`` sums for each label: every task passes on one row.
     """
     column, label = F.col(value).cast("double"), F.col(target)
     if summaries:
@@ -67,25 +65,19 @@ def kde_by_label(
     if not grids:
         return df.sparkSession.createDataFrame([], schema)
 
-    def per_label(position: int) -> Column:
-        chosen = None
-        for name, grid in grids.items():
-            chosen = (F if chosen is None else chosen).when(F.col("churn") == name, F.lit(grid[position]))
-        return chosen
-
-    counts = (
-        df.where(label.isin(list(grids)) & column.isNotNull())
-        .groupBy(label.alias("churn"), column.alias("v")).agg(F.count(F.lit(1)).alias("w"))
-    )
-    n, bandwidth, start, step = (per_label(i) for i in range(4))
-    x = start + F.col("point") * step
-    weight = F.col("w") * F.exp(-0.5 * F.pow((x - F.col("v")) / bandwidth, 2))
-    norm = n * bandwidth * math.sqrt(2 * math.pi)
-    return (
-        counts.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .groupBy("churn", "point").agg(F.sum(weight).alias("total"))
-        .select("churn", "point", x.alias("x"), (F.col("total") / norm).alias("density"))
-    )
+    value = F.when(~F.isnan(column), column)
+    sums = []
+    for name, (_, bandwidth, start, step) in grids.items():
+        own = F.when(label == name, value)
+        sums.append(F.array(*[
+            F.sum(F.exp(-0.5 * F.pow((F.lit(start + i * step) - own) / bandwidth, 2))) for i in range(points)
+        ]).alias(name))
+    totals = df.agg(*sums).first()
+    rows = [
+        (name, i, start + i * step, totals[name][i] / (n * bandwidth * math.sqrt(2 * math.pi)))
+        for name, (n, bandwidth, start, step) in grids.items() for i in range(points)
+    ]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def box_stats(

@@ -4,15 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.session import staged
 
-ROWS_PER_BUCKET = 100_000
-MAX_BUCKETS = 1024
-
 
 def _matrix(df: DataFrame, by: Sequence[str], label: str, prediction: str) -> DataFrame:
     actual, said = F.col(label) == 1, F.col(prediction) == 1
@@ -67,7 +63,7 @@ def metrics(
         _ratio(tp, tp + fn).alias("recall"),
         _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
     )
-    area = _area(_running(counts, by, ROWS_PER_BUCKET), by)
+    area = _area(_running(counts, by), by)
     if by:
         return rates.join(area, list(by))
     return rates.withColumn("roc_auc", F.lit(area.first()["roc_auc"]).cast("double"))
@@ -118,43 +114,34 @@ def _score_counts(df: DataFrame, label: str, probability: str, by: Sequence[str]
     )
 
 
-def _running(score_counts: DataFrame, by: Sequence[str], rows_per_bucket: int) -> DataFrame:
+def _running(score_counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per distinct score: its positives and negatives, their sums over this and all higher scores, and the totals.
 
-    The distinct scores are cut into buckets of about equal size: sums within a
-    bucket run in parallel and start from the bucket totals, of which there are
-    at most 1024 a group.
+    The distinct scores of all groups are sorted over all partitions, so that a group of any
+    size is in as many pieces as it needs.  Sums within a piece run in parallel and
+    start from the totals of the higher pieces, one row for each group and piece.
     """
-    scored = score_counts.where("threshold is not null")
-    buckets = min(MAX_BUCKETS, scored.count() // rows_per_bucket + 1)
-    splits: list[float] = []
-    if buckets > 1:
-        shares = [i / buckets for i in range(1, buckets)]
-        splits = sorted(set(scored.approxQuantile("threshold", shares, 0.2 / buckets)))
-    counts = scored.groupBy(*by, "threshold").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    if not splits:
-        bucketed = counts.withColumn("bucket", F.lit(0.0))
-    else:
-        bucketed = Bucketizer(
-            splits=[-float("inf"), *splits, float("inf")], inputCol="threshold", outputCol="bucket"
-        ).transform(counts)
-    totals = bucketed.groupBy(*by, "bucket").agg(F.sum("pos").alias("bucket_pos"), F.sum("neg").alias("bucket_neg"))
-    higher = Window.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    merged = score_counts.where("threshold is not null").groupBy(*by, "threshold").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    order = [*by, F.desc("threshold")]
+    pieces = staged(merged.repartitionByRange(*order).withColumn("piece", F.spark_partition_id()), "score-pieces")
+    totals = pieces.groupBy(*by, "piece").agg(F.sum("pos").alias("piece_pos"), F.sum("neg").alias("piece_neg"))
+    higher = Window.partitionBy(*by).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*by)
     offsets = totals.select(
-        *by, "bucket",
-        F.coalesce(F.sum("bucket_pos").over(higher), F.lit(0)).alias("start_pos"),
-        F.coalesce(F.sum("bucket_neg").over(higher), F.lit(0)).alias("start_neg"),
-        F.sum("bucket_pos").over(everything).alias("total_pos"),
-        F.sum("bucket_neg").over(everything).alias("total_neg"),
+        *[F.col(c).alias(f"_{c}") for c in by], F.col("piece").alias("_piece"),
+        F.coalesce(F.sum("piece_pos").over(higher), F.lit(0)).alias("start_pos"),
+        F.coalesce(F.sum("piece_neg").over(higher), F.lit(0)).alias("start_neg"),
+        F.sum("piece_pos").over(everything).alias("total_pos"),
+        F.sum("piece_neg").over(everything).alias("total_neg"),
     )
-    inside = Window.partitionBy(*by, "bucket").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, "piece").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("piece") == F.col("_piece")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     return (
-        bucketed.join(F.broadcast(offsets), [*by, "bucket"])
-        .withColumns({
-            "tp": F.col("start_pos") + F.sum("pos").over(inside),
-            "fp": F.col("start_neg") + F.sum("neg").over(inside),
-        })
+        pieces.withColumns({"own_pos": F.sum("pos").over(inside), "own_neg": F.sum("neg").over(inside)})
+        .join(offsets, same)
+        .withColumns({"tp": F.col("start_pos") + F.col("own_pos"), "fp": F.col("start_neg") + F.col("own_neg")})
         .select(*by, "threshold", "pos", "neg", "tp", "fp", "total_pos", "total_neg")
     )
 
@@ -168,11 +155,10 @@ def _area(points: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def roc_curve(
-    df: DataFrame, label: str = "label", probability: str = "probability", by: Sequence[str] = (),
-    *, rows_per_bucket: int = ROWS_PER_BUCKET,
+    df: DataFrame, label: str = "label", probability: str = "probability", by: Sequence[str] = ()
 ) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score; the curve starts at (0, 0) above the highest."""
-    return _running(_score_counts(df, label, probability, by), by, rows_per_bucket).select(
+    return _running(_score_counts(df, label, probability, by), by).select(
         *by, "threshold",
         (F.col("fp") / F.nullif("total_neg", F.lit(0))).alias("fpr"),
         (F.col("tp") / F.nullif("total_pos", F.lit(0))).alias("tpr"),
@@ -180,8 +166,7 @@ def roc_curve(
 
 
 def roc_auc(
-    df: DataFrame, label: str = "label", probability: str = "probability", by: Sequence[str] = (),
-    *, rows_per_bucket: int = ROWS_PER_BUCKET,
+    df: DataFrame, label: str = "label", probability: str = "probability", by: Sequence[str] = ()
 ) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties half; null with one class only."""
-    return _area(_running(_score_counts(df, label, probability, by), by, rows_per_bucket), by)
+    return _area(_running(_score_counts(df, label, probability, by), by), by)

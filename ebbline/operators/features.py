@@ -16,10 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbline.functions import roles
-from ebbline.functions.scalar import distinct_estimate, hash_order
-from ebbline.operators.quantiles import exact_ranks
+from ebbline.functions.scalar import hash_order
+from ebbline.operators.quantiles import exact_quantiles, exact_ranks
 
-MAX_CATEGORIES = 1000
 MISSING_TEXT = "nan"
 _Z, _BIN, _TEXT, _INDEX, _HOT = "_z_", "_b_", "_t_", "_i_", "_h_"
 _WORK_PREFIXES = (_Z, _BIN, _TEXT, _INDEX, _HOT)
@@ -38,14 +37,6 @@ def standardize(df: DataFrame, columns: Sequence[str], fitted: dict[str, tuple[f
     return df.withColumns({f"{c}_z": (F.col(c) - fitted[c][0]) / fitted[c][1] for c in columns})
 
 
-def _check_categories(df: DataFrame, columns: Sequence[str]) -> None:
-    """Category lists are held by the driver and every task, so their size is checked before they are built."""
-    counts = df.agg(*[distinct_estimate(F.col(c)).alias(c) for c in columns]).first().asDict()
-    wide = {c: n for c, n in counts.items() if n > MAX_CATEGORIES}
-    if wide:
-        raise ValueError(f"too many categories to one-hot encode (limit {MAX_CATEGORIES}): {wide}")
-
-
 def fit_features(
     df: DataFrame,
     numeric: Sequence[str] | None = None,
@@ -55,8 +46,8 @@ def fit_features(
 ) -> PipelineModel:
     """Fit z-scores and one-hot columns on ``df``; of the listed columns those that exist.
 
-    All categories are kept, in alphabetical order; a value not seen here
-    becomes all zeros.  The Yes/No columns are left out unless asked for.
+    All categories are kept, in alphabetical order, as part of the fitted state,
+    and vectors are sparse; a value not seen here becomes all zeros.  The Yes/No columns are left out unless asked for.
     """
     numeric = roles.present(list(numeric if numeric is not None else roles.MODEL_NUMERIC), df.columns)
     categorical = roles.present(
@@ -65,8 +56,10 @@ def fit_features(
     binary = roles.present(roles.MODEL_BINARY, df.columns) if include_binary else []
 
     selected = ["*"]
+    middles = exact_quantiles(df, numeric, [0.5]) if numeric else {}
     for name, (mean, scale) in (moments(df, numeric) if numeric else {}).items():
-        selected.append(f"(`{name}` - CAST('{mean!r}' AS DOUBLE)) / CAST('{scale!r}' AS DOUBLE) AS `{_Z}{name}`")
+        value = f"coalesce(nanvl(CAST(`{name}` AS DOUBLE), NULL), CAST('{middles[name][0]!r}' AS DOUBLE))"
+        selected.append(f"({value} - CAST('{mean!r}' AS DOUBLE)) / CAST('{scale!r}' AS DOUBLE) AS `{_Z}{name}`")
     for name in binary:
         test = f"CAST(`{name}` AS DOUBLE)" if name == "SeniorCitizen" else f"IF(`{name}` = 'Yes', 1D, 0D)"
         selected.append(f"coalesce({test}, 0D) AS `{_BIN}{name}`")
@@ -74,7 +67,6 @@ def fit_features(
         selected.append(f"coalesce(CAST(`{name}` AS STRING), '{MISSING_TEXT}') AS `{_TEXT}{name}`")
     stages = [SQLTransformer(statement=f"SELECT {', '.join(selected)} FROM __THIS__")]
     if categorical:
-        _check_categories(df, categorical)
         stages += [
             StringIndexer(
                 inputCols=[_TEXT + c for c in categorical], outputCols=[_INDEX + c for c in categorical],

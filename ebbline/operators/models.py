@@ -17,7 +17,9 @@ from ebbline.operators.features import add_features, class_weights
 from ebbline.session import scratch_root
 
 WEIGHT_COL = "_weight"
-ROWS_PER_PARTITION = 100_000
+MEANS = "feature_means"
+#: Partitions of the training rows unless told otherwise.
+PARTITIONS = 8
 
 
 def _weights(train: DataFrame, label: str) -> dict[int, tuple[int, float, float]]:
@@ -34,9 +36,15 @@ def _weighted(train: DataFrame, label: str, positive: float, negative: float) ->
     return train.select(F.col(label).cast("double").alias(label), "features", weight.alias(WEIGHT_COL))
 
 
-def _few_partitions(data: DataFrame, rows: int) -> DataFrame:
-    """For learners that run many short jobs in turn: a small table in few partitions, a large one as it is."""
-    return data.coalesce(rows // ROWS_PER_PARTITION + 1)
+def _laid_out(data: DataFrame, partitions: int) -> DataFrame:
+    """The training rows in a layout of their own: by a hash of their content, and in its order.
+
+    Bagging draws by partition and position, so the trees depend on this layout and not on that of the
+    input.  ``partitions`` is a parameter of the learner: more for more cores and larger tables.
+    """
+    content = F.xxhash64(vector_to_array("features").cast("string"), *[c for c in data.columns if c != "features"])
+    placed = data.withColumn("_at", content)
+    return placed.repartition(partitions, "_at").sortWithinPartitions("_at").drop("_at")
 
 
 def _balanced(train: DataFrame, label: str) -> tuple[DataFrame, float]:
@@ -45,7 +53,7 @@ def _balanced(train: DataFrame, label: str) -> tuple[DataFrame, float]:
     return _weighted(train, label, rows[1][1], rows[0][1]), sum(n for n, _, _ in rows.values())
 
 
-def train_lr(train: DataFrame, label: str = "label", *, c: float = 1.0, max_iter: int = 2000):
+def train_lr(train: DataFrame, label: str = "label", *, c: float = 1.0, max_iter: int = 2000, tol: float = 1e-6, partitions: int = PARTITIONS):
     """Balanced L2 logistic regression.
 
     The loss is averaged over the weights here, hence the penalty 1 / (C · Σw)
@@ -54,25 +62,26 @@ def train_lr(train: DataFrame, label: str = "label", *, c: float = 1.0, max_iter
     data, total = _balanced(train, label)
     return LogisticRegression(
         labelCol=label, weightCol=WEIGHT_COL, regParam=1.0 / (c * total), elasticNetParam=0.0,
-        standardization=False, maxIter=max_iter, tol=1e-6,
-    ).fit(_few_partitions(data, total))
+        standardization=False, maxIter=max_iter, tol=tol,
+    ).fit(_laid_out(data, partitions))
 
 
 def train_rf(
-    train: DataFrame, label: str = "label", *, trees: int = 200, depth: int = 12, min_leaf: int = 5, seed: int = roles.SEED
+    train: DataFrame, label: str = "label", *, trees: int = 200, depth: int = 12, min_leaf: int = 5, seed: int = roles.SEED,
+    partitions: int = PARTITIONS, bootstrap: bool = True,
 ):
     """Balanced random forest."""
     scratch_root(train.sparkSession)
     data, _ = _balanced(train, label)
     return RandomForestClassifier(
         labelCol=label, weightCol=WEIGHT_COL, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
-        featureSubsetStrategy="sqrt", seed=seed,
-    ).fit(data)
+        featureSubsetStrategy="sqrt", seed=seed, bootstrap=bootstrap,
+    ).fit(_laid_out(data, partitions))
 
 
 def train_gbt(
     train: DataFrame, label: str = "label", *, rounds: int = 200, depth: int = 6, rate: float = 0.1,
-    rows_share: float = 0.8, columns_share: float = 0.8, seed: int = roles.SEED,
+    rows_share: float = 0.8, columns_share: float = 0.8, seed: int = roles.SEED, partitions: int = PARTITIONS,
 ):
     """Boosted trees, positives weighted by negatives per positive.
 
@@ -81,7 +90,7 @@ def train_gbt(
     """
     scratch_root(train.sparkSession)
     rows = _weights(train, label)
-    data = _few_partitions(_weighted(train, label, rows[1][2], 1.0), rows[0][0] + rows[1][0])
+    data = _laid_out(_weighted(train, label, rows[1][2], 1.0), partitions)
     return GBTClassifier(
         labelCol=label, weightCol=WEIGHT_COL, maxIter=rounds, maxDepth=depth, stepSize=rate,
         subsamplingRate=rows_share, featureSubsetStrategy=str(columns_share), seed=seed,
@@ -94,13 +103,25 @@ TRAINERS = {"lr": train_lr, "rf": train_rf, "xgb": train_gbt}
 # ── saved state ─────────────────────────────────────────────────────────────
 
 
-def save_models(path: str, features: PipelineModel, models: Mapping[str, object]) -> list[str]:
-    """Save the feature pipeline and the models below a folder; returns the names written."""
+def save_models(
+    path: str, features: PipelineModel, models: Mapping[str, object], means: Sequence[float] | None = None
+) -> list[str]:
+    """Save the feature pipeline, the models and the feature means below a folder; returns the names written."""
     root = path.rstrip("/")
     features.write().overwrite().save(f"{root}/features")
     for alias, model in models.items():
         PipelineModel([model]).write().overwrite().save(f"{root}/{roles.MODEL_NAMES[alias]}")
-    return ["features", *[roles.MODEL_NAMES[alias] for alias in models]]
+    if means is not None:
+        rows = [(i, float(m)) for i, m in enumerate(means)]
+        spark = SparkSession.active()
+        spark.createDataFrame(rows, "place int, mean double").coalesce(1).write.mode("overwrite").parquet(f"{root}/{MEANS}")
+    return ["features", *[roles.MODEL_NAMES[alias] for alias in models], *([MEANS] if means is not None else [])]
+
+
+def load_means(spark: SparkSession, path: str) -> list[float]:
+    """The feature means of the training rows, from which linear reasons are measured."""
+    rows = spark.read.parquet(f"{path.rstrip('/')}/{MEANS}").orderBy("place").collect()  # one row for each feature
+    return [r["mean"] for r in rows]
 
 
 def _load(spark: SparkSession, path: str) -> PipelineModel | None:

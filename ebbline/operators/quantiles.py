@@ -1,9 +1,8 @@
-"""Exact order statistics without gathering a column in one task.
+"""Exact order statistics without gathering a column in one task or on the driver.
 
 ``median`` and ``percentile`` merge one map of all distinct values in a single
-task.  Here a bounded sketch only brackets each wanted rank; exact counts then
-confirm the bracket, and only the distinct values inside it, whose number is
-checked first, are fetched.
+task.  Here a bounded sketch only brackets each wanted rank; the values
+inside the brackets are counted and summed up in parallel ranges.
 """
 
 from __future__ import annotations
@@ -12,13 +11,16 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.functions.scalar import distinct_estimate
 
-FETCH_LIMIT = 50_000
 SKETCH_ACCURACY = 10_000
+#: A bracket is cut into so many ranges of equal width, which are sorted in parallel.
+CELLS = 256
+#: Whole numbers pass the sketch as doubles; their bracket is widened by more than that can move them.
+INTEGRAL_SLACK = 2048
 
 
 @dataclass
@@ -36,18 +38,12 @@ class Summary:
 
 @dataclass
 class _Bracket:
-    """Values in [low, high] of one column hold the wanted ranks; ``below`` of its values are smaller."""
+    """Values in [low, high] of one column hold the wanted ranks."""
 
     name: str
     ranks: list[int]
     low: float
     high: float
-    below: int
-    inside: int
-    distinct: int
-
-    def held_by(self, below: int, inside: int) -> bool:
-        return below <= self.ranks[0] and self.ranks[-1] < below + inside
 
 
 def _view(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], integral: bool) -> DataFrame:
@@ -59,145 +55,129 @@ def _view(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], integral
     return df.select(*[F.when(~F.isnan(value), value).alias(name) for name, value in doubles.items()])
 
 
-def _summaries(view: DataFrame) -> dict[str, Summary]:
-    stats = [F.count, F.avg, F.stddev, F.min, F.max, distinct_estimate]
-    aggs = [f(F.col(name)).alias(f"c{i}_{k}") for i, name in enumerate(view.columns) for k, f in enumerate(stats)]
+_STATS = [F.count, F.avg, F.stddev, F.min, F.max, distinct_estimate]
+
+
+def _summaries(view: DataFrame, probs: Sequence[float], accuracy: int) -> tuple[dict[str, Summary], dict[str, list]]:
+    """Summaries of all columns, and a sketch's values at the wanted shares, in one aggregate."""
+    aggs = [f(F.col(name)).alias(f"c{i}_{k}") for i, name in enumerate(view.columns) for k, f in enumerate(_STATS)]
+    if probs:
+        aggs += [F.percentile_approx(F.col(name), list(probs), accuracy).alias(f"q{i}") for i, name in enumerate(view.columns)]
     row = view.agg(*aggs).first()
-    return {
-        name: Summary(*[row[f"c{i}_{k}"] for k in range(len(stats))]) for i, name in enumerate(view.columns)
-    }
+    summaries = {name: Summary(*[row[f"c{i}_{k}"] for k in range(len(_STATS))]) for i, name in enumerate(view.columns)}
+    return summaries, {name: row[f"q{i}"] for i, name in enumerate(view.columns)} if probs else {}
 
 
 def _within(value: Column, low: float, high: float) -> Column:
     return F.when((value >= F.lit(low)) & (value <= F.lit(high)), value)
 
 
-def _counts(view: DataFrame, candidates: list[tuple[str, float, float]]) -> list[tuple[int, int, int]]:
-    """(below, inside, distinct inside) of each candidate bracket, in one aggregate."""
-    aggs = []
-    for i, (name, low, high) in enumerate(candidates):
-        inside = _within(F.col(name), low, high)
-        aggs += [
-            F.count_if(F.col(name) < F.lit(low)).alias(f"b{i}"),
-            F.count(inside).alias(f"n{i}"),
-            distinct_estimate(inside).alias(f"d{i}"),
-        ]
-    row = view.agg(*aggs).first()
-    return [(row[f"b{i}"], row[f"n{i}"], row[f"d{i}"]) for i in range(len(candidates))]
-
-
-def _narrow(view: DataFrame, brackets: list[_Bracket], integral: bool, accuracy: int) -> list[_Bracket]:
-    """Shrink every bracket: by the sketch, else by halving its value range."""
-    slack = 2.0 / accuracy
-    ends: dict[tuple[str, float, float], list[float]] = {}  # one sketch serves all brackets over the same range
-    place = []
-    for b in brackets:
-        first, last = ((rank - b.below) / max(b.inside - 1, 1) for rank in (b.ranks[0], b.ranks[-1]))
-        wanted = ends.setdefault((b.name, b.low, b.high), [])
-        place.append(len(wanted))
-        wanted += [max(0.0, first - slack), min(1.0, last + slack)]
-    row = view.agg(*[
-        F.percentile_approx(_within(F.col(name), low, high), wanted, accuracy).alias(f"q{i}")
-        for i, ((name, low, high), wanted) in enumerate(ends.items())
-    ]).first()
-    sketches = {key: row[f"q{i}"] for i, key in enumerate(ends)}
-    guesses = [
-        (b.name, *sketches[b.name, b.low, b.high][at:at + 2]) for b, at in zip(brackets, place)
-    ]
-    out = []
-    for b, (_, low, high), (below, inside, distinct) in zip(brackets, guesses, _counts(view, guesses)):
-        if b.held_by(below, inside) and (low, high) != (b.low, b.high):
-            out.append(_Bracket(b.name, b.ranks, low, high, below, inside, distinct))
+def _groups(ranks: Sequence[int], count: int) -> list[list[int]]:
+    """The valid ranks; neighbours, as interpolation needs them, together."""
+    groups: list[list[int]] = []
+    for rank in sorted({r for r in ranks if 0 <= r < count}):
+        if groups and rank - groups[-1][-1] <= 1:
+            groups[-1].append(rank)
         else:
-            out += _halve(view, b, integral)
-    return out
-
-
-def _halve(view: DataFrame, b: _Bracket, integral: bool) -> list[_Bracket]:
-    """The lower and the upper half of the value range, as far as they hold wanted ranks."""
-    middle = b.low + (b.high - b.low) // 2 if integral else b.low + (b.high - b.low) / 2
-    value = F.col(b.name)
-    lower, upper = _within(value, b.low, middle), F.when((value > F.lit(middle)) & (value <= F.lit(b.high)), value)
-    row = view.agg(F.count(lower).alias("n"), F.max(lower).alias("last"), F.min(upper).alias("first")).first()
-    border = b.below + row["n"]
-    halves = [
-        (b.low, row["last"], [rank for rank in b.ranks if rank < border]),
-        (row["first"], b.high, [rank for rank in b.ranks if rank >= border]),
-    ]
-    wanted = [half for half in halves if half[2]]
-    measured = _counts(view, [(b.name, low, high) for low, high, _ in wanted])
-    return [_Bracket(b.name, ranks, low, high, *counts) for (low, high, ranks), counts in zip(wanted, measured)]
+            groups.append([rank])
+    return groups
+
+
+def _pick(view: DataFrame, brackets: list[_Bracket], integral: bool) -> dict[int, dict[int, float]]:
+    """The values at the wanted ranks of each bracket, as far as it holds them.
+
+    One job: the values inside the brackets are merged and counted, each bracket in
+    CELLS ranges; a range sums up its own counts and starts from the totals of the ranges
+    before it and the rows below the bracket.  Only the wanted values leave the executors.
+    """
+    kind = "bigint" if integral else "double"
+    inside = F.array(*[
+        F.struct(F.lit(i).alias("bracket"), _within(F.col(b.name), b.low, b.high).alias("value")) for i, b in enumerate(brackets)
+    ])
+    below = F.array(*[
+        F.struct(F.lit(i).alias("bracket"), F.count_if(F.col(b.name) < F.lit(b.low)).alias("n")) for i, b in enumerate(brackets)
+    ])
+    counts = view.select(F.inline(inside)).where("value is not null").groupBy("bracket", "value").agg(F.count(F.lit(1)).alias("n"))
+    edges = F.array(*[F.struct(F.lit(float(b.low)).alias("low"), F.lit(float(b.high) - float(b.low)).alias("width")) for b in brackets])
+    edge = F.get(edges, F.col("bracket"))
+    cell = F.when(edge["width"] > 0, F.least(F.floor((F.col("value").cast("double") - edge["low"]) / edge["width"] * CELLS), F.lit(CELLS - 1)))
+    counts = counts.withColumn("cell", F.coalesce(cell, F.lit(0)).cast("int"))
+    start = view.agg(below.alias("b")).select(F.inline("b")).select("bracket", F.lit(None).cast(kind).alias("value"), "n", F.lit(-1).alias("cell"))
+    counts = counts.unionByName(start)
+    before = Window.partitionBy("bracket").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.groupBy("bracket", "cell").agg(F.sum("n").alias("size")).select(
+        "bracket", "cell", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start")
+    )
+    own = Window.partitionBy("bracket", "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    running = counts.withColumn("until", F.sum("n").over(own)).join(offsets, ["bracket", "cell"])
+    ranks = F.array(*[F.array(*[F.lit(r).cast("bigint") for r in b.ranks]) for b in brackets])
+    last = F.col("start") + F.col("until")
+    placed = running.where("cell >= 0").select("bracket", "value", F.explode(F.get(ranks, F.col("bracket"))).alias("rank"), last.alias("last"), "n")
+    found: dict[int, dict[int, float]] = {i: {} for i in range(len(brackets))}
+    for row in placed.where((F.col("rank") < F.col("last")) & (F.col("rank") >= F.col("last") - F.col("n"))).toLocalIterator():
+        found[row["bracket"]][row["rank"]] = row["value"]  # one row for each wanted rank
+    return found
 
 
 def _solve(
-    view: DataFrame, ranks: Mapping[str, Sequence[int]], summaries: dict[str, Summary], integral: bool, limit: int, accuracy: int
+    view: DataFrame, ranks: Mapping[str, Sequence[int]], summaries: dict[str, Summary], sketches: dict[str, list], probs: Sequence[float],
+    integral: bool, accuracy: int,
 ) -> dict[str, dict[int, float]]:
-    """The value at each wanted rank of each column."""
-    todo: list[_Bracket] = []
+    """The value at each wanted rank of each column.
+
+    ``sketches`` has values of each column at ``probs``.  The sketch is off by at most 1 / accuracy
+    of the rows, so the next values at 2 / accuracy on either side bracket a rank;
+    should one ever lie outside, the whole range of the column is its bracket.
+    """
+    brackets: list[_Bracket] = []
     for name, wanted in ranks.items():
         s = summaries[name]
-        valid = sorted({rank for rank in wanted if 0 <= rank < s.count})
-        if s.distinct <= limit:
-            groups = [valid] if valid else []
-        else:  # neighbouring ranks, as interpolation needs them, share a bracket
-            groups = []
-            for rank in valid:
-                if groups and rank - groups[-1][-1] <= 1:
-                    groups[-1].append(rank)
-                else:
-                    groups.append([rank])
-        todo += [_Bracket(name, group, s.low, s.high, 0, s.count, s.distinct) for group in groups]
-    small: list[_Bracket] = []
-    while todo:
-        small += [b for b in todo if b.distinct <= limit or b.low == b.high]
-        todo = [b for b in todo if b.distinct > limit and b.low != b.high]
-        todo = _narrow(view, todo, integral, accuracy) if todo else []
-
+        for group in _groups(wanted, s.count):
+            shares = [rank / max(s.count - 1, 1) for rank in (group[0], group[-1])]
+            lower = [v for p, v in zip(probs, sketches[name]) if p <= shares[0] - 2 / accuracy]
+            upper = [v for p, v in zip(probs, sketches[name]) if p >= shares[1] + 2 / accuracy]
+            low, high = max(lower, default=s.low), min(upper, default=s.high)
+            if integral:
+                low, high = max(s.low, int(low) - INTEGRAL_SLACK), min(s.high, int(high) + INTEGRAL_SLACK)
+            brackets.append(_Bracket(name, group, low, high))
     found: dict[str, dict[int, float]] = {name: {} for name in ranks}
-    pending = [b for b in small if b.low != b.high]
-    for b in small:
-        if b.low == b.high:
-            found[b.name].update(dict.fromkeys(b.ranks, b.low))
-    if not pending:
-        return found
-    candidates = F.array(*[
-        F.struct(F.lit(i).alias("bracket"), _within(F.col(b.name), b.low, b.high).alias("value"))
-        for i, b in enumerate(pending)
-    ])
-    rows = (
-        view.select(F.inline(candidates)).where("value is not null")
-        .groupBy("bracket", "value").count()
-        .collect()  # at most about ``limit`` rows per bracket, checked above
-    )
-    by_bracket: dict[int, list] = {}
-    for row in rows:
-        by_bracket.setdefault(row["bracket"], []).append((row["value"], row["count"]))
-    for i, b in enumerate(pending):
-        seen, waiting = b.below, iter(b.ranks)
-        rank = next(waiting, None)
-        for value, count in sorted(by_bracket[i]):
-            seen += count
-            while rank is not None and rank < seen:
-                found[b.name][rank] = value
-                rank = next(waiting, None)
+    while brackets:
+        missed = []
+        for i, values in _pick(view, brackets, integral).items():
+            b = brackets[i]
+            found[b.name].update(values)
+            if len(values) < len(b.ranks):
+                missed.append(_Bracket(b.name, b.ranks, summaries[b.name].low, summaries[b.name].high))
+        brackets = missed
     return found
 
 
+def _around(shares: Sequence[float], accuracy: int) -> list[float]:
+    """The shares that bracket the wanted ones."""
+    slack = 3.0 / accuracy
+    return sorted({min(1.0, max(0.0, share + side)) for share in shares for side in (-slack, slack)})
+
+
 def exact_ranks(
     df: DataFrame,
     columns: Sequence[str] | Mapping[str, Column],
     ranks: Mapping[str, Sequence[int]],
     *,
     integral: bool = False,
-    limit: int = FETCH_LIMIT,
     accuracy: int = SKETCH_ACCURACY,
 ) -> dict[str, dict[int, float]]:
-    """The values at the given 0-based ranks of each column (nulls left out).
+    """The values at the given 0-based ranks of each column (nulls left out), in three jobs.
 
     ``integral`` keeps 64-bit integers exact instead of going through doubles.
     """
     view = _view(df, columns, integral)
-    return _solve(view, ranks, _summaries(view), integral, limit, accuracy)
+    summaries, _ = _summaries(view, [], accuracy)
+    shares = {rank / max(summaries[name].count - 1, 1) for name, wanted in ranks.items() for rank in wanted if 0 <= rank < summaries[name].count}
+    probs = _around(sorted(shares), accuracy)
+    if not probs:
+        return {name: {} for name in ranks}
+    row = view.agg(*[F.percentile_approx(F.col(c), probs, accuracy).alias(c) for c in view.columns]).first()
+    return _solve(view, ranks, summaries, {c: row[c] or [] for c in view.columns}, probs, integral, accuracy)
 
 
 def exact_summary(
@@ -205,21 +185,17 @@ def exact_summary(
     columns: Sequence[str] | Mapping[str, Column],
     probs: Sequence[float],
     *,
-    limit: int = FETCH_LIMIT,
     accuracy: int = SKETCH_ACCURACY,
 ) -> dict[str, Summary]:
-    """Moments, extremes and linearly interpolated quantiles of each column.
-
-    Two passes over the wanted columns while each has at most ``limit``
-    distinct values, two more for each time a bracket has to be narrowed.
-    """
+    """Moments, extremes and linearly interpolated quantiles of each column, in two jobs."""
     view = _view(df, columns, False)
-    summaries = _summaries(view)
+    wide = _around(probs, accuracy) if probs else []
+    summaries, sketches = _summaries(view, wide, accuracy)
     places = {
         name: [p * (s.count - 1) for p in probs] if s.count else [] for name, s in summaries.items()
     }
     ranks = {name: [r for at in wanted for r in (math.floor(at), math.ceil(at))] for name, wanted in places.items()}
-    values = _solve(view, ranks, summaries, False, limit, accuracy)
+    values = _solve(view, ranks, summaries, {n: v or [] for n, v in sketches.items()}, wide, False, accuracy)
     for name, s in summaries.items():
         for at in places[name]:
             low, high = values[name][math.floor(at)], values[name][math.ceil(at)]
@@ -229,10 +205,10 @@ def exact_summary(
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str] | Mapping[str, Column], probs: Sequence[float], **limits: int
+    df: DataFrame, columns: Sequence[str] | Mapping[str, Column], probs: Sequence[float], **options: int
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation; None for a column without values."""
-    return {name: s.quantiles for name, s in exact_summary(df, columns, probs, **limits).items()}
+    return {name: s.quantiles for name, s in exact_summary(df, columns, probs, **options).items()}
 
 
 def approx_quantiles(

@@ -48,12 +48,16 @@ def select_available(df: DataFrame, wanted: list[str]) -> DataFrame:
     return df.select(*roles.present(wanted, df.columns))
 
 
+def plain_number(text: Column) -> Column:
+    """Text as double; anything but a plain number becomes null."""
+    return F.when(text.rlike(_NUMBER), F.trim(text)).try_cast("double")
+
+
 def to_number(df: DataFrame, name: str) -> Column:
     """A column as double; text that is no plain number, and NaN, become null."""
     value = F.col(name)
-    if isinstance(df.schema[name].dataType, T.StringType):
-        value = F.when(value.rlike(_NUMBER), F.trim(value))
-    value = value.try_cast("double")
+    text = isinstance(df.schema[name].dataType, T.StringType)
+    value = plain_number(value) if text else value.try_cast("double")
     return F.when(~F.isnan(value), value)
 
 
@@ -66,7 +70,7 @@ def cast_types(
     cast: dict[str, Column] = {}
     for name in roles.present(num_cols, df.columns):
         number = to_number(df, name)
-        cast[name] = F.coalesce(number.cast("int"), F.lit(0)) if name in roles.CLEAN_INTEGER else number
+        cast[name] = F.coalesce(number.try_cast("int"), F.lit(0)) if name in roles.CLEAN_INTEGER else number
     for name in roles.present(cat_cols, df.columns):
         cast[name] = F.col(name).cast("string")
     return df.withColumns(cast)

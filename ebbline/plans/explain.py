@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ebbline.functions import roles
 from ebbline.functions.scalar import request_id
 from ebbline.operators.explain import (
-    feature_means, shap_dependence, shap_global, shap_linear, shap_tree, shap_waterfall, top_factors,
+    shap_dependence, shap_global, shap_linear, shap_tree, shap_waterfall, top_factors,
 )
 from ebbline.operators.features import add_features, feature_names
 from ebbline.operators.models import add_probability, scored_response
@@ -19,19 +19,26 @@ from ebbline.operators.shape import rename_camel
 from ebbline.session import staged
 
 
-def attributions(featured: DataFrame, model) -> DataFrame:
-    """Tree attributions, or linear ones for the fallback model."""
+def attributions(featured: DataFrame, model, means: Sequence[float] | None = None) -> DataFrame:
+    """Tree attributions, or linear ones for the fallback model.
+
+    Linear ones are measured from ``means``, those of the training rows, so that
+    a request gets the same reasons whatever it is answered with.
+    """
     if hasattr(model, "coefficients"):
-        return shap_linear(featured, model, feature_means(featured))
+        if means is None:
+            raise ValueError("linear attributions need the feature means of the training rows")
+        return shap_linear(featured, model, means)
     return shap_tree(featured, model)
 
 
 def explain_all(
-    df: DataFrame, features: PipelineModel, model, *, key: str = roles.ID_COL, waterfall_key=None
+    df: DataFrame, features: PipelineModel, model, *, key: str = roles.ID_COL, waterfall_key=None,
+    means: Sequence[float] | None = None,
 ) -> dict[str, DataFrame]:
     """Attributions of every row with the global, dependence and waterfall tables."""
     names = feature_names(features)
-    explained = staged(attributions(add_features(df, features), model), "attributions")
+    explained = staged(attributions(add_features(df, features), model, means), "attributions")
     if waterfall_key is None:
         waterfall_key = explained.agg(F.min(key)).first()[0]
     return {
@@ -43,7 +50,8 @@ def explain_all(
 
 
 def answer_requests(
-    requests: DataFrame, features: PipelineModel, model, model_name: str, *, key: Sequence[str], reasons: bool = True
+    requests: DataFrame, features: PipelineModel, model, model_name: str, *, key: Sequence[str], reasons: bool = True,
+    means: Sequence[float] | None = None,
 ) -> DataFrame:
     """The response to each (valid, snake-case) scoring request; the batch form leaves the reasons out.
 
@@ -53,7 +61,7 @@ def answer_requests(
     scored = add_probability(featured, model, "_probability")
     extra = []
     if reasons:
-        scored = top_factors(attributions(scored, model), feature_names(features))
+        scored = top_factors(attributions(scored, model, means), feature_names(features))
         extra = ["top_factors", "shap_explanations"]
     return scored.select(
         F.col("_request").alias("customer_id"),

@@ -32,9 +32,9 @@ def run_etl(spark: SparkSession, df: DataFrame, model_path: str, location: str,
     return load_store(spark, staged(score_batch(df, features, models), "scored"), location, top_n=top_n)
 
 
-def register_store(spark: SparkSession, location: str) -> None:
+def register_store(spark: SparkSession, location: str, database: str = "default") -> None:
     """Declare the store's tables over existing files so that SQL can name them."""
-    for name in create_tables(spark, location=location):
-        if name == "predictions":
+    for name in create_tables(spark, location=location, database=database):
+        if name.endswith(".predictions"):
             spark.sql(f"MSCK REPAIR TABLE {name}")
         spark.catalog.refreshTable(name)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ebbline.functions import roles
 from ebbline.operators.evaluate import metrics
+from ebbline.operators.explain import feature_means
 from ebbline.operators.features import add_features, feature_names, fit_features, stratified_split
 from ebbline.operators.models import TRAINERS, add_probability, save_models
 from ebbline.operators.shape import encode_target
@@ -24,6 +25,7 @@ class Trained:
     models: dict[str, object]
     train: DataFrame
     test: DataFrame
+    means: list[float]
 
 
 def train_all(
@@ -39,7 +41,7 @@ def train_all(
     save_to: str | None = None,
     params: Mapping[str, Mapping] | None = None,
 ) -> Trained:
-    """Split, fit features, fit the models.
+    """Split, fit features, fit the models; the feature means of the training part go with them.
 
     The feature state comes from the training part; ``fit_scope="all"`` takes
     all rows.  Both parts are staged with their vectors: the learners read the
@@ -52,9 +54,11 @@ def train_all(
     features = fit_features(labelled if fit_scope == "all" else train, include_binary=include_binary)
     train_vectors = staged(add_features(train, features), "train")
     models = {alias: TRAINERS[alias](train_vectors, **(params or {}).get(alias, {})) for alias in aliases}
+    means = feature_means(train_vectors)
     if save_to:
-        save_models(save_to, features, models)
-    return Trained(features, feature_names(features), models, train_vectors, staged(add_features(test, features), "test"))
+        save_models(save_to, features, models, means)
+    test_vectors = staged(add_features(test, features), "test")
+    return Trained(features, feature_names(features), models, train_vectors, test_vectors, means)
 
 
 def scored_test(trained: Trained) -> DataFrame:

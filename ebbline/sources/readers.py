@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbline.functions import roles
-from ebbline.operators.shape import drop_id, normalize_columns
+from ebbline.operators.shape import drop_id, normalize_columns, plain_number
 
 # Spellings of a missing value in text files.
 NULL_SPELLINGS = [
@@ -15,10 +15,13 @@ NULL_SPELLINGS = [
     "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 CORRUPT = "_corrupt_record"
+#: Quotes inside a quoted field are doubled and fields may hold line breaks, on reading and on writing alike.
+#: A file is then one split, so large inputs should come in many files or be landed once.
+CSV_DIALECT = {"quote": '"', "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def _header(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    return spark.read.options(**CSV_DIALECT).option("header", True).option("inferSchema", False).csv(path).columns
 
 
 def read_csv(
@@ -40,7 +43,8 @@ def read_csv(
     """
     names = _header(spark, path)
     text = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    df = spark.read.schema(text).option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE").csv(path)
+    reader = spark.read.schema(text).options(**CSV_DIALECT).option("header", True).option("enforceSchema", False)
+    df = reader.option("mode", "PERMISSIVE").csv(path)
     if normalize:
         df = normalize_columns(df)
     known = {field.name: field.dataType for field in schema}
@@ -48,11 +52,8 @@ def read_csv(
     for name in df.columns:
         value = F.when(~F.trim(F.col(name)).isin(NULL_SPELLINGS), F.col(name))
         kind = known.get(name, T.StringType())
-        if isinstance(kind, T.IntegralType):
-            cast = F.trim(value).try_cast("double").try_cast(kind)
-        elif isinstance(kind, T.NumericType):
-            number = F.trim(value).try_cast(kind)
-            cast = F.when(~F.isnan(number), number)
+        if isinstance(kind, T.NumericType):
+            cast = plain_number(value).try_cast(kind)
         else:
             cast = value.cast(kind)
         bad = bad | (value.isNotNull() & cast.isNull())

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbline.functions import roles
-from ebbline.operators.dedup import dedup_mostly_unique
+from ebbline.operators.dedup import dedup
 from ebbline.operators.scores import scores_long
 from ebbline.operators.shape import rename_snake, select_available
+from ebbline.sources.readers import CSV_DIALECT
 
 BATCH_ROWS = 2000
 
@@ -18,24 +19,23 @@ def write_zone(df: DataFrame, zone: str, name: str, *, format: str = "parquet")
     """Replace a named table of a zone folder; returns its path."""
     path = f"{zone.rstrip('/')}/{name}"
     writer = df.write.mode("overwrite").format(format)
-    (writer.option("header", True) if format == "csv" else writer).save(path)
+    (writer.options(**CSV_DIALECT).option("header", True) if format == "csv" else writer).save(path)
     return path
 
 
 def export_filtered(df: DataFrame, path: str) -> str:
     """CSV with a header, one file per task."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**CSV_DIALECT).option("header", True).csv(path)
     return path
 
 
 def users_table(df: DataFrame) -> DataFrame:
     """The rows of the users table: snake-case names, known columns, one row per customer.
 
-    Of several rows of one customer the smallest is kept.  Customers are
-    expected to be unique already, so whole rows are shuffled only for those that are not.
+    Of several rows of one customer the smallest is kept.
     """
     users = select_available(rename_snake(df), roles.USER_COLUMNS)
-    return dedup_mostly_unique(users, ["customer_id"])
+    return dedup(users, ["customer_id"])
 
 
 def predictions_table(wide: DataFrame) -> DataFrame:
@@ -46,18 +46,24 @@ def _columns_ddl(schema: T.StructType) -> str:
     return ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in schema)
 
 
-def create_tables(spark: SparkSession, *, drop_first: bool = False, location: str | None = None) -> list[str]:
-    """Create the empty users and predictions tables, managed or below a folder."""
+def create_tables(
+    spark: SparkSession, *, drop_first: bool = False, location: str | None = None, database: str = "default"
+) -> list[str]:
+    """Create the empty users and predictions tables of a database, managed or below a folder; returns their full names.
+
+    ``drop_first`` replaces the two tables of that database and no others.
+    """
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     plan = [
         ("users", roles.USERS_SCHEMA, ""),
         ("predictions", roles.PREDICTIONS_SCHEMA, "PARTITIONED BY (model_name)"),
     ]
     for name, schema, partitioning in plan:
         if drop_first:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
         place = f"LOCATION '{location.rstrip('/')}/{name}'" if location else ""
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({_columns_ddl(schema)}) USING parquet {partitioning} {place}")
-    return [name for name, _, _ in plan]
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({_columns_ddl(schema)}) USING parquet {partitioning} {place}")
+    return [f"{database}.{name}" for name, _, _ in plan]
 
 
 def _replace(

@@ -140,7 +140,7 @@ def test_store(spark, tmp_path):
 
 
 def test_tables_are_created_and_replaced(spark, tmp_path):
-    assert writers.create_tables(spark, drop_first=True, location=str(tmp_path / "a")) == ["users", "predictions"]
+    assert writers.create_tables(spark, drop_first=True, location=str(tmp_path / "a")) == ["default.users", "default.predictions"]
     assert spark.table("users").count() == 0 and spark.table("users").schema.names == roles.USER_COLUMNS
     writers.sink_users(scored(spark), "users")
     assert spark.table("users").count() == 50
