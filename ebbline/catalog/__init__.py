@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ebbline.catalog import cleaning, learning, reports, tables, texts  # noqa: F401  (they register themselves)
+from ebbline.catalog import cleaning, learning, reports, stated, tables, texts  # noqa: F401  (they register themselves)
 from ebbline.catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

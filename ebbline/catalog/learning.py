@@ -137,6 +137,7 @@ def class_report(spark, sf_dir):
 
 
 # ── models, over the generated customers with ticket sentiment ──────────────
+# ``*_full`` fit the library's defaults to all features; the same operators over models that SQL can follow are in ``stated``.
 
 _trained: dict[tuple[str, str], Trained] = {}
 
@@ -155,22 +156,22 @@ def _test_scores(spark, sf_dir, alias: str):
     return scored.select("CustomerID", "label", F.round("probability", 4).alias("probability"))
 
 
-@query("train_lr")
+@query("train_lr_full")
 def train_lr(spark, sf_dir):
     return _test_scores(spark, sf_dir, "lr")
 
 
-@query("train_rf")
+@query("train_rf_full")
 def train_rf(spark, sf_dir):
     return _test_scores(spark, sf_dir, "rf")
 
 
-@query("train_gbt")
+@query("train_gbt_full")
 def train_gbt(spark, sf_dir):
     return _test_scores(spark, sf_dir, "xgb")
 
 
-@query("train_eval")
+@query("train_eval_full")
 def train_and_evaluate(spark, sf_dir):
     fit = trained(spark, sf_dir)
     return rounded(evaluate.metrics(scored_test(fit), by=["model_name"]))
@@ -182,7 +183,7 @@ def train_eval_lr(spark, sf_dir):
     return rounded(result)
 
 
-@query("save_model")
+@query("save_model_full")
 def save_model(spark, sf_dir):
     fit = trained(spark, sf_dir)
     path = scratch_path(spark, "models")
@@ -190,7 +191,7 @@ def save_model(spark, sf_dir):
     return spark.createDataFrame([(name,) for name in names], "artefact string")
 
 
-@query("load_model")
+@query("load_model_full")
 def load_model(spark, sf_dir):
     fit = trained(spark, sf_dir)
     path = scratch_path(spark, "models")
@@ -200,7 +201,7 @@ def load_model(spark, sf_dir):
     return scored.select("CustomerID", "lr_probability", "lr_prediction", "xgb_probability", "xgb_prediction")
 
 
-@query("score_batch")
+@query("score_batch_full")
 def score_batch(spark, sf_dir):
     fit = trained(spark, sf_dir)
     scored = models.score_batch(enriched(spark, sf_dir), fit.features, fit.models)
@@ -220,17 +221,17 @@ def _importance(spark, sf_dir, alias: str):
     return rounded(models.importance(spark, fit.models[alias], fit.names))
 
 
-@query("importance_lr")
+@query("importance_lr_full")
 def importance_lr(spark, sf_dir):
     return _importance(spark, sf_dir, "lr")
 
 
-@query("importance_rf")
+@query("importance_rf_full")
 def importance_rf(spark, sf_dir):
     return _importance(spark, sf_dir, "rf")
 
 
-@query("importance_gbt")
+@query("importance_gbt_full")
 def importance_gbt(spark, sf_dir):
     return _importance(spark, sf_dir, "xgb")
 
@@ -261,7 +262,7 @@ def _factors(explained, names):
     )
 
 
-@query("shap_tree")
+@query("shap_tree_full")
 def shap_tree(spark, sf_dir):
     return _long(_tree_attributions(spark, sf_dir), trained(spark, sf_dir).names)
 
@@ -368,7 +369,7 @@ def shap_waterfall(spark, sf_dir):
     return rounded(explain.shap_waterfall(explained, _FIXED_NAMES, roles.ID_COL, first, shown=4))
 
 
-@query("explain_all")
+@query("explain_all_full")
 def explain_all(spark, sf_dir):
     fit = trained(spark, sf_dir)
     return rounded(explain_plan.explain_all(spread(enriched(spark, sf_dir)), fit.features, fit.models["xgb"])["shap_global"])

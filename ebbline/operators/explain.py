@@ -204,7 +204,7 @@ def shap_dependence(explained: DataFrame, names: Sequence[str], feature: str | N
 
 def shap_waterfall(explained: DataFrame, names: Sequence[str], key: str, key_value, shown: int = 10) -> DataFrame:
     """One row's base value, its largest contributions, the rest as one line, and the resulting log-odds."""
-    single = shown if shown >= len(names) else shown - 1
+    single = len(names) if shown >= len(names) else shown - 1
     labels = F.array(*[F.lit(name) for name in names])
     ranked = F.sort_array(F.transform("shap", lambda s, i: F.struct(
         (-F.abs(s)).alias("rank"), i.alias("i"), F.get(labels, i).alias("feature"), s.alias("shap_value")

@@ -254,3 +254,39 @@ def test_explanations_and_answers(enriched, trained):
         assert a["customer_id"].startswith("api-") and 1 <= len(a["top_factors"]) <= 5 and len(a["shap_explanations"]) <= 20
         assert a["churn_prediction"] == int(a["probability"] >= 0.5)
         assert a["risk_level"] in ("Low", "Medium", "High", "Critical")
+
+
+def test_forests_do_not_hang_on_the_input_layout(spark):
+    df = spark.range(400).selectExpr("cast(id as string) CustomerID", "cast(pmod(hash(id), 7) as double) a", "cast(pmod(hash(id, 1), 50) as double) b").selectExpr(
+        "*", "cast(pmod(hash(CustomerID), 10) + a > 8 as int) label")
+    scores = {}
+    for n in (1, 7):
+        part = df.repartition(n)
+        vectors = features.add_features(part, features.fit_features(df, ["a", "b"], []))
+        for train, options in ((models.train_rf, {"trees": 5, "depth": 4}), (models.train_gbt, {"rounds": 3, "depth": 3})):
+            scored = models.add_probability(vectors, train(vectors, **options), "p").select("CustomerID", F.round("p", 9)).collect()
+            scores[train.__name__, n] = sorted(map(tuple, scored))
+    assert scores["train_rf", 1] == scores["train_rf", 7] and scores["train_gbt", 1] == scores["train_gbt", 7]
+
+
+def test_one_request_gets_the_reasons_it_gets_in_a_batch(spark):
+    from ebbline.plans.explain import answer_requests, attributions
+
+    df = spark.range(200).selectExpr("cast(id as string) CustomerID", "cast(id % 40 as double) Tenure", "cast(id * 7 % 90 as double) MonthlyCharges").selectExpr("*", "cast(Tenure < 15 as int) label")
+    fitted = features.fit_features(df, ["Tenure", "MonthlyCharges"], [])
+    vectors = features.add_features(df, fitted)
+    model, means = models.train_lr(vectors), explain.feature_means(vectors)
+    requests = df.selectExpr("CustomerID AS customer_id", "Tenure AS tenure", "MonthlyCharges AS monthly_charges")
+    many = answer_requests(requests.limit(100), fitted, model, "lr", key=["customer_id"], means=means)
+    wanted = {r["customer_id"]: r["top_factors"] for r in many.collect()}
+    (alone,) = answer_requests(requests.where("customer_id = '5'"), fitted, model, "lr", key=["customer_id"], means=means).collect()
+    assert alone["top_factors"] and alone["top_factors"] == wanted[alone["customer_id"]]
+    with pytest.raises(ValueError, match="training rows"):
+        attributions(vectors, model)
+
+
+def test_a_missing_number_takes_the_median(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (9.0,), (None,), (float("nan"),)], "Tenure double")
+    fitted = features.fit_features(df.where("Tenure < 100"), ["Tenure"], [])
+    found = [r["features"][0] for r in features.add_features(df, fitted).collect()]
+    assert found[3] == found[4] == found[1]
