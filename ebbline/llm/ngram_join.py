@@ -20,9 +20,12 @@ from ebbline.llm.components import connected_components
 SHINGLE = 5
 #: Similarity as a fraction, to compare in whole numbers.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Counters of the frequency sketch are 2**SKETCH_BITS; a task sends at most so many rows, the tasks get one byte for each.
-SKETCH_BITS = 20
 ORDERS = 3
+#: Tokens in more documents than FREQUENT come last in every order.  They are counted exactly among the lowest
+#: COUNTED of all hashes, where the prefixes lie, and kept in a table of 2**FREQUENT_BITS bits.
+FREQUENT, COUNTED, FREQUENT_BITS = 8, 0.3, 23
+#: Words of the parity bitmap that bounds the difference of two sets before they are compared.
+PARITY = 8
 #: Bits of the filter that keeps documents without a candidate from being shuffled.
 FILTER_BITS = 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -59,36 +62,52 @@ def _enough(shared, nx, ny, numerator: int, denominator: int):
     return F.coalesce((shared + behind) * (numerator + denominator) >= (nx + ny) * numerator, F.lit(True))
 
 
-def prefix(tokens: np.ndarray, levels: np.ndarray, order: int, numerator: int, denominator: int) -> np.ndarray:
-    """The tokens that a similar set must hit under one global order: frequent tokens last, else by hash."""
+def prefix(tokens: np.ndarray, frequent: np.ndarray, order: int, numerator: int, denominator: int) -> np.ndarray:
+    """The tokens that a similar set must hit under one global order: frequent tokens last, else by hash.
+
+    The first order is that of the hashes themselves, in which ``tokens`` are sorted.
+    """
     n = len(tokens)
     if not n:
         return tokens
     length = n - _ceil(n * numerator, denominator) + 1
-    rank = (levels[tokens >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(58)) | (mix(tokens, order + 1) >> np.uint64(6))
-    return tokens[np.argsort(rank, kind="stable")[:length]]
+    late = frequent[tokens >> np.uint64(64 - FREQUENT_BITS)]
+    if not order:
+        return np.concatenate([tokens[~late], tokens[late]])[:length]
+    rank = (mix(tokens, order) >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63))
+    return tokens[np.argpartition(rank, length - 1)[:length]]
+
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY slots whether an odd number of tokens fall there; equal tokens of two sets cancel."""
+    slots = (mix(tokens, 99) % np.uint64(64 * PARITY)).astype(np.int64)
+    odd = np.bincount(slots, minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
-def _sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """Frequency level of every counter: 0 up to twice the mean count, one more for each doubling."""
+
+def _frequent(docs: DataFrame, width: int) -> np.ndarray:
+    """The table of frequent tokens, by the top bits of their hash."""
+    low = np.uint64(int(COUNTED * 2**64))
 
     def count(batches):
-        counts, held, size = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
         for batch in batches:
-            for text in texts_of(batch.column("text")):
-                held.append((shingle_set(text, width) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
-                size += len(held[-1])
-                if size > len(counts):
-                    counts, held, size = counts + np.bincount(np.concatenate(held), minlength=len(counts)), [], 0
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=len(counts))
-        slots = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], ["slot", "n"])
+            sets = [shingle_set(text, width) for text in texts_of(batch.column("text"))]
+            tokens, counts = np.unique(np.concatenate([s[: np.searchsorted(s, low)] for s in sets] or [np.empty(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([_signed(tokens), pa.array(counts.astype(np.int64))], ["token", "n"])
+
+    tokens = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    slot = F.shiftrightunsigned("token", 64 - FREQUENT_BITS).alias("slot")
+    words = tokens.where(F.col("n") > FREQUENT).select(slot).groupBy(F.expr("CAST(slot DIV 32 AS INT) AS word")).agg(
+        F.expr("bit_or(shiftleft(1L, CAST(pmod(slot, 32) AS INT))) AS bits")
+    ).toArrow()  # at most 2**FREQUENT_BITS / 32 rows
+    return _bits(words, FREQUENT_BITS)
 
-    rows = docs.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << SKETCH_BITS)  # at most 2**SKETCH_BITS rows reach the driver
-    counts[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / max(counts.mean(), 1))), 0, 40).astype(np.uint8)
+
+def _bits(words: pa.Table, size: int) -> np.ndarray:
+    """A table of 2**size bits from its words of 32 that are not empty."""
+    table = np.zeros((1 << size) // 32, np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return (table[:, None] >> np.arange(32) & 1).astype(bool).ravel()
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -101,22 +120,26 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), _signed(flat))
 
 
-def _signatures(docs: DataFrame, levels: np.ndarray, width: int, numerator: int, denominator: int) -> DataFrame:
-    """(doc_id, n_shingles, print, prefix) of every row; equal prints mean equal sets."""
+def _signatures(docs: DataFrame, frequent: np.ndarray, width: int, numerator: int, denominator: int) -> DataFrame:
+    """(doc_id, n_shingles, print, prefix, parity) of every row; equal prints mean equal sets."""
+    packed = np.packbits(frequent)
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, prints, firsts = [], [], []
-        for text in texts_of(batch.column("text")):
-            tokens = shingle_set(text, width)
-            sizes.append(len(tokens))
-            prints.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
-            firsts.append(prefix(tokens, levels, 0, numerator, denominator))
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), _lists(firsts)],
-            ["doc_id", "n_shingles", "print", "prefix"],
-        )
+    def work(batches):
+        table = np.unpackbits(packed).astype(bool)
+        for batch in batches:
+            sizes, prints, firsts, parities = [], [], [], []
+            for text in texts_of(batch.column("text")):
+                tokens = shingle_set(text, width)
+                sizes.append(len(tokens))
+                prints.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
+                firsts.append(prefix(tokens, table, 0, numerator, denominator))
+                parities.append(parity(tokens).view(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), _lists(firsts), _lists(parities)],
+                ["doc_id", "n_shingles", "print", "prefix", "parity"],
+            )
 
-    return arrow_map(docs.select("doc_id", "text"), work, "doc_id long, n_shingles long, print binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, print binary, prefix array<long>, parity array<long>")
 
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
@@ -124,14 +147,11 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
     rows = ids.select(slot.alias("slot")).groupBy(F.expr("CAST(slot DIV 32 AS INT) AS word")).agg(
         F.expr("bit_or(shiftleft(1L, CAST(pmod(slot, 32) AS INT))) AS bits")
-    ).collect()
-    words = np.zeros((1 << FILTER_BITS) // 32, np.int64)
-    for row in rows:
-        words[row["word"]] = row["bits"]
-    return (words[:, None] >> np.arange(32) & 1).astype(bool).ravel()
+    ).toArrow()
+    return _bits(rows, FILTER_BITS)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, levels: np.ndarray, width: int, numerator: int, denominator: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, frequent: np.ndarray, width: int, numerator: int, denominator: int) -> DataFrame:
     """The pairs (a, b) whose prefixes meet under the other orders and whose sets are similar."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     ids = stage(ids, "ngram-ids")
@@ -140,21 +160,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, levels: np.ndarray, width: int,
     def some(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(wanted[batch.column("slot").to_numpy(zero_copy_only=False)], pa.bool_())).select(["doc_id", "text"])
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets, others = [], [[] for _ in range(ORDERS - 1)]
-        for text in texts_of(batch.column("text")):
-            tokens = shingle_set(text, width)
-            sets.append(tokens)
-            for order, kept in enumerate(others, 1):
-                kept.append(prefix(tokens, levels, order, numerator, denominator))
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), _lists(sets), *map(_lists, others)], ["id", "tokens", *(f"p{k}" for k in range(1, ORDERS))]
-        )
+    packed = np.packbits(frequent)
+
+    def work(batches):
+        table = np.unpackbits(packed).astype(bool)
+        for batch in batches:
+            sets, others = [], [[] for _ in range(ORDERS - 1)]
+            for text in texts_of(batch.column("text")):
+                tokens = shingle_set(text, width)
+                sets.append(tokens)
+                for order, kept in enumerate(others, 1):
+                    kept.append(prefix(tokens, table, order, numerator, denominator))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), _lists(sets), *map(_lists, others)], ["id", "tokens", *(f"p{k}" for k in range(1, ORDERS))]
+            )
 
     slotted = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("slot")).where("doc_id IS NOT NULL")
     few = arrow_map(slotted, some, "doc_id long, text string").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
     prefixes = [f"p{k}" for k in range(1, ORDERS)]
-    sets = arrow_map(few, work, "id long, tokens array<long>, " + ", ".join(f"{p} array<long>" for p in prefixes))
+    sets = few.select("doc_id", "text").mapInArrow(work, "id long, tokens array<long>, " + ", ".join(f"{p} array<long>" for p in prefixes))
     sets = stage(sets, "ngram-sets")
 
     def side(letter: str) -> DataFrame:
@@ -179,14 +203,14 @@ def ngram_join(
     Rows with the same doc_id are one node of the graph.  A null doc_id takes
     no part and gets a null component.  An empty table gives no rows.
 
-    Exact copies share a fingerprint and count once.  In every bucket the
-    smallest document is first compared with the others, so a large group of
-    near copies costs one pair per member; only pairs of documents that are in
-    different components afterwards, and share a bucket, are enumerated.
+    Exact copies share a fingerprint and count once.  In every bucket one central
+    document is first compared with the others, so a large group of near copies
+    costs one pair per member; only pairs of documents that are in different
+    components afterwards, and share a bucket, are formed, if their sizes and parities allow it.
     """
     docs = docs.select("doc_id", "text")
-    levels = _sketch(docs, width)
-    rows = stage(_signatures(docs, levels, width, numerator, denominator), "ngram-signatures")
+    frequent = _frequent(docs, width)
+    rows = stage(_signatures(docs, frequent, width, numerator, denominator), "ngram-signatures")
     known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
 
     firsts = known.groupBy("print").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last")
@@ -199,43 +223,51 @@ def ngram_join(
     plain = copies.join(several, "doc_id", "left_anti").select("doc_id")
     bound = copies.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
 
-    tokens = known.select("doc_id", "n_shingles", F.explode("prefix").alias("token"))
-    centers = tokens.groupBy("token").agg(
-        F.min("doc_id").alias("center"), F.max("doc_id").alias("last"), F.min_by("n_shingles", "doc_id").alias("n_center")
-    ).where("center <> last").drop("last")
-    shared = tokens.join(centers, "token").join(plain, "doc_id", "left_anti")
-    for column, size in (("doc_id", "n_shingles"), ("center", "n_center")):
-        flags = several.select(F.col("doc_id").alias(column), F.lit(True).alias("unsized"))
-        shared = shared.join(flags, column, "left").withColumn(size, F.when(F.col("unsized").isNull(), F.col(size))).drop("unsized")
+    tokens = known.select("doc_id", "n_shingles", F.posexplode("prefix").alias("place", "token"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    indexed = F.col("place") <= F.col("n_shingles") - F.ceil(F.col("n_shingles") * (2 * numerator) / F.lit(float(numerator + denominator)))
+    shared = tokens.select("token", "doc_id", "n_shingles", indexed.alias("indexed")).join(counts, "token").join(plain, "doc_id", "left_anti")
+    unsized = several.select("doc_id", F.lit(True).alias("unsized"))
+    shared = shared.join(unsized, "doc_id", "left").withColumn("n_shingles", F.when(F.col("unsized").isNull(), F.col("n_shingles"))).drop("unsized")
     shared = stage(shared.distinct(), "ngram-shared")
-
-    def candidates(x: DataFrame) -> DataFrame:
-        """Pairs (a, na, b, nb) once for each bucket they share, reduced to those of like size that share enough."""
-        alike = F.least("na", "nb") * denominator >= F.greatest("na", "nb") * numerator
-        sized = F.col("na").isNotNull() & F.col("nb").isNotNull()
-        counted = x.where(alike | ~sized).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("shared"))
-        return stage(counted.where(_enough(F.col("shared"), F.col("na"), F.col("nb"), numerator, denominator)).select("a", "b").distinct(), "ngram-pairs")
-
-    # a star around the smallest document of each bucket
-    stars = shared.where("center <> doc_id").select(
-        F.col("center").alias("a"), F.col("n_center").alias("na"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb")
-    )
-    edges = stage(_verified(candidates(stars), docs, levels, width, numerator, denominator).toDF("u", "v").unionByName(bound), "ngram-edges")
+    facts = known.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", *(F.col("parity")[k].alias(f"b{k}") for k in range(PARITY)))
+    facts = stage(facts.join(several, "doc_id", "left_anti"), "ngram-facts")
+
+    def alike(na: str, nb: str, a: str = "a", b: str = "b"):
+        """Whether sizes and parities allow the similarity; sets of unknown size pass."""
+        apart = sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(PARITY)), F.lit(0))
+        fits = F.least(na, nb) * denominator >= F.greatest(na, nb) * numerator
+        near = F.coalesce(apart * (numerator + denominator) <= (F.col(na) + F.col(nb)) * (denominator - numerator), F.lit(True))
+        return F.when(F.col(na).isNull() | F.col(nb).isNull(), True).otherwise(fits & near)
+
+    def bits(id_: str, letter: str) -> DataFrame:
+        return facts.select(F.col("doc_id").alias(id_), *(F.col(f"b{k}").alias(f"{letter}{k}") for k in range(PARITY)))
+
+    # a star around the document of each bucket that shares most with others
+    scores = shared.groupBy("doc_id").agg(F.sum("held").alias("score"))
+    centers = shared.join(scores, "doc_id").groupBy("token").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("back"), "n_shingles")).alias("c"))
+    centers = centers.select("token", (-F.col("c.back")).alias("b"), F.col("c.n_shingles").alias("nb"))
+    stars = shared.select("token", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na")).join(centers, "token").where("a <> b")
+    counted = stars.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("shared")).where(_enough(F.col("shared"), F.col("na"), F.col("nb"), numerator, denominator))
+    pairs = counted.join(bits("a", "a"), "a", "left").join(bits("b", "b"), "b", "left").where(alike("na", "nb"))
+    pairs = stage(pairs.select("a", "b").distinct(), "ngram-pairs")
+    edges = stage(_verified(pairs, docs, frequent, width, numerator, denominator).toDF("u", "v").unionByName(bound), "ngram-edges")
     labels = stage(connected_components(edges, "ngram-stars"), "ngram-labels")
 
-    # all pairs of documents of different components that share a bucket
+    # pairs of documents of different components that share a bucket: the smaller one there with its first tokens
     placed = shared.join(labels, F.col("doc_id") == F.col("node"), "left").select(
-        "token", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
+        "token", "doc_id", "n_shingles", "indexed", F.coalesce("component", "doc_id").alias("component")
     )
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    open_ = stage(placed.join(mixed, "token"), "ngram-open")
-    groups = open_.select("token", "component").distinct()
-    apart = groups.select("token", F.col("component").alias("ca")).join(groups.select("token", F.col("component").alias("cb")), "token").where("ca < cb")
-    left = open_.select("token", F.col("component").alias("ca"), F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"))
-    right = open_.select("token", F.col("component").alias("cb"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"))
-    across = apart.join(left, ["token", "ca"]).join(right, ["token", "cb"])
-    across = across.select("a", "na", "b", "nb")
-    found = _verified(candidates(across), docs, levels, width, numerator, denominator).toDF("u", "v")
+    open_ = stage(placed.join(mixed, "token").join(bits("doc_id", "b"), "doc_id", "left"), "ngram-open")
+    small = open_.where("indexed OR n_shingles IS NULL").select(
+        "token", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("component").alias("ca"), *(F.col(f"b{k}").alias(f"a{k}") for k in range(PARITY))
+    )
+    large = open_.select("token", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"), *(f"b{k}" for k in range(PARITY)))
+    after = F.coalesce((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))), F.lit(True))
+    across = small.join(large, (small["token"] == large["token"]) & (F.col("ca") != F.col("cb")) & after & alike("na", "nb"))
+    pairs = stage(across.select("a", "b").distinct(), "ngram-pairs")
+    found = _verified(pairs, docs, frequent, width, numerator, denominator).toDF("u", "v")
     edges = stage(edges.unionByName(found), "ngram-edges")
     labels = stage(connected_components(edges, "ngram-stars"), "ngram-labels")
 
