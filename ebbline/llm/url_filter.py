@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import LOWER, UPPER, arrow_map, mix, texts_of
+from ebbline.llm.common import LOWER, UPPER, mix, texts_of
 
 #: Longest context in characters, counters of the hashed tables (2**SLOT_BITS), weight of the shorter context.
 ORDER, SLOT_BITS, BACKOFF = 5, 20, 1.0
@@ -80,6 +80,18 @@ def _counts(known: DataFrame) -> dict[tuple[int, bool], np.ndarray]:
     return counts
 
 
+def _packed(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and values that are not 0: what travels to the tasks."""
+    slots = np.flatnonzero(counts).astype(np.int32)
+    return slots, counts[slots]
+
+
+def _unpacked(packed: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    counts = np.zeros(2 << SLOT_BITS, np.float32)
+    counts[packed[0]] = packed[1]
+    return counts
+
+
 def _likelihoods(counts: np.ndarray, contexts: list[np.ndarray], grams: list[np.ndarray]) -> np.ndarray:
     """Log-probability of every character, each context smoothed by the next shorter one."""
     chance = np.full(len(contexts[0]), 1 / 256)
@@ -104,19 +116,22 @@ def fit(pages: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """
     known = pages.where("accepted IS NOT NULL AND address <> ''").withColumn("fold", F.pmod(F.xxhash64("address", F.lit(10)), F.lit(2)).cast("int"))
     counts = _counts(known)
-    models = {f: (counts[f, True], counts[f, False]) for f in (0, 1)}
+    packed = {key: _packed(c) for key, c in counts.items()}
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, folds = list(texts_of(batch.column("address"))), batch.column("fold").to_numpy()
-        ratio = np.where(folds == 0, _ratios(texts, *models[1]), _ratios(texts, *models[0]))
-        bins = np.clip(np.floor((ratio + SPAN) * (BINS / (2 * SPAN))), 0, BINS - 1).astype(np.int32)
-        return pa.RecordBatch.from_arrays([batch.column("accepted"), pa.array(bins)], ["accepted", "bin"])
+    def work(batches):
+        models = {f: (_unpacked(packed[f, True]), _unpacked(packed[f, False])) for f in (0, 1)}
+        for batch in batches:
+            texts, folds = list(texts_of(batch.column("address"))), batch.column("fold").to_numpy()
+            ratio = np.where(folds == 0, _ratios(texts, *models[1]), _ratios(texts, *models[0]))
+            bins = np.clip(np.floor((ratio + SPAN) * (BINS / (2 * SPAN))), 0, BINS - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("accepted"), pa.array(bins)], ["accepted", "bin"])
 
+    bins = known.select("address", "fold", "accepted").mapInArrow(work, "accepted boolean, bin int").groupBy("accepted", "bin").count()
     shares = np.zeros((2, BINS))
-    for row in arrow_map(known.select("address", "fold", "accepted"), work, "accepted boolean, bin int").groupBy("accepted", "bin").count().collect():
+    for row in bins.collect():  # at most two rows for each bin
         shares[int(row["accepted"]), row["bin"]] = row["count"]
     totals = shares.sum(axis=1)
-    accepted, rejected = models[0][0] + models[1][0], models[0][1] + models[1][1]
+    accepted, rejected = (counts[0, a] + counts[1, a] for a in (True, False))
     if not totals.all():
         return accepted, rejected, -np.inf
     edges = np.arange(BINS + 1) * (2 * SPAN / BINS) - SPAN
@@ -144,12 +159,16 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     parts = parts.withColumn("ruled", verdicts).withColumn("address", F.concat("host", "path"))
     accepted, rejected, threshold = fit(parts.select("address", (F.col("ruled") == "allow").alias("accepted")))
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ratio = _ratios(list(texts_of(batch.column("address"))), accepted, rejected)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ratio, pa.float64())], [*batch.schema.names, "ratio"])
+    packed = _packed(accepted), _packed(rejected)
+
+    def work(batches):
+        models = _unpacked(packed[0]), _unpacked(packed[1])
+        for batch in batches:
+            ratio = _ratios(list(texts_of(batch.column("address"))), *models)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ratio, pa.float64())], [*batch.schema.names, "ratio"])
 
     names = ["page_id", "host", "path", "rule", "ruled", "address"]
     kinds = dict(parts.dtypes)
-    scored = arrow_map(parts.select(*names), work, ", ".join(f"{n} {kinds[n]}" for n in names) + ", ratio double")
+    scored = parts.select(*names).mapInArrow(work, ", ".join(f"{n} {kinds[n]}" for n in names) + ", ratio double")
     method = F.when((F.col("address") == "") | (F.col("ratio") >= threshold), "allow").otherwise("block")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "ratio")
