@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ebbline.catalog.base import (
-    bins_case, customers, key_order, profile, query, read, rounded, scores, using, values_table, wide,
+    ORACLES, bins_case, customers, key_order, profile, query, read, rounded, scores, using, values_table, wide,
 )
 from ebbline.functions import roles
 from ebbline.functions.scalar import bin_label
 from ebbline.operators import distributions, eda, filters, profiling
 from ebbline.operators import scores as score_ops
-from ebbline.plans.eda import eda_all, key_findings
+from ebbline.plans.eda import REPORT_KEYS, eda_all, eda_long, key_findings
 
 # ── churn by segment ────────────────────────────────────────────────────────
 
@@ -151,28 +151,6 @@ def findings(spark, sf_dir):
     return rounded(key_findings(customers(spark, sf_dir)))
 
 
-_EDA_ROWS = """
-SELECT report, n_rows FROM (
-  SELECT UNNEST(['churn_overall', 'login_box', 'tenure_box', 'login_violin', 'tenure_violin']) AS report,
-         COUNT(DISTINCT churn) AS n_rows FROM profile
-  UNION ALL SELECT 'churn_by_contract', COUNT(DISTINCT contract) FROM profile
-  UNION ALL SELECT 'churn_by_industry', LEAST(10, COUNT(DISTINCT industry)) FROM profile
-  UNION ALL SELECT 'churn_by_company', COUNT(DISTINCT company_size) FROM profile
-  UNION ALL SELECT UNNEST(['login_density', 'tenure_density']), 200 * COUNT(DISTINCT churn) FROM profile
-  UNION ALL SELECT 'tenure_vs_charges', LEAST(3000, COUNT(*)) FROM profile
-  UNION ALL VALUES ('login_stats', 3), ('tenure_stats', 3), ('login_bins', 5), ('tenure_bins', 7),
-                   ('login_histogram', 40), ('tenure_histogram', 40))"""
-
-
-@query("eda_all", using(_EDA_ROWS, "profile"))
-def eda_everything(spark, sf_dir):
-    counted = None
-    for name, report in eda_all(customers(spark, sf_dir)).items():
-        row = report.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("report"), "n_rows")
-        counted = row if counted is None else counted.unionByName(row)
-    return counted
-
-
 # ── distributions ───────────────────────────────────────────────────────────
 
 
@@ -203,14 +181,18 @@ def histogram_lineitem(spark, sf_dir):
     return rounded(distributions.histogram(read(spark, sf_dir, "lineitem"), "l_extendedprice"))
 
 
-@query("kde_by_label", using("""
+def _density(column: str) -> str:
+    return using(f"""
 SELECT churn, CAST(i AS INTEGER) AS point, ROUND(start + i * step, 6) AS x,
   ROUND(SUM(EXP(-0.5 * POW((start + i * step - v) / h, 2))) / (MAX(n) * MAX(h) * SQRT(2 * PI())), 6) AS density
-FROM grid JOIN (SELECT churn, CAST(last_login_days AS DOUBLE) AS v FROM profile) USING (churn), RANGE(200) AS r(i)
-GROUP BY churn, i, start, step""", "profile", extra="""
-band AS (SELECT churn, COUNT(*) AS n, STDDEV_SAMP(last_login_days) * POW(COUNT(*), -0.2) AS h,
-  MIN(last_login_days) AS lo, MAX(last_login_days) AS hi FROM profile GROUP BY churn),
-grid AS (SELECT churn, n, h, lo - 3 * h AS start, (hi + 3 * h - (lo - 3 * h)) / 199 AS step FROM band)"""))
+FROM grid JOIN (SELECT churn, CAST({column} AS DOUBLE) AS v FROM profile) USING (churn), RANGE(200) AS r(i)
+GROUP BY churn, i, start, step""", "profile", extra=f"""
+band AS (SELECT churn, COUNT(*) AS n, STDDEV_SAMP({column}) * POW(COUNT(*), -0.2) AS h,
+  MIN({column}) AS lo, MAX({column}) AS hi FROM profile GROUP BY churn),
+grid AS (SELECT churn, n, h, lo - 3 * h AS start, (hi + 3 * h - (lo - 3 * h)) / 199 AS step FROM band)""")
+
+
+@query("kde_by_label", _density("last_login_days"))
 def kde_by_label(spark, sf_dir):
     return rounded(distributions.kde_by_label(customers(spark, sf_dir), "LastLoginDays"))
 
@@ -219,20 +201,27 @@ _QUARTILES = """QUANTILE_CONT(CAST({c} AS DOUBLE), 0.25) AS q25, QUANTILE_CONT(C
   QUANTILE_CONT(CAST({c} AS DOUBLE), 0.75) AS q75"""
 
 
-@query("violin_quartiles", using(
-    f"SELECT churn, {_QUARTILES.format(c='tenure')} FROM profile GROUP BY churn", "profile"))
+def _violin(column: str) -> str:
+    return using(f"SELECT churn, {_QUARTILES.format(c=column)} FROM profile GROUP BY churn", "profile")
+
+
+@query("violin_quartiles", _violin("tenure"))
 def violin_quartiles(spark, sf_dir):
     return distributions.violin_quartiles(customers(spark, sf_dir), "Tenure")
 
 
-@query("box_stats", using("""
+def _box(column: str) -> str:
+    return using(f"""
 SELECT q.churn, q25, q50, q75,
   MIN(v) FILTER (WHERE v BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25)) AS whisker_low,
   MAX(v) FILTER (WHERE v BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25)) AS whisker_high,
   COUNT(*) FILTER (WHERE v < q25 - 1.5 * (q75 - q25) OR v > q75 + 1.5 * (q75 - q25)) AS outliers
-FROM q JOIN (SELECT churn, CAST(last_login_days AS DOUBLE) AS v FROM profile) p ON q.churn = p.churn
+FROM q JOIN (SELECT churn, CAST({column} AS DOUBLE) AS v FROM profile) p ON q.churn = p.churn
 GROUP BY q.churn, q25, q50, q75""", "profile",
-    extra=f"q AS (SELECT churn, {_QUARTILES.format(c='last_login_days')} FROM profile GROUP BY churn)"))
+        extra=f"q AS (SELECT churn, {_QUARTILES.format(c=column)} FROM profile GROUP BY churn)")
+
+
+@query("box_stats", _box("last_login_days"))
 def box_stats(spark, sf_dir):
     return distributions.box_stats(customers(spark, sf_dir), "LastLoginDays")
 
@@ -251,6 +240,38 @@ def scatter_sample(spark, sf_dir):
     return distributions.scatter_sample(customers(spark, sf_dir), order=key_order())
 
 
+def _eda_sql() -> str:
+    """The rows of every report, from the SQL of each."""
+    bounds = {"login": "last_login_days", "tenure": "tenure"}
+    sources = {
+        "churn_overall": (ORACLES["churn_overall"], ["customer_count", "share_pct", "churn_rate"]),
+        "churn_by_contract": (ORACLES["churn_by_contract"], ["retained", "churned", "retained_pct", "churned_pct"]),
+        "churn_by_industry": (ORACLES["churn_by_industry"], ["retained", "churned", "total", "churn_rate"]),
+        "churn_by_company": (ORACLES["churn_by_company"], ["retained", "churned", "retained_pct", "churned_pct", "size_rank"]),
+        "login_stats": (ORACLES["recency_stats"], ["mean", "median", "std", "min", "max"]),
+        "tenure_stats": (ORACLES["tenure_stats"], ["mean", "median", "std", "min", "max"]),
+        "login_bins": (ORACLES["login_bins"], ["customer_count", "churn_count", "churn_rate", "avg_last_login"]),
+        "tenure_bins": (ORACLES["tenure_bins"], ["customer_count", "churn_count", "churn_rate", "avg_monthly_charges"]),
+        "tenure_vs_charges": (ORACLES["scatter_sample"], ["Tenure", "MonthlyCharges"]),
+    }
+    for name, column in bounds.items():
+        sources[f"{name}_histogram"] = using(_HISTOGRAM_BODY, "profile", extra=_histogram("profile", column, 40)), ["bin_start", "bin_end", "n"]
+        sources[f"{name}_density"] = _density(column), ["x", "density"]
+        sources[f"{name}_box"] = _box(column), ["q25", "q50", "q75", "whisker_low", "whisker_high", "outliers"]
+        sources[f"{name}_violin"] = _violin(column), ["q25", "q50", "q75"]
+    parts = []
+    for name, (sql, measures) in sources.items():
+        item = " || '|' || ".join(f'CAST("{k}" AS VARCHAR)' for k in REPORT_KEYS[name])
+        rows = ", ".join(f"{{'measure': '{m}', 'value': ROUND(CAST(\"{m}\" AS DOUBLE), 6)}}" for m in measures)
+        parts.append(f"SELECT '{name}' AS report, {item} AS item, UNNEST([{rows}], recursive := true) FROM ({sql})")
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("eda_all", _eda_sql())
+def eda_everything(spark, sf_dir):
+    return rounded(eda_long(eda_all(customers(spark, sf_dir), order=key_order())))
+
+
 # ── scores ──────────────────────────────────────────────────────────────────
 
 
