@@ -15,6 +15,7 @@ from ebbline.operators.shape import encode_target
 from ebbline.plans import explain as explain_plan
 from ebbline.plans.training import train_eval
 from ebbline.session import scratch_path
+from ebbline.streaming.scoring import model_scorer, score_stream
 
 # ── logistic model of tenure ────────────────────────────────────────────────
 
@@ -165,6 +166,31 @@ def score_requests_linear(spark, sf_dir):
     )
 
 
+@query("score_stream_model", _recursive("""
+SELECT customer_id, 'predictions' AS kind, 'logistic_regression' AS model_name, ROUND(p, 6) AS probability, CAST(p >= 0.5 AS INTEGER) AS prediction,
+  CASE WHEN p < 0.25 THEN 'Low' WHEN p < 0.5 THEN 'Medium' WHEN p < 0.75 THEN 'High' ELSE 'Critical' END AS risk_level, '' AS violations
+FROM scored WHERE customer_id % 37 <> 0
+UNION ALL SELECT customer_id, 'quarantine', NULL, NULL, NULL, NULL, 'tenure' FROM scored WHERE customer_id % 37 = 0""", extra=_SCORED))
+def score_stream_model(spark, sf_dir):
+    """Arriving files scored by the saved logistic model; records without a tenure are set aside."""
+    frame, pipeline, model, _ = _fitted(spark, sf_dir)
+    path = scratch_path(spark, "models")
+    models.save_models(path, pipeline, {"lr": model})
+    loaded, found = models.load_models(spark, path)
+    gaps = frame.select(F.col("CustomerID").alias("customer_id"), F.when(F.col("CustomerID") % 37 != 0, F.col("Tenure")).alias("tenure"))
+    arriving, output = scratch_path(spark, "arriving"), scratch_path(spark, "scored")
+    gaps.repartition(4, "customer_id").write.parquet(arriving)
+    scorer = model_scorer(loaded, found["lr"])
+    score_stream(
+        spark, arriving, gaps.schema, scorer, "logistic_regression", output, scratch_path(spark, "progress"), required=["tenure"], files_per_batch=2,
+    ).awaitTermination()
+    kept = spark.read.schema("customer_id string, probability double, prediction int, risk_level string, model_name string").parquet(f"{output}/predictions")
+    aside = spark.read.schema("customer_id bigint, violations array<string>").parquet(f"{output}/quarantine")
+    kept = kept.select(F.col("customer_id").cast("bigint").alias("customer_id"), F.lit("predictions").alias("kind"), "model_name", "probability", "prediction", "risk_level", F.lit("").alias("violations"))
+    aside = aside.select("customer_id", F.lit("quarantine").alias("kind"), F.array_join("violations", ",").alias("violations"))
+    return rounded(kept.unionByName(aside, allowMissingColumns=True))
+
+
 # ── trees of one split ──────────────────────────────────────────────────────
 
 _USAGE = "FeatureUsageCount"

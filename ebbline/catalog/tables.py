@@ -305,6 +305,9 @@ def rounding(spark, sf_dir):
 # ── stream ──────────────────────────────────────────────────────────────────
 
 
+_STREAMED = "customer_id string, probability double, prediction int, risk_level string, model_name string, batch_id bigint"
+
+
 def _formula_scorer(records):
     return records.withColumn("probability", orders_profile.formula_probability(orders_profile.SCORE_INTERCEPTS["xgboost"]))
 
@@ -326,4 +329,5 @@ def stream(spark, sf_dir):
         spark, arriving, gaps.schema, _formula_scorer, "xgboost", output, scratch_path(spark, "progress"),
         required=_REQUIRED, files_per_batch=2,
     ).awaitTermination()
-    return spark.read.parquet(f"{output}/predictions").drop("batch_id")
+    found = spark.read.schema(_STREAMED).parquet(f"{output}/predictions").drop("batch_id")
+    return found.withColumn("customer_id", F.col("customer_id").cast("bigint"))

@@ -7,20 +7,42 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ebbline.session import staged
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n), nulls included; merged map-side, so hot values stay cheap."""
-    pairs = F.array(*[
-        F.struct(F.lit(name).alias("column"), F.col(name).cast("string").alias("value")) for name in columns
-    ])
-    return df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+def _hashed(df: DataFrame, columns: Sequence[str], with_value: bool) -> DataFrame:
+    """(column, hash) of every value as text, and the value if wanted; a null has a null hash."""
+    def pair(name: str):
+        value = F.col(name).cast("string")
+        parts = [F.lit(name).alias("column"), F.when(value.isNotNull(), F.xxhash64(value)).alias("hash")]
+        return F.struct(*parts, *([value.alias("value")] if with_value else []))
+
+    return df.select(F.inline(F.array(*[pair(name) for name in columns])))
+
+
+def top_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, rows, missing, unique, top, freq): the most frequent value as text, the smallest on ties.
+
+    Values are counted by a 64-bit hash, so ids and free text are not shuffled; only the text of
+    the values that win is fetched.  Where no value repeats that is the smallest one.
+    """
+    counts = staged(_hashed(df, columns, False).groupBy("column", "hash").agg(F.count(F.lit(1)).alias("n")), "value-hashes")
+    known = F.col("hash").isNotNull()
+    summary = counts.groupBy("column").agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("missing"),
+        F.count("hash").alias("unique"), F.max(F.when(known, F.col("n"))).alias("freq"),
+    )
+    best = counts.join(summary.select("column", "freq"), "column").where(known & (F.col("n") == F.col("freq")) & (F.col("freq") > 1))
+    winners = staged(best.select("column", "hash"), "top-hashes")
+    repeated = _hashed(df, columns, True).join(winners, ["column", "hash"]).groupBy("column").agg(F.min("value").alias("repeated"))
+    least = F.array(*[F.struct(F.lit(c).alias("column"), F.min(F.col(c).cast("string")).alias("least")) for c in columns])
+    smallest = df.agg(least.alias("ends")).select(F.inline("ends"))
+    return summary.join(repeated, "column", "left").join(smallest, "column", "left").select(
+        "column", "rows", "missing", "unique", F.coalesce("repeated", "least").alias("top"), "freq"
+    )
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
     """The most frequent value per column as text, the smallest on ties; None if all null."""
-    best = (
-        value_counts(df, columns).where("value is not null")
-        .groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("neg"), "value")).alias("best"))
-    )
-    found = {row["column"]: row["best"]["value"] for row in best.collect()}  # one row per column
+    found = {row["column"]: row["top"] for row in top_values(df, columns).collect()}  # one row per column
     return {name: found.get(name) for name in columns}

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ebbline.functions import roles
 from ebbline.functions.scalar import risk_tier
 from ebbline.operators.features import add_features, class_weights
-from ebbline.session import scratch_root
 
 WEIGHT_COL = "_weight"
 MEANS = "feature_means"
@@ -71,7 +70,6 @@ def train_rf(
     partitions: int = PARTITIONS, bootstrap: bool = True,
 ):
     """Balanced random forest."""
-    scratch_root(train.sparkSession)
     data, _ = _balanced(train, label)
     return RandomForestClassifier(
         labelCol=label, weightCol=WEIGHT_COL, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
@@ -85,10 +83,9 @@ def train_gbt(
 ):
     """Boosted trees, positives weighted by negatives per positive.
 
-    Spark checkpoints the running residuals when a checkpoint folder is known,
+    Spark checkpoints the running residuals in the folder of ``spark.checkpoint.dir``,
     so the lineage of many rounds stays short.
     """
-    scratch_root(train.sparkSession)
     rows = _weights(train, label)
     data = _laid_out(_weighted(train, label, rows[1][2], 1.0), partitions)
     return GBTClassifier(

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ebbline.functions import roles
 from ebbline.functions.scalar import share_yes
 from ebbline.operators.cleaning import CHARGES_RTOL, charges_inconsistent, iqr_fences, missing_counts, outlier_columns
-from ebbline.operators.counts import value_counts
+from ebbline.operators.counts import top_values
 from ebbline.operators.dedup import dedup_report
 from ebbline.operators.quantiles import exact_summary
 
@@ -48,20 +48,10 @@ def describe_categorical(df: DataFrame, columns: list[str] | None = None) -> Dat
     """Per other column: missing, distinct values, the top value (smallest on ties) and its count."""
     columns = columns or other_columns(df)
     types = F.create_map(*[F.lit(x) for name, kind in df.dtypes if name in columns for x in (name, kind)])
-    gap = F.col("value").isNull()
-    return (
-        value_counts(df, columns).groupBy("column").agg(
-            F.sum("n").alias("rows"),
-            F.coalesce(F.sum(F.when(gap, F.col("n"))), F.lit(0)).alias("missing"),
-            F.count("value").alias("unique"),
-            F.min(F.when(~gap, F.struct((-F.col("n")).alias("neg"), F.col("value")))).alias("best"),
-        )
-        .select(
-            "column", F.element_at(types, F.col("column")).alias("type"),
-            (F.col("rows") - F.col("missing")).alias("count"), "missing",
-            F.round(F.col("missing") * 100.0 / F.col("rows"), 2).alias("missing_pct"),
-            "unique", F.col("best.value").alias("top"), (-F.col("best.neg")).alias("freq"),
-        )
+    return top_values(df, columns).select(
+        "column", F.element_at(types, F.col("column")).alias("type"),
+        (F.col("rows") - F.col("missing")).alias("count"), "missing",
+        F.round(F.col("missing") * 100.0 / F.col("rows"), 2).alias("missing_pct"), "unique", "top", "freq",
     )
 
 

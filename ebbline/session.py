@@ -7,13 +7,10 @@ and keeps column pruning, which a cached or locally checkpointed frame does not.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_scratch: dict[str, str] = {}
-
 
 def get_session(app_name: str = "ebbline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC and Arrow switched on."""
@@ -33,47 +30,45 @@ def get_session(app_name: str = "ebbline", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def scratch_root(spark: SparkSession) -> str | None:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local session without the setting gets a temporary folder of its
-    own.  On a cluster without the setting there is no safe place, so None.
-    """
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; without the setting there is no safe place."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local"):
-        return None
-    if sc.applicationId not in _local_scratch:
-        path = tempfile.mkdtemp(prefix="ebbline-")
-        sc.setCheckpointDir(path)
-        _local_scratch[sc.applicationId] = path
-    return _local_scratch[sc.applicationId]
+    if not configured:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return configured.rstrip("/")
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/ebbline/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the scratch folder."""
-    root = scratch_root(spark)
-    if root is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{root}/ebbline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the scratch folder of this application."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to scratch once and read it back, cutting its lineage.
-
-    Where no shared folder is known the frame is returned as it is, so results
-    stay the same and only the recomputation is dearer.
-    """
+    """Write ``df`` to scratch once and read it back, cutting its lineage."""
     spark = df.sparkSession
-    if scratch_root(spark) is None:
-        return df
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> bool:
+    """Remove all that this application has staged; frames that read it are of no use afterwards.
+
+    For the end of a job: nothing else removes the folder.
+    """
+    return remove(spark, _own_folder(spark))
+
+
+def remove(spark: SparkSession, folder: str) -> bool:
+    """Delete a folder on any Hadoop file system; says whether it was there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan with fewer partitions than cores one for each core; leave others as they are.
 

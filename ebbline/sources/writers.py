@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,10 +110,18 @@ def sink_predictions(
     _replace(predictions_table(wide), target, "model_name", buckets, jdbc_url, properties)
 
 
-def append_predictions(rows: DataFrame, target: str = "predictions") -> None:
-    """Add scored rows to the predictions table."""
-    picked = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in roles.PREDICTIONS_SCHEMA])
-    writer = picked.write.mode("append").format("parquet").partitionBy("model_name")
+def append_predictions(rows: DataFrame, target: str = "predictions", *, more: Sequence[str] = (), batch_id: int | None = None) -> None:
+    """Add scored rows to the predictions table, with the columns of ``more`` beside its own.
+
+    With a ``batch_id`` the rows of that batch are a partition of their own below the model and are
+    replaced as a whole: writing a batch again adds nothing.
+    """
+    picked = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in roles.PREDICTIONS_SCHEMA], *more)
+    if batch_id is None:
+        writer = picked.write.mode("append").format("parquet").partitionBy("model_name")
+    else:
+        writer = picked.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").format("parquet")
+        writer = writer.partitionBy("model_name", "batch_id").option("partitionOverwriteMode", "dynamic")
     if "/" in target:
         writer.save(target)
     else:

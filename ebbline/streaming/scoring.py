@@ -12,7 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ebbline.operators.features import add_features
 from ebbline.operators.models import add_probability, scored_response
-from ebbline.operators.shape import rename_camel, split_valid
+from ebbline.operators.shape import rename_camel, validate_records
+from ebbline.session import remove, scratch_path
+from ebbline.sources.writers import append_predictions
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -27,11 +29,6 @@ def model_scorer(features: PipelineModel, model) -> Scorer:
     return score
 
 
-def _write_batch(rows: DataFrame, root: str, batch_id: int) -> None:
-    # One folder per micro-batch, replaced as a whole: a repeated batch cannot add rows twice.
-    rows.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
-
-
 def score_stream(
     spark: SparkSession,
     source: str,
@@ -47,24 +44,26 @@ def score_stream(
 ) -> StreamingQuery:
     """Score Parquet files as they arrive in ``source``.
 
-    Valid records go to ``<output>/predictions`` with score, label and risk
+    Valid records go to the predictions table ``<output>/predictions`` with score, label and risk
     level, others to ``<output>/quarantine`` with the names of the broken rules.
-    The scorer sees one micro-batch as an ordinary frame.
+    A micro-batch is read and checked once, into a staged table that both outputs read and
+    that is removed afterwards; a repeated batch replaces its own rows.
     """
     root = output.rstrip("/")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        valid, broken = split_valid(batch, required)
-        scored = scorer(valid)
+        session, path = batch.sparkSession, scratch_path(spark, "micro-batch")
+        validate_records(batch, required).write.parquet(path)
+        checked = session.read.parquet(path)
+        broken = F.size("violations") > 0
         response = scored_response(F.col("probability"))
-        _write_batch(
-            scored.select(
-                "customer_id", F.lit(model_name).alias("model_name"), "probability",
-                response["churn_prediction"].alias("prediction"), response["risk_level"].alias("risk_level"),
-            ),
-            f"{root}/predictions", batch_id,
+        scored = scorer(checked.where(~broken).drop("violations")).select(
+            "customer_id", F.lit(model_name).alias("model_name"), "probability",
+            response["churn_prediction"].alias("prediction"), response["risk_level"].alias("risk_level"),
         )
-        _write_batch(broken, f"{root}/quarantine", batch_id)
+        append_predictions(scored, f"{root}/predictions", more=["risk_level"], batch_id=batch_id)
+        checked.where(broken).write.mode("overwrite").parquet(f"{root}/quarantine/batch_id={batch_id}")
+        remove(spark, path)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     return (

@@ -5,32 +5,26 @@ import pytest
 from ebbline import session
 
 
-def stub(master, configured=None):
-    folders = []
-    context = SimpleNamespace(master=master, applicationId=f"app-{master}-{configured}", setCheckpointDir=folders.append)
-    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: configured), sparkContext=context), folders
+def stub(configured=None):
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: configured), sparkContext=SimpleNamespace(applicationId="app-1"))
 
 
 def test_the_configured_folder_is_used():
-    spark, folders = stub("spark://host:7077", "hdfs://shared/scratch/")
-    assert session.scratch_root(spark) == "hdfs://shared/scratch" and folders == []
-    assert session.scratch_path(spark, "x").startswith("hdfs://shared/scratch/ebbline/app-spark")
+    spark = stub("hdfs://shared/scratch/")
+    assert session.scratch_root(spark) == "hdfs://shared/scratch"
+    assert session.scratch_path(spark, "x").startswith("hdfs://shared/scratch/ebbline/app-1/x-")
 
 
-def test_only_a_local_session_gets_a_folder_of_its_own():
-    spark, folders = stub("local[2]")
-    root = session.scratch_root(spark)
-    assert root == session.scratch_root(spark) and folders == [root]
-    spark, folders = stub("yarn")
-    assert session.scratch_root(spark) is None and folders == []
-    with pytest.raises(RuntimeError):
-        session.scratch_path(spark, "x")
+def test_without_the_setting_staging_and_paths_raise_the_same_error():
+    for use in (lambda s: session.scratch_path(s, "x"), lambda s: session.staged(SimpleNamespace(sparkSession=s), "x"), session.drop_scratch):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            use(stub())
 
 
-def test_nothing_is_staged_without_a_shared_folder(monkeypatch, spark):
-    monkeypatch.setattr(session, "scratch_root", lambda _: None)
-    df = spark.range(3)
-    assert session.staged(df, "x") is df
+def test_staged_tables_can_be_removed(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "_own_folder", lambda _: str(tmp_path / "own"))
+    assert session.staged(spark.range(3), "x").count() == 3 and list((tmp_path / "own").iterdir())
+    assert session.drop_scratch(spark) and not (tmp_path / "own").exists()
 
 
 def test_an_unset_setting_reads_as_none(spark):
