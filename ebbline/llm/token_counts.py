@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +101,12 @@ class Automaton:
         return tokens
 
 
+@lru_cache(maxsize=2)
+def automaton_of(path: str) -> Automaton:
+    """Built once in each Python worker, which serves many tasks."""
+    return Automaton(read_vocabulary(path))
+
+
 def words_of(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
@@ -113,7 +120,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """
 
     def work(batches):
-        automaton, known = Automaton(read_vocabulary(vocabulary)), {}
+        automaton, known = automaton_of(vocabulary), {}
         for batch in batches:
             rows = []
             for text in texts_of(batch.column("text")):
