@@ -7,7 +7,10 @@ share nothing.  Rules run only on texts that contain their keyword.
 
 from __future__ import annotations
 
+import functools
 import json
+import operator
+import re
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,7 +35,7 @@ FAMILIES = (
     ("apache-1.1", "apache", "apache (?:software )?licen[sc]e " + _V + "1 1", "apache 1 1"),
     ("apache-2.0", "apache", "apache (?:software )?licen[sc]e " + _V + "2(?: 0)?", "apache 2 0"),
     ("mit", "mit lic", "mit licen[sc]e", "mit"),
-    ("mit-0", "mit no", "mit no attribution(?: licen[sc]e)?", "mit 0"),
+    ("mit-0", "mit no attribution", "mit no attribution(?: licen[sc]e)?", "mit 0"),
     ("expat", "expat", "expat licen[sc]e", "expat"),
     ("isc", "isc lic", "isc licen[sc]e", "isc"),
     ("0bsd", "zero", "(?:bsd )?zero clause(?: bsd)? licen[sc]e", "0bsd"),
@@ -126,7 +129,7 @@ NOTICES = (
     ("license", "spdx", "spdx licen[sc]e identifier", HINT),
     ("license", "licensed under", "licensed under", HINT),
     ("warranty", "warranty", "without (?:any )?warranty of any kind", HINT),
-    ("warranty", "as is", "provided as is without warranty", HINT),
+    ("warranty", "provided as is", "provided as is without warranty", HINT),
     ("non-commercial", "commercial", "for non ?commercial use only", STRONG),
     ("non-commercial", "commercial", "(?:not for|no) commercial use", NAMED),
     ("research-only", "research", "for research (?:purposes|use) only", STRONG),
@@ -174,15 +177,24 @@ def _spaced(pattern: str) -> str:
     return pattern.replace("[^ ]", "\x00").replace(" ?", "(?:  )?").replace(" ", "  ").replace("(?:    )?", "(?:  )?").replace("\x00", "[^ ]")
 
 
-def gate(rules: list[Rule]) -> str:
-    """One expression that every text with a keyword matches."""
-    return " (?:" + "|".join(dict.fromkeys(_spaced(r.keyword) for r in rules)) + ")"
+def gate(rules: list[Rule]) -> list[str]:
+    """Literals of which every text that any rule matches holds one.
+
+    Most names say "license" outside of all groups of their pattern, so one literal stands for those rules;
+    the others have their keyword.
+    """
+    found = []
+    for rule in rules:
+        outside = rule.pattern
+        while (less := re.sub(r"\(\?:[^()]*\)", "", outside)) != outside:
+            outside = less
+        found.append("licen" if "licen" in outside else " " + _spaced(rule.keyword))
+    return [literal for literal in dict.fromkeys(found) if not any(other != literal and other in literal for other in found)]
 
 
-def normalised(text: Column) -> Column:
-    """`` w0  w1  w2 ``; empty for null or a text without words."""
-    words = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP, "  "))
-    return F.when(words == "", "").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
+def gapped(text: Column) -> Column:
+    """Lower-case words with two spaces between them; empty for null or a text without words."""
+    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP, "  "))
 
 
 def _let(value: Column, use) -> Column:
@@ -235,7 +247,9 @@ def scan_licenses(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame
     listed = json.dumps([asdict(r) | {"keyword": " " + _spaced(r.keyword), "pattern": _spaced(r.pattern), "number": i} for i, r in enumerate(rules)])
     schema = "array<struct<label:string,keyword:string,pattern:string,priority:int,base:boolean,number:int>>"
     table = F.from_json(F.lit(listed), schema)
-    words = docs.select("doc_id", normalised(F.col("text")).alias("words"))
+    words = docs.select("doc_id", gapped(F.col("text")).alias("gap"))
+    words = words.select("doc_id", F.when(F.col("gap") == "", "").otherwise(F.concat(F.lit(" "), "gap", F.lit(" "))).alias("words"))
+    gated = functools.reduce(operator.or_, (F.contains(F.col("words"), F.lit(literal)) for literal in gate(rules)))
 
     def of_rule(rule: Column) -> Column:
         places = F.coalesce(_places(F.col("words"), rule["pattern"]), F.array().cast("array<struct<first:int,last:int>>"))
@@ -249,7 +263,7 @@ def scan_licenses(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame
     found = words.select(
         "doc_id",
         F.expr("CAST((length(words) - length(replace(words, ' ', ''))) DIV 2 AS LONG)").alias("n_words"),
-        F.when(F.col("words").rlike(gate(rules)), all_).otherwise(empty).alias("found"),
+        F.when(gated, all_).otherwise(empty).alias("found"),
     )
     found = found.withColumn("base", F.filter("found", lambda x: x["base"])).withColumn("kept", _kept(F.col("found")))
 
