@@ -26,6 +26,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch at most.  A worker holds one batch of whole texts at a time, and some are very long.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of at most BATCH_ROWS rows, a setting of the session that stays lowered."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ROWS)) <= BATCH_ROWS:
+        conf.set(_ROWS, str(BATCH_ROWS))
+    return df.mapInArrow(work, schema)
+
+
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply ``work`` to every Arrow batch."""
 
@@ -33,7 +46,7 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], s
         for batch in batches:
             yield work(batch)
 
-    return df.mapInArrow(each, schema)
+    return map_batches(df, each, schema)
 
 
 def texts_of(column: pa.Array) -> Iterator[str]:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import arrow_map, mix, stage, texts_of
+from ebbline.llm.common import arrow_map, map_batches, mix, stage, texts_of
 from ebbline.llm.components import connected_components
 
 SHINGLE = 5
@@ -91,11 +91,14 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
 
     def count(batches):
         for batch in batches:
-            sets = [shingle_set(text, width) for text in texts_of(batch.column("text"))]
-            tokens, counts = np.unique(np.concatenate([s[: np.searchsorted(s, low)] for s in sets] or [np.empty(0, np.uint64)]), return_counts=True)
+            lows = [np.empty(0, np.uint64)]
+            for text in texts_of(batch.column("text")):
+                tokens = shingle_set(text, width)
+                lows.append(tokens[: np.searchsorted(tokens, low)].copy())  # not a view that keeps the whole set
+            tokens, counts = np.unique(np.concatenate(lows), return_counts=True)
             yield pa.RecordBatch.from_arrays([_signed(tokens), pa.array(counts.astype(np.int64))], ["token", "n"])
 
-    tokens = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    tokens = map_batches(docs.select("text"), count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     slot = F.shiftrightunsigned("token", 64 - FREQUENT_BITS).alias("slot")
     words = tokens.where(F.col("n") > FREQUENT).select(slot).groupBy(F.expr("CAST(slot DIV 32 AS INT) AS word")).agg(
         F.expr("bit_or(shiftleft(1L, CAST(pmod(slot, 32) AS INT))) AS bits")
@@ -139,7 +142,7 @@ def _signatures(docs: DataFrame, frequent: np.ndarray, width: int, numerator: in
                 ["doc_id", "n_shingles", "print", "prefix", "parity"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, print binary, prefix array<long>, parity array<long>")
+    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, n_shingles long, print binary, prefix array<long>, parity array<long>")
 
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
@@ -178,7 +181,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, frequent: np.ndarray, width: in
     slotted = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("slot")).where("doc_id IS NOT NULL")
     few = arrow_map(slotted, some, "doc_id long, text string").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
     prefixes = [f"p{k}" for k in range(1, ORDERS)]
-    sets = few.select("doc_id", "text").mapInArrow(work, "id long, tokens array<long>, " + ", ".join(f"{p} array<long>" for p in prefixes))
+    sets = map_batches(few.select("doc_id", "text"), work, "id long, tokens array<long>, " + ", ".join(f"{p} array<long>" for p in prefixes))
     sets = stage(sets, "ngram-sets")
 
     def side(letter: str) -> DataFrame:

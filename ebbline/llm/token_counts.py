@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ebbline.llm.common import arrow_map, texts_of
+from ebbline.llm.common import map_batches, texts_of
 
 #: Where the vocabulary lies on every machine; a parameter, never copied.
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
@@ -139,4 +139,4 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             columns = np.array(rows, np.int64).reshape(-1, 3).T
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, n_words long, n_tokens long, n_unknown long")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import arrow_map, stage, texts_of, uniform
+from ebbline.llm.common import map_batches, stage, texts_of, uniform
 
 #: Labelled documents that teach the lexicon and the calibration: at most so many, those of smallest hash.
 TRAIN_DOCS = 20_000
@@ -119,7 +119,7 @@ def _matches(docs: DataFrame, lexicon: Lexicon, names: list[str]) -> DataFrame:
                 [*(f"c{i}" for i in range(len(names))), "weight", "hits", "n_words", "score"],
             )
 
-    return docs.select(*columns).mapInArrow(work, schema)
+    return map_batches(docs.select(*columns), work, schema)
 
 
 def _term_counts(docs: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def _term_counts(docs: DataFrame) -> DataFrame:
                     yield flush(counts)
         yield flush(counts)
 
-    rows = docs.select("text", "toxic").mapInArrow(work, "term string, toxic long, clean long")
+    rows = map_batches(docs.select("text", "toxic"), work, "term string, toxic long, clean long")
     return rows.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 

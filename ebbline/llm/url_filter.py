@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import LOWER, UPPER, mix, texts_of
+from ebbline.llm.common import LOWER, map_batches, mix, texts_of, UPPER
 
 #: Longest context in characters, counters of the hashed tables (2**SLOT_BITS), weight of the shorter context.
 ORDER, SLOT_BITS, BACKOFF = 5, 20, 1.0
@@ -59,8 +59,7 @@ def _counts(known: DataFrame) -> dict[tuple[int, bool], np.ndarray]:
             for kind in set(kinds):
                 _, _, contexts, grams = _positions([t for t, k in zip(texts_of(batch.column("address")), kinds, strict=True) if k == kind])
                 total = totals.setdefault(kind, np.zeros(2 << SLOT_BITS, np.int64))
-                for slots in (*contexts, *grams):
-                    total += np.bincount(slots, minlength=len(total))
+                total += np.bincount(np.concatenate([*contexts, *grams]), minlength=len(total))
         for (fold, accepted), total in totals.items():
             slots = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({
@@ -68,7 +67,7 @@ def _counts(known: DataFrame) -> dict[tuple[int, bool], np.ndarray]:
                 "slot": pa.array(slots), "n": pa.array(total[slots]),
             })
 
-    rows = known.select("address", "fold", "accepted").mapInArrow(work, "fold int, accepted boolean, slot long, n long")
+    rows = map_batches(known.select("address", "fold", "accepted"), work, "fold int, accepted boolean, slot long, n long")
     rows = rows.groupBy("fold", "accepted", "slot").agg(F.sum("n").alias("n")).toArrow()
     fold, accepted, slot, n = (rows.column(c).to_numpy() for c in ("fold", "accepted", "slot", "n"))
     counts = {}
@@ -126,7 +125,7 @@ def fit(pages: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
             bins = np.clip(np.floor((ratio + SPAN) * (BINS / (2 * SPAN))), 0, BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("accepted"), pa.array(bins)], ["accepted", "bin"])
 
-    bins = known.select("address", "fold", "accepted").mapInArrow(work, "accepted boolean, bin int").groupBy("accepted", "bin").count()
+    bins = map_batches(known.select("address", "fold", "accepted"), work, "accepted boolean, bin int").groupBy("accepted", "bin").count()
     shares = np.zeros((2, BINS))
     for row in bins.collect():  # at most two rows for each bin
         shares[int(row["accepted"]), row["bin"]] = row["count"]
@@ -169,6 +168,6 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
     names = ["page_id", "host", "path", "rule", "ruled", "address"]
     kinds = dict(parts.dtypes)
-    scored = parts.select(*names).mapInArrow(work, ", ".join(f"{n} {kinds[n]}" for n in names) + ", ratio double")
+    scored = map_batches(parts.select(*names), work, ", ".join(f"{n} {kinds[n]}" for n in names) + ", ratio double")
     method = F.when((F.col("address") == "") | (F.col("ratio") >= threshold), "allow").otherwise("block")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "ratio")
