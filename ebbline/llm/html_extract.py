@@ -15,9 +15,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ebbline.llm.common import arrow_map, texts_of
+from ebbline.llm.common import arrow_map, smallest, texts_of
 from ebbline.llm.html_blocks import Block, blocks_of
 
 #: Pages of the corpus that are trained on at most, those of smallest hash, and drawn pages beside them.
@@ -248,7 +247,7 @@ def draw_page(rng: random.Random, words: list[str]) -> str:
 
 def fit(pages: DataFrame) -> Labeller:
     """Train on at most TRAIN_PAGES pages that name their parts, and DRAWN_PAGES drawn ones with words of those."""
-    rows = pages.select("page_id", "html").where("html IS NOT NULL").orderBy(F.xxhash64("page_id"), "page_id", "html").limit(TRAIN_PAGES).collect()
+    rows = smallest(pages.select("page_id", "html").where("html IS NOT NULL"), "page_id", 6, TRAIN_PAGES).collect()
     examples, words = [], set()
     for row in rows:
         blocks = blocks_of(row["html"])[:TRAIN_BLOCKS]
