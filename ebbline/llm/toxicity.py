@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import map_batches, stage, texts_of, uniform
+from ebbline.llm.common import map_batches, smallest, stage, texts_of
 
 #: Labelled documents that teach the lexicon and the calibration: at most so many, those of smallest hash.
 TRAIN_DOCS = 20_000
@@ -169,8 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     Without documents of both labels the stated entries and coefficients stay.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    draw = uniform(F.col("doc_id"), 9)
-    sample = known.orderBy(draw, "doc_id").limit(TRAIN_DOCS).withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(19)), F.lit(5)) < 2)
+    sample = smallest(known, "doc_id", 9, TRAIN_DOCS).withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(19)), F.lit(5)) < 2)
     sample = stage(sample, "toxicity-sample")
     taught = stage(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "toxicity-texts")  # at most TRAIN_DOCS ids
     sizes = {(r["toxic"], r["calibrates"]): r["count"] for r in taught.groupBy("toxic", "calibrates").count().collect()}
