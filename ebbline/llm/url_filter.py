@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.common import LOWER, map_batches, mix, texts_of, UPPER
+from ebbline.llm.common import LOWER, map_batches, stage, texts_of, UPPER
 
-#: Longest context in characters, counters of the hashed tables (2**SLOT_BITS), weight of the shorter context.
-ORDER, SLOT_BITS, BACKOFF = 5, 20, 1.0
+#: Longest context in characters, weight of the shorter context.
+ORDER, BACKOFF = 5, 1.0
+#: Symbols are 1 + byte and two marks; strings of up to ORDER + 1 of them are whole numbers to this base, below 2**63.
+BEGIN, END, BASE = 257, 258, 259
+#: Characters that are scored together at most, but for longer texts.
+BLOCK_CHARS = 1 << 18
 #: Scores are compared in this many bins of log-likelihood per character when the threshold is chosen.
 BINS, SPAN = 2000, 10.0
 
@@ -33,111 +38,162 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return found
 
 
-def _positions(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Row of every character, length of every text, and for each order the slots of context and of context + character."""
-    parts = [np.frombuffer(t.encode("utf-8", "surrogatepass") + b"\x03", np.uint8) for t in texts]  # with an end mark
-    sizes = np.array([len(p) for p in parts], np.int64)
-    padded = np.concatenate([x for p in parts for x in (np.full(ORDER, 2, np.uint8), p)]) if parts else np.empty(0, np.uint8)
-    keep = np.repeat(np.cumsum(sizes + ORDER) - sizes, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    context, contexts, grams = np.zeros(len(keep), np.uint64), [], []
-    for order in range(ORDER + 1):
-        if order:
-            context = context * np.uint64(257) + padded[keep - order].astype(np.uint64) + np.uint64(1)
-        contexts.append((mix(context, 2 * order + 1) >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
-        gram = mix(context, 2 * order + 2) + padded[keep].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        grams.append((mix(gram) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) + (1 << SLOT_BITS))
-    return np.repeat(np.arange(len(texts)), sizes), sizes, contexts, grams
+def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all texts behind their begin marks, the places of what is predicted, and the length of every text with its end mark."""
+    parts = [np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64) + 1 for t in texts]
+    sizes = np.array([len(p) + 1 for p in parts], np.int64)
+    begin, end = np.full(ORDER, BEGIN, np.int64), np.array([END], np.int64)
+    symbols = np.concatenate([x for p in parts for x in (begin, p, end)]) if parts else np.empty(0, np.int64)
+    places = np.repeat(np.cumsum(sizes + ORDER) - sizes, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return symbols, places, sizes
 
 
-def _counts(known: DataFrame) -> dict[tuple[int, bool], np.ndarray]:
-    """Counters by (fold, accepted) of all labelled addresses; 2 * 2**SLOT_BITS counters for each of the four."""
+def _codes(symbols: np.ndarray, places: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Codes of the strings of 0 to ``longest`` symbols that end at each place; different strings have different codes."""
+    codes = [np.zeros(len(places), np.int64)]
+    for back in range(longest):
+        codes.append(codes[-1] + symbols[places - back] * BASE**back)
+    return codes
+
+
+def _keys(texts: list[str]) -> np.ndarray:
+    """Codes to count: every predicted symbol with each context, and each context of only begin marks or no symbol.
+
+    Any other context is itself a shorter gram, and is followed by a symbol whenever it occurs.
+    """
+    symbols, places, sizes = _symbols(texts)
+    grams = _codes(symbols, places, ORDER + 1)
+    first = places[np.cumsum(sizes) - sizes] - 1
+    return np.concatenate([*grams, *_codes(symbols, first, ORDER)[1:]])
+
+
+def _slices(texts: list[str]) -> list[tuple[int, int]]:
+    """(begin, end) of runs of at most BLOCK_CHARS characters; a longer text is alone."""
+    found, begin, held = [], 0, 0
+    for i, text in enumerate(texts):
+        if i > begin and held + len(text) > BLOCK_CHARS:
+            found.append((begin, i))
+            begin, held = i, 0
+        held += len(text)
+    return [*found, (begin, len(texts))] if texts else []
+
+
+def _in_blocks(pages: DataFrame) -> DataFrame:
+    """The rows with the ``block`` they are scored in, at most one Arrow batch and one slice of it."""
 
     def work(batches):
-        totals: dict[tuple[int, bool], np.ndarray] = {}
+        block = TaskContext.get().partitionId() << 40
         for batch in batches:
-            kinds = list(zip(batch.column("fold").to_pylist(), batch.column("accepted").to_pylist(), strict=True))
-            for kind in set(kinds):
-                _, _, contexts, grams = _positions([t for t, k in zip(texts_of(batch.column("address")), kinds, strict=True) if k == kind])
-                total = totals.setdefault(kind, np.zeros(2 << SLOT_BITS, np.int64))
-                total += np.bincount(np.concatenate([*contexts, *grams]), minlength=len(total))
-        for (fold, accepted), total in totals.items():
-            slots = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({
-                "fold": pa.array(np.full(len(slots), fold, np.int32)), "accepted": pa.array(np.full(len(slots), accepted, bool)),
-                "slot": pa.array(slots), "n": pa.array(total[slots]),
-            })
-
-    rows = map_batches(known.select("address", "fold", "accepted"), work, "fold int, accepted boolean, slot long, n long")
-    rows = rows.groupBy("fold", "accepted", "slot").agg(F.sum("n").alias("n")).toArrow()
-    fold, accepted, slot, n = (rows.column(c).to_numpy() for c in ("fold", "accepted", "slot", "n"))
-    counts = {}
-    for f in (0, 1):
-        for a in (False, True):
-            chosen = (fold == f) & (accepted == a)
-            counts[f, a] = np.zeros(2 << SLOT_BITS, np.float32)
-            counts[f, a][slot[chosen]] = n[chosen]
-    return counts
-
-
-def _packed(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values that are not 0: what travels to the tasks."""
-    slots = np.flatnonzero(counts).astype(np.int32)
-    return slots, counts[slots]
-
-
-def _unpacked(packed: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    counts = np.zeros(2 << SLOT_BITS, np.float32)
-    counts[packed[0]] = packed[1]
-    return counts
-
-
-def _likelihoods(counts: np.ndarray, contexts: list[np.ndarray], grams: list[np.ndarray]) -> np.ndarray:
-    """Log-probability of every character, each context smoothed by the next shorter one."""
-    chance = np.full(len(contexts[0]), 1 / 256)
-    for context, gram in zip(contexts, grams, strict=True):
-        chance = (counts[gram] + BACKOFF * chance) / (counts[context] + BACKOFF)
-    return np.log(np.minimum(chance, 1.0))
+            for begin, end in _slices(list(texts_of(batch.column("address")))):
+                block += 1
+                part = batch.slice(begin, end - begin)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(end - begin, block, np.int64))], [*part.schema.names, "block"])
 
+    return map_batches(pages, work, ", ".join(f"{n} {t}" for n, t in pages.dtypes) + ", block long")
 
-def _ratios(texts: list[str], accepted: np.ndarray, rejected: np.ndarray) -> np.ndarray:
-    rows, sizes, contexts, grams = _positions(texts)
-    gain = _likelihoods(accepted, contexts, grams) - _likelihoods(rejected, contexts, grams)
-    return np.bincount(rows, gain, len(texts)) / np.maximum(sizes, 1)
 
+def _counts(known: DataFrame) -> DataFrame:
+    """(key, c0, c1, c2, c3): how often each gram occurs in the labelled addresses of kind 2 * fold + accepted, exactly."""
 
-def fit(pages: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Counters of accepted and rejected addresses, and the threshold of the ratio.
+    def work(batches):
+        for batch in batches:
+            texts, kinds = list(texts_of(batch.column("address"))), batch.column("kind").to_numpy()
+            for begin, end in _slices(texts):
+                for kind in np.unique(kinds[begin:end]):
+                    keys, n = np.unique(_keys([t for t, k in zip(texts[begin:end], kinds[begin:end], strict=True) if k == kind]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), kind, np.int32)), pa.array(n)], ["key", "kind", "n"])
 
-    ``pages`` has ``address`` and ``accepted`` (true or false).  Each half is scored
-    by the model of the other half, and the threshold is the one with the highest mean of
-    the shares judged rightly, the nearest to 0 of several.  Without addresses of
-    both kinds the threshold is minus infinity, so that nothing is rejected.
-    """
-    known = pages.where("accepted IS NOT NULL AND address <> ''").withColumn("fold", F.pmod(F.xxhash64("address", F.lit(10)), F.lit(2)).cast("int"))
-    counts = _counts(known)
-    packed = {key: _packed(c) for key, c in counts.items()}
+    rows = map_batches(known.select("address", "kind"), work, "key long, kind int, n long")
+    return rows.groupBy("key").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(4)))
+
+
+def _wanted(blocks: DataFrame) -> DataFrame:
+    """(block, key): the grams of each block once, however often they occur there."""
 
     def work(batches):
-        models = {f: (_unpacked(packed[f, True]), _unpacked(packed[f, False])) for f in (0, 1)}
         for batch in batches:
-            texts, folds = list(texts_of(batch.column("address"))), batch.column("fold").to_numpy()
-            ratio = np.where(folds == 0, _ratios(texts, *models[1]), _ratios(texts, *models[0]))
-            bins = np.clip(np.floor((ratio + SPAN) * (BINS / (2 * SPAN))), 0, BINS - 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("accepted"), pa.array(bins)], ["accepted", "bin"])
+            texts, ids = list(texts_of(batch.column("address"))), batch.column("block").to_numpy()
+            for block in np.unique(ids):
+                keys = np.unique(_keys([texts[i] for i in np.flatnonzero(ids == block)]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block, np.int64)), pa.array(keys)], ["block", "key"])
+
+    return map_batches(blocks.select("address", "block"), work, "block long, key long")
+
+
+def _likelihoods(contexts: list[np.ndarray], grams: list[np.ndarray]) -> np.ndarray:
+    """Log-probability of every symbol from the counts of its contexts and grams, each context smoothed by the next shorter one."""
+    chance = np.full(len(contexts[0]), 1 / 256)
+    for context, gram in zip(contexts, grams, strict=True):
+        chance = (gram + BACKOFF * chance) / (context + BACKOFF)
+    return np.log(chance)
+
+
+def _ratios(texts: list[str], folds: np.ndarray, keys: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ratio of every text by all counts, and by those of the fold it is not in.
+
+    ``keys`` ascend and hold 0, the code of no symbol; ``counts`` are theirs by kind.
+    """
+    symbols, places, sizes = _symbols(texts)
+    rows = np.repeat(np.arange(len(texts)), sizes)
+
+    def found(codes: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        at = [np.minimum(np.searchsorted(keys, c), len(keys) - 1) for c in codes]
+        return [(i, keys[i] == c) for i, c in zip(at, codes, strict=True)]
+
+    contexts, grams = found(_codes(symbols, places - 1, ORDER)), found(_codes(symbols, places, ORDER + 1)[1:])
+    other = (folds == 0)[rows]
+
+    def of(accepted: int, crossed: bool) -> np.ndarray:
+        first, second = counts[accepted], counts[2 + accepted]
+
+        def take(i: np.ndarray, there: np.ndarray) -> np.ndarray:
+            n = np.where(other, second[i], first[i]) if crossed else first[i] + second[i]
+            return np.where(there, n, 0.0)
+
+        return _likelihoods([take(*x) for x in contexts], [take(*x) for x in grams])
 
-    bins = map_batches(known.select("address", "fold", "accepted"), work, "accepted boolean, bin int").groupBy("accepted", "bin").count()
+    whole, cross = (np.bincount(rows, of(1, crossed) - of(0, crossed), len(texts)) / sizes for crossed in (False, True))
+    return whole, cross
+
+
+def _scored(blocks: DataFrame) -> DataFrame:
+    """The rows with ``ratio`` by all counts and, of the labelled ones, ``bin`` of their ratio by the counts of the other fold.
+
+    Counts stay in their table: the grams of each block are joined to it, and what they
+    find meets the rows of the block again.
+    """
+    looked = _wanted(blocks).join(_counts(blocks.where("kind IS NOT NULL")), "key")
+
+    def work(rows: pa.Table, found: pa.Table) -> pa.Table:
+        keys = found.column("key").to_numpy()
+        order = np.argsort(keys)
+        counts = [found.column(f"c{k}").to_numpy()[order].astype(np.float64) for k in range(4)]
+        keys = keys[order]
+        if not len(keys):  # no labelled addresses at all
+            keys, counts = np.zeros(1, np.int64), [np.zeros(1)] * 4
+        kinds = rows.column("kind").fill_null(-1).to_numpy()
+        ratio, cross = _ratios([t or "" for t in rows.column("address").to_pylist()], kinds // 2, keys, counts)
+        bins = np.clip(np.floor((cross + SPAN) * (BINS / (2 * SPAN))), 0, BINS - 1).astype(np.int32)
+        return rows.append_column("ratio", pa.array(ratio, pa.float64())).append_column("bin", pa.array(bins, pa.int32(), mask=kinds < 0))
+
+    schema = ", ".join(f"{n} {t}" for n, t in blocks.dtypes) + ", ratio double, bin int"
+    return blocks.groupBy("block").cogroup(looked.groupBy("block")).applyInArrow(work, schema)
+
+
+def _threshold(scored: DataFrame) -> float:
+    """The threshold with the highest mean of the shares judged rightly, the nearest to 0 of several; minus infinity without both kinds."""
+    bins = scored.where("kind IS NOT NULL").groupBy((F.col("kind") % 2).alias("accepted"), "bin").count()
     shares = np.zeros((2, BINS))
     for row in bins.collect():  # at most two rows for each bin
-        shares[int(row["accepted"]), row["bin"]] = row["count"]
+        shares[row["accepted"], row["bin"]] = row["count"]
     totals = shares.sum(axis=1)
-    accepted, rejected = (counts[0, a] + counts[1, a] for a in (True, False))
     if not totals.all():
-        return accepted, rejected, -np.inf
+        return -np.inf
     edges = np.arange(BINS + 1) * (2 * SPAN / BINS) - SPAN
     below = np.concatenate([np.zeros((2, 1)), np.cumsum(shares, axis=1)], axis=1) / totals[:, None]
     right = below[0] + (1 - below[1])
     best = np.flatnonzero(right >= right.max() - 1e-12)
-    return accepted, rejected, float(edges[best[np.argmin(np.abs(edges[best]))]])
+    return float(edges[best[np.argmin(np.abs(edges[best]))]])
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -145,9 +201,11 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
     ``rules`` are ("allow" or "block", "host/path") pairs; the longest that fits
     decides, and the addresses it decides are what the two language models are counted on,
-    all of them.  Other addresses are allowed if their log-likelihood under the accepted
-    model less that under the rejected one, per character, reaches the calibrated
-    threshold.  A null url, or one without ``://``, has an empty host and path and is allowed.
+    all of them.  Each half is scored by the counts of the other half to choose the threshold.
+    Other addresses are allowed if their log-likelihood under the accepted
+    model less that under the rejected one, per character, reaches that threshold; without addresses
+    of both kinds nothing is rejected.  A null url, or one without ``://``, has an empty host and path and is allowed.
+    Counts are exact, in a table that grows with the corpus and is only joined to, never gathered.
     Repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -156,18 +214,9 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     for verdict, rule in rules:
         verdicts = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(verdicts)
     parts = parts.withColumn("ruled", verdicts).withColumn("address", F.concat("host", "path"))
-    accepted, rejected, threshold = fit(parts.select("address", (F.col("ruled") == "allow").alias("accepted")))
-
-    packed = _packed(accepted), _packed(rejected)
-
-    def work(batches):
-        models = _unpacked(packed[0]), _unpacked(packed[1])
-        for batch in batches:
-            ratio = _ratios(list(texts_of(batch.column("address"))), *models)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ratio, pa.float64())], [*batch.schema.names, "ratio"])
-
-    names = ["page_id", "host", "path", "rule", "ruled", "address"]
-    kinds = dict(parts.dtypes)
-    scored = map_batches(parts.select(*names), work, ", ".join(f"{n} {kinds[n]}" for n in names) + ", ratio double")
-    method = F.when((F.col("address") == "") | (F.col("ratio") >= threshold), "allow").otherwise("block")
+    fold = F.pmod(F.xxhash64("address", F.lit(10)), F.lit(2))
+    kind = F.when((F.col("address") != "") & F.col("ruled").isNotNull(), 2 * fold + (F.col("ruled") == "allow").cast("int"))
+    blocks = stage(_in_blocks(parts.withColumn("kind", kind.cast("int"))), "url-blocks")
+    scored = stage(_scored(blocks), "url-scored")
+    method = F.when((F.col("address") == "") | (F.col("ratio") >= _threshold(scored)), "allow").otherwise("block")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "ratio")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 
@@ -78,3 +79,14 @@ def test_edges_of_the_input(spark, empty):
     long_ = "http://x.org/fr/" + "a" * 50_000
     rows = judged(spark, [long_, long_, "http://y.net/q"])
     assert rows[0][1:] == rows[1][1:] and rows[0][4] == "allow"
+
+
+def test_counts_are_exact_however_many_grams(spark):
+    """Random paths hold some 10^5 grams, so that in a table of fixed size many would share a counter."""
+    rng = random.Random(5)
+    urls = [f"http://{'a.org/fr' if i % 2 else 'b.net'}/{''.join(rng.choices('abcdefghijklmnopqrstuvwxyz0123456789', k=60))}" for i in range(300)]
+    rows = judged(spark, [*urls, "http://c.com/abcabc"])
+    accepted = brute_model([r[1] + r[2] for r in rows if r[3] == "org/fr/"])
+    rejected = brute_model([r[1] + r[2] for r in rows if r[3] == "net/"])
+    for row in rows:
+        assert row[5] == pytest.approx(brute_ratio(row[1] + row[2], accepted, rejected), abs=1e-9)
