@@ -14,12 +14,15 @@ from ebbline.llm.common import arrow_map, mix, texts_of, uniform
 OTHER = "other"
 #: Topics are groups of words; TOPICS of them, over words of at least LONG_WORD bytes.
 TOPICS, LONG_WORD = 6, 6
+#: A share below this is what rounding leaves of 1.
+LEAST = 1e-9
 
 
 @dataclass(frozen=True)
 class Targets:
     """Target shares of the tokens by dimension; what is not named goes to ``other``, which gets what is left.
 
+    If nothing is left, ``other`` gets the share of the tokens it has, and the named values share the rest.
     ``keep`` is the share of all tokens to sample.  The table of cells has at most
     the product of the named values, whatever the size of the corpus.
     """
@@ -61,6 +64,20 @@ def _shares(named: dict[str, float]) -> dict[str, float]:
     return {k: v / max(total, 1.0) for k, v in named.items()} | {OTHER: max(0.0, 1 - total)}
 
 
+def _goals(shares: list[dict[str, float]], cells: np.ndarray) -> list[np.ndarray]:
+    """The targets as arrays; an ``other`` that nothing is left for gets the share it has, so that its documents can be kept."""
+    goals = []
+    for axis, named in enumerate(shares):
+        goal, other = np.array(list(named.values())), list(named).index(OTHER)
+        if goal[other] < LEAST:
+            has = np.take(cells, other, axis).sum() / max(cells.sum(), 1e-300)
+            goal[other] = 0.0
+            goal *= (1 - has) / goal.sum()
+            goal[other] = has
+        goals.append(goal)
+    return goals
+
+
 def fit_weights(cells: np.ndarray, targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
     """Tokens wanted in every cell: the marginals meet ``targets`` and ratios within are kept.
 
@@ -125,7 +142,7 @@ def mix_sources(docs: DataFrame, targets: Targets) -> DataFrame:
     cells = np.zeros([len(s) for s in shares])
     for row in sums:
         cells[tuple(p[row[k]] for p, k in zip(places, keys, strict=True))] = row["tokens"]
-    weight, chance = probabilities(cells, fit_weights(cells, [np.array(list(s.values())) for s in shares]), targets.keep)
+    weight, chance = probabilities(cells, fit_weights(cells, _goals(shares, cells)), targets.keep)
     rows = [(*(list(p)[i] for p, i in zip(places, at, strict=True)), float(weight[at]), float(chance[at])) for at in np.ndindex(cells.shape) if cells[at]]
     kinds = ", ".join(f"{k} string" for k in keys) + ", weight double, probability double"
     fitted = docs.sparkSession.createDataFrame(rows, kinds)

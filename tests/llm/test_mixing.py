@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from ebbline.llm.corpus import TARGETS as PRODUCTION
 from ebbline.llm.mixing import Targets, fit_weights, mix_sources, probabilities
 
 TARGETS = Targets(source={"a": 0.3, "b": 0.3}, lang={"en": 0.5, "de": 0.3}, topic={f"topic{k}": 1 / 6 for k in range(6)}, keep=0.4)
@@ -59,3 +60,17 @@ def test_edges_of_the_input(spark, documents, empty):
     assert [r["probability"] for r in only] == [0.4, 0.4]
     everything = mix_sources(documents(["some words here"] * 3, extra=False), Targets(keep=1.0)).collect()
     assert all(r["kept"] for r in everything)
+
+
+def test_values_that_no_target_names_can_be_kept(spark):
+    """The named shares of the production targets leave nothing, but null, unlisted and short-word rows are no less clean."""
+    words = [f"word{k:04d}" for k in range(997)]
+    rows = [(i, " ".join(words[(i * 7 + k) % 997] for k in range(5 + i % 40)), ["en", "de", "fr", "es"][i // 20 % 4], f"src{i % 20}", 0) for i in range(2000)]
+    text = " ".join(words[:20])
+    rest = [("en", None, text), ("en", "src20", text), (None, "src1", text), ("it", "src1", text), ("en", "src2", "a few of the like"), ("it", None, "so on"), ("en", "src2", "")]
+    rows += [(2000 + i, text, lang, source, 0) for i, (lang, source, text) in enumerate(rest * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = mix_sources(docs, PRODUCTION).collect()
+    assert min(r["probability"] for r in got) > 0.01
+    assert sum(r["n_tokens"] * r["probability"] for r in got) == pytest.approx(0.6 * sum(r["n_tokens"] for r in got), rel=1e-6)
+    assert {(r["lang"], r["source"], r["text"]) for r in got if r["kept"] and r["doc_id"] >= 2000} == set(rest)
