@@ -12,8 +12,8 @@ from ebbline.llm.common import LOWER, map_batches, stage, texts_of, UPPER
 
 #: Longest context in characters, weight of the shorter context.
 ORDER, BACKOFF = 5, 1.0
-#: Symbols are 1 + byte and two marks; strings of up to ORDER + 1 of them are whole numbers to this base, below 2**63.
-BEGIN, END, BASE = 257, 258, 259
+#: Symbols are 1 + byte, 257 + byte in a scheme, and two marks; strings of up to ORDER + 1 of them are whole numbers to this base, below 2**63.
+SCHEME, BEGIN, END, BASE = 256, 513, 514, 515
 #: Characters that are scored together at most, but for longer texts.
 BLOCK_CHARS = 1 << 18
 #: Scores are compared in this many bins of log-likelihood per character when the threshold is chosen.
@@ -38,33 +38,47 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return found
 
 
-def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all texts behind their begin marks, the places of what is predicted, and the length of every text with its end mark."""
-    parts = [np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64) + 1 for t in texts]
-    sizes = np.array([len(p) + 1 for p in parts], np.int64)
+def _encoded(text: str) -> tuple[np.ndarray, int]:
+    """Symbols of a url, and how many of them stand behind its scheme."""
+    scheme, mark, rest = text.partition("://")
+    if not mark:
+        scheme, rest = "", text
+    front, back = (np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64) + 1 for t in (scheme + mark, rest))
+    return np.concatenate([front + SCHEME, back]), len(back)
+
+
+def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all texts behind their begin marks, the places of what is predicted, and the size of every text with its end mark, whole and without scheme."""
+    parts = [_encoded(t) for t in texts]
+    sizes, lengths = (np.array(n, np.int64) for n in ([len(p) + 1 for p, _ in parts], [n + 1 for _, n in parts]))
     begin, end = np.full(ORDER, BEGIN, np.int64), np.array([END], np.int64)
-    symbols = np.concatenate([x for p in parts for x in (begin, p, end)]) if parts else np.empty(0, np.int64)
+    symbols = np.concatenate([x for p, _ in parts for x in (begin, p, end)]) if parts else np.empty(0, np.int64)
     places = np.repeat(np.cumsum(sizes + ORDER) - sizes, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return symbols, places, sizes
+    return symbols, places, sizes, lengths
 
 
 def _codes(symbols: np.ndarray, places: np.ndarray, longest: int) -> list[np.ndarray]:
-    """Codes of the strings of 0 to ``longest`` symbols that end at each place; different strings have different codes."""
-    codes = [np.zeros(len(places), np.int64)]
-    for back in range(longest):
+    """Codes of the strings of 1 to ``longest`` symbols that end at each place; different strings have different codes."""
+    codes = [symbols[places]]
+    for back in range(1, longest):
         codes.append(codes[-1] + symbols[places - back] * BASE**back)
     return codes
 
 
+def _without(symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Codes of the context without symbols: -1 in a scheme, whose symbols are a set of their own, 0 elsewhere."""
+    return np.where((symbols[places] > SCHEME) & (symbols[places] < BEGIN), -1, 0)
+
+
 def _keys(texts: list[str]) -> np.ndarray:
     """Codes to count: every predicted symbol with each context, and each context of only begin marks or no symbol.
 
     Any other context is itself a shorter gram, and is followed by a symbol whenever it occurs.
     """
-    symbols, places, sizes = _symbols(texts)
+    symbols, places, sizes, _ = _symbols(texts)
     grams = _codes(symbols, places, ORDER + 1)
     first = places[np.cumsum(sizes) - sizes] - 1
-    return np.concatenate([*grams, *_codes(symbols, first, ORDER)[1:]])
+    return np.concatenate([_without(symbols, places), *grams, *_codes(symbols, first, ORDER)])
 
 
 def _slices(texts: list[str]) -> list[tuple[int, int]]:
@@ -93,7 +107,7 @@ def _in_blocks(pages: DataFrame) -> DataFrame:
 
 
 def _counts(known: DataFrame) -> DataFrame:
-    """(key, c0, c1, c2, c3): how often each gram occurs in the labelled addresses of kind 2 * fold + accepted, exactly."""
+    """(key, c0, c1, c2, c3): how often each gram occurs in the labelled urls of kind 2 * fold + accepted, exactly."""
 
     def work(batches):
         for batch in batches:
@@ -129,18 +143,19 @@ def _likelihoods(contexts: list[np.ndarray], grams: list[np.ndarray]) -> np.ndar
 
 
 def _ratios(texts: list[str], folds: np.ndarray, keys: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Ratio of every text by all counts, and by those of the fold it is not in.
+    """Ratio of every text by all counts, and by those of the fold it is not in, for each character behind the scheme.
 
-    ``keys`` ascend and hold 0, the code of no symbol; ``counts`` are theirs by kind.
+    ``keys`` ascend and are not empty; ``counts`` are theirs by kind.
     """
-    symbols, places, sizes = _symbols(texts)
+    symbols, places, sizes, lengths = _symbols(texts)
     rows = np.repeat(np.arange(len(texts)), sizes)
 
     def found(codes: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         at = [np.minimum(np.searchsorted(keys, c), len(keys) - 1) for c in codes]
         return [(i, keys[i] == c) for i, c in zip(at, codes, strict=True)]
 
-    contexts, grams = found(_codes(symbols, places - 1, ORDER)), found(_codes(symbols, places, ORDER + 1)[1:])
+    contexts = found([_without(symbols, places), *_codes(symbols, places - 1, ORDER)])
+    grams = found(_codes(symbols, places, ORDER + 1))
     other = (folds == 0)[rows]
 
     def of(accepted: int, crossed: bool) -> np.ndarray:
@@ -152,7 +167,7 @@ def _ratios(texts: list[str], folds: np.ndarray, keys: np.ndarray, counts: list[
 
         return _likelihoods([take(*x) for x in contexts], [take(*x) for x in grams])
 
-    whole, cross = (np.bincount(rows, of(1, crossed) - of(0, crossed), len(texts)) / sizes for crossed in (False, True))
+    whole, cross = (np.bincount(rows, of(1, crossed) - of(0, crossed), len(texts)) / lengths for crossed in (False, True))
     return whole, cross
 
 
@@ -169,7 +184,7 @@ def _scored(blocks: DataFrame) -> DataFrame:
         order = np.argsort(keys)
         counts = [found.column(f"c{k}").to_numpy()[order].astype(np.float64) for k in range(4)]
         keys = keys[order]
-        if not len(keys):  # no labelled addresses at all
+        if not len(keys):  # no labelled urls at all
             keys, counts = np.zeros(1, np.int64), [np.zeros(1)] * 4
         kinds = rows.column("kind").fill_null(-1).to_numpy()
         ratio, cross = _ratios([t or "" for t in rows.column("address").to_pylist()], kinds // 2, keys, counts)
@@ -200,23 +215,23 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """(page_id, host, path, rule, verdict, ratio) for every row of ``pages``.
 
     ``rules`` are ("allow" or "block", "host/path") pairs; the longest that fits
-    decides, and the addresses it decides are what the two language models are counted on,
-    all of them.  Each half is scored by the counts of the other half to choose the threshold.
-    Other addresses are allowed if their log-likelihood under the accepted
-    model less that under the rejected one, per character, reaches that threshold; without addresses
-    of both kinds nothing is rejected.  A null url, or one without ``://``, has an empty host and path and is allowed.
+    decides, and the urls it decides are what the two language models are counted on,
+    all of them and whole: scheme, query and fragment too.  Each half is scored by the counts of the other half to choose the threshold.
+    Other urls are allowed if their log-likelihood under the accepted model less that under the
+    rejected one, for each character behind the scheme, reaches that threshold; without urls
+    of both kinds nothing is rejected.  A null url, which counts as empty, or one without ``://`` has an empty host and path, and the models judge it like others.
     Counts are exact, in a table that grows with the corpus and is only joined to, never gathered.
     Repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
     """
-    parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    parts = pages.select("page_id", F.coalesce("url", F.lit("")).alias("address"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     parts = parts.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     verdicts = F.lit(None).cast("string")
     for verdict, rule in rules:
         verdicts = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(verdicts)
-    parts = parts.withColumn("ruled", verdicts).withColumn("address", F.concat("host", "path"))
+    parts = parts.withColumn("ruled", verdicts)
     fold = F.pmod(F.xxhash64("address", F.lit(10)), F.lit(2))
-    kind = F.when((F.col("address") != "") & F.col("ruled").isNotNull(), 2 * fold + (F.col("ruled") == "allow").cast("int"))
+    kind = F.when(F.col("ruled").isNotNull(), 2 * fold + (F.col("ruled") == "allow").cast("int"))
     blocks = stage(_in_blocks(parts.withColumn("kind", kind.cast("int"))), "url-blocks")
     scored = stage(_scored(blocks), "url-scored")
-    method = F.when((F.col("address") == "") | (F.col("ratio") >= _threshold(scored)), "allow").otherwise("block")
+    method = F.when(F.col("ratio") >= _threshold(scored), "allow").otherwise("block")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "ratio")

@@ -81,12 +81,61 @@ def test_edges_of_the_input(spark, empty):
     assert rows[0][1:] == rows[1][1:] and rows[0][4] == "allow"
 
 
+def parted(url):
+    """The symbols of a url, those of the scheme apart from the others, and how many are not of the scheme."""
+    scheme, mark, rest = url.partition("://") if "://" in url else ("", "", url)
+    behind = [*rest.encode(), "end"]
+    return ["begin"] * ORDER + [("scheme", c) for c in (scheme + mark).encode()] + behind, len(behind)
+
+
+def contexts_of(data, at):
+    yield isinstance(data[at], tuple)  # no symbol, but in a scheme or behind it
+    for order in range(1, ORDER + 1):
+        yield tuple(data[at - order : at])
+
+
+def exact_model(urls):
+    counts = {}
+    for data, _ in map(parted, urls):
+        for at in range(ORDER, len(data)):
+            for context in contexts_of(data, at):
+                for key in ((context, None), (context, data[at])):
+                    counts[key] = counts.get(key, 0) + 1
+    return counts
+
+
+def exact_ratio(url, accepted, rejected):
+    (data, behind), total = parted(url), 0.0
+    for at in range(ORDER, len(data)):
+        for sign, counts in ((1, accepted), (-1, rejected)):
+            chance = 1 / 256
+            for context in contexts_of(data, at):
+                chance = (counts.get((context, data[at]), 0) + BACKOFF * chance) / (counts.get((context, None), 0) + BACKOFF)
+            total += sign * math.log(chance)
+    return total / behind
+
+
 def test_counts_are_exact_however_many_grams(spark):
     """Random paths hold some 10^5 grams, so that in a table of fixed size many would share a counter."""
     rng = random.Random(5)
     urls = [f"http://{'a.org/fr' if i % 2 else 'b.net'}/{''.join(rng.choices('abcdefghijklmnopqrstuvwxyz0123456789', k=60))}" for i in range(300)]
-    rows = judged(spark, [*urls, "http://c.com/abcabc"])
-    accepted = brute_model([r[1] + r[2] for r in rows if r[3] == "org/fr/"])
-    rejected = brute_model([r[1] + r[2] for r in rows if r[3] == "net/"])
+    urls.append("http://c.com/abcabc")
+    rows = judged(spark, urls)
+    accepted, rejected = (exact_model([urls[r[0]] for r in rows if r[3] == rule]) for rule in ("org/fr/", "net/"))
+    for row in rows:
+        assert row[5] == pytest.approx(exact_ratio(urls[row[0]], accepted, rejected), abs=1e-9)
+
+
+def test_the_whole_url_is_scored(spark):
+    """What differs only behind ? or #, in the scheme, or has no :// at all, is told apart."""
+    ours = [f"https://site.org/fr/?article={k}#text" for k in range(40)]
+    theirs = [f"http://site.net/?casino=jackpot{k}#win" for k in range(40)]
+    open_ = ["https://x.com/?article=7#text", "https://x.com/?casino=jackpot7#win", "https://x.com/#text", "https://x.com/#win", "http://x.com/#text", "article=3#text", "?casino=jackpot3#win", None, ""]
+    urls = [*ours, *theirs, *open_]
+    rows = judged(spark, urls)
+    accepted, rejected = (exact_model([urls[r[0]] for r in rows if r[3] == rule]) for rule in ("org/fr/", "net/"))
     for row in rows:
-        assert row[5] == pytest.approx(brute_ratio(row[1] + row[2], accepted, rejected), abs=1e-9)
+        assert row[5] == pytest.approx(exact_ratio(urls[row[0]] or "", accepted, rejected), abs=1e-9)
+    found = rows[-9:]
+    assert [r[4] for r in found[:2]] == ["allow", "block"] and [r[4] for r in found[5:7]] == ["allow", "block"]
+    assert found[2][5] > found[3][5] and found[2][5] > found[4][5] and found[7][4:] == found[8][4:]
