@@ -28,7 +28,7 @@ CONFIDENCE = {STRONG: 1.0, NAMED: 0.8, HINT: 0.5}
 #: The phrases every caller gets: (phrase, label).
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: (label, keyword, name, identifier): keyword is in every text that the name matches, identifier is that of a license tag.
+#: (label, keyword, name, identifier): keyword begins a word in every text that the name matches, whichever alternative it takes; identifier is that of a license tag.
 _V = "(?:version |v ?)?"
 FAMILIES = (
     ("apache-1.0", "apache", "apache (?:software )?licen[sc]e " + _V + "1 0", "apache 1 0"),
@@ -39,7 +39,7 @@ FAMILIES = (
     ("expat", "expat", "expat licen[sc]e", "expat"),
     ("isc", "isc lic", "isc licen[sc]e", "isc"),
     ("0bsd", "zero", "(?:bsd )?zero clause(?: bsd)? licen[sc]e", "0bsd"),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|freebsd|(?:2|two) clause bsd|bsd (?:2|two) clause) licen[sc]e", "bsd 2 clause"),
+    ("bsd-2-clause", "licen", "(?:simplified bsd|freebsd|(?:2|two) clause bsd|bsd (?:2|two) clause) licen[sc]e", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|revised bsd|(?:3|three) clause bsd|bsd (?:3|three) clause) licen[sc]e", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", "(?:original bsd|(?:4|four) clause bsd|bsd (?:4|four) clause) licen[sc]e", "bsd 4 clause"),
     ("bsd", "bsd", "bsd (?:style )?licen[sc]e", "bsd"),
@@ -114,7 +114,7 @@ VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 NOTICES = (
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", HINT),
     ("copyright", "copyright", "copyright (?:c )?by", HINT),
-    ("reserved", "rights reserved", "(?:all|some|no) rights (?:are )?reserved", NAMED),
+    ("reserved", "rights", "(?:all|some|no) rights (?:are )?reserved", NAMED),
     ("reserved", "derechos reservados", "todos los derechos reservados", NAMED),
     ("reserved", "droits", "tous droits réservés", NAMED),
     ("reserved", "rechte vorbehalten", "alle rechte vorbehalten", NAMED),
@@ -130,7 +130,7 @@ NOTICES = (
     ("license", "licensed under", "licensed under", HINT),
     ("warranty", "warranty", "without (?:any )?warranty of any kind", HINT),
     ("warranty", "provided as is", "provided as is without warranty", HINT),
-    ("non-commercial", "commercial", "for non ?commercial use only", STRONG),
+    ("non-commercial", "for non", "for non ?commercial use only", STRONG),
     ("non-commercial", "commercial", "(?:not for|no) commercial use", NAMED),
     ("research-only", "research", "for research (?:purposes|use) only", STRONG),
     ("dual", "dual lic", "dual licen[sc]ed", HINT),

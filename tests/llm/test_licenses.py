@@ -1,10 +1,11 @@
 from __future__ import annotations
 
+import itertools
 import re
 
 import pytest
 
-from ebbline.llm.licenses import BASE, HINT, NAMED, STRONG, Rule, _spaced, build_rules, scan_licenses
+from ebbline.llm.licenses import BASE, HINT, NAMED, STRONG, Rule, _spaced, build_rules, gate, scan_licenses
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -85,3 +86,46 @@ def test_keyword_is_part_of_the_simplest_match(rule):
         text = shorter
     text = re.sub(r"\[(.)[^\]]*\](?:\{\d\}|\*|\+)?", r"\1", text).replace(" ?", " ").strip()
     assert re.search(" " + _spaced(rule.keyword), "".join(f" {w} " for w in text.split())), text
+
+
+def expansions(items):
+    """Every text of a parsed pattern: all alternatives, with and without what is optional; any other word is x."""
+    texts = [""]
+    for kind, value in items:
+        name = str(kind)
+        if name == "LITERAL":
+            more = [chr(value)]
+        elif name == "IN":
+            more = ["x"] if str(value[0][0]) == "NEGATE" else [chr(v if str(k) == "LITERAL" else v[0]) for k, v in value]
+        elif name == "NOT_LITERAL":
+            more = ["x"]
+        elif name == "SUBPATTERN":
+            more = expansions(value[3])
+        elif name == "BRANCH":
+            more = [t for branch in value[1] for t in expansions(branch)]
+        else:
+            assert name == "MAX_REPEAT", name
+            low, high, inner = value
+            more = ["".join(p) for n in {low, min(high, low + 1)} for p in itertools.product(expansions(inner), repeat=n)]
+        texts = [a + b for a in texts for b in more]
+    return texts
+
+
+def test_every_alternative_passes_its_gates():
+    rules = build_rules()
+    literals = gate(rules)
+    for rule in rules:
+        pattern = " (?:" + _spaced(rule.pattern) + ") "
+        for text in set(expansions(re._parser.parse(pattern))):
+            assert re.fullmatch(pattern, text)
+            assert " " + _spaced(rule.keyword) in text, (rule, text)
+            assert any(literal in text for literal in literals), (rule, text)
+
+
+@pytest.mark.parametrize(("text", "labels", "score"), [
+    ("the FreeBSD license", "bsd-2-clause", 0.8), ("licensed under the FreeBSD License", "bsd-2-clause", 1.0), ("for noncommercial use only", "non-commercial", 1.0),
+    ("for non-commercial use only", "non-commercial", 1.0), ("All rights are reserved.", "reserved", 0.8), ("some rights reserved", "reserved", 0.8),
+])
+def test_phrases_without_the_usual_keyword(spark, documents, text, labels, score):
+    (row,) = scan_licenses(documents([text])).collect()
+    assert (row["labels"], row["score"]) == (labels, score)
