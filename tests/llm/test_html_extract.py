@@ -35,6 +35,22 @@ def test_paths_and_links():
     assert [b.linked for b in found] == [2, 0, 0, 0]
 
 
+@pytest.mark.parametrize(("page", "texts"), [
+    ("<html><head><title>x</title><body><article><p>a</article>", ["a"]), ("<head><meta name=x><title>x</title><style>s</style><p>a", ["a"]),
+    ("<head><title>x</title><script>s</script></head><p>a", ["a"]), ("<head><title>x</title>a<p>b", ["a", "b"]),
+    ("<p>a<button>x<p>b</p>c", ["a", "b", "c"]), ("<div><button>x</div>a<p>b</p><button>y</button>c", ["a", "b", "c"]),
+    ("<p><button>x<button>y</button>a</p>b", ["a", "b"]), ("<button><div>x</div>y</button><p>a", ["a"]),
+    ("<select><option>x<option>y</select>a", ["a"]), ("<select><option>x<option>y<p>a", ["a"]), ("<div><select><option>x</div>a", ["a"]),
+    ("<object>x<object>y</object>z</object>a", ["a"]), ("<object data=q>x<p>a</p>b", ["a", "b"]), ("<div><object>x</div>y</object>a</div>", ["a"]),
+    ("<svg><title>x<path></svg>a", ["a"]), ("<svg><title>x<p>a", ["a"]), ("<p>a<svg><path></p>b<svg></svg>c", ["a", "bc"]),
+    ("<noscript>x<p>a", ["a"]), ("<noscript><p>x</p></noscript>a", ["a"]), ("<iframe src=q>x<p>a", ["a"]), ("<svg/><p>a", ["a"]),
+    ("<p>a<script>x<p>y", ["a"]), ("<p>a<title>x<p>y", ["a"]), ("<p>a<textarea>x<p>y", ["a"]), ("<canvas>x<template>y<p>a", ["a"]),
+    ("<p>w <object>" * 20_000, ["w"] * 20_000), ("<noscript>x<p>a" * 20_000, ["a"] * 20_000),
+])
+def test_unclosed_silent_elements(page, texts):
+    assert [b.text for b in blocks_of(page)] == texts
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(1)
     x, there, y = _padded([(rng.random((n, html_extract.WIDTH)), rng.integers(0, 2, n)) for n in (6, 3)])
