@@ -11,10 +11,13 @@ from ebbline.llm import corpus, oracles
 from ebbline.llm.chat import rotate_perspectives
 from ebbline.llm.common import table
 from ebbline.llm.decontaminate import find_benchmark
+from ebbline.llm.fill_middle import fill_in_middle, restored
 from ebbline.llm.html_extract import extract
 from ebbline.llm.licenses import scan_licenses
+from ebbline.llm.minhash_dedup import minhash_dedup
 from ebbline.llm.mixing import mix_sources
 from ebbline.llm.ngram_join import ngram_join
+from ebbline.llm.prefix_trie import placed_turns, prefix_trie, share_heads
 from ebbline.llm.token_counts import count_tokens
 from ebbline.llm.topk import top_k
 from ebbline.llm.toxicity import toxicity
@@ -92,3 +95,21 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_url_filter")
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), corpus.URL_RULES)
+
+
+@query("op11_minhash_dedup", oracles.MINHASH_DEDUP)
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_trie", oracles.PREFIX_TRIE)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, sizes = placed_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie(share_heads(placed, sizes), sizes)
+
+
+@query("op13_fill_middle", oracles.FILL_MIDDLE)
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = (F.sha2(c, 256).alias(f"{name}_sha256") for name, c in (("output", F.col("output")), ("restored", restored(F.col("output"), F.col("form")))))
+    return samples.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)

@@ -11,11 +11,11 @@ from tests.conftest import SMALL
 from tests.llm.test_ngram_join import brute
 from tools.check_queries import differences
 
-NUMBERS = {f"op{n}" for n in range(1, 11)}
+NUMBERS = {f"op{n}" for n in range(1, 14)}
 
 
 def test_every_operator_is_registered_once():
-    assert {name.split("_")[0] for name in QUERIES} == NUMBERS and len(QUERIES) == 10
+    assert {name.split("_")[0] for name in QUERIES} == NUMBERS and len(QUERIES) == 13
     assert QUERIES.keys() | {"pipeline"} <= queries().keys() and ORACLES.keys() <= oracle_sql().keys()
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_join", "decontamination", "mixing"]
 
