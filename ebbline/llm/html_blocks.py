@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from dataclasses import dataclass
 
 BLOCKS = frozenset(
@@ -19,20 +20,56 @@ SINGLE, FOREIGN, SCOPES = frozenset("button option select".split()), frozenset("
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the key ends an open element of these.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)(?:>|\Z)", re.S)
+#: A quote opens a value only right after the equals sign, and only if it is closed somewhere; elsewhere it is a character like others.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|(?!["'])[^\t\n\f\r >]++)"""
+_ATTRIBUTE = rf"[\t\n\f\r /]*+[^\t\n\f\r />][^\t\n\f\r />=]*+(?:[\t\n\f\r ]*+=[\t\n\f\r ]*+{_VALUE}?)?"
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\t\n\f\r />]*+)((?:{_ATTRIBUTE})*+[\t\n\f\r /]*+)(?:>|\Z)", re.S)
 _NAME = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: Slots that the tags and class words of a path are hashed to.
+PATH_SLOTS = 96
+
+
+class Container:
+    """An open element: its tag and class words, what it stands in, and the slots of all of them as the bits of a number."""
+
+    __slots__ = ("above", "slots", "tag", "words")
+
+    def __init__(self, above: Container | None, tag: str, words: tuple[str, ...]):
+        self.above, self.tag, self.words = above, tag, words
+        self.slots = above.slots if above else 0
+        for token in self.own():
+            self.slots |= 1 << zlib.crc32(token.encode("utf-8", "surrogatepass")) % PATH_SLOTS
+
+    def own(self) -> tuple[str, ...]:
+        return self.tag, *(f".{w}" for w in self.words)
 
 
 @dataclass
 class Block:
-    """Text of a leaf, the tags and class words around it, its own tag, and the characters in links."""
+    """Text of a leaf, the innermost container it stands in, and the characters in links."""
 
     text: str
-    path: tuple[str, ...]
-    tag: str
+    inside: Container | None
     linked: int
 
+    @property
+    def tag(self) -> str:
+        return self.inside.tag if self.inside else ""
+
+    @property
+    def slots(self) -> int:
+        return self.inside.slots if self.inside else 0
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """The tags and class words around the text, from outside."""
+        found, at = [], self.inside
+        while at:
+            found.append(at.own())
+            at = at.above
+        return tuple(token for own in reversed(found) for token in own)
+
 
 def _silent_ends(page: str) -> dict[int, tuple[int, bool]]:
     """Where the silent element that opens at a place ends, and whether it is closed there.
@@ -87,29 +124,34 @@ def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order; unclosed and cut-off markup is taken as a browser would.
 
     Inline elements and line breaks stay inside their block.  Character references are
-    decoded and white space becomes one space; blocks without text are left out.
+    decoded, each between two tags, and white space becomes one space; blocks without text are left out.
+    The time grows with the page, however deep its elements are nested.
     A silent element without its closing tag ends at the latest where a block begins or ends; only raw text goes on to the end of the page.
     """
     silent = _silent_ends(page)
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Container] = []
+    open_: dict[str, list[int]] = {}
     parts: list[str] = []
     linked = link = at = quiet = 0  # text before quiet is that of an unclosed silent element
-    path: tuple[str, ...] = ()
 
     def flush() -> None:
         nonlocal linked, parts
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                found.append(Block(text, path, stack[-1][0] if stack else "", min(linked, len(text))))
+                found.append(Block(text, stack[-1] if stack else None, min(linked, len(text))))
         parts, linked = [], 0
 
+    def pop_to(depth: int) -> None:
+        while len(stack) > depth:
+            open_[stack.pop().tag].pop()
+
     while at < len(page):
         match = _TAG.search(page, at)
         stop = match.start() if match else len(page)
         if stop > at and at >= quiet:
-            parts.append(page[at:stop])
+            parts.append(html.unescape(page[at:stop]))
             linked += (stop - at) * link
         if not match:
             break
@@ -130,15 +172,14 @@ def blocks_of(page: str) -> list[Block]:
             flush()
             link = quiet = 0
             if closing:
-                open_ = [i for i, (t, _) in enumerate(stack) if t == tag]
-                if open_:
-                    del stack[open_[-1] :]
+                if open_.get(tag):
+                    pop_to(open_[tag][-1])
             elif tag not in VOID:
                 ends = CLOSES.get(tag, {"p"})
-                while stack and stack[-1][0] in ends:
-                    stack.pop()
+                while stack and stack[-1].tag in ends:
+                    pop_to(len(stack) - 1)
                 words = tuple(w for m in _NAME.finditer(match[3]) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower()))
-                stack.append((tag, words))
-            path = tuple(x for t, words in stack for x in (t, *(f".{w}" for w in words)))
+                open_.setdefault(tag, []).append(len(stack))
+                stack.append(Container(stack[-1] if stack else None, tag, words))
     flush()
     return found

@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ebbline.llm.common import arrow_map, smallest, texts_of
-from ebbline.llm.html_blocks import Block, blocks_of
+from ebbline.llm.html_blocks import PATH_SLOTS, Block, blocks_of
 
 #: Pages of the corpus that are trained on at most, those of smallest hash, and drawn pages beside them.
 TRAIN_PAGES, DRAWN_PAGES = 300, 500
 #: Blocks of a page that are trained on at most, in one window; extraction reads whole pages.
 TRAIN_BLOCKS = 120
-PATH_SLOTS, WORD_SLOTS, MEASURES, HIDDEN = 96, 32, 7, 20
+WORD_SLOTS, MEASURES, HIDDEN = 32, 7, 20
 EPOCHS, BATCH, RATE = 10, 32, 0.01
 WIDTH = PATH_SLOTS + WORD_SLOTS + MEASURES
 
@@ -37,10 +37,8 @@ ASIDE = frozenset(
 
 
 @lru_cache(maxsize=20_000)
-def _path(path: tuple[str, ...], tag: str) -> np.ndarray:
-    row = np.zeros(PATH_SLOTS)
-    for token in path:
-        row[zlib.crc32(token.encode("utf-8", "surrogatepass")) % PATH_SLOTS] = 1.0
+def _path(slots: int, tag: str) -> np.ndarray:
+    row = np.array([slots >> k & 1 for k in range(PATH_SLOTS)], float)
     row[zlib.crc32(f"leaf {tag}".encode("utf-8", "surrogatepass")) % PATH_SLOTS] += 0.5
     return row
 
@@ -63,7 +61,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     rows[:, PATH_SLOTS : PATH_SLOTS + WORD_SLOTS] = np.bincount(owner * WORD_SLOTS + slots, minlength=count * WORD_SLOTS).reshape(count, -1) / words[:, None]
     for i, b in enumerate(blocks):
         size = len(b.text)
-        rows[i, :PATH_SLOTS] = _path(b.path, b.tag)
+        rows[i, :PATH_SLOTS] = _path(b.slots, b.tag)
         rows[i, -MEASURES:] = (
             np.log1p(size) / 5, np.log1p(words[i]) / 4, b.linked / size, (i + 1) / count, 1 / (i + 1), b.text[-1] in ".!?…", "©" in b.text,
         )

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import html
+import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -51,6 +54,124 @@ def test_unclosed_silent_elements(page, texts):
     assert [b.text for b in blocks_of(page)] == texts
 
 
+SPACE = "\t\n\f\r "
+
+
+def tag_end(page, at):
+    """Behind the tag that begins at ``at``, one character after the other: in names, and in values behind an equals sign."""
+    at += 1 + (page[at + 1] == "/")
+    while at < len(page) and page[at] not in SPACE + "/>":
+        at += 1
+    while at < len(page):
+        while at < len(page) and page[at] in SPACE + "/":
+            at += 1
+        if at == len(page):
+            break
+        if page[at] == ">":
+            return at + 1
+        at += 1  # the first character of a name may be an equals sign
+        while at < len(page) and page[at] not in SPACE + "/>=":
+            at += 1
+        value = at
+        while value < len(page) and page[value] in SPACE:
+            value += 1
+        if value == len(page) or page[value] != "=":
+            continue
+        value += 1
+        while value < len(page) and page[value] in SPACE:
+            value += 1
+        at = value
+        if value < len(page) and page[value] in "\"'":
+            close = page.find(page[value], value + 1)
+            at = close + 1 if close >= 0 else value
+            continue
+        while at < len(page) and page[at] not in SPACE + ">":
+            at += 1
+    return at
+
+
+def plain_blocks(page):
+    """The texts between block tags, by a machine that reads one character after the other."""
+    found, now, at, run = [], [], 0, ""
+
+    def flush():
+        text = " ".join("".join(now).split())
+        if text:
+            found.append(text)
+        now.clear()
+
+    while at <= len(page):
+        name = page[at + 1 : at + 3].lstrip("/")[:1] if at < len(page) and page[at] == "<" and page[at + 1 : at + 3] != "//" else ""
+        is_tag = bool(name) and name.isascii() and name.isalpha()
+        if at == len(page) or is_tag:
+            now.append(html.unescape(run))
+            run = ""
+        if at == len(page):
+            break
+        if not is_tag:
+            run += page[at]
+            at += 1
+            continue
+        word = page[at + 1 + (page[at + 1] == "/") :]
+        word = word[: next((i for i, c in enumerate(word) if c in SPACE + "/>"), len(word))].lower()
+        at = tag_end(page, at)
+        if word in ("p", "div", "li"):
+            flush()
+        elif word == "br":
+            now.append(" ")
+    flush()
+    return found
+
+
+def test_blocks_of_random_markup():
+    rng = random.Random(11)
+    marks = ["<p", "<div ", "<b>", "</b>", "</p>", "<br/>", "<li a=", " title=", " x", "=", "'", '"', ">", "/", " ", "\n", "O'Neil", "don't", "&am", "p;", "&lt;", "&copy;", "word", "é", "< ", "<i y='", "b\"c"]
+    for _ in range(6000):
+        page = "".join(rng.choices(marks, k=rng.randint(1, 14)))
+        assert [b.text for b in blocks_of(page)] == plain_blocks(page), page
+
+
+def test_names_with_apostrophes_keep_the_article():
+    page = "<article><h1>Title</h1><p data-author=O'Neil>It's one.</p><p>Two.</p><p>Don't stop.</p></article>"
+    assert [b.text for b in blocks_of(page)] == ["Title", "It's one.", "Two.", "Don't stop."]
+    assert [b.text for b in blocks_of("<p title=it's>Hello don't worry</p><p>rest</p>")] == ["Hello don't worry", "rest"]
+    assert [b.text for b in blocks_of("AT&am<b>p;</b>x")] == ["AT&amp;x"]
+
+
+@pytest.mark.parametrize("page", ["<div class=a>" * 20_000 + "x" + "</div>" * 20_000, "<div class=a>x" * 20_000, "<div><i></div>" * 20_000])
+def test_deep_pages_take_no_longer_than_long_ones(page):
+    began = time.perf_counter()
+    vectors(blocks_of(page))
+    assert time.perf_counter() - began < 4
+
+
+def plain_forward(model, x):
+    """The labeller on one page, a number at a time."""
+    def sigma(v):
+        return 1 / (1 + math.exp(-v))
+
+    size, scores = html_extract.HIDDEN, [float(model.p["bias"][0])] * len(x)
+    for way in "fb":
+        wx, wh, bias, out = (model.p[f"{k}{way}"].tolist() for k in "xhow")
+        h, c = [0.0] * size, [0.0] * size
+        for t in range(len(x)) if way == "f" else range(len(x) - 1, -1, -1):
+            z = [bias[j] + sum(v * wx[i][j] for i, v in enumerate(x[t]) if v) + sum(h[i] * wh[i][j] for i in range(size)) for j in range(4 * size)]
+            c = [sigma(z[size + j]) * c[j] + sigma(z[j]) * math.tanh(z[3 * size + j]) for j in range(size)]
+            h = [sigma(z[2 * size + j]) * math.tanh(c[j]) for j in range(size)]
+            scores[t] += sum(a * b for a, b in zip(h, out, strict=True))
+    return [sigma(s) for s in scores]
+
+
+def test_labels_equal_those_of_plain_loops(labeller):
+    rng = random.Random(4)
+    pages = [vectors(blocks_of(draw_page(rng, ["alpha", "beta", "gamma"]))) for _ in range(12)]
+    for rows, labels in zip(pages, labeller.label(pages), strict=True):
+        wanted = plain_forward(labeller, rows.astype(float).tolist())
+        assert all(abs(w - 0.5) < 1e-6 or (w >= 0.5) == got for w, got in zip(wanted, labels, strict=True))
+        chance, _ = labeller.forward(*_padded([(rows, np.zeros(len(rows)))])[:2])
+        assert np.allclose(chance[:, 0], wanted, atol=1e-6)
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(1)
     x, there, y = _padded([(rng.random((n, html_extract.WIDTH)), rng.integers(0, 2, n)) for n in (6, 3)])
