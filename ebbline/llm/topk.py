@@ -13,8 +13,37 @@ from ebbline.llm.common import stage
 BINS, QUERY_BLOCK, CHUNK = 512, 4096, 2048
 
 
+#: Sums of products below this are exact in doubles; vectors whose squares sum up to less than LONG meet in 64 bits.
+DOUBLE, LONG = 2.0**53, 2.0**62
+LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+
+def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The exact inner products of whole numbers, as longs; one that no long holds becomes the nearest long.
+
+    Small numbers multiply as doubles, which is fast; larger ones as longs if the lengths of both vectors
+    bound the product; the rest as integers of any size.
+    """
+    if np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * queries.shape[1] < DOUBLE:
+        return np.rint(queries @ vectors.T).astype(np.int64)
+    with np.errstate(over="ignore"):
+        short = [(m.astype(float) ** 2).sum(axis=1) < LONG for m in (queries, vectors)]
+    found = np.zeros((len(queries), len(vectors)), np.int64)
+    found[np.ix_(*short)] = queries[short[0]].astype(np.int64) @ vectors[short[1]].astype(np.int64).T
+    whole = [np.array([[int(x) for x in row] for row in m], object).reshape(m.shape) for m in (queries, vectors)]
+    for rows, columns in ((~short[0], np.ones(len(vectors), bool)), (short[0], ~short[1])):
+        if rows.any() and columns.any():
+            found[np.ix_(rows, columns)] = np.clip(whole[0][rows] @ whole[1][columns].T, LOWEST, HIGHEST).astype(np.int64)
+    return found
+
+
+def _distance(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """high - low of longs, which may need all 64 bits."""
+    return high.astype(np.uint64) - low.astype(np.uint64)
+
+
 def _matrix(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Vectors of a batch by dimension: (ids, matrix).  They are whole numbers, exact in doubles."""
+    """Vectors of a batch by dimension: (ids, matrix).  They are whole numbers."""
     lists, ids = batch.column("vector"), batch.column("vec_id").to_numpy(zero_copy_only=False)
     sizes, flat, found = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), {}
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -32,7 +61,7 @@ def _scored(batches, queries: dict[int, tuple[np.ndarray, np.ndarray]]):
                 numbers, vectors, query_ids = queries[size]
                 for at in range(0, len(ids), CHUNK):
                     part = ids[at : at + CHUNK]
-                    scores = np.rint(vectors @ matrix[at : at + CHUNK].T).astype(np.int64)
+                    scores = products(vectors, matrix[at : at + CHUNK])
                     yield numbers, part, scores, query_ids[:, None] == part[None, :]
 
 
@@ -52,10 +81,10 @@ def _search(vectors: DataFrame, rows: pa.Table, k: int) -> DataFrame:
     ids, queries = _block(rows)
 
     def ranges(batches):
-        low, high, count = np.full(len(ids), 2**62), np.full(len(ids), -(2**62)), np.zeros(len(ids), np.int64)
+        low, high, count = np.full(len(ids), HIGHEST), np.full(len(ids), LOWEST), np.zeros(len(ids), np.int64)
         for numbers, _, scores, own in _scored(batches, queries):
-            low[numbers] = np.minimum(low[numbers], np.where(own, 2**62, scores).min(axis=1))
-            high[numbers] = np.maximum(high[numbers], np.where(own, -(2**62), scores).max(axis=1))
+            low[numbers] = np.minimum(low[numbers], np.where(own, HIGHEST, scores).min(axis=1))
+            high[numbers] = np.maximum(high[numbers], np.where(own, LOWEST, scores).max(axis=1))
             count[numbers] += (~own).sum(axis=1)
         seen = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(low[seen]), pa.array(high[seen]), pa.array(count[seen])], ["q", "low", "high", "n"])
@@ -65,15 +94,15 @@ def _search(vectors: DataFrame, rows: pa.Table, k: int) -> DataFrame:
     q, least, most, n = (found.column(i).to_numpy() for i in range(4))
     low[q], high[q], wanted[q] = least, most, np.minimum(k, n)
     # the wanted-th highest score lies in [low, high]; ``wanted`` counts what is still to be found in that range
-    while (width := (high - low)[wanted > 0].max(initial=0)) > 0:
-        step = np.maximum(-(-(high - low + 1) // BINS), 1)
+    while (wanted > 0).any() and _distance(high, low)[wanted > 0].max() > 0:
+        step = _distance(high, low) // np.uint64(BINS) + np.uint64(1)
 
         def histogram(batches, low=low, high=high, step=step):
             counts = np.zeros((len(ids), BINS), np.int64)
             for numbers, _, scores, own in _scored(batches, queries):
                 inside = ~own & (scores >= low[numbers, None]) & (scores <= high[numbers, None])
                 row, column = np.nonzero(inside)
-                bins = (scores[row, column] - low[numbers[row]]) // step[numbers[row]]
+                bins = (_distance(scores[row, column], low[numbers[row]]) // step[numbers[row]]).astype(np.int64)
                 counts += np.bincount(numbers[row] * BINS + bins, minlength=counts.size).reshape(counts.shape)
             row, column = np.nonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(column), pa.array(counts[row, column])], ["q", "bin", "n"])
@@ -85,7 +114,10 @@ def _search(vectors: DataFrame, rows: pa.Table, k: int) -> DataFrame:
         chosen = np.maximum((above >= np.maximum(wanted, 1)[:, None]).sum(axis=1) - 1, 0)
         rest = np.where(chosen + 1 < BINS, np.take_along_axis(above, np.minimum(chosen + 1, BINS - 1)[:, None], 1)[:, 0], 0)
         wanted = np.where(wanted > 0, wanted - rest, 0)
-        low, high = np.where(wanted > 0, low + chosen * step, low), np.where(wanted > 0, np.minimum(low + (chosen + 1) * step - 1, high), low)
+        start = chosen.astype(np.uint64) * step
+        first = (low.astype(np.uint64) + start).view(np.int64)
+        last = (low.astype(np.uint64) + np.minimum(start + step - np.uint64(1), _distance(high, low))).view(np.int64)
+        low, high = np.where(wanted > 0, first, low), np.where(wanted > 0, last, low)
 
     has = np.zeros(len(ids), bool)
     has[q] = n > 0
@@ -120,7 +152,8 @@ def top_k(embeddings: DataFrame, is_query, k: int = 5, scale: int = 256) -> Data
     Components become floor(scale * x), so scores are exact whole numbers.  ``is_query``
     is a column that marks the query rows; every row with another vec_id is a candidate,
     ties go to the smaller vec_id, and a query with fewer candidates returns them all.
-    Null vectors, vectors with a null or non-finite component, empty vectors and rows without an id
+    Scores of large components are exact too; one that does not fit in a long counts as the nearest long.
+    Null vectors, vectors with a null or non-finite component (or one that is not finite times ``scale``), empty vectors and rows without an id
     take no part; vectors of different length do not meet.  Rows that repeat a query's id and
     vector count as one query; repeated candidates fill one rank each.  An empty table gives no rows.
 
@@ -128,11 +161,17 @@ def top_k(embeddings: DataFrame, is_query, k: int = 5, scale: int = 256) -> Data
     each block the range of scores, then histograms within the bin of the k-th score,
     narrow that score down to one value; only what reaches it is ranked.
     """
-    sound = F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    sound = F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x * float(scale)) == float("inf")))
     vectors = embeddings.withColumn("asked", F.coalesce(is_query, F.lit(False))).select(
         "vec_id", F.col("embedding").cast("array<double>").alias("vector"), "asked"
     ).where(F.col("vec_id").isNotNull() & sound)
-    vectors = stage(vectors.withColumn("vector", F.transform("vector", lambda x: F.floor(x * float(scale)).cast("double"))), "topk-vectors")
+
+    def floor(x):
+        """Doubles from 2**52 on are whole already, and may be too large for the long that floor gives."""
+        y = x * float(scale)
+        return F.when(F.abs(y) < 2.0**52, F.floor(F.when(F.abs(y) < 2.0**52, y)).cast("double")).otherwise(y)
+
+    vectors = stage(vectors.withColumn("vector", F.transform("vector", floor)), "topk-vectors")
     queries = stage(vectors.where("asked").select("vec_id", "vector").distinct(), "topk-queries")
     count = queries.count()
     blocks = -(-count // QUERY_BLOCK)
