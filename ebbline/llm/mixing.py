@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -97,7 +98,8 @@ def fit_weights(cells: np.ndarray, targets: list[np.ndarray], rounds: int = 200,
             worst = max(worst, np.abs(now - goal).max())
             wanted = wanted * factor.reshape([-1 if a == axis else 1 for a in range(cells.ndim)])
         if worst < tolerance:
-            break
+            return wanted
+    warnings.warn(f"the marginals are still off by {worst:.2g} after {rounds} rounds; the targets may contradict each other", stacklevel=2)
     return wanted
 
 
@@ -122,21 +124,24 @@ def mix_sources(docs: DataFrame, targets: Targets) -> DataFrame:
     """The rows with ``n_tokens``, ``topic``, ``weight``, ``probability`` and ``kept``.
 
     Token weights are raked to the marginals of source, language and topic, and a
-    document is kept if the draw of its doc_id, the same on every run, is below its
+    document is kept if its draw, the same on every run, is below its
     cell's probability.  Null or unnamed sources and languages count as ``other``;
     an empty text has no tokens and topic ``other`` and goes by its cell, or with weight 1 and probability ``keep``
-    if its cell has no tokens.  Rows that repeat a doc_id share their draw.  An empty table gives no rows.
-    The result is reproducible; sums are whole numbers, so the layout does not matter.
+    if its cell has no tokens.  The draw is that of doc_id and text: equal rows share it, other rows of one
+    doc_id or without one do not.  An empty table gives no rows.  Columns of ``docs`` named like a result are replaced, all others stay.
+    The result is reproducible; sums are whole numbers, so the layout does not matter.  Targets that no weights can
+    meet leave a warning and the weights of the last round.
     """
-    docs = with_tokens_and_topic(docs)
+    docs = with_tokens_and_topic(docs.drop("n_tokens", "topic", "weight", "probability", "kept"))
     names = ["source", "lang", "topic"]
     shares = [_shares(getattr(targets, n)) for n in names]
 
     def cell(name: str, named: dict):
         return F.when(F.col(name).isin([k for k in named if k != OTHER]), F.col(name)).otherwise(F.lit(OTHER))
 
-    placed = docs.withColumns({f"_{n}": cell(n, s) for n, s in zip(names, shares, strict=True)})
-    keys = [f"_{n}" for n in names]
+    free = "_" * (1 + max(len(c) for c in docs.columns))  # longer than any column, so that no name clashes
+    keys = [free + n for n in names]
+    placed = docs.withColumns({k: cell(n, s) for k, n, s in zip(keys, names, shares, strict=True)})
     sums = placed.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")).collect()  # one row for each cell of the targets
     places = [{k: i for i, k in enumerate(s)} for s in shares]
     cells = np.zeros([len(s) for s in shares])
@@ -148,4 +153,4 @@ def mix_sources(docs: DataFrame, targets: Targets) -> DataFrame:
     fitted = docs.sparkSession.createDataFrame(rows, kinds)
     joined = placed.join(F.broadcast(fitted), keys, "left").drop(*keys)
     joined = joined.withColumns({"weight": F.coalesce("weight", F.lit(1.0)), "probability": F.coalesce("probability", F.lit(targets.keep))})
-    return joined.withColumn("kept", uniform(F.col("doc_id"), 44) < F.col("probability"))
+    return joined.withColumn("kept", uniform(F.xxhash64("doc_id", "text"), 44) < F.col("probability"))
