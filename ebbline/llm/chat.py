@@ -35,8 +35,19 @@ def _numbered(turns: DataFrame) -> DataFrame:
     return joined.withColumn("place", F.col("own") + F.col("offset")).drop("own", "offset", "piece")
 
 
+def _plain(text: Column) -> Column:
+    r"""The text without marks: ``<|`` becomes ``<\|``, and where backslashes stand between the two there is one more, so it can be undone."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def _name(role: Column) -> Column:
+    r"""A name that can neither end its header nor begin another: marks as in texts, ``|>`` likewise, line ends as ``\n`` and ``\r``."""
+    inner = F.regexp_replace(_plain(role), r"\|(\\*)>", r"|\\$1>")
+    return F.replace(F.replace(inner, F.lit("\n"), F.lit(r"\n")), F.lit("\r"), F.lit(r"\r"))
+
+
 def _line(role: Column, name: Column) -> Column:
-    return F.concat(F.lit("<|"), role, F.when(name.isNotNull(), F.concat(F.lit(" name="), name)).otherwise(""), F.lit("|>\n"))
+    return F.concat(F.lit("<|"), role, F.when(name.isNotNull(), F.concat(F.lit(" name="), _name(name))).otherwise(""), F.lit("|>\n"))
 
 
 def rotate_perspectives(conversations: DataFrame, turns_per_part: int = TURNS_PER_PART) -> DataFrame:
@@ -46,7 +57,8 @@ def rotate_perspectives(conversations: DataFrame, turns_per_part: int = TURNS_PE
     are ``assistant`` turns with mask 1; other participants' are ``user`` turns with
     ``name`` and mask 0; system turns stay, without name, mask 0.  ``rendered`` holds a header line, the text and an end line
     for each turn, ``spans`` the begin and end of each masked text in it in characters, ``messages`` the turns as
-    (role, name, content, mask).  Dialogues of more than ``turns_per_part`` turns
+    (role, name, content, mask).  In ``rendered``, marks inside of texts and names are escaped by a
+    backslash, so no text can pose as another turn; ``messages`` hold texts and names as they are.  Dialogues of more than ``turns_per_part`` turns
     are cut into numbered parts of that size, which together hold every turn.
 
     Turns are ordered by (turn, role, text), nulls first, so ties and repeated rows have a fixed
@@ -75,11 +87,11 @@ def rotate_perspectives(conversations: DataFrame, turns_per_part: int = TURNS_PE
 
     def advance(acc: Column, m: Column) -> Column:
         begin = acc["at"] + F.length(_line(m["role"], m["name"]))
-        stop = begin + F.length(m["content"])
+        stop = begin + F.length(_plain(m["content"]))
         span = F.array(F.struct(begin.cast("long").alias("begin"), stop.cast("long").alias("end")))
         return F.struct((stop + len(end)).cast("long").alias("at"), F.when(m["mask"] == 1, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    rendered = F.transform("messages", lambda m: F.concat(_line(m["role"], m["name"]), m["content"], F.lit(end)))
+    rendered = F.transform("messages", lambda m: F.concat(_line(m["role"], m["name"]), _plain(m["content"]), F.lit(end)))
     return views.select(
         "conv_id", "speaker", "part", F.size("messages").cast("long").alias("n_turns"),
         F.aggregate("messages", F.lit(0).cast("long"), lambda a, m: a + m["mask"]).alias("n_own"),

@@ -71,15 +71,16 @@ placed AS (
 NGRAM_JOIN = f"{_components(5)} SELECT * FROM placed"
 MINHASH_DEDUP = f"{_components(4)} SELECT *, doc_id = component_id AS kept FROM placed"
 
-CHAT = f"""
+CHAT = rf"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place FROM turns),
 speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> '{SYSTEM}'),
 views AS (
-  SELECT p.conv_id, speaker, place // {TURNS_PER_PART} AS part, place, text, role = speaker AS own,
-    CASE WHEN role = '{SYSTEM}' THEN '<|{SYSTEM}|>' WHEN role = speaker THEN '<|assistant|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS header
+  SELECT p.conv_id, speaker, place // {TURNS_PER_PART} AS part, place, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS text, role = speaker AS own,
+    CASE WHEN role = '{SYSTEM}' THEN '<|{SYSTEM}|>' WHEN role = speaker THEN '<|assistant|>' ELSE '<|user name=' ||
+      replace(replace(regexp_replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g'), chr(10), '\n'), chr(13), '\r') || '|>' END || chr(10) AS header
   FROM placed p JOIN speakers s ON p.conv_id IS NOT DISTINCT FROM s.conv_id),
 lines AS (
   SELECT *, header || text || chr(10) || '<|end|>' || chr(10) AS line,
@@ -127,7 +128,7 @@ joined AS (
   SELECT m.conv_id, 1 AS part, t.place, t.role, t.text FROM members m JOIN turns t ON t.conv_id = m.conv_id AND t.place >= m.h),
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth FROM joined),
 prefixes AS (
-  SELECT conv_id, depth, array_agg([role, text]) OVER (PARTITION BY conv_id ORDER BY depth) AS prefix, len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM placed
+  SELECT conv_id, depth, array_agg([role, text]) OVER (PARTITION BY conv_id ORDER BY depth) AS prefix, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM placed
   UNION ALL SELECT conv_id, 0, [], 0 FROM members),
 named AS (SELECT *, min(conv_id) OVER (PARTITION BY depth, prefix) AS node FROM prefixes),
 nodes AS (SELECT node, depth, count(*) AS n_convs, any_value(words) AS words FROM named GROUP BY node, depth),

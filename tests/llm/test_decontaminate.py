@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -38,7 +39,7 @@ def test_nearest_passage_equals_brute_force():
     rng = random.Random(2)
     for _ in range(60):
         words, item = rng.choices(range(6), k=14), rng.choices(range(6), k=5)
-        near, start = nearest(item, words)
+        near, start = nearest(np.array(item), np.array(words))
         assert near == brute(words, item)
         assert near == min(distance(item, words[start:j]) for j in range(start, len(words) + 1))
 
@@ -69,17 +70,36 @@ def test_finds_every_planted_passage_and_nothing_else(spark, documents):
         assert exact <= set(matches)
 
 
-def test_recall_at_the_bound():
-    """At the most edits allowed, embedding and sampling find at least nine of ten."""
-    rng = random.Random(8)
-    items = Items(list(range(60)), [" ".join(f"a{rng.randrange(10**6)}" for _ in range(rng.choice([15, 25, 40]))) for _ in range(60)])
+@pytest.mark.parametrize("size", [6, 15, 60, 150, 400, 1000])
+def test_recall_at_the_bound(size):
+    """At the most edits allowed, whatever the size of an item and that of the others."""
+    rng = random.Random(size)
+    sizes = [size] * 60 + [rng.choice([5, 9, 25, 40]) for _ in range(40)]
+    items = Items(list(range(100)), [" ".join(f"a{rng.randrange(10**6)}" for _ in range(n)) for n in sizes])
     found = 0
     for k in range(60):
         words = [str(w) for w in items.words[k].tolist()]
         new = np.array([int(w) if w.isdigit() else rng.randrange(1 << 62) for w in changed(rng, words, edits(len(words)))], np.uint64)
         around = np.array([rng.randrange(1 << 62) for _ in range(40)], np.uint64)
         found += any(i == k for i, _, _ in items.find(np.concatenate([around[:20], new, around[20:]])))
-    assert found >= 54
+    assert found >= 57
+
+
+def test_starts_of_windows():
+    rng = random.Random(3)
+    for _ in range(200):
+        hit = np.array(sorted(rng.sample(range(60), rng.randint(1, 20))))
+        span, most = rng.randint(1, 12), rng.randint(0, 3)
+        wanted = [a for a in range(60) if sum(a <= h < a + span for h in hit) >= max(1, span - 3 * most)]
+        assert decontaminate._starts(hit, span, most).tolist() == wanted
+
+
+def test_a_long_text_that_repeats_an_item_takes_no_longer_than_others():
+    words = [f"a{k}" for k in range(40)]
+    items, text = Items([1], [" ".join(words)]), word_hashes(" ".join(words * 500))
+    began = time.perf_counter()
+    assert items.find(text) == [(0, 0, 0)]
+    assert time.perf_counter() - began < 5
 
 
 def test_edges_of_the_input(spark, documents, empty, monkeypatch):
