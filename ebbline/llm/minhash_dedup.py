@@ -1,7 +1,7 @@
 """Near duplicates by MinHash bands, with odd sketches that judge a pair before its sets are compared.
 
-An odd sketch folds the MinHash samples of a set into a bitmap of parities.  The XOR of two sketches
-holds one toss for each sample in which the sets differ, twice, so its ones tell how many differ: precisely so
+An odd sketch folds a MinHash sample of a set, its smallest hashes, into a bitmap of parities.  In the XOR of two
+sketches the samples that both sets share cancel, and its ones tell how many they do not share: precisely so
 for high similarities.  Pairs that pass are compared on their full sets.
 """
 
@@ -24,11 +24,13 @@ SHINGLE = 4
 NUMERATOR, DENOMINATOR = 4, 5
 #: A pair at the similarity shares no band with a chance of (1 - 0.8 ** ROWS) ** BANDS, 5e-8.
 BANDS, ROWS = 32, 4
-#: Bits of a sketch, and the chance that a pair at the similarity has more ones than are let through.
-SKETCH_BITS, LOSS = 512, 1e-7
-#: Comparisons for each member of a band's bucket, on average, beyond which the bucket is split by a second
-#: (and third) shared band.  At the last level buckets of any size are compared.
-COMPARISONS, LEVELS = 64, 3
+#: Bits of a sketch, and the smallest hashes of a set that are folded into it: of nearly all texts, all of them.
+SKETCH_BITS, SAMPLES = 1024, 2048
+#: Standard deviations that a similar pair of larger sets may lie off what is expected, a chance of 1e-7.
+SLACK = 5.4
+#: Comparisons for each member of a band's bucket, on average, beyond which a bucket of members that are mostly unlike its
+#: center is split by a second shared band.
+COMPARISONS = 256
 #: Bits of the filter that keeps texts without a candidate from being shuffled.
 FILTER_BITS = 22
 #: Ways in which the members of a group of copies are spread when they look up their component.
@@ -63,41 +65,27 @@ def bands(least: np.ndarray) -> np.ndarray:
     return mix(total, 22)
 
 
-def odd_sketch(least: np.ndarray) -> np.ndarray:
-    """For every slot whether an odd number of (place, sample) fall there; equal samples of two sets cancel."""
-    places = np.arange(1, len(least) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    slots = (mix(least ^ places, 31) % np.uint64(SKETCH_BITS)).astype(np.int64)
+def odd_sketch(tokens: np.ndarray) -> np.ndarray:
+    """For every slot whether an odd number of the SAMPLES smallest hashes fall there; ``tokens`` are sorted."""
+    slots = (mix(tokens[:SAMPLES], 31) % np.uint64(SKETCH_BITS)).astype(np.int64)
     odd = np.bincount(slots, minlength=SKETCH_BITS) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-@cache
-def most_ones(numerator: int, denominator: int) -> int:
-    """The most ones in the XOR of two sketches that are let through.
+def most_ones(small: Column, large: Column, numerator: int, denominator: int) -> Column:
+    """The most ones in the XOR of the sketches of two sets, of ``small`` and ``large`` tokens, that are similar.
 
-    A pair at the similarity differs in a binomial number of samples, each of which tosses two slots; a toss turns a one
-    to zero with the share of ones.  Pairs above the similarity differ in fewer.
+    Sets that are folded whole differ in (small + large) * (1 - t) / (1 + t) tokens at most, and no more ones can be set.  Of larger
+    sets, the share SAMPLES / large of the common tokens is expected in both samples; the ones that the other samples set
+    are a sum of parities with known mean and variance.  Both may lie SLACK deviations off.
     """
-    count = BANDS * ROWS
-    share = 1 - numerator / denominator
-    differ = np.zeros(count + 1)
-    differ[0] = 1.0
-    for _ in range(count):
-        differ[1:] = differ[1:] * (1 - share) + differ[:-1] * share
-        differ[0] *= 1 - share
-    ones = np.zeros(SKETCH_BITS + 1)
-    ones[0] = 1.0
-    down = np.arange(SKETCH_BITS + 1) / SKETCH_BITS
-    found = np.zeros_like(ones)
-    for chance in differ:
-        found += chance * ones
-        for _ in range(2):
-            moved = np.zeros_like(ones)
-            moved[1:] += (ones * (1 - down))[:-1]
-            moved[:-1] += (ones * down)[1:]
-            ones = moved
-    above = 1 - np.cumsum(found)
-    return int(np.argmax(above <= LOSS))
+    whole = (small + large) * (denominator - numerator) / F.lit(float(numerator + denominator))
+    common = (small + large) * numerator / F.lit(float(numerator + denominator)) * SAMPLES / large
+    apart = F.least(small, F.lit(SAMPLES)) + SAMPLES - 2 * (common - SLACK * F.sqrt(common / 2))
+    n = float(SKETCH_BITS)
+    mean = n / 2 * (1 - F.pow(F.lit(1 - 2 / n), apart))
+    variance = n / 4 + n * (n - 1) / 4 * F.pow(F.lit(1 - 4 / n), apart) - n * n / 4 * F.pow(F.lit(1 - 2 / n), 2 * apart)
+    return F.when(large <= SAMPLES, whole).otherwise(mean + SLACK * F.sqrt(F.greatest(variance, F.lit(0.0))))
 
 
 def _longs(parts: list[np.ndarray]) -> pa.Array:
@@ -118,7 +106,7 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
                 prints.append(np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), np.int64))
                 least = samples(tokens)
                 keys.append(bands(least) if len(tokens) else tokens)
-                sketches.append(odd_sketch(least))
+                sketches.append(odd_sketch(tokens))
             both = np.array(prints, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), _longs(keys), _longs(sketches)],
@@ -161,7 +149,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, plural: DataFrame, width: int,
     )
     common = F.size(F.array_intersect("ta", "tb"))
     union = F.size("ta") + F.size("tb") - common
-    return both.where(common * denominator >= union * numerator).select("a", "b").distinct()
+    return both.where(common * denominator >= union * numerator).select("a", "b")
 
 
 def _apart(a: str, b: str) -> Column:
@@ -169,39 +157,45 @@ def _apart(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(_WORDS)), F.lit(0))
 
 
-def _across(shared: DataFrame, sets: DataFrame, alike) -> DataFrame:
+def _across(shared: DataFrame, sets: DataFrame, centers: DataFrame, alike) -> DataFrame:
     """The pairs of sets of different components that share a bucket and are alike by size and sketch.
 
-    ``shared`` holds (key, id, component).  Members are compared with those outside of the largest component of
-    their bucket, so a bucket costs as much as it has pairs to judge.  One that has too many for its size, say
-    around a passage that many texts hold, is split by each further band its members share; similar sets share
-    several, ten of 32 and more on average.
+    ``shared`` holds (key, id, component), ``centers`` (key, b).  Members are compared with those outside of the largest component of
+    their bucket, so a bucket costs as much as it has pairs to judge.  One that has many for its size, and whose members
+    are mostly unlike its center, arose around a passage that unlike texts hold: it is split by each further band its
+    members share, of which similar sets have ten more on average.
     """
-    level, found = shared.withColumn("used", F.array("key")), None
-    for depth in range(1, LEVELS + 1):
-        counts = level.groupBy("key", "component").agg(F.count("*").cast("double").alias("n"))
-        buckets = counts.groupBy("key").agg(
-            F.max_by("component", "n").alias("main"), F.sum("n").alias("members"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("components")
-        ).where("components > 1")
-        large = (F.col("members") * F.col("members") - F.col("same")) / 2 > F.col("members") * COMPARISONS
-        buckets = stage(buckets.select("key", "main", (large & F.lit(depth < LEVELS)).alias("large")), "minhash-buckets")
-        open_ = stage(level.join(buckets, "key"), "minhash-open")
-        small = stage(open_.where("NOT large").drop("large", "used").join(sets.select("id", "n_shingles", "sketch"), "id"), "minhash-small")
-        side = {x: small.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "component", "main", "n_shingles", "sketch"))) for x in "ab"}
-        pairs = side["a"].where("a_component <> a_main").join(
-            side["b"].drop("b_main").withColumnRenamed("key", "b_key"),
-            (F.col("key") == F.col("b_key")) & (F.col("a_component") != F.col("b_component"))
-            & ((F.col("b_component") == F.col("a_main")) | (F.col("a_id") < F.col("b_id"))) & alike("a_", "b_"),
-        )
-        pairs = stage(pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct(), "minhash-pairs")
-        found = pairs if found is None else found.unionByName(pairs)
-        split = open_.where("large").select("id", "component", "used")
-        if depth == LEVELS or split.isEmpty():
-            break
-        further = split.join(sets.select("id", "bands"), "id").select("id", "component", "used", F.explode(F.array_except("bands", "used")).alias("other"))
-        used = F.array_sort(F.concat("used", F.array("other")))
-        level = stage(further.select("id", "component", used.alias("used")).distinct().withColumn("key", F.xxhash64("used")), "minhash-level")
-    return found.distinct()
+    counts = shared.groupBy("key", "component").agg(F.count("*").cast("double").alias("n"))
+    buckets = counts.groupBy("key").agg(
+        F.max_by("component", "n").alias("main"), F.sum("n").alias("members"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("components")
+    ).where("components > 1")
+    many = (F.col("members") * F.col("members") - F.col("same")) / 2 > F.col("members") * COMPARISONS
+    open_ = shared.join(stage(buckets.select("key", "main", many.alias("many")), "minhash-buckets"), "key")
+    open_ = stage(open_.join(sets.select("id", "n_shingles", "sketch"), "id"), "minhash-open")
+
+    hubs = centers.select("key", F.col("b").alias("id")).join(sets.select("id", "n_shingles", "sketch"), "id")
+    hubs = stage(hubs.select("key", F.col("n_shingles").alias("c_n_shingles"), F.col("sketch").alias("c_sketch")).dropDuplicates(["key"]), "minhash-hubs")
+    # half of the ones that equally many samples of two sets without a common one set
+    tosses = F.least("n_shingles", F.lit(SAMPLES)) + F.least("c_n_shingles", F.lit(SAMPLES))
+    unlike = _apart("sketch", "c_sketch") * 2 > SKETCH_BITS / 2 * (1 - F.pow(F.lit(1 - 2 / SKETCH_BITS), tosses))
+    loose = open_.where("many").join(hubs, "key").groupBy("key").agg(F.avg(unlike.cast("int")).alias("share")).where("share > 0.5").select("key", F.lit(True).alias("loose"))
+    open_ = stage(open_.join(stage(loose, "minhash-loose"), "key", "left"), "minhash-open")
+
+    split = open_.where("loose").select("key", "id", "component").join(sets.select("id", "bands"), "id")
+    parts = split.select("id", "component", "key", F.explode(F.array_remove("bands", F.col("key"))).alias("other"))
+    parts = parts.select("id", "component", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct()
+    parts = stage(parts, "minhash-parts")
+    again = parts.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("components"))
+    parts = parts.join(stage(again.where("components > 1").drop("components"), "minhash-buckets"), "key").join(sets.select("id", "n_shingles", "sketch"), "id")
+    members = stage(open_.where("loose IS NULL").drop("many", "loose").unionByName(parts), "minhash-members")
+
+    side = {x: members.select("key", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "component", "main", "n_shingles", "sketch"))) for x in "ab"}
+    pairs = side["a"].where("a_component <> a_main").join(
+        side["b"].drop("b_main").withColumnRenamed("key", "b_key"),
+        (F.col("key") == F.col("b_key")) & (F.col("a_component") != F.col("b_component"))
+        & ((F.col("b_component") == F.col("a_main")) | (F.col("a_id") < F.col("b_id"))) & alike("a_", "b_"),
+    )
+    return pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
 
 
 def minhash_dedup(docs: DataFrame, width: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
@@ -209,7 +203,7 @@ def minhash_dedup(docs: DataFrame, width: int = SHINGLE, numerator: int = NUMERA
 
     Returns (doc_id, n_shingles, component_id, kept), one row per input row; other columns
     are ignored.  Documents link when the Jaccard similarity of their sets of word shingles reaches the fraction; every
-    link is confirmed on the full sets, and one is missed with a chance of about 2e-7, or 2e-5 where all buckets that both
+    link is confirmed on the full sets, and one is missed with a chance of about 1e-7, or 1e-6 where all buckets that both
     are in had to be split.  Null or empty texts have no shingles and stay alone, kept, also where other rows have their doc_id.
     Otherwise rows with the same doc_id are one node of the graph.  A null doc_id takes no part and gets a
     null component and null ``kept``.  An empty table gives no rows.
@@ -233,12 +227,10 @@ def minhash_dedup(docs: DataFrame, width: int = SHINGLE, numerator: int = NUMERA
     bound = known.select("doc_id", "p1", "p2").join(plural, "doc_id", "left_semi").distinct().join(firsts.select("p1", "p2", "id"), ["p1", "p2"])
     bound = bound.where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
 
-    most = most_ones(numerator, denominator)
-
     def alike(a: str, b: str) -> Column:
         """Whether sizes and sketches allow the similarity."""
-        sizes = F.least(f"{a}n_shingles", f"{b}n_shingles") * denominator >= F.greatest(f"{a}n_shingles", f"{b}n_shingles") * numerator
-        return sizes & (_apart(f"{a}sketch", f"{b}sketch") <= most)
+        small, large = (f(f"{a}n_shingles", f"{b}n_shingles") for f in (F.least, F.greatest))
+        return (small * denominator >= large * numerator) & (_apart(f"{a}sketch", f"{b}sketch") <= most_ones(small, large, numerator, denominator))
 
     keys = sets.select("id", F.explode("bands").alias("key")).distinct() if not plural.isEmpty() else sets.select("id", F.explode("bands").alias("key"))
     counts = stage(keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "minhash-counts")
@@ -264,7 +256,7 @@ def minhash_dedup(docs: DataFrame, width: int = SHINGLE, numerator: int = NUMERA
 
     places = labels.select(F.col("node").alias("id"), "component")
     placed = shared.select("key", "id").join(places, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    pairs = stage(_across(stage(placed, "minhash-placed"), facts, alike), "minhash-pairs")
+    pairs = stage(_across(stage(placed, "minhash-placed"), facts, centers, alike), "minhash-pairs")
     found = _verified(pairs, docs, plural, width, numerator, denominator).toDF("u", "v")
     labels = connected_components(stage(edges.unionByName(found), "minhash-edges"), "minhash-stars")
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ebbline.llm import minhash_dedup as module
 from ebbline.llm.minhash_dedup import BANDS, ROWS, bands, minhash_dedup, most_ones, odd_sketch, samples
@@ -81,22 +82,37 @@ def test_edges_of_the_input(spark, documents, empty):
     assert minhash_dedup(empty("doc_id long, text string")).collect() == []
 
 
-def test_sketches_tell_how_many_samples_differ():
-    rng = np.random.default_rng(7)
-    most = most_ones(4, 5)
-    let_through = {0.8: 0, 0.3: 0}
-    for share in let_through:
-        estimates = []
-        for _ in range(200):
-            common = rng.integers(0, 2**63, 400).astype(np.uint64)
-            own = round(400 * (1 - share) / (2 * share))
-            a, b = (samples(np.concatenate([common, rng.integers(0, 2**63, own).astype(np.uint64)])) for _ in range(2))
+def drawn_pair(rng, size, share):
+    """Two sets of about so many tokens with a similarity of ``share`` and more, the second at times smaller."""
+    common = rng.integers(0, 2**63, round(size * 2 * share / (1 + share)) + 1).astype(np.uint64)
+    own = int(len(common) * (1 - share) / share)
+    left = int(rng.integers(0, own + 1))
+    return [np.unique(np.concatenate([common, rng.integers(0, 2**63, n).astype(np.uint64)])) for n in (left, own - left)]
+
+
+@pytest.mark.parametrize("size", [5, 40, 300, 1500, 2500, 30_000])
+def test_similar_sets_are_let_through_and_others_mostly_not(spark, size):
+    rng, unlike = np.random.default_rng(size), 0.5 if size <= module.SAMPLES else 0.25  # sketches of samples tell less
+    rows = []
+    for share in (0.8, unlike):
+        for k in range(150):
+            a, b = drawn_pair(rng, size, share)
             ones = int(np.bitwise_count(odd_sketch(a) ^ odd_sketch(b)).sum())
-            assert ones <= 2 * (a != b).sum()
-            tosses = np.log(1 - 2 * ones / 512) / np.log(1 - 2 / 512)
-            estimates.append(1 - tosses / 2 / (BANDS * ROWS))
-            let_through[share] += ones <= most
-        assert abs(np.mean(estimates) - share) < 0.02
-        if share == 0.8:
-            assert (bands(a) == bands(b)).mean() > 0.1
-    assert let_through[0.8] == 200 and let_through[0.3] < 10
+            if max(len(a), len(b)) <= module.SAMPLES:
+                assert ones <= len(np.setxor1d(a, b))
+            rows.append((share, ones, *sorted((len(a), len(b)))))
+    df = spark.createDataFrame(rows, "share double, ones int, small long, large long")
+    got = {r["share"]: r["n"] for r in df.where(F.col("ones") <= most_ones(F.col("small"), F.col("large"), 4, 5)).groupBy("share").agg(F.count("*").alias("n")).collect()}
+    assert got[0.8] == 150 and got.get(unlike, 0) <= 20
+
+
+def test_samples_agree_as_often_as_sets_are_similar():
+    rng = np.random.default_rng(7)
+    for share in (0.8, 0.3):
+        found, shared = [], 0
+        for _ in range(150):
+            a, b = (samples(s) for s in drawn_pair(rng, 400, share))
+            found.append((a == b).mean())
+            shared += (bands(a) == bands(b)).any()
+        assert abs(np.mean(found) - share) < 0.02 and (shared == 150 or share < 0.5)
+        assert len(a) == BANDS * ROWS
