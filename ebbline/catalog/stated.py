@@ -1,7 +1,7 @@
 """Learners, scoring, saved state and attribution over models small enough for SQL to fit as well.
 
-One standardised feature for the logistic model, which SQL fits by Newton steps; trees
-of one split without sampling, whose best split SQL finds by trying all of them.
+Two standardised features for the logistic model, which SQL fits by Newton steps; two boosted rounds and a forest of two
+trees, both of depth 2 over two features with rows and columns drawn, whose best splits SQL finds by trying all of them.
 """
 
 from __future__ import annotations
@@ -10,33 +10,40 @@ from pyspark.sql import functions as F
 
 from ebbline.catalog.base import customers, key_order, query, rounded, using
 from ebbline.catalog.learning import _AUC, _CELLS, _long
-from ebbline.operators import explain, features, models
+from ebbline.operators import explain, features, models, trees
 from ebbline.operators.shape import encode_target
 from ebbline.plans import explain as explain_plan
 from ebbline.plans.training import train_eval
 from ebbline.session import scratch_path
 from ebbline.streaming.scoring import model_scorer, score_stream
 
-# ── logistic model of tenure ────────────────────────────────────────────────
+# ── logistic model of tenure and tickets ────────────────────────────────────────────────
 
-_TIGHT = {"lr": {"tol": 1e-13}}
-
-_POINTS = """pts AS (SELECT customer_id, CAST(churn = 'Yes' AS INTEGER) AS y, tenure, TRUE AS fits FROM profile)"""
-_SPLIT_POINTS = """pts AS (SELECT customer_id, y, tenure, rn > CAST(FLOOR(0.25 * n + 0.5) AS BIGINT) AS fits FROM (
-  SELECT customer_id, CAST(churn = 'Yes' AS INTEGER) AS y, tenure, COUNT(*) OVER (PARTITION BY churn) AS n,
+_PAIR = ["Tenure", "SupportTickets"]
+_POINTS = """pts AS (SELECT customer_id, CAST(churn = 'Yes' AS INTEGER) AS y, tenure, support_tickets, TRUE AS fits FROM profile)"""
+_SPLIT_POINTS = """pts AS (SELECT customer_id, y, tenure, support_tickets, rn > CAST(FLOOR(0.25 * n + 0.5) AS BIGINT) AS fits FROM (
+  SELECT customer_id, CAST(churn = 'Yes' AS INTEGER) AS y, tenure, support_tickets, COUNT(*) OVER (PARTITION BY churn) AS n,
     ROW_NUMBER() OVER (PARTITION BY churn ORDER BY (customer_id * 48271 + 42) % 2147483647) AS rn FROM profile))"""
 _NEWTON = """
-scale AS (SELECT AVG(tenure) AS m, STDDEV_POP(tenure) AS s, COUNT(*) AS n, SUM(y) AS pos FROM pts WHERE fits),
-d AS (SELECT customer_id, y, fits, (tenure - m) / s AS z, CASE y WHEN 1 THEN n / (2.0 * pos) ELSE n / (2.0 * (n - pos)) END AS w FROM pts, scale),
+scale AS (SELECT AVG(tenure) AS m1, STDDEV_POP(tenure) AS s1, AVG(support_tickets) AS m2, STDDEV_POP(support_tickets) AS s2, COUNT(*) AS n, SUM(y) AS pos
+  FROM pts WHERE fits),
+d AS (SELECT customer_id, y, fits, (tenure - m1) / s1 AS z1, (support_tickets - m2) / s2 AS z2,
+  CASE y WHEN 1 THEN n / (2.0 * pos) ELSE n / (2.0 * (n - pos)) END AS w FROM pts, scale),
 newton AS (
-  SELECT 0 AS k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b
+  SELECT 0 AS k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2
   UNION ALL
-  SELECT k + 1, a - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12)
-  FROM (SELECT k, a, b, SUM(w * (p - y)) AS g1, SUM(w * (p - y) * z) + b AS g2, SUM(w * p * (1 - p)) AS h11,
-          SUM(w * p * (1 - p) * z) AS h12, SUM(w * p * (1 - p) * z * z) + 1 AS h22
-        FROM (SELECT k, a, b, w, y, z, 1 / (1 + EXP(-(a + b * z))) AS p FROM newton, d WHERE fits AND k < 12) GROUP BY k, a, b)),
-fit AS (SELECT a, b FROM newton WHERE k = 12)"""
-_SCORED = "scored AS (SELECT customer_id, y, fits, 1 / (1 + EXP(-(a + b * z))) AS p, b * z AS shap FROM d, fit)"
+  SELECT k + 1, a - (g0 * (h11 * h22 - h12 * h12) + g1 * (h02 * h12 - h01 * h22) + g2 * (h01 * h12 - h02 * h11)) / det,
+    b1 - (g0 * (h02 * h12 - h01 * h22) + g1 * (h00 * h22 - h02 * h02) + g2 * (h01 * h02 - h00 * h12)) / det,
+    b2 - (g0 * (h01 * h12 - h02 * h11) + g1 * (h01 * h02 - h00 * h12) + g2 * (h00 * h11 - h01 * h01)) / det
+  FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM (
+    SELECT k, a, b1, b2, SUM(w * (p - y)) AS g0, SUM(w * (p - y) * z1) + b1 AS g1, SUM(w * (p - y) * z2) + b2 AS g2,
+      SUM(w * p * (1 - p)) AS h00, SUM(w * p * (1 - p) * z1) AS h01, SUM(w * p * (1 - p) * z2) AS h02,
+      SUM(w * p * (1 - p) * z1 * z1) + 1 AS h11, SUM(w * p * (1 - p) * z1 * z2) AS h12, SUM(w * p * (1 - p) * z2 * z2) + 1 AS h22
+    FROM (SELECT k, a, b1, b2, w, y, z1, z2, 1 / (1 + EXP(-(a + b1 * z1 + b2 * z2))) AS p FROM newton, d WHERE fits AND k < 12) GROUP BY k, a, b1, b2))),
+fit AS (SELECT a, b1, b2 FROM newton WHERE k = 12),
+terms AS (SELECT 0 AS i, 'Tenure' AS feature, b1 AS b FROM fit UNION ALL SELECT 1, 'SupportTickets', b2 FROM fit)"""
+_SCORED = """scored AS (SELECT customer_id, y, fits, 1 / (1 + EXP(-(a + b1 * z1 + b2 * z2))) AS p FROM d, fit),
+shap AS (SELECT customer_id, i, feature, z1 AS v, b * z1 AS s FROM d, terms WHERE i = 0 UNION ALL SELECT customer_id, i, feature, z2, b * z2 FROM d, terms WHERE i = 1)"""
 
 
 def _recursive(body: str, points: str = _POINTS, extra: str = "") -> str:
@@ -45,15 +52,19 @@ def _recursive(body: str, points: str = _POINTS, extra: str = "") -> str:
 
 
 def _frame(spark, sf_dir):
-    return encode_target(customers(spark, sf_dir).select("CustomerID", "Tenure", "Churn"))
+    return encode_target(customers(spark, sf_dir).select("CustomerID", *_PAIR, "Churn"))
 
 
 def _fitted(spark, sf_dir):
     """(customers, feature pipeline, logistic model, feature means), fitted on all rows."""
     frame = _frame(spark, sf_dir)
-    pipeline = features.fit_features(frame, ["Tenure"], [])
+    pipeline = features.fit_features(frame, _PAIR, [])
     vectors = features.add_features(frame, pipeline)
-    return frame, pipeline, models.train_lr(vectors, **_TIGHT["lr"]), explain.feature_means(vectors)
+    return frame, pipeline, models.train_lr(vectors), explain.feature_means(vectors)
+
+
+def _terms(model):
+    return [("intercept", model.intercept), *zip(_PAIR, map(float, model.coefficients))]
 
 
 def _digits(df):
@@ -64,14 +75,15 @@ def _digits(df):
 
 
 @query("train_lr", _recursive("""
-SELECT 'intercept' AS term, ROUND(a, 6) + 0.0 AS value FROM fit UNION ALL SELECT 'Tenure', ROUND(b, 6) + 0.0 FROM fit"""))
+SELECT 'intercept' AS term, ROUND(a, 6) + 0.0 AS value FROM fit UNION ALL SELECT feature, ROUND(b, 6) + 0.0 FROM terms"""))
 def train_lr(spark, sf_dir):
     _, _, model, _ = _fitted(spark, sf_dir)
-    return _digits(spark.createDataFrame([("intercept", model.intercept), ("Tenure", float(model.coefficients[0]))], "term string, value double"))
+    return _digits(spark.createDataFrame(_terms(model), "term string, value double"))
 
 
 @query("importance_lr", _recursive("""
-SELECT 1 AS rank, 'Tenure' AS feature, ROUND(ABS(b), 6) AS importance, CASE WHEN b >= 0 THEN '+' ELSE '-' END AS sign FROM fit"""))
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY ABS(b) DESC, feature) AS INTEGER) AS rank, feature, ROUND(ABS(b), 6) AS importance,
+  CASE WHEN b >= 0 THEN '+' ELSE '-' END AS sign FROM terms"""))
 def importance_lr(spark, sf_dir):
     _, pipeline, model, _ = _fitted(spark, sf_dir)
     return rounded(models.importance(spark, model, features.feature_names(pipeline)))
@@ -96,9 +108,9 @@ def load_model(spark, sf_dir):
 
 
 @query("save_model", _recursive("""
-SELECT 'features' AS artefact, 'Tenure' AS term, 0.0::DOUBLE AS value
-UNION ALL SELECT 'feature_means', 'Tenure', 0.0
-UNION ALL SELECT 'logistic_regression', 'intercept', ROUND(a, 6) + 0.0 FROM fit UNION ALL SELECT 'logistic_regression', 'Tenure', ROUND(b, 6) + 0.0 FROM fit"""))
+SELECT 'features' AS artefact, feature AS term, i::DOUBLE AS value FROM terms
+UNION ALL SELECT 'feature_means', feature, 0.0 FROM terms
+UNION ALL SELECT 'logistic_regression', 'intercept', ROUND(a, 6) + 0.0 FROM fit UNION ALL SELECT 'logistic_regression', feature, ROUND(b, 6) + 0.0 FROM terms"""))
 def save_model(spark, sf_dir):
     """What the saved folders hold, read back: feature places, their means, and the model's terms."""
     _, pipeline, model, means = _fitted(spark, sf_dir)
@@ -106,8 +118,8 @@ def save_model(spark, sf_dir):
     models.save_models(path, pipeline, {"lr": model}, means)
     loaded, found = models.load_models(spark, path)
     rows = [("features", name, float(i)) for i, name in enumerate(features.feature_names(loaded))]
-    rows += [("feature_means", "Tenure", mean) for mean in models.load_means(spark, path)]
-    rows += [("logistic_regression", "intercept", found["lr"].intercept), ("logistic_regression", "Tenure", float(found["lr"].coefficients[0]))]
+    rows += [("feature_means", name, mean) for name, mean in zip(_PAIR, models.load_means(spark, path))]
+    rows += [("logistic_regression", *term) for term in _terms(found["lr"])]
     return _digits(spark.createDataFrame(rows, "artefact string, term string, value double"))
 
 
@@ -120,26 +132,27 @@ FROM cells c JOIN area a ON c.model_name = a.model_name""", _SPLIT_POINTS, _SCOR
 labelled AS (SELECT 'logistic_regression' AS model_name, y AS label, p AS probability, CAST(p > 0.5 AS INTEGER) AS prediction FROM scored WHERE NOT fits),
 """ + _CELLS + ",\n" + _AUC))
 def train_and_evaluate(spark, sf_dir):
-    frame = customers(spark, sf_dir).select("CustomerID", "Tenure", "Churn")
-    return rounded(train_eval(frame, aliases=["lr"], order=key_order(), params=_TIGHT)[1])
+    frame = customers(spark, sf_dir).select("CustomerID", *_PAIR, "Churn")
+    return rounded(train_eval(frame, aliases=["lr"], order=key_order())[1])
 
 
 @query("explain_all", _recursive("""
-SELECT 'attributions' AS report, CAST(customer_id AS VARCHAR) AS item, 'Tenure' AS feature, ROUND(shap, 6) + 0.0 AS value FROM scored
-UNION ALL SELECT 'shap_global', '1', 'Tenure', ROUND(AVG(ABS(shap)), 6) + 0.0 FROM scored
-UNION ALL SELECT 'shap_dependence', CAST(ROUND(z, 6) + 0.0 AS VARCHAR), 'Tenure', ROUND(b * z, 6) + 0.0 FROM d, fit
+SELECT 'attributions' AS report, CAST(customer_id AS VARCHAR) AS item, feature, ROUND(s, 6) + 0.0 AS value FROM shap
+UNION ALL SELECT 'shap_global', CAST(ROW_NUMBER() OVER (ORDER BY m DESC, feature) AS VARCHAR), feature, ROUND(m, 6) + 0.0 FROM mean
+UNION ALL SELECT 'shap_dependence', CAST(CAST(ROUND(v * 1000000) AS BIGINT) AS VARCHAR), feature, ROUND(s, 6) + 0.0 FROM shap
+  WHERE feature = (SELECT feature FROM mean ORDER BY m DESC, feature LIMIT 1)
 UNION ALL SELECT 'shap_waterfall', '0', 'base_value', ROUND(a, 6) + 0.0 FROM fit
-UNION ALL SELECT 'shap_waterfall', '1', 'Tenure', ROUND(shap, 6) + 0.0 FROM first
-UNION ALL SELECT 'shap_waterfall', '2', 'log_odds', ROUND(a + shap, 6) + 0.0 FROM first, fit""", extra=_SCORED + """,
-first AS (SELECT shap FROM scored WHERE customer_id = (SELECT MIN(customer_id) FROM profile))""").replace(
-    "CAST(ROUND(z, 6) + 0.0 AS VARCHAR)", "CAST(CAST(ROUND(z * 1000000) AS BIGINT) AS VARCHAR)"))
+UNION ALL SELECT 'shap_waterfall', CAST(ROW_NUMBER() OVER (ORDER BY ABS(s) DESC, i) AS VARCHAR), feature, ROUND(s, 6) + 0.0 FROM first
+UNION ALL SELECT 'shap_waterfall', '3', 'log_odds', ROUND(MAX(a) + SUM(s), 6) + 0.0 FROM first, fit""", extra=_SCORED + """,
+mean AS (SELECT feature, AVG(ABS(s)) AS m FROM shap GROUP BY feature),
+first AS (SELECT * FROM shap WHERE customer_id = (SELECT MIN(customer_id) FROM profile))"""))
 def explain_all(spark, sf_dir):
     """The rows of all four tables; a dependence value in millionths."""
     frame, pipeline, model, means = _fitted(spark, sf_dir)
     tables = explain_plan.explain_all(frame, pipeline, model, means=means)
     millionths = F.round(F.col("value") * 1_000_000).cast("long").cast("string")
     parts = {
-        "attributions": _long(tables["attributions"], ["Tenure"]).select(F.col("CustomerID").cast("string").alias("item"), "feature", F.col("shap").alias("value")),
+        "attributions": _long(tables["attributions"], _PAIR).select(F.col("CustomerID").cast("string").alias("item"), "feature", F.col("shap").alias("value")),
         "shap_global": tables["shap_global"].select(F.col("rank").cast("string").alias("item"), "feature", F.col("importance").alias("value")),
         "shap_dependence": tables["shap_dependence"].select(millionths.alias("item"), "feature", F.col("shap_value").alias("value")),
         "shap_waterfall": tables["shap_waterfall"].select(F.col("step").cast("string").alias("item"), "feature", F.col("shap_value").alias("value")),
@@ -153,11 +166,13 @@ def explain_all(spark, sf_dir):
 
 @query("score_requests_linear", _recursive("""
 SELECT customer_id, ROUND(p, 4) AS churn_probability, CAST(p >= 0.5 AS INTEGER) AS churn_prediction, 'logistic_regression' AS model_used,
-  CASE WHEN ABS(shap) >= 1e-6 THEN CASE WHEN shap > 0 THEN '+' ELSE '-' END || 'Tenure' ELSE '' END AS reasons FROM scored""", extra=_SCORED))
+  COALESCE(reasons, '') AS reasons FROM scored LEFT JOIN why USING (customer_id)""", extra=_SCORED + """,
+why AS (SELECT customer_id, STRING_AGG(CASE WHEN s > 0 THEN '+' ELSE '-' END || feature, ', ' ORDER BY ABS(ROUND(s, 6)) DESC, i) AS reasons
+  FROM shap WHERE ABS(s) >= 1e-6 GROUP BY customer_id)"""))
 def score_requests_linear(spark, sf_dir):
     """Requests answered with reasons measured from the training means."""
     frame, pipeline, model, means = _fitted(spark, sf_dir)
-    requests = frame.select(F.col("CustomerID").alias("customer_id"), F.col("Tenure").alias("tenure"))
+    requests = frame.select(F.col("CustomerID").alias("customer_id"), F.col("Tenure").alias("tenure"), F.col("SupportTickets").alias("support_tickets"))
     answers = explain_plan.answer_requests(requests, pipeline, model, "logistic_regression", key=["customer_id"], means=means)
     ids = requests.select(explain_plan.request_id(F.col("customer_id")).alias("request"), F.col("customer_id").alias("asked"))
     reasons = F.array_join(F.transform("top_factors", lambda f: F.concat(f["contribution"], f["feature"])), ", ")
@@ -177,7 +192,8 @@ def score_stream_model(spark, sf_dir):
     path = scratch_path(spark, "models")
     models.save_models(path, pipeline, {"lr": model})
     loaded, found = models.load_models(spark, path)
-    gaps = frame.select(F.col("CustomerID").alias("customer_id"), F.when(F.col("CustomerID") % 37 != 0, F.col("Tenure")).alias("tenure"))
+    tenure = F.when(F.col("CustomerID") % 37 != 0, F.col("Tenure")).alias("tenure")
+    gaps = frame.select(F.col("CustomerID").alias("customer_id"), tenure, F.col("SupportTickets").alias("support_tickets"))
     arriving, output = scratch_path(spark, "arriving"), scratch_path(spark, "scored")
     gaps.repartition(4, "customer_id").write.parquet(arriving)
     scorer = model_scorer(loaded, found["lr"])
@@ -191,89 +207,146 @@ def score_stream_model(spark, sf_dir):
     return rounded(kept.unionByName(aside, allowMissingColumns=True))
 
 
-# ── trees of one split ──────────────────────────────────────────────────────
-
-_USAGE = "FeatureUsageCount"
-
-#: The split with the least weighted variance of the label as -1 or 1, over the usage count and the contracts.
-_STUMP = """
-d AS (SELECT customer_id, feature_usage_count AS x, contract, CASE churn WHEN 'Yes' THEN 1 ELSE -1 END AS s,
-  CASE churn WHEN 'Yes' THEN (SELECT COUNT(*) FROM profile WHERE churn <> 'Yes') / (SELECT COUNT(*) FROM profile WHERE churn = 'Yes')::DOUBLE ELSE 1.0 END AS w FROM profile),
-cand AS (
-  SELECT 0 AS i, 'FeatureUsageCount' AS feature, x AS t, NULL AS plan FROM (SELECT DISTINCT x FROM d) WHERE x < (SELECT MAX(x) FROM d)
-  UNION ALL VALUES (1, 'Contract_Month-to-month', NULL, 'Month-to-month'), (2, 'Contract_One year', NULL, 'One year'), (3, 'Contract_Two year', NULL, 'Two year')),
-side AS (
-  SELECT i, feature, t, plan, CASE WHEN i = 0 THEN x <= t ELSE contract <> plan END AS low, SUM(w) AS sw, SUM(w * s) AS ss, COUNT(*) AS n
-  FROM d, cand GROUP BY ALL),
-best AS (
-  SELECT i, feature, t, plan FROM side GROUP BY i, feature, t, plan HAVING COUNT(*) = 2 ORDER BY SUM(ss * ss / sw) DESC, i, t LIMIT 1),
-leaf AS (
-  SELECT low, 2 * ss / sw AS f, n / SUM(n) OVER () AS share FROM side JOIN best b ON side.i = b.i AND side.t IS NOT DISTINCT FROM b.t),
-placed AS (
-  SELECT customer_id, f, f - (SELECT SUM(share * f) FROM leaf) AS shap
-  FROM d, best b JOIN leaf ON leaf.low = CASE WHEN b.i = 0 THEN d.x <= b.t ELSE d.contract <> b.plan END),
-names AS (SELECT DISTINCT feature FROM cand)"""
-
-
-def _stump(spark, sf_dir):
-    """(vectors, names, boosted model of one round and one split)."""
-    frame = encode_target(customers(spark, sf_dir).select("CustomerID", _USAGE, "Contract", "Churn"))
-    pipeline = features.fit_features(frame, [_USAGE], ["Contract"])
-    vectors = features.add_features(frame, pipeline)
-    model = models.train_gbt(vectors, rounds=1, depth=1, rows_share=1.0, columns_share=1.0)
-    return vectors, features.feature_names(pipeline), model
+# ── two trees of depth 2 ────────────────────────────────────────────────────
+
+_SEED, _RATE, _SHARE = 42, 0.1, 0.8
+_BOTH = ["FeatureUsageCount", "Tenure"]
+_PRIME = trees.PRIME
+_CAND = """d AS (SELECT customer_id, feature_usage_count AS x0, tenure AS x1, CAST(churn = 'Yes' AS INTEGER) AS y FROM profile),
+totals AS (SELECT COUNT(*) AS n, SUM(y) AS pos FROM d),
+cand AS (SELECT DISTINCT 0 AS col, x0 AS t FROM d UNION ALL SELECT DISTINCT 1, x1 FROM d)"""
+
+
+def _draw(tree: int) -> str:
+    """The draw of a row in a tree, from 0 to the prime."""
+    factor, offset = trees.row_draw(_SEED, tree)
+    return f"((customer_id * {factor} + {offset}) % {_PRIME})"
+
+
+def _tree(name: str, rows: str, picked: dict[int, list[int]], score: str, large: str, open_: str, least: str) -> str:
+    """Definitions that grow one tree of depth 2 over ``rows`` (customer_id, x0, x1, s0, s1, s2): its leaves, and the leaf of each row.
+
+    ``picked`` has the columns of each node; ``score`` and ``large`` are patterns over the sums of a side.
+    """
+    value = "CASE col WHEN 0 THEN x0 ELSE x1 END"
+
+    def side(prefix: str, pattern: str) -> str:
+        return pattern.format(s0=f"{prefix}0", s1=f"{prefix}1", s2=f"{prefix}2")
+
+    def cuts(source: str) -> str:
+        wanted = " OR ".join(f"(node = {node} AND col IN ({', '.join(map(str, columns))}))" for node, columns in picked.items())
+        return f"""SELECT *, {side('l', score)} + {side('h', score)} AS merit, {side('l', score)} + {side('h', score)} - {side('a', score)} AS gain FROM (
+    SELECT *, a0 - l0 AS h0, a1 - l1 AS h1, a2 - l2 AS h2 FROM (
+      SELECT node, col, t, {', '.join(f'SUM(CASE WHEN {value} <= t THEN s{k} ELSE 0 END) AS l{k}, SUM(s{k}) AS a{k}' for k in range(3))}
+      FROM {source}, cand WHERE {wanted} GROUP BY node, col, t))
+  WHERE {side('l', large)} AND {side('h', large)} AND {side('a', open_)}"""
 
+    def best(source: str) -> str:
+        return f"SELECT * FROM ({cuts(source)}) WHERE {least} QUALIFY ROW_NUMBER() OVER (PARTITION BY node ORDER BY merit DESC, col, t) = 1"
 
-@query("train_gbt", using('SELECT customer_id AS "CustomerID", ROUND(1 / (1 + EXP(-f)), 6) AS probability FROM placed', "profile", extra=_STUMP))
+    def down(source: str, found: str) -> str:
+        return f"SELECT r.* EXCLUDE (node), CASE WHEN col IS NULL THEN r.node WHEN {value} <= t THEN 2 * r.node ELSE 2 * r.node + 1 END AS node FROM {source} r LEFT JOIN {found} b ON r.node = b.node"
+
+    return f"""{name}_1 AS (SELECT *, 1 AS node FROM {rows}),
+{name}_root AS ({best(f'{name}_1')}),
+{name}_2 AS ({down(f'{name}_1', f'{name}_root')}),
+{name}_inner AS ({best(f'{name}_2')}),
+{name}_at AS ({down(f'{name}_2', f'{name}_inner')}),
+{name}_splits AS (SELECT col, gain FROM {name}_root UNION ALL SELECT col, gain FROM {name}_inner)"""
+
+
+def _two(spark, sf_dir):
+    """(vectors, names) over both features."""
+    frame = encode_target(customers(spark, sf_dir).select("CustomerID", *_BOTH, "Churn"))
+    pipeline = features.fit_features(frame, _BOTH, [])
+    return features.add_features(frame, pipeline), features.feature_names(pipeline)
+
+
+def _boosted_sql() -> str:
+    """Two rounds, each over four fifths of the rows and one of the columns; sums are whole numbers, as in the learner."""
+    parts = [_CAND, "unit AS (SELECT POW(2.0, FLOOR(LOG2(POW(2.0, 52) / (n * GREATEST((n - pos) / pos, 1.0))))) AS u, (n - pos) / pos AS w FROM totals)",
+             "m0 AS (SELECT customer_id, 0.0::DOUBLE AS f FROM d)"]
+    for r in range(2):
+        column = [int(c) for c in trees.drawn_columns(_SEED, r, 1, 2, 0.5)]
+        parts.append(f"""g{r} AS (SELECT customer_id, x0, x1, taking * CAST(ROUND_EVEN(wy * (p - y) * u, 0) AS BIGINT) AS s0,
+    taking * CAST(ROUND_EVEN(wy * p * (1 - p) * u, 0) AS BIGINT) AS s1, taking AS s2
+  FROM (SELECT d.*, u, 1 / (1 + EXP(-f)) AS p, CASE y WHEN 1 THEN w ELSE 1.0 END AS wy, CAST({_draw(r)} < {_SHARE} * {_PRIME} AS BIGINT) AS taking
+    FROM d JOIN m{r} USING (customer_id), unit))""")
+        score = "({s0} / U) * ({s0} / U) / ({s1} / U + 1.0) / 2".replace("U", "(SELECT u FROM unit)")
+        large = "{s1} >= (SELECT u FROM unit)"
+        parts.append(_tree(f"t{r}", f"g{r}", {node: column for node in (1, 2, 3)}, score, large, "{s1} >= 2 * (SELECT u FROM unit)", "gain > 1e-6"))
+        parts.append(f"""t{r}_leaf AS (SELECT node, -{_RATE} * (SUM(s0) / MAX(u)) / (SUM(s1) / MAX(u) + 1.0) AS value, SUM(s1) AS cover FROM t{r}_at, unit GROUP BY node),
+v{r} AS (SELECT customer_id, value, value - (SELECT SUM(value * cover) / SUM(cover) FROM t{r}_leaf) AS shap FROM t{r}_at JOIN t{r}_leaf USING (node)),
+m{r + 1} AS (SELECT customer_id, f + value AS f FROM m{r} JOIN v{r} USING (customer_id))""")
+    return ",\n".join(parts)
+
+
+def _boosted(spark, sf_dir):
+    vectors, names = _two(spark, sf_dir)
+    return vectors, names, models.train_gbt(vectors, rounds=2, depth=2, rate=_RATE, rows_share=_SHARE, columns_share=0.5, seed=_SEED, draw=F.col("CustomerID"))
+
+
+def _shares(listed: str) -> str:
+    """Ranked importances from (col, importance), which are scaled to a sum of 1."""
+    names = " UNION ALL ".join(f"SELECT {i} AS col, '{name}' AS feature" for i, name in enumerate(_BOTH))
+    return f"""SELECT CAST(ROW_NUMBER() OVER (ORDER BY v DESC, feature) AS INTEGER) AS rank, feature, ROUND(v, 6) AS importance, '+' AS sign
+FROM (SELECT feature, COALESCE(m, 0.0) / SUM(m) OVER () AS v FROM ({names}) LEFT JOIN ({listed}) USING (col))"""
+
+
+@query("train_gbt", using('SELECT customer_id AS "CustomerID", ROUND(1 / (1 + EXP(-f)), 6) AS probability FROM m2', "profile", extra=_boosted_sql()))
 def train_gbt(spark, sf_dir):
-    vectors, _, model = _stump(spark, sf_dir)
+    vectors, _, model = _boosted(spark, sf_dir)
     return rounded(models.add_probability(vectors, model, "probability").select("CustomerID", "probability"))
 
 
-@query("importance_gbt", using("""
-SELECT CAST(ROW_NUMBER() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank, feature, importance, '+' AS sign
-FROM (SELECT feature, CASE WHEN feature = (SELECT feature FROM best) THEN 1.0::DOUBLE ELSE 0.0 END AS importance FROM names)""", "profile", extra=_STUMP))
+@query("importance_gbt", using(_shares(
+    "SELECT col, AVG(gain) AS m FROM (SELECT * FROM t0_splits UNION ALL SELECT * FROM t1_splits) GROUP BY col"), "profile", extra=_boosted_sql()))
 def importance_gbt(spark, sf_dir):
-    _, names, model = _stump(spark, sf_dir)
+    _, names, model = _boosted(spark, sf_dir)
     return rounded(models.importance(spark, model, names))
 
 
-@query("shap_tree", using("""
-SELECT customer_id AS "CustomerID", feature, CASE WHEN feature = (SELECT feature FROM best) THEN ROUND(shap, 6) ELSE 0.0 END + 0.0 AS shap
-FROM placed, names""", "profile", extra=_STUMP))
+@query("shap_tree", using(f"""
+SELECT customer_id AS "CustomerID", feature, ROUND(SUM(shap), 6) + 0.0 AS shap FROM (
+  {" UNION ALL ".join(f"SELECT customer_id, '{_BOTH[int(trees.drawn_columns(_SEED, r, 1, 2, 0.5)[0])]}' AS feature, shap FROM v{r}" for r in range(2))}
+  {"".join(f" UNION ALL SELECT customer_id, '{name}', 0.0 FROM d" for name in _BOTH)})
+GROUP BY customer_id, feature""", "profile", extra=_boosted_sql()))
 def shap_tree(spark, sf_dir):
-    vectors, names, model = _stump(spark, sf_dir)
+    """Each round has one column, whose attribution is the tree's value less its mean."""
+    vectors, names, model = _boosted(spark, sf_dir)
     return _digits(_long(explain.shap_tree(vectors, model), names))
 
 
-#: The split with the least weighted Gini impurity over the usage count, with at least five rows on either side.
-_GINI = """
-d AS (SELECT customer_id, feature_usage_count AS x, CAST(churn = 'Yes' AS INTEGER) AS y,
-  COUNT(*) OVER () / (2.0 * COUNT(*) OVER (PARTITION BY churn)) AS w FROM profile),
-side AS (
-  SELECT t, x <= t AS low, SUM(w * y) AS p, SUM(w * (1 - y)) AS q, COUNT(*) AS n
-  FROM d, (SELECT DISTINCT x AS t FROM d) GROUP BY t, x <= t),
-best AS (
-  SELECT t FROM side GROUP BY t HAVING COUNT(*) = 2 AND MIN(n) >= 5 ORDER BY SUM((p * p + q * q) / (p + q)) DESC, t LIMIT 1)"""
+def _forest_sql() -> str:
+    """Two bagged trees, a column drawn for each node, labels weighed by the rows of each tree."""
+    parts = [_CAND]
+    for t in range(2):
+        times = " + ".join(f"CAST(u >= {int(c)} AS BIGINT)" for c in trees.POISSON)
+        parts.append(f"""c{t} AS (SELECT customer_id, x0, x1, k * y AS s0, k * (1 - y) AS s1, CAST(k > 0 AS BIGINT) AS s2
+  FROM (SELECT *, {times} AS k FROM (SELECT d.*, {_draw(t)} AS u FROM d))),
+w{t} AS (SELECT SUM(s0 + s1) / 2 / SUM(s0) AS wp, SUM(s0 + s1) / 2 / SUM(s1) AS wn FROM c{t})""")
+        p, q = f"({{s0}} * (SELECT wp FROM w{t}))", f"({{s1}} * (SELECT wn FROM w{t}))"
+        picked = {node: [int(c) for c in trees.drawn_columns(_SEED, t, node, 2, "sqrt")] for node in (1, 2, 3)}
+        parts.append(_tree(f"t{t}", f"c{t}", picked, f"({p} * {p} + {q} * {q}) / GREATEST({p} + {q}, 1e-300)", "{s2} >= 5", "{s2} >= 10 AND {s0} > 0 AND {s1} > 0", "TRUE"))
+        parts.append(f"""v{t} AS (SELECT customer_id, p / (p + q) AS value FROM t{t}_at JOIN (
+  SELECT node, SUM(s0) * MAX(wp) AS p, SUM(s1) * MAX(wn) AS q FROM t{t}_at, w{t} GROUP BY node) USING (node))""")
+    return ",\n".join(parts)
 
 
-def _one_tree(spark, sf_dir):
-    frame = encode_target(customers(spark, sf_dir).select("CustomerID", _USAGE, "Churn"))
-    pipeline = features.fit_features(frame, [_USAGE], [])
-    vectors = features.add_features(frame, pipeline)
-    return vectors, features.feature_names(pipeline), models.train_rf(vectors, trees=1, depth=1, bootstrap=False)
+def _forest(spark, sf_dir):
+    vectors, names = _two(spark, sf_dir)
+    return vectors, names, models.train_rf(vectors, trees=2, depth=2, seed=_SEED, draw=F.col("CustomerID"))
 
 
 @query("train_rf", using("""
-SELECT customer_id AS "CustomerID", ROUND(p / (p + q), 6) AS probability
-FROM d JOIN side ON side.t = (SELECT t FROM best) AND side.low = (d.x <= side.t)""", "profile", extra=_GINI))
+SELECT customer_id AS "CustomerID", ROUND((v0.value + v1.value) / 2, 6) AS probability FROM v0 JOIN v1 USING (customer_id)""", "profile", extra=_forest_sql()))
 def train_rf(spark, sf_dir):
-    vectors, _, model = _one_tree(spark, sf_dir)
+    vectors, _, model = _forest(spark, sf_dir)
     return rounded(models.add_probability(vectors, model, "probability").select("CustomerID", "probability"))
 
 
-@query("importance_rf", using(
-    "SELECT CAST(COUNT(*) AS INTEGER) AS rank, 'FeatureUsageCount' AS feature, COUNT(*)::DOUBLE AS importance, '+' AS sign FROM best", "profile", extra=_GINI))
+@query("importance_rf", using(_shares("SELECT col, SUM(m) / 2 AS m FROM (" + " UNION ALL ".join(
+    f"SELECT col, SUM(gain) / (SELECT SUM(gain) FROM t{t}_splits) AS m FROM t{t}_splits GROUP BY col" for t in range(2)) + ") GROUP BY col"), "profile", extra=_forest_sql()))
 def importance_rf(spark, sf_dir):
-    _, names, model = _one_tree(spark, sf_dir)
+    _, names, model = _forest(spark, sf_dir)
     return rounded(models.importance(spark, model, names))

@@ -11,10 +11,10 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.session import scratch_path
+from ebbline.operators.trees import TreeEnsemble
 
 NEGLIGIBLE = 1e-6
 CHUNK_CELLS = 200_000
@@ -45,47 +45,35 @@ def shap_linear(featured: DataFrame, model, means: Sequence[float]) -> DataFrame
 # ── boosted trees ───────────────────────────────────────────────────────────
 
 
-def _boxes(nodes: dict[int, object], scale: float) -> list[tuple[dict[int, tuple[float, float, float]], float]]:
-    """(path box, value) of each leaf of one tree."""
+def _boxes(model: TreeEnsemble) -> list[tuple[dict[int, tuple[float, float, float]], float]]:
+    """(path box, value) of each leaf of all trees."""
     leaves = []
-    stack = [(0, {})]
+    stack = [(int(root), {}) for root in model.roots]
     while stack:
         at, box = stack.pop()
-        node = nodes[at]
-        if node["leftChild"] < 0:
-            leaves.append((box, node["prediction"] * scale))
+        feature = int(model.feature[at])
+        if feature < 0:
+            leaves.append((box, float(model.value[at])))
             continue
-        split = node["split"]
-        feature, listed = split["featureIndex"], split["leftCategoriesOrThreshold"]
-        if split["numCategories"] < 0:
-            threshold, left_is_low = listed[0], True
-        else:  # a 0/1 column: its categories lie on either side of one half
-            threshold, left_is_low = 0.5, 0.0 in listed
-        for child, low_side in ((node["leftChild"], left_is_low), (node["rightChild"], not left_is_low)):
+        threshold = float(model.threshold[at])
+        for child, low_side in ((int(model.left[at]), True), (int(model.right[at]), False)):
             low, high, share = box.get(feature, (-np.inf, np.inf, 1.0))
             low, high = (low, min(high, threshold)) if low_side else (max(low, threshold), high)
-            kept = nodes[child]["rawCount"] / node["rawCount"]
-            stack.append((child, box | {feature: (low, high, share * kept)}))
+            stack.append((child, box | {feature: (low, high, share * model.cover[child] / model.cover[at])}))
     return leaves
 
 
-def leaf_table(spark: SparkSession, model) -> dict[str, Any]:
-    """All leaves of a fitted boosted model, each as the box its path cuts out of feature space.
+def leaf_table(model: TreeEnsemble) -> dict[str, Any]:
+    """All leaves of a boosted model, each as the box its path cuts out of feature space.
 
     Column i of the arrays is a leaf, row k one of the features on its path:
     the ``feature``, the interval (``low``, ``high``] it must lie in, and the
-    ``share`` of training rows that the path keeps on account of it.  Unused
+    ``share`` of the training weight that the path keeps on account of it.  Unused
     places have an unbounded interval and share 1.
 
-    The trees are read from the saved model.  The size is set by the model (rounds × 2^depth leaves), not by the data.
-    The score is 1 / (1 + e^(-2F)), so log-odds are twice the weighted sum of trees.
+    The size is set by the model (rounds × 2^depth leaves), not by the data.
     """
-    path = scratch_path(spark, "model")
-    model.write().overwrite().save(path)
-    trees: dict[int, dict[int, object]] = {}
-    for row in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():
-        trees.setdefault(row["treeID"], {})[row["id"]] = row
-    leaves = [leaf for t, nodes in trees.items() for leaf in _boxes(nodes, 2.0 * model.treeWeights[t])]
+    leaves = _boxes(model)
     width = max([len(box) for box, _ in leaves] + [1])
     shape = (width, len(leaves))
     feature, share = np.zeros(shape, dtype=np.int32), np.ones(shape)
@@ -134,13 +122,13 @@ def leaf_attributions(table: dict[str, Any], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def shap_tree(featured: DataFrame, model) -> DataFrame:
+def shap_tree(featured: DataFrame, model: TreeEnsemble) -> DataFrame:
     """Add ``shap`` and ``base_value`` of a boosted model; base + sum of shap is the log-odds of the score.
 
     Only the feature array crosses to Python, in Arrow batches.
     """
     spark = featured.sparkSession
-    table = leaf_table(spark, model)
+    table = leaf_table(model)
     shared = spark.sparkContext.broadcast(table)
 
     @F.pandas_udf("array<double>")
