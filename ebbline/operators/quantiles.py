@@ -2,7 +2,8 @@
 
 ``median`` and ``percentile`` merge one map of all distinct values in a single
 task.  Here a bounded sketch only brackets each wanted rank; the values
-inside the brackets are counted and summed up in parallel ranges.
+inside a bracket are counted in cells, and the cell that holds the rank is the next bracket, until it
+has one value or few rows.
 """
 
 from __future__ import annotations
@@ -11,14 +12,14 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbline.functions.scalar import distinct_estimate
 
 SKETCH_ACCURACY = 10_000
-#: A bracket is cut into so many ranges of equal width, which are sorted in parallel.
-CELLS = 256
+#: A bracket is cut into so many cells of equal width; the values of a cell of at most so many rows are counted one by one.
+CELLS, FEW_ROWS = 256, 10_000
 #: Whole numbers pass the sketch as doubles; their bracket is widened by more than that can move them.
 INTEGRAL_SLACK = 2048
 
@@ -38,12 +39,13 @@ class Summary:
 
 @dataclass
 class _Bracket:
-    """Values in [low, high] of one column hold the wanted ranks."""
+    """Values in [low, high] of one column hold the wanted ranks; ``below`` rows are smaller, as far as that is known."""
 
     name: str
     ranks: list[int]
     low: float
     high: float
+    below: int | None = None
 
 
 def _view(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], integral: bool) -> DataFrame:
@@ -68,10 +70,6 @@ def _summaries(view: DataFrame, probs: Sequence[float], accuracy: int) -> tuple[
     return summaries, {name: row[f"q{i}"] for i, name in enumerate(view.columns)} if probs else {}
 
 
-def _within(value: Column, low: float, high: float) -> Column:
-    return F.when((value >= F.lit(low)) & (value <= F.lit(high)), value)
-
-
 def _groups(ranks: Sequence[int], count: int) -> list[list[int]]:
     """The valid ranks; neighbours, as interpolation needs them, together."""
     groups: list[list[int]] = []
@@ -83,39 +81,54 @@ def _groups(ranks: Sequence[int], count: int) -> list[list[int]]:
     return groups
 
 
-def _pick(view: DataFrame, brackets: list[_Bracket], integral: bool) -> dict[int, dict[int, float]]:
+def _inside(view: DataFrame, brackets: list[_Bracket], cell) -> DataFrame:
+    """(bracket, cell, value) of the rows for which ``cell`` gives a number."""
+    entries = [F.struct(F.lit(i).alias("bracket"), cell(F.col(b.name), b).cast("int").alias("cell"), F.col(b.name).alias("value")) for i, b in enumerate(brackets)]
+    return view.select(F.inline(F.array(*entries))).where("cell IS NOT NULL")
+
+
+def _cell(value: Column, b: _Bracket) -> Column:
+    """The cell of a value within the bracket, -1 below it if that is not counted yet, else null."""
+    low, width = float(b.low), float(b.high) - float(b.low)
+    place = F.least(F.floor((value.cast("double") - low) / width * CELLS), F.lit(CELLS - 1)) if 0 < width < math.inf else F.lit(0)
+    if width == math.inf:  # from one end of the doubles to the other: infinite ones and both signs apart
+        place = F.when(value == -math.inf, 0).when(value < 0, 1).when(value < math.inf, 2).otherwise(3)
+    found = F.when((value >= F.lit(b.low)) & (value <= F.lit(b.high)), F.greatest(place, F.lit(0)))
+    return found if b.below is not None else F.when(value < F.lit(b.low), -1).otherwise(found)
+
+
+def _pick(view: DataFrame, brackets: list[_Bracket]) -> dict[int, dict[int, float]]:
     """The values at the wanted ranks of each bracket, as far as it holds them.
 
-    One job: the values inside the brackets are merged and counted, each bracket in
-    CELLS ranges; a range sums up its own counts and starts from the totals of the ranges
-    before it and the rows below the bracket.  Only the wanted values leave the executors.
+    Each round is one job for all brackets: tasks pass on the count, least and greatest value of each cell.  Cells of few rows
+    end in a last job that counts their values, FEW_ROWS at most.
     """
-    kind = "bigint" if integral else "double"
-    inside = F.array(*[
-        F.struct(F.lit(i).alias("bracket"), _within(F.col(b.name), b.low, b.high).alias("value")) for i, b in enumerate(brackets)
-    ])
-    below = F.array(*[
-        F.struct(F.lit(i).alias("bracket"), F.count_if(F.col(b.name) < F.lit(b.low)).alias("n")) for i, b in enumerate(brackets)
-    ])
-    counts = view.select(F.inline(inside)).where("value is not null").groupBy("bracket", "value").agg(F.count(F.lit(1)).alias("n"))
-    edges = F.array(*[F.struct(F.lit(float(b.low)).alias("low"), F.lit(float(b.high) - float(b.low)).alias("width")) for b in brackets])
-    edge = F.get(edges, F.col("bracket"))
-    cell = F.when(edge["width"] > 0, F.least(F.floor((F.col("value").cast("double") - edge["low"]) / edge["width"] * CELLS), F.lit(CELLS - 1)))
-    counts = counts.withColumn("cell", F.coalesce(cell, F.lit(0)).cast("int"))
-    start = view.agg(below.alias("b")).select(F.inline("b")).select("bracket", F.lit(None).cast(kind).alias("value"), "n", F.lit(-1).alias("cell"))
-    counts = counts.unionByName(start)
-    before = Window.partitionBy("bracket").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.groupBy("bracket", "cell").agg(F.sum("n").alias("size")).select(
-        "bracket", "cell", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start")
-    )
-    own = Window.partitionBy("bracket", "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    running = counts.withColumn("until", F.sum("n").over(own)).join(offsets, ["bracket", "cell"])
-    ranks = F.array(*[F.array(*[F.lit(r).cast("bigint") for r in b.ranks]) for b in brackets])
-    last = F.col("start") + F.col("until")
-    placed = running.where("cell >= 0").select("bracket", "value", F.explode(F.get(ranks, F.col("bracket"))).alias("rank"), last.alias("last"), "n")
     found: dict[int, dict[int, float]] = {i: {} for i in range(len(brackets))}
-    for row in placed.where((F.col("rank") < F.col("last")) & (F.col("rank") >= F.col("last") - F.col("n"))).toLocalIterator():
-        found[row["bracket"]][row["rank"]] = row["value"]  # one row for each wanted rank
+    active, few = list(enumerate(brackets)), []
+    while active:
+        cells = _inside(view, [b for _, b in active], _cell).groupBy("bracket", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        rows: dict[int, list] = {}
+        for r in sorted(cells.collect(), key=lambda r: (r["bracket"], r["cell"])):  # CELLS + 1 for each bracket at most
+            rows.setdefault(r["bracket"], []).append(r)
+        further = []
+        for k, (origin, b) in enumerate(active):
+            at = b.below or 0
+            for r in rows.get(k, []):
+                ranks = [rank for rank in b.ranks if at <= rank < at + r["n"]] if r["cell"] >= 0 else []
+                if ranks and r["low"] == r["high"]:
+                    found[origin] |= dict.fromkeys(ranks, r["low"])
+                elif ranks:
+                    (few if r["n"] <= FEW_ROWS else further).append((origin, _Bracket(b.name, ranks, r["low"], r["high"], at)))
+                at += r["n"]
+        active = further
+    if few:
+        counted = _inside(view, [b for _, b in few], lambda value, b: F.when((value >= F.lit(b.low)) & (value <= F.lit(b.high)), 0))
+        values = counted.groupBy("bracket", "value").agg(F.count(F.lit(1)).alias("n")).collect()
+        at = [b.below for _, b in few]
+        for r in sorted(values, key=lambda r: (r["bracket"], r["value"])):
+            origin, b = few[r["bracket"]]
+            found[origin] |= {rank: r["value"] for rank in b.ranks if at[r["bracket"]] <= rank < at[r["bracket"]] + r["n"]}
+            at[r["bracket"]] += r["n"]
     return found
 
 
@@ -143,7 +156,7 @@ def _solve(
     found: dict[str, dict[int, float]] = {name: {} for name in ranks}
     while brackets:
         missed = []
-        for i, values in _pick(view, brackets, integral).items():
+        for i, values in _pick(view, brackets).items():
             b = brackets[i]
             found[b.name].update(values)
             if len(values) < len(b.ranks):
@@ -166,7 +179,7 @@ def exact_ranks(
     integral: bool = False,
     accuracy: int = SKETCH_ACCURACY,
 ) -> dict[str, dict[int, float]]:
-    """The values at the given 0-based ranks of each column (nulls left out), in three jobs.
+    """The values at the given 0-based ranks of each column (nulls left out), in four jobs and more only where values crowd.
 
     ``integral`` keeps 64-bit integers exact instead of going through doubles.
     """
@@ -187,7 +200,7 @@ def exact_summary(
     *,
     accuracy: int = SKETCH_ACCURACY,
 ) -> dict[str, Summary]:
-    """Moments, extremes and linearly interpolated quantiles of each column, in two jobs."""
+    """Moments, extremes and linearly interpolated quantiles of each column, in two jobs, or three and more where values differ."""
     view = _view(df, columns, False)
     wide = _around(probs, accuracy) if probs else []
     summaries, sketches = _summaries(view, wide, accuracy)
