@@ -287,6 +287,21 @@ def scores_wide(spark, sf_dir):
     return wide(spark, sf_dir)
 
 
+_TWICE = """scored AS (SELECT * FROM scores UNION ALL SELECT customer_id, model_name, probability / 2, 0 FROM scores WHERE customer_id % 20 = 0),
+strict AS (SELECT u.*, x.probability AS xgb_churn_prob, x.prediction AS xgb_pred, l.probability AS lr_churn_prob, r.probability AS rf_churn_prob
+  FROM profile u LEFT JOIN scored x ON u.customer_id = x.customer_id AND x.model_name = 'xgboost'
+  LEFT JOIN scored l ON u.customer_id = l.customer_id AND l.model_name = 'logistic_regression'
+  LEFT JOIN scored r ON u.customer_id = r.customer_id AND r.model_name = 'random_forest')"""
+
+
+@query("scores_wide_strict", using("SELECT * FROM strict", "scores", extra=_TWICE))
+def scores_wide_strict(spark, sf_dir):
+    """One customer in twenty has two scores of each model, and so eight rows."""
+    plain = scores(spark, sf_dir)
+    again = plain.where("customer_id % 20 = 0").withColumns({"probability": F.col("probability") / 2, "prediction": F.lit(0)})
+    return score_ops.scores_wide(profile(spark, sf_dir), plain.unionByName(again), strict=True)
+
+
 @query("attach_profile", using("""
 SELECT s.customer_id, model_name, probability, contract, tenure
 FROM scores s LEFT JOIN profile p ON s.customer_id = p.customer_id""", "scores"))

@@ -331,3 +331,26 @@ def stream(spark, sf_dir):
     ).awaitTermination()
     found = spark.read.schema(_STREAMED).parquet(f"{output}/predictions").drop("batch_id")
     return found.withColumn("customer_id", F.col("customer_id").cast("bigint"))
+
+
+@query("score_stream_once", using("""
+SELECT s.customer_id, 'xgboost' AS model_name, s.probability, s.prediction, 1 AS answers
+FROM scores s JOIN profile p ON s.customer_id = p.customer_id WHERE s.model_name = 'xgboost' AND p.monthly_charges > 0""", "scores"))
+def stream_once(spark, sf_dir):
+    """Requests of which a third come again, in another micro-batch or after a restart, are answered once."""
+    asked = profile(spark, sf_dir).withColumn("asked", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("customer_id") % 3600))
+    again = asked.where("customer_id % 3 = 0").withColumn("asked", F.col("asked") + F.expr("INTERVAL 5 MINUTES"))
+    arriving, output, progress = (scratch_path(spark, name) for name in ("arriving", "scored", "progress"))
+
+    def run():
+        score_stream(
+            spark, arriving, asked.schema, _formula_scorer, "xgboost", output, progress, required=_REQUIRED, files_per_batch=1, event_time="asked", delay="1 day",
+        ).awaitTermination()
+
+    asked.where("customer_id % 2 = 0").unionByName(again).repartition(2).write.parquet(arriving)
+    run()
+    asked.repartition(2).write.mode("append").parquet(arriving)
+    run()
+    found = spark.read.schema(_STREAMED).parquet(f"{output}/predictions")
+    counted = found.groupBy("customer_id", "model_name", "probability", "prediction").agg(F.count("*").alias("answers"))
+    return counted.withColumn("customer_id", F.col("customer_id").cast("bigint"))

@@ -17,6 +17,9 @@ PROBABILITY_COLUMNS = {
 }
 
 
+_STRICT = {"xgboost": ("xgb_churn_prob", "xgb_pred"), "logistic_regression": ("lr_churn_prob", None), "random_forest": ("rf_churn_prob", None)}
+
+
 def scores_long(wide: DataFrame, key: str = "CustomerID") -> DataFrame:
     """One row per customer and model; models whose two columns are absent are skipped."""
     models = [
@@ -52,12 +55,19 @@ def pivot_scores(predictions: DataFrame) -> DataFrame:
     )
 
 
-def scores_wide(users: DataFrame, predictions: DataFrame) -> DataFrame:
+def scores_wide(users: DataFrame, predictions: DataFrame, *, strict: bool = False) -> DataFrame:
     """Every user with the score of each model.
 
     Scores are brought to one row per customer first: one shuffle instead of
-    three joins, and repeated scores cannot multiply.
+    three joins, and repeated scores cannot multiply.  ``strict`` joins the scores of each model as they are, so a user
+    has a row for every combination of repeated scores; ``repeated_scores`` tells whether there are any.
     """
+    if strict:
+        out = users
+        for model, (score, label) in _STRICT.items():
+            own = predictions.where(F.col("model_name") == model)
+            out = out.join(own.select("customer_id", F.col("probability").alias(score), *([F.col("prediction").alias(label)] if label else [])), "customer_id", "left")
+        return out
     return users.join(pivot_scores(predictions), "customer_id", "left")
 
 

@@ -69,6 +69,19 @@ def remove(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def mark(spark: SparkSession, path: str) -> None:
+    """Create an empty file, which either is there or is not."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True).close()
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a pattern, in order."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return sorted(status.getPath().toString() for status in found or [])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan with fewer partitions than cores one for each core; leave others as they are.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -41,9 +41,16 @@ def score_stream(
     required: list[str] | None = None,
     files_per_batch: int = 100,
     trigger: dict | None = None,
+    event_time: str | None = None,
+    request: Sequence[str] = ("customer_id",),
+    delay: str = "10 minutes",
 ) -> StreamingQuery:
     """Score Parquet files as they arrive in ``source``.
 
+    With an ``event_time`` column, requests that repeat the columns of ``request`` within ``delay`` of the first one are answered
+    once, over micro-batches and restarts: the keys are state, kept until the watermark, which is ``delay`` behind
+    the latest event, has passed them.  Requests that arrive even later than that are left out.
+
     Valid records go to the predictions table ``<output>/predictions`` with score, label and risk
     level, others to ``<output>/quarantine`` with the names of the broken rules.
     A micro-batch is read and checked once, into a staged table that both outputs read and
@@ -53,19 +60,23 @@ def score_stream(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         session, path = batch.sparkSession, scratch_path(spark, "micro-batch")
-        validate_records(batch, required).write.parquet(path)
-        checked = session.read.parquet(path)
-        broken = F.size("violations") > 0
-        response = scored_response(F.col("probability"))
-        scored = scorer(checked.where(~broken).drop("violations")).select(
-            "customer_id", F.lit(model_name).alias("model_name"), "probability",
-            response["churn_prediction"].alias("prediction"), response["risk_level"].alias("risk_level"),
-        )
-        append_predictions(scored, f"{root}/predictions", more=["risk_level"], batch_id=batch_id)
-        checked.where(broken).write.mode("overwrite").parquet(f"{root}/quarantine/batch_id={batch_id}")
-        remove(spark, path)
+        try:
+            validate_records(batch, required).write.parquet(path)
+            checked = session.read.parquet(path)
+            broken = F.size("violations") > 0
+            response = scored_response(F.col("probability"))
+            scored = scorer(checked.where(~broken).drop("violations")).select(
+                "customer_id", F.lit(model_name).alias("model_name"), "probability",
+                response["churn_prediction"].alias("prediction"), response["risk_level"].alias("risk_level"),
+            )
+            append_predictions(scored, f"{root}/predictions", more=["risk_level"], batch_id=batch_id)
+            checked.where(broken).write.mode("overwrite").parquet(f"{root}/quarantine/batch_id={batch_id}")
+        finally:
+            remove(spark, path)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    if event_time:
+        stream = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(request))
     return (
         stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()

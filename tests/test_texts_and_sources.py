@@ -1,11 +1,14 @@
+import random
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ebbline.functions import roles
-from ebbline.operators import text
+from ebbline.operators import scores, text
+from ebbline.plans import store
 from ebbline.plans.cleaning import run_cleaning
-from ebbline.plans.store import load_store, register_store
+from ebbline.plans.store import current_store, load_store, register_store
 from ebbline.sources import readers, synth, writers
 
 
@@ -83,11 +86,48 @@ def test_csv_spellings(spark, tmp_path, rows):
     assert readers.read_csv(spark, str(path)).columns == ["Tenure", "MonthlyCharges", "Contract", "Churn", "extra_col"]
 
 
+def quoted(value):
+    return value if not set(value) & set('",\n\r') else '"' + value.replace('"', '""') + '"'
+
+
+@pytest.mark.parametrize("size", [200, 1000])
+def test_line_breaks_at_the_seams_of_blocks(spark, tmp_path, size):
+    """Every block of some hundred bytes is a task's; fields hold line breaks, doubled quotes, header lines and blank lines."""
+    rng = random.Random(size)
+    marks = ["a", "é", ",", '"', "\n", "\n\n", " ", "x,y", '"quoted"', 'CustomerID,Contract,note\n', "\r\n"]
+    rows = [(str(k), "".join(rng.choices(marks, k=rng.choice([0, 1, 1, 3, 8]))).strip(), rng.choice(["plain", 'in the 5" middle', "end"])) for k in range(600)]
+    for number, part in enumerate((rows[:400], rows[400:])):
+        lines = ["CustomerID,Contract,note", *(",".join([quoted(i), quoted(c), n]) for i, c, n in part)]
+        (tmp_path / f"{number}.csv").write_bytes(("\n\n" if number else "\n").join(lines).encode())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = readers.read_csv(spark, str(tmp_path), drop_ids=False)
+        got = sorted((int(r["CustomerID"]), r["Contract"], r["note"]) for r in df.collect())
+        lines = readers._lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 10
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [(int(i), c if c.strip() else None, n) for i, c, n in rows]
+
+
+def test_lines_are_read_natively_where_no_field_goes_over_one(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'CustomerID,Contract\r\n1,"a,b"\r\n\r\n2,"say ""x"""\r\n')
+    df = readers.read_csv(spark, str(tmp_path), drop_ids=False)
+    assert sorted(map(tuple, df.collect())) == [("1", "a,b"), ("2", 'say "x"')]
+    assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_files_with_another_header_are_refused(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Tenure,Contract\n1,x\n")
     (tmp_path / "b.csv").write_text("Contract,Tenure\nx,1\n")
     with pytest.raises(Exception, match="(?i)header"):
         readers.read_csv(spark, str(tmp_path)).collect()
+    (tmp_path / "c.csv").write_text('Contract,Tenure\n"x\ny",1\n')
+    with pytest.raises(ValueError, match="header"):
+        readers.read_csv(spark, str(tmp_path))
 
 
 def test_missing_inputs_raise(spark, tmp_path):
@@ -135,8 +175,43 @@ def test_store(spark, tmp_path):
     register_store(spark, str(tmp_path))
     assert readers.read_sql(spark, "SELECT count(*) n FROM predictions WHERE model_name = :m", m="xgboost").first()["n"] == 50
     new = spark.createDataFrame([("api-1", "xgboost", 0.5, 1)], roles.PREDICTIONS_SCHEMA)
-    writers.append_predictions(new, f"{tmp_path}/predictions")
-    assert spark.read.parquet(f"{tmp_path}/predictions").count() == 101
+    current = current_store(spark, str(tmp_path))
+    writers.append_predictions(new, f"{current}/predictions")
+    assert spark.read.parquet(f"{current}/predictions").count() == 101
+    load_store(spark, wide, str(tmp_path))
+    assert len(list((tmp_path / "versions").iterdir())) == 2
+
+
+def test_a_failed_run_leaves_the_old_pair(spark, tmp_path, monkeypatch):
+    wide = scored(spark)
+    load_store(spark, wide, str(tmp_path))
+    before = current_store(spark, str(tmp_path))
+
+    def broken(*_):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(store, "sink_predictions", broken)
+    with pytest.raises(OSError):
+        load_store(spark, wide.limit(3), str(tmp_path))
+    monkeypatch.undo()
+    monkeypatch.setattr(store, "sink_users", lambda frame, path: frame.select(F.col("CustomerID").alias("customer_id")).write.parquet(path))
+    with pytest.raises(ValueError, match="more than once"):
+        load_store(spark, wide.unionByName(wide), str(tmp_path))
+    monkeypatch.undo()
+    assert current_store(spark, str(tmp_path)) == before
+    assert spark.read.parquet(f"{before}/users").count() == 50 and spark.read.parquet(f"{before}/predictions").count() == 100
+    twice = load_store(spark, wide.unionByName(wide.where("Tenure > 25")), str(tmp_path))["repeated_customers"]
+    assert twice.count() == wide.where("Tenure > 25").count() and {r["n"] for r in twice.collect()} == {2}
+    assert current_store(spark, str(tmp_path)) > before
+
+
+def test_strict_joins_fan_out(spark):
+    users = spark.createDataFrame([("a",), ("b",)], "customer_id string")
+    rows = [("a", "xgboost", 0.1, 0), ("a", "xgboost", 0.2, 0), ("a", "random_forest", 0.3, 0), ("a", "random_forest", 0.4, 0), ("b", "logistic_regression", 0.5, 1)]
+    predictions = spark.createDataFrame(rows, "customer_id string, model_name string, probability double, prediction int")
+    strict = sorted((r["customer_id"], r["xgb_churn_prob"], r["rf_churn_prob"], r["lr_churn_prob"]) for r in scores.scores_wide(users, predictions, strict=True).collect())
+    assert strict == [("a", 0.1, 0.3, None), ("a", 0.1, 0.4, None), ("a", 0.2, 0.3, None), ("a", 0.2, 0.4, None), ("b", None, None, 0.5)]
+    assert scores.scores_wide(users, predictions).count() == 2
 
 
 def test_tables_are_created_and_replaced(spark, tmp_path):
