@@ -7,7 +7,10 @@ and keeps column pruning, which a cached or locally checkpointed frame does not.
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +33,13 @@ def get_session(app_name: str = "ebbline", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, for a cluster on which it is not installed."""
+    package = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; without the setting there is no safe place."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
