@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.session import scratch_path
+from ebbline.session import staged
 
 #: A-Z only, as the contracts ask; str.lower would also change other letters.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,24 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage is cut and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Write a frame to the shared folder and read it back: the lineage is cut and survives lost executors.
+stage = staged
 
 
-#: Rows of an Arrow batch at most.  A worker holds one batch of whole texts at a time, and some are very long.
+#: Rows that a worker's function gets at once.  Some texts are very long; what comes from Spark is bounded in bytes.
 BATCH_ROWS = 1000
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` in batches of at most BATCH_ROWS rows, a setting of the session that stays lowered."""
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_ROWS)) <= BATCH_ROWS:
-        conf.set(_ROWS, str(BATCH_ROWS))
-    return df.mapInArrow(work, schema)
+    """``mapInArrow`` in slices of at most BATCH_ROWS rows."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return work(batch.slice(at, BATCH_ROWS) for batch in batches for at in range(0, max(batch.num_rows, 1), BATCH_ROWS))
+
+    return df.mapInArrow(sliced, schema)
 
 
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

@@ -216,8 +216,9 @@ def ngram_join(
     rows = stage(_signatures(docs, frequent, width, numerator, denominator), "ngram-signatures")
     known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
 
-    firsts = known.groupBy("print").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last")
-    copies = stage(known.select("doc_id", "print").join(firsts.select("print", "rep"), "print").where("doc_id <> rep").select("doc_id", "rep").distinct(), "ngram-copies")
+    firsts = known.groupBy("print").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").select("print", "rep")
+    firsts = stage(firsts, "ngram-firsts")  # apart from the join, whose large partitions can then be split
+    copies = stage(known.select("doc_id", "print").join(firsts, "print").where("doc_id <> rep").select("doc_id", "rep").distinct(), "ngram-copies")
 
     # an id of several rows with different texts stays a node of its own, tied to the copies of each
     # text by an edge; its pairs skip the tests on sizes

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections import Counter
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from ebbline.llm.common import map_batches, texts_of
 
-#: Where the vocabulary lies on every machine; a parameter, never copied.
+#: Where the vocabulary lies on the driver, which sends it to the workers; a parameter, never copied.
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 END = 256  # the symbol after the last byte of a word
 #: Words: contractions, letters, single digits, and runs of other signs.
@@ -35,11 +36,13 @@ def _byte_of() -> dict[str, int]:
 
 
 def read_vocabulary(path: str = VOCABULARY) -> list[tuple[int, ...]]:
+    return entries_of(Path(path).read_text(encoding="utf-8"))
+
+
+def entries_of(vocabulary: str) -> list[tuple[int, ...]]:
     """Every entry as bytes, with END after an entry that closes a word; special entries are left out."""
     bytes_, found = _byte_of(), []
-    with open(path, encoding="utf-8") as file:
-        names = json.load(file)["model"]["vocab"]
-    for name in names:
+    for name in json.loads(vocabulary)["model"]["vocab"]:
         closes = name.endswith("</w>")
         body = name.removesuffix("</w>") if closes else name
         if body and all(c in bytes_ for c in body) and not (body.startswith("<|") and body.endswith("|>")):
@@ -102,9 +105,9 @@ class Automaton:
 
 
 @lru_cache(maxsize=2)
-def automaton_of(path: str) -> Automaton:
+def automaton_of(vocabulary: str) -> Automaton:
     """Built once in each Python worker, which serves many tasks."""
-    return Automaton(read_vocabulary(path))
+    return Automaton(entries_of(vocabulary))
 
 
 def words_of(text: str) -> list[str]:
@@ -119,8 +122,10 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     Whole texts are read; repeated rows are counted each, an empty table gives no rows, other columns are ignored.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))  # a few MB, whatever the documents
+
     def work(batches):
-        automaton, known = automaton_of(vocabulary), {}
+        automaton, known = automaton_of(shared.value), {}
         for batch in batches:
             rows = []
             for text in texts_of(batch.column("text")):

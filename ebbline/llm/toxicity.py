@@ -9,6 +9,7 @@ logistic calibration on labelled documents that the lexicon was not learned from
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -22,8 +23,8 @@ from ebbline.llm.common import map_batches, smallest, stage, texts_of
 
 #: Labelled documents that teach the lexicon and the calibration: at most so many, those of smallest hash.
 TRAIN_DOCS = 20_000
-#: Learned entries at most, and the lengths of the word beginnings that can become one.
-MAX_TERMS, SHORTEST, LONGEST = 4096, 3, 9
+#: The lengths of the word beginnings that can become an entry.
+SHORTEST, LONGEST = 3, 9
 #: An entry needs this lower bound of its log-odds.
 LEAST_WEIGHT = 1.5
 #: Score from which a document counts as toxic.
@@ -48,16 +49,26 @@ LOOKALIKES = {
 #: Digits and signs that stand for letters inside a word.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 
-_FOLDS = {ord(c): letter for letter, others in LOOKALIKES.items() for c in others} | {
-    0xFF41 + k: chr(97 + k) for k in range(26)  # full-width letters
-} | dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])  # invisible signs go
+_FOLDS = {ord(c): letter for letter, others in LOOKALIKES.items() for c in others} | dict.fromkeys(
+    [0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]  # invisible signs go
+)
+_MARKS = re.compile(r"[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 _DIGIT = re.compile(r"(?<=[^\W\d_])[0134578]|[0134578](?=[^\W\d_])|(?<=[^\W_])[@$](?=[^\W_])")
 _GAP = re.compile(r"[\W_]+")
+#: Four and more single letters with the same sign between them.
+_SPELLED = re.compile(r"(?<![^\W_])[^\W\d_]([\W_])(?:[^\W\d_]\1){2,}[^\W\d_](?![^\W_])")
 
 
 def fold(text: str) -> str:
-    """Lower-case words between single spaces, lookalikes and digit substitutions undone."""
-    text = _DIGIT.sub(lambda m: DIGITS[m[0]], text.lower().translate(_FOLDS))
+    """Lower-case words between single spaces, with disguises undone.
+
+    Compatible forms (bold, circled, full-width letters) become plain letters, accents and other marks go, lookalikes of
+    other scripts, digits and signs inside of words become the letters they stand for, and letters that are spelled out one by one a word.
+    """
+    if not text.isascii():
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).lower().translate(_FOLDS)
+    text = _DIGIT.sub(lambda m: DIGITS[m[0]], text.lower())
+    text = _SPELLED.sub(lambda m: m[0].replace(m[1], ""), text)
     return f" {_GAP.sub(' ', text).strip()} "
 
 
@@ -165,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
     At most TRAIN_DOCS labelled documents are read, those of smallest hash.  Three fifths of
     them teach the lexicon, the rest the calibration.  Rows without an id or a
-    label are left out; of several labels of one document the highest counts.
+    label are left out; of several labels of one document the highest counts.  Words are learned by their first
+    LONGEST letters; every beginning with evidence becomes an entry.
     Without documents of both labels the stated entries and coefficients stay.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -183,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     terms = _term_counts(taught.where("NOT calibrates")).withColumn("bound", bound)
     seeds = [s[:LONGEST] for s in SEEDS]
     wanted = (F.col("toxic") >= max(3, toxic // 250)) & (F.col("bound") >= LEAST_WEIGHT)
-    rows = terms.where(wanted).orderBy(F.desc("bound"), "term").limit(MAX_TERMS).collect()
+    rows = terms.where(wanted).collect()  # bounded by the words of TRAIN_DOCS documents, of which few mark toxic ones
     doubtful = terms.where(F.col("term").isin(seeds) & (F.col("toxic") + F.col("clean") >= 20)).collect()
     for row in doubtful:  # a stated entry with evidence takes the learned weight, or goes
         for seed in [s for s in lexicon.weights if s[:LONGEST] == row["term"]]:
