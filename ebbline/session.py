@@ -7,6 +7,7 @@ and keeps column pruning, which a cached or locally checkpointed frame does not.
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -35,9 +36,9 @@ def get_session(app_name: str = "ebbline", master: str | None = None, **conf: st
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, for a cluster on which it is not installed."""
-    package = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+    package, folder = Path(__file__).resolve().parent, tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors may fetch the file at any time
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
 
 
 def scratch_root(spark: SparkSession) -> str:
