@@ -178,3 +178,35 @@ def conversation_sentiment(spark, sf_dir):
         turns, "text", "polarity", polarity=_DOC_POLARITY, intensifiers=_DOC_STRONG, negators=_DOC_NEGATORS
     )
     return rounded(scored.groupBy("conv_id").agg(F.count(F.lit(1)).alias("texts"), F.avg("polarity").alias("polarity")), 9)
+
+
+# A lexicon of all words and every fifth pair of words of the documents, with weights that both engines compute.
+_ENTRY_WEIGHT = "CAST((LENGTH(entry) * 7 + ASCII(entry)) % 21 - 10 AS DOUBLE) / 10"
+_PAIRED = "LENGTH(w) >= 3 AND (LENGTH(w) * 3 + LENGTH(p)) % 5 = 0"
+
+
+@query("text_sentiment_table", f"""
+WITH words AS (SELECT doc_id AS k, REGEXP_EXTRACT_ALL(LOWER(text), '[\\p{{L}}'']+') AS ws FROM documents),
+tok AS (SELECT k, GENERATE_SUBSCRIPTS(ws, 1) AS i, UNNEST(ws) AS w FROM words),
+ctx AS (SELECT k, i, w, LAG(w, 1, '') OVER (PARTITION BY k ORDER BY i) AS p, LAG(w, 2, '') OVER (PARTITION BY k ORDER BY i) AS q,
+  LAG(w, 3, '') OVER (PARTITION BY k ORDER BY i) AS r FROM tok),
+lex AS (SELECT entry, n, {_ENTRY_WEIGHT} AS v FROM (
+  SELECT DISTINCT w AS entry, 1 AS n FROM tok WHERE LENGTH(w) >= 3 UNION ALL SELECT DISTINCT p || ' ' || w, 2 FROM ctx WHERE p <> '' AND {_PAIRED})),
+one AS (SELECT k, i, v, p AS a, q AS b FROM ctx JOIN lex ON n = 1 AND entry = w),
+two AS (SELECT k, i, v, q AS a, r AS b FROM ctx JOIN lex ON n = 2 AND p <> '' AND entry = p || ' ' || w),
+kept AS (SELECT * FROM two UNION ALL SELECT o.* FROM one o WHERE NOT EXISTS (SELECT 1 FROM two t WHERE t.k = o.k AND t.i IN (o.i, o.i + 1))),
+strong(w, s) AS (VALUES {", ".join(f"({_literal(w)}, {float(v)!r}::DOUBLE)" for w, v in _DOC_STRONG.items())}),
+hits AS (SELECT k, GREATEST(-1.0::DOUBLE, LEAST(1.0::DOUBLE, v * (COALESCE(s, 1.0::DOUBLE) * CASE WHEN a IN ({", ".join(map(_literal, _DOC_NEGATORS))})
+    OR (s IS NOT NULL AND b IN ({", ".join(map(_literal, _DOC_NEGATORS))})) THEN -0.5::DOUBLE ELSE 1.0::DOUBLE END))) AS score
+  FROM kept LEFT JOIN strong ON a = strong.w)
+SELECT doc_id, ROUND(COALESCE(m, 0), 9) AS polarity FROM documents LEFT JOIN (SELECT k, AVG(score) AS m FROM hits GROUP BY k) ON doc_id = k""")
+def text_sentiment_table(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    words = docs.select(text.words_of(F.col("text")).alias("words")).where("size(words) > 0")
+    ones = words.select(F.explode("words").alias("entry")).where("length(entry) >= 3")
+    pairs = words.where("size(words) > 1").select(F.explode(F.expr("transform(sequence(2, size(words)), i -> struct(words[i - 2] AS p, words[i - 1] AS w))")).alias("x")).select("x.*")
+    entries = ones.distinct().unionByName(pairs.where(_PAIRED).select(F.concat_ws(" ", "p", "w").alias("entry")).distinct())
+    scored = text.text_sentiment_by_table(
+        docs, entries.withColumn("weight", F.expr(_ENTRY_WEIGHT)), "text", "polarity", intensifiers=_DOC_STRONG, negators=_DOC_NEGATORS,
+    )
+    return rounded(scored.select("doc_id", "polarity"), 9)

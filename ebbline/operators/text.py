@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.functions import lexicon, roles
+from ebbline.session import staged
 
+#: A lexicon of at most so many bytes goes to every task.
+BROADCAST_BYTES = 16 << 20
 WORD = r"[\p{L}']+"
 
 
@@ -58,6 +61,52 @@ def text_sentiment(
     return hits.withColumn(output, F.when(F.col(text).isNull(), F.lit(0.0)).otherwise(mean)).drop("_words", "_hits")
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
+def text_sentiment_by_table(
+    df: DataFrame,
+    entries: DataFrame,
+    text: str = "ticket_text",
+    output: str = roles.SENTIMENT_COL,
+    *,
+    intensifiers: Mapping[str, float] = lexicon.INTENSIFIERS,
+    negators: Sequence[str] = lexicon.NEGATORS,
+) -> DataFrame:
+    """As ``text_sentiment``, with a lexicon that is a table (entry, weight) of any size, whose entries may be of several words.
+
+    An entry inside a longer one that is found there does not count.  Entries are compared word by word in lower case; of
+    equal ones the greatest weight counts.  An intensifier or negator acts on the entry that follows it.
+
+    Words are exploded with their places and joined to the table, which is broadcast if it is measured to be small; only
+    entries that are found are shuffled, once, by their text.
+    """
+    listed = entries.select(words_of(F.col("entry")).alias("words"), F.col("weight").cast("double").alias("weight")).where(F.size("words") > 0)
+    listed = listed.groupBy(F.array_join("words", " ").alias("entry"), F.size("words").alias("n")).agg(F.max("weight").alias("weight"))
+    listed = staged(listed, "lexicon")
+    size = listed.agg(F.max("n").alias("longest"), F.sum(F.octet_length("entry") + 40).alias("bytes")).first()
+    longest = size["longest"] or 1
+
+    rows = staged(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    words = rows.select("_row", words_of(F.col(text)).alias("words")).where(F.size("words") > 0)
+    places = words.select("_row", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
+    phrases = F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - F.col("at"))), lambda n: F.array_join(F.slice("words", F.col("at") + 1, n), " ")
+    )
+    before, second = (F.coalesce(F.get("words", F.col("at") - k), F.lit("")) for k in (1, 2))
+    intensified = before.isin(list(intensifiers))
+    factor = _lookup(intensifiers, before, 1.0) * F.when(before.isin(list(negators)) | (intensified & second.isin(list(negators))), F.lit(lexicon.NEGATION)).otherwise(F.lit(1.0))
+    tried = places.select("_row", "at", factor.alias("factor"), F.explode(phrases).alias("entry"))
+    table = F.broadcast(listed) if (size["bytes"] or 0) <= BROADCAST_BYTES else listed
+    found = tried.join(table, "entry").select("_row", "at", (F.col("at") + F.col("n")).alias("end"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("weight") * F.col("factor"))).alias("score"))
+    earlier = Window.partitionBy("_row").orderBy("at", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = found.withColumn("covered", F.max("end").over(earlier)).where("covered IS NULL OR covered < end")
+    means = outer.groupBy("_row").agg(F.avg("score").alias("_mean"))
+    return rows.join(means, "_row", "left").withColumn(output, F.coalesce("_mean", F.lit(0.0))).drop("_row", "_mean")
+
+
 def sentiment_summary(
     df: DataFrame, score: str = roles.SENTIMENT_COL, target: str = roles.TARGET_COL
 ) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from ebbline.functions import roles
+from ebbline.functions import lexicon, roles
 from ebbline.operators import scores, text
 from ebbline.plans import store
 from ebbline.plans.cleaning import run_cleaning
@@ -68,6 +68,26 @@ def test_texts_of_churned_customers_are_negative(spark):
     assert df.agg(F.min("ticket_sentiment") >= -1, F.max("ticket_sentiment") <= 1).first()[:] == (True, True)
 
 
+@pytest.mark.parametrize("most", [16 << 20, 0])
+def test_lexicon_as_a_table(spark, monkeypatch, most):
+    """Entries of several words, of which the longest counts, and a table that is too large to send to every task."""
+    monkeypatch.setattr(text, "BROADCAST_BYTES", most)
+    entries = spark.createDataFrame(
+        [("good", 0.8), ("Not  Good", -0.2), ("good old days", 0.5), ("days", 0.1), ("old", -0.1), ("bad", -0.6), ("bad", -0.4), ("?!", 1.0)], "entry string, weight double")
+    texts = {
+        "good": 0.8, "not good": -0.2, "very good": 1.0, "not very good": -0.52, "good old days": 0.5, "the good old man": (0.8 - 0.1) / 2,
+        "never bad": 0.2, "": 0.0, None: 0.0, "old days": 0.0, "GOOD, days": (0.8 + 0.1) / 2, "nothing": 0.0,
+    }
+    df = spark.createDataFrame([(t, "x") for t in [*texts, "good"]], "ticket_text string, weight string")
+    got = text.text_sentiment_by_table(df, entries, output="score").collect()
+    assert len(got) == len(texts) + 1 and all(r["weight"] == "x" for r in got)
+    assert {r["ticket_text"]: round(r["score"], 9) for r in got} == {t: pytest.approx(v) for t, v in texts.items()}
+    plain = spark.createDataFrame(list(lexicon.POLARITY.items()), "entry string, weight double")
+    df = synth.gen_ticket_text(synth.gen_customers(spark, 200))
+    both = text.text_sentiment_by_table(text.text_sentiment(df, output="a"), plain, output="b").select("a", "b").collect()
+    assert all(r["a"] == pytest.approx(r["b"]) for r in both)
+
+
 # ── files ───────────────────────────────────────────────────────────────────
 
 
