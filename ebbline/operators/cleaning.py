@@ -6,17 +6,20 @@ once and then used as literals, so the cleaning itself needs no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbline.functions import roles
 from ebbline.functions.scalar import clip
-from ebbline.operators.counts import modes
-from ebbline.operators.quantiles import approx_quantiles, exact_quantiles
+from ebbline.operators.counts import few_valued, modes
+from ebbline.operators.quantiles import STATS, approx_quantiles, exact_quantiles, summary_aggs
 from ebbline.operators.shape import to_number
 
 IQR_MULTIPLIER = 1.5
+QUARTILES = [0.25, 0.75]
 CHARGES_RTOL = 0.05
 
 
@@ -102,12 +105,29 @@ def impute_categorical(
 
 
 def impute(df: DataFrame, num_strategy: str = "median", cat_strategy: str = "mode") -> DataFrame:
-    """Both imputations, fitted only on the columns that have gaps, then rows without id or label dropped."""
-    gaps = missing_counts(df)
-    num = [c for c in roles.present(roles.CLEAN_NUMERIC, df.columns) if gaps[c]]
-    cat = [c for c in roles.present(roles.CLEAN_CATEGORICAL, df.columns) if gaps[c]]
-    fills = numeric_fills(df, num, num_strategy)
-    labels = categorical_fills(df, cat, cat_strategy)
+    """Both imputations, fitted only on the columns that have gaps, then rows without id or label dropped.
+
+    One job counts the gaps, with what the medians and modes have to know before; each of these is one job more.
+    """
+    num, cat = roles.present(roles.CLEAN_NUMERIC, df.columns), roles.present(roles.CLEAN_CATEGORICAL, df.columns)
+    medians, mode = num_strategy == "median" and bool(num), cat_strategy == "mode" and bool(cat)
+    aggs = [F.count_if(missing(df, c)).alias(f"_gaps{i}") for i, c in enumerate(df.columns)]
+    aggs += (summary_aggs(df, num, [0.5]) if medians else []) + (few_valued(df, cat) if mode else [])
+    seen = df.agg(*aggs).first().asDict()
+    gaps = {c: seen[f"_gaps{i}"] for i, c in enumerate(df.columns)}
+    if medians:
+        wanted = [c for c in num if gaps[c]]
+        own = {f"_{kind}{wanted.index(c)}{rest}": seen[f"_{kind}{i}{rest}"] for i, c in enumerate(num) if gaps[c] for kind, rest in [("q", ""), *(("c", f"_{k}") for k in range(STATS))]}
+        quantiles = exact_quantiles(df, wanted, [0.5], seen=own) if wanted else {}
+        fills = {c: v[0] for c, v in quantiles.items() if v[0] is not None}
+    else:
+        fills = numeric_fills(df, [c for c in num if gaps[c]], num_strategy)
+    wanted = [c for c in cat if gaps[c]]
+    if mode:
+        found = modes(df, wanted, {f"_d{wanted.index(c)}": seen[f"_d{i}"] for i, c in enumerate(cat) if gaps[c]}) if wanted else {}
+        labels = {c: "Unknown" if v is None else v for c, v in found.items()}
+    else:
+        labels = categorical_fills(df, wanted, cat_strategy)
     keys = [c for c in roles.present([roles.ID_COL, roles.TARGET_COL], df.columns) if gaps[c]]
     out = fill_categorical(fill_numeric(df, fills), labels)
     return out.dropna(subset=keys) if keys else out
@@ -130,19 +150,24 @@ def outlier_columns(df: DataFrame) -> list[str]:
 
 
 def iqr_fences(
-    df: DataFrame, columns: list[str] | None = None, multiplier: float = IQR_MULTIPLIER, *, exact: bool = True
+    df: DataFrame, columns: list[str] | None = None, multiplier: float = IQR_MULTIPLIER, *, exact: bool = True, seen: Mapping | None = None
 ) -> dict[str, tuple[float, float, float, float]]:
-    """(q1, q3, lower, upper) per column that has values."""
+    """(q1, q3, lower, upper) per column that has values; ``seen`` as ``fence_aggs`` gives it, if it is known already."""
     columns = columns or outlier_columns(df)
-    quantiles = exact_quantiles if exact else approx_quantiles
+    found = exact_quantiles(df, columns, QUARTILES, seen=seen) if exact else approx_quantiles(df, columns, QUARTILES)
     fences = {}
-    for name, (q1, q3) in quantiles(df, columns, [0.25, 0.75]).items():
+    for name, (q1, q3) in found.items():
         if q1 is not None:
             reach = multiplier * (q3 - q1)
             fences[name] = (q1, q3, q1 - reach, q3 + reach)
     return fences
 
 
+def fence_aggs(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
+    """Aggregates that ``iqr_fences`` has to know first; they may be part of another job or be observed."""
+    return summary_aggs(df, columns or outlier_columns(df), QUARTILES)
+
+
 def _outside(name: str, fences: dict) -> Column:
     _, _, low, high = fences[name]
     return F.coalesce((F.col(name) < low) | (F.col(name) > high), F.lit(False))
@@ -167,20 +192,20 @@ def iqr_bounds(
 
 
 def outlier_cap(
-    df: DataFrame, columns: list[str] | None = None, multiplier: float = IQR_MULTIPLIER, *, exact: bool = True
+    df: DataFrame, columns: list[str] | None = None, multiplier: float = IQR_MULTIPLIER, *, exact: bool = True, seen: Mapping | None = None
 ) -> DataFrame:
     """Limit values to the fences; null stays null."""
-    fences = iqr_fences(df, columns, multiplier, exact=exact)
+    fences = iqr_fences(df, columns, multiplier, exact=exact, seen=seen)
     return df.withColumns({
         c: clip(F.col(c).cast("double"), low, high) for c, (_, _, low, high) in fences.items()
     })
 
 
 def outlier_flag(
-    df: DataFrame, columns: list[str] | None = None, multiplier: float = IQR_MULTIPLIER, *, exact: bool = True
+    df: DataFrame, columns: list[str] | None = None, multiplier: float = IQR_MULTIPLIER, *, exact: bool = True, seen: Mapping | None = None
 ) -> DataFrame:
     """Add ``<column>_outlier`` 0/1 for every column checked, so the schema does not hang on the data."""
-    fences = iqr_fences(df, columns, multiplier, exact=exact)
+    fences = iqr_fences(df, columns, multiplier, exact=exact, seen=seen)
     return df.withColumns({f"{c}_outlier": _outside(c, fences).cast("int") for c in fences})
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbline.session import staged
@@ -42,7 +42,31 @@ def top_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
-    """The most frequent value per column as text, the smallest on ties; None if all null."""
-    found = {row["column"]: row["top"] for row in top_values(df, columns).collect()}  # one row per column
+#: Different values of a column, as estimated, up to which its values are counted as they are.
+FEW_VALUES = 1000
+
+
+def few_valued(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """For each column the estimate that ``modes`` asks for; it may be part of another job."""
+    return [F.approx_count_distinct(c).alias(f"_d{i}") for i, c in enumerate(columns)]
+
+
+def modes(df: DataFrame, columns: Sequence[str], seen: Mapping | None = None) -> dict[str, str | None]:
+    """The most frequent value per column as text, the smallest on ties; None if all null.
+
+    Columns of few values are counted in one grouped aggregate, which passes on a count for each value; others by the
+    hashes of their values.  ``seen`` holds the ``few_valued`` of the same rows and columns if they are known already.
+    """
+    if seen is None:
+        seen = df.agg(*few_valued(df, columns)).first().asDict()
+    few = [c for i, c in enumerate(columns) if seen[f"_d{i}"] <= FEW_VALUES]
+    many = [c for c in columns if c not in few]
+    found: dict[str, str] = {}
+    if few:
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in few])
+        counts = df.select(F.inline(pairs)).where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        best = counts.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("best"))
+        found = {r["column"]: r["best"]["value"] for r in best.collect()}  # one row per column
+    if many:
+        found |= {r["column"]: r["top"] for r in top_values(df, many).collect()}
     return {name: found.get(name) for name in columns}

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbline.functions import roles
-from ebbline.session import staged
 
 
 def _subset(df: DataFrame, subset: list[str] | None) -> list[str]:
@@ -36,12 +35,11 @@ def _grouped(df: DataFrame, subset: list[str], keep: str | bool, order_col: str)
 def _split_repeated(df: DataFrame, subset: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows with no equal, rows that may have one) by a 64-bit hash of the subset.
 
-    The hashes are counted by a hash aggregate.  The joins carry no hint:
+    The hashes are counted by a hash aggregate, which both joins share.  They carry no hint:
     adaptive execution sees how many hashes repeat and chooses.
     """
     hashed = df.withColumn("_hash", F.xxhash64(*subset))
-    counts = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n"))
-    repeated = staged(counts.where("n > 1").select("_hash"), "repeated-hashes")
+    repeated = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_hash")
     return hashed.join(repeated, "_hash", "left_anti").drop("_hash"), hashed.join(repeated, "_hash", "left_semi").drop("_hash")
 
 

@@ -48,26 +48,37 @@ class _Bracket:
     below: int | None = None
 
 
-def _view(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], integral: bool) -> DataFrame:
-    """Only the wanted columns, as doubles without NaN or as 64-bit integers."""
+def _values(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], integral: bool) -> dict[str, Column]:
+    """The wanted columns as doubles without NaN or as 64-bit integers."""
     named = dict(columns) if isinstance(columns, Mapping) else {c: F.col(c) for c in columns}
     if integral:
-        return df.select(*[value.cast("bigint").alias(name) for name, value in named.items()])
+        return {name: value.cast("bigint") for name, value in named.items()}
     doubles = {name: value.cast("double") for name, value in named.items()}
-    return df.select(*[F.when(~F.isnan(value), value).alias(name) for name, value in doubles.items()])
+    return {name: F.when(~F.isnan(value), value) for name, value in doubles.items()}
+
+
+def _view(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], integral: bool) -> DataFrame:
+    return df.select(*[value.alias(name) for name, value in _values(df, columns, integral).items()])
 
 
 _STATS = [F.count, F.avg, F.stddev, F.min, F.max, distinct_estimate]
+STATS = len(_STATS)
 
 
-def _summaries(view: DataFrame, probs: Sequence[float], accuracy: int) -> tuple[dict[str, Summary], dict[str, list]]:
-    """Summaries of all columns, and a sketch's values at the wanted shares, in one aggregate."""
-    aggs = [f(F.col(name)).alias(f"c{i}_{k}") for i, name in enumerate(view.columns) for k, f in enumerate(_STATS)]
-    if probs:
-        aggs += [F.percentile_approx(F.col(name), list(probs), accuracy).alias(f"q{i}") for i, name in enumerate(view.columns)]
-    row = view.agg(*aggs).first()
-    summaries = {name: Summary(*[row[f"c{i}_{k}"] for k in range(len(_STATS))]) for i, name in enumerate(view.columns)}
-    return summaries, {name: row[f"q{i}"] for i, name in enumerate(view.columns)} if probs else {}
+def summary_aggs(
+    df: DataFrame, columns: Sequence[str] | Mapping[str, Column], probs: Sequence[float], *, accuracy: int = SKETCH_ACCURACY, integral: bool = False
+) -> list[Column]:
+    """What ``exact_summary`` has to know of the rows before it looks for quantiles: aggregates that may be part of another job or be observed."""
+    values = list(_values(df, columns, integral).values())
+    aggs = [f(value).alias(f"_c{i}_{k}") for i, value in enumerate(values) for k, f in enumerate(_STATS)]
+    wide = _around(probs, accuracy) if probs else []
+    return aggs + ([F.percentile_approx(value, wide, accuracy).alias(f"_q{i}") for i, value in enumerate(values)] if wide else [])
+
+
+def _summaries(names: Sequence[str], seen: Mapping, sketched: bool) -> tuple[dict[str, Summary], dict[str, list]]:
+    """Summaries of all columns, and a sketch's values at the wanted shares, from the aggregates."""
+    summaries = {name: Summary(*[seen[f"_c{i}_{k}"] for k in range(len(_STATS))]) for i, name in enumerate(names)}
+    return summaries, {name: seen[f"_q{i}"] or [] for i, name in enumerate(names)} if sketched else {}
 
 
 def _groups(ranks: Sequence[int], count: int) -> list[list[int]]:
@@ -184,7 +195,7 @@ def exact_ranks(
     ``integral`` keeps 64-bit integers exact instead of going through doubles.
     """
     view = _view(df, columns, integral)
-    summaries, _ = _summaries(view, [], accuracy)
+    summaries, _ = _summaries(view.columns, view.agg(*summary_aggs(view, view.columns, [], accuracy=accuracy, integral=integral)).first(), False)
     shares = {rank / max(summaries[name].count - 1, 1) for name, wanted in ranks.items() for rank in wanted if 0 <= rank < summaries[name].count}
     probs = _around(sorted(shares), accuracy)
     if not probs:
@@ -199,16 +210,22 @@ def exact_summary(
     probs: Sequence[float],
     *,
     accuracy: int = SKETCH_ACCURACY,
+    seen: Mapping | None = None,
 ) -> dict[str, Summary]:
-    """Moments, extremes and linearly interpolated quantiles of each column, in two jobs, or three and more where values differ."""
+    """Moments, extremes and linearly interpolated quantiles of each column, in two jobs, or three and more where values crowd.
+
+    ``seen`` holds the ``summary_aggs`` of the same rows, columns and shares if they are known already.
+    """
     view = _view(df, columns, False)
     wide = _around(probs, accuracy) if probs else []
-    summaries, sketches = _summaries(view, wide, accuracy)
+    if seen is None:
+        seen = view.agg(*summary_aggs(view, view.columns, probs, accuracy=accuracy)).first().asDict() if view.columns else {}
+    summaries, sketches = _summaries(view.columns, seen, bool(wide))
     places = {
         name: [p * (s.count - 1) for p in probs] if s.count else [] for name, s in summaries.items()
     }
     ranks = {name: [r for at in wanted for r in (math.floor(at), math.ceil(at))] for name, wanted in places.items()}
-    values = _solve(view, ranks, summaries, {n: v or [] for n, v in sketches.items()}, wide, False, accuracy)
+    values = _solve(view, ranks, summaries, sketches, wide, False, accuracy)
     for name, s in summaries.items():
         for at in places[name]:
             low, high = values[name][math.floor(at)], values[name][math.ceil(at)]
@@ -218,7 +235,7 @@ def exact_summary(
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str] | Mapping[str, Column], probs: Sequence[float], **options: int
+    df: DataFrame, columns: Sequence[str] | Mapping[str, Column], probs: Sequence[float], **options
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation; None for a column without values."""
     return {name: s.quantiles for name, s in exact_summary(df, columns, probs, **options).items()}

@@ -29,7 +29,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Bins of a column at most, and rows of smallest draw from which their edges are taken (fewer for very wide vectors).
 MAX_BINS, EDGE_ROWS, EDGE_CELLS = 256, 20_000, 20_000_000
 #: Rows of a staged block at most, and rows of a node that one task finishes.
-BLOCK_ROWS, FINISHED_ROWS = 1 << 16, 4096
+BLOCK_ROWS, FINISHED_ROWS = 1 << 16, 8192
+#: Open nodes whose sums the driver reads at most; those of more are read by tasks.
+DRIVER_NODES = 64
 #: Rounds after which the margins of the rows are written anew.
 MARGIN_ROUNDS = 10
 #: Draws are products modulo this prime, which other engines can compute too.
@@ -185,18 +187,14 @@ class Columns:
         self.inner = np.arange(len(self.owner)) < (self.offset + self.counts - 1)[self.owner]  # behind the last bin nothing is left
 
 
-def best_split(sums: np.ndarray, total: np.ndarray, drawn: np.ndarray, columns: Columns, rules: Rules, weights: np.ndarray):
-    """(column, last bin of the low side, gain, sums of the low side) of the best split, the first of several; None without one.
-
-    ``sums`` has the three sums of every slot; those of columns that are not drawn may be empty.
-    """
-    running = np.cumsum(sums, axis=0)
-    before = np.concatenate([np.zeros((1, 3), np.int64), running])[columns.offset]
-    low = running - before[columns.owner]
+def best_split(sums: np.ndarray, total: np.ndarray, columns: Columns, rules: Rules, weights: np.ndarray):
+    """(column, last bin of the low side, gain, sums of the low side) of the best split, the first of several; None without one."""
+    low = np.cumsum(sums, axis=0)
+    begin = np.zeros((len(columns.counts), 3), np.int64)
+    begin[1:] = low[columns.offset[1:] - 1]
+    low -= begin[columns.owner]
     high = total - low
-    allowed = np.zeros(len(columns.counts), bool)
-    allowed[drawn] = True
-    allowed = allowed[columns.owner] & columns.inner & rules.large(low) & rules.large(high)
+    allowed = columns.inner & rules.large(low) & rules.large(high)
     if not allowed.any():
         return None
     scores = np.where(allowed, rules.score(low, weights) + rules.score(high, weights), -np.inf)
@@ -389,15 +387,25 @@ class Grower:
         def chosen(node: int, slot: np.ndarray, values: np.ndarray, path: int):
             dense = np.zeros((slots, 3), np.int64)
             dense[slot] = values
-            begin = columns.offset[picked[node][0]]
-            total = dense[begin : begin + columns.counts[picked[node][0]]].sum(axis=0)
-            split = best_split(dense, total, picked[node], columns, rules, weight[node]) if rules.open(total, path.bit_length() - 1) else None
+            own = picked[node]
+            local = Columns(columns.counts[own])
+            dense = dense[np.repeat(columns.offset[own] - local.offset, local.counts) + np.arange(len(local.owner))]
+            total = dense[: local.counts[0]].sum(axis=0)
+            split = best_split(dense, total, local, rules, weight[node]) if rules.open(total, path.bit_length() - 1) else None
             column, cut, gain, low = split or (-1, 0, 0.0, np.zeros(3, np.int64))
-            return node, column, cut, gain, *map(int, low), *map(int, total)
+            return node, int(own[column]) if split else -1, cut, gain, *map(int, low), *map(int, total)
 
         paths = [p for _, p in keys]
         names = ("node", "column", "cut", "gain", "s0", "s1", "s2", "t0", "t1", "t2")
 
+        def listed(found):
+            return {keys[r[0]]: (r[1], r[2], r[3], np.array(r[4:7], np.int64), np.array(r[7:], np.int64)) for r in found}
+
+        if len(keys) <= DRIVER_NODES:  # as many rows as nodes have bins
+            table = grouped.toArrow()
+            held = np.stack([table.column(c).to_numpy() for c in ("node", "slot", "s0", "s1", "s2")], axis=1)
+            return listed(chosen(n, *(lambda own: (own[:, 1], own[:, 2:]))(held[held[:, 0] == n]), paths[n]) for n in np.unique(held[:, 0]).tolist())
+
         def best(batches):
             held = None
             for batch in [*batches, None]:
@@ -416,7 +424,7 @@ class Grower:
 
         ordered = grouped.repartition(min(self.parts, len(keys)), "node").sortWithinPartitions("node", "slot")
         rows = ordered.mapInArrow(best, ", ".join(f"{n} {'double' if n == 'gain' else 'long'}" for n in names)).collect()  # one for each open node
-        return {keys[r["node"]]: (r["column"], r["cut"], r["gain"], np.array(r[4:7], np.int64), np.array(r[7:], np.int64)) for r in rows}
+        return listed(rows)
 
     def _finished(self, keys, nodes, weights) -> dict[tuple[int, int], tuple]:
         """The nodes from each of ``keys`` down: its rows, FINISHED_ROWS at most, meet in one task."""
@@ -441,22 +449,21 @@ class Grower:
         def grown(node: int, bins: np.ndarray, values: np.ndarray):
             tree, root = roots[node]
             stack = [(root, np.arange(len(bins)))]
-            flat = bins.astype(np.int64) + columns.offset
-            slots = len(columns.owner)
             while stack:
                 path, rows = stack.pop()
                 own = values[rows]
                 total, split = own.sum(axis=0), None
                 if rules.open(total, path.bit_length() - 1):
                     drawn = drawn_columns(seed, tree, path, width, share)
-                    codes = flat[rows[:, None], drawn].ravel()
-                    sums = np.stack([np.bincount(codes, np.repeat(own[:, k], len(drawn)), slots) for k in range(3)], axis=1).astype(np.int64)
-                    split = best_split(sums, total, drawn, columns, rules, weight[node])
+                    local = Columns(columns.counts[drawn])
+                    codes = (bins[rows[:, None], drawn] + local.offset).ravel()
+                    sums = np.stack([np.bincount(codes, np.repeat(own[:, k], len(drawn)), len(local.owner)) for k in range(3)], axis=1).astype(np.int64)
+                    split = best_split(sums, total, local, rules, weight[node])
                 leaf = rules.leaf(total, weight[node])
                 if split is None:
                     yield tree, path, -1, 0, *leaf, 0.0
                     continue
-                column, cut, gain, _ = split
+                column, cut, gain = int(drawn[split[0]]), *split[1:3]
                 yield tree, path, column, cut, *leaf, gain
                 low = bins[rows, column] <= cut
                 stack += [(2 * path, rows[low]), (2 * path + 1, rows[~low])]
@@ -481,7 +488,7 @@ class Grower:
                 yield flush()
 
         gathered = self.blocks.mapInArrow(gather, "node long, bins binary, sums binary")
-        gathered = gathered.repartition(min(4 * self.parts, max(len(keys), self.parts)), "node").sortWithinPartitions("node")
+        gathered = gathered.repartition(min(4 * self.parts, len(keys)), "node").sortWithinPartitions("node")
         rows = gathered.mapInArrow(finish, "tree long, path long, column long, cut long, value double, cover double, gain double").toArrow()
         lists = [rows.column(c).to_pylist() for c in rows.column_names]  # as many as the trees have nodes
         return {(t, p): (c, cut, v, cover, g) for t, p, c, cut, v, cover, g in zip(*lists)}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
-from ebbline.operators.cleaning import IQR_MULTIPLIER, charges_fix, impute, outlier_cap, outlier_flag
+from ebbline.operators.cleaning import IQR_MULTIPLIER, charges_fix, fence_aggs, impute, outlier_cap, outlier_columns, outlier_flag
 from ebbline.operators.dedup import dedup_mostly_unique
 from ebbline.operators.shape import cast_types
 from ebbline.session import staged
@@ -19,14 +19,20 @@ def clean_table(
 ) -> DataFrame:
     """Gaps, duplicates, outliers, charges, types, in this order.
 
-    The fences need the deduplicated rows, so those are staged once;
-    everything after them is one narrow pass.
+    The fences need the deduplicated rows, so those are staged once, and what the fences have to know of them
+    first is observed while they are written.  Five jobs come before the result at most: gaps, medians, modes, the staged
+    rows, and the quartiles (more where values crowd); the result is one narrow pass.
     """
     strategies = {"cap": outlier_cap, "flag": outlier_flag}
     if outlier_strategy not in strategies:
         raise ValueError(f"outlier strategy must be cap or flag, not {outlier_strategy!r}")
-    unique = staged(dedup_mostly_unique(impute(df)), "deduplicated")
-    return cast_types(charges_fix(strategies[outlier_strategy](unique, multiplier=iqr_multiplier)))
+    imputed = dedup_mostly_unique(impute(df))
+    columns = outlier_columns(imputed)
+    if not columns:
+        return cast_types(charges_fix(strategies[outlier_strategy](staged(imputed, "deduplicated"), multiplier=iqr_multiplier)))
+    observed = Observation()
+    unique = staged(imputed.observe(observed, *fence_aggs(imputed, columns)), "deduplicated")
+    return cast_types(charges_fix(strategies[outlier_strategy](unique, columns, iqr_multiplier, seen=observed.get)))
 
 
 def run_cleaning(

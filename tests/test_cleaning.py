@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ebbline.operators import cleaning, dedup, profiling
+from ebbline.operators import cleaning, counts, dedup, profiling
 from ebbline.plans.cleaning import clean_table
+from ebbline.session import staged
 
 
 def charges(spark, values):
@@ -145,6 +146,31 @@ def test_clean_table(spark):
     assert sorted(tuple(r) for r in again.collect()) == sorted(tuple(r) for r in out.collect())
 
 
+def executions(spark):
+    """Actions on frames so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return spark._jsparkSession.sharedState().statusStore().executionsCount()
+
+
+def test_few_jobs_come_before_the_result(spark):
+    df = staged(customers(spark), "customers")
+    before = executions(spark)
+    out = clean_table(df)
+    assert executions(spark) - before <= 5
+    out = staged(out, "cleaned")
+    before = executions(spark)
+    profiling.quality_checks(out)
+    assert executions(spark) - before <= 5
+
+
+@pytest.mark.parametrize("few", [1000, 0])
+def test_modes_by_values_and_by_hashes(spark, monkeypatch, few):
+    monkeypatch.setattr(counts, "FEW_VALUES", few)
+    rows = [("b", "x", None, i) for i in range(5)] + [("a", "y", None, i) for i in range(5)] + [(None, "y", None, 99)]
+    df = spark.createDataFrame(rows, "tie string, most string, none string, n int")
+    assert counts.modes(df, ["tie", "most", "none", "n"]) == {"tie": "a", "most": "y", "none": None, "n": "0"}
+
+
 def test_truncation_after_the_cap(spark):
     df = spark.createDataFrame([("a", 0, "No"), ("b", 1, "No"), ("c", 1, "Yes"), ("d", 2, "No"), ("e", 9, "No")],
                                "CustomerID string, SupportTickets int, Churn string")
