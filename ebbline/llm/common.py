@@ -19,12 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Write a frame to the shared folder and read it back: the lineage is cut and survives lost executors.
-stage = staged
+#: Rows that a worker's function gets at once, for some texts are very long.
+BATCH_ROWS = 500
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-#: Rows that a worker's function gets at once.  Some texts are very long; what comes from Spark is bounded in bytes.
-BATCH_ROWS = 1000
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the lineage is cut and survives lost executors.
+
+    While it is written Spark sends rows to the workers in batches of BATCH_ROWS, which bounds what both hold of them;
+    afterwards the session is as it was.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_ROWS)
+    conf.set(_ROWS, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        return staged(df, name)
+    finally:
+        conf.set(_ROWS, before)
 
 
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

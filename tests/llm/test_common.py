@@ -7,7 +7,7 @@ from pathlib import Path
 
 import pyarrow as pa
 
-from ebbline.llm.common import BATCH_ROWS, map_batches
+from ebbline.llm.common import BATCH_ROWS, map_batches, stage
 
 REPO = Path(__file__).resolve().parents[2]
 ELSEWHERE = f"""
@@ -32,8 +32,10 @@ def test_batches_are_sliced_and_the_session_stays_as_it_is(spark):
     def sizes(batches):
         yield pa.RecordBatch.from_pydict({"n": [b.num_rows for b in batches]})
 
-    found = [r["n"] for r in map_batches(spark.range(0, 2500, 1, 1), sizes, "n long").collect()]
-    assert sum(found) == 2500 and max(found) <= BATCH_ROWS and spark.conf.get(key) == before
+    mapped = map_batches(spark.range(0, 2500, 1, 1), sizes, "n long")
+    for rows in (mapped, stage(mapped, "sizes")):
+        found = [r["n"] for r in rows.collect()]
+        assert sum(found) == 2500 and max(found) <= BATCH_ROWS and spark.conf.get(key) == before
 
 
 def test_workers_need_not_have_the_package(tmp_path):
