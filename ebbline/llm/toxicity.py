@@ -235,5 +235,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that are not judged toxic, with all their columns."""
     lexicon = fit(docs, labels.where(~F.coalesce(held_out(), F.lit(True))))
-    scored = _matches(docs, lexicon, docs.columns).where(F.col("score") < CUT)
+    scored = stage(_matches(docs, lexicon, docs.columns).where(F.col("score") < CUT), "toxicity-kept")  # whole texts, in small batches
     return scored.drop("weight", "hits", "n_words", "score").toDF(*docs.columns)
