@@ -1,8 +1,9 @@
 """Ensembles of decision trees grown from grouped sums over binned columns.
 
-Training rows are binned once and staged in blocks.  A level of all open nodes is one grouped aggregate: the
-sums of three whole numbers by (node, column, bin), from which the best split of each node is read.  Nodes that few rows
-have reached are handed, rows and all, to one task each, which grows the rest of their tree by the same rules.  All sums
+Training rows are binned once and staged in blocks, which the executors keep while trees grow.  A level of all open nodes
+is one grouped aggregate: the sums of three whole numbers by (node, column, bin), from which the best split of each node
+is read.  Nodes that few rows have reached are handed, rows and all, to one task each, which grows the rest of their tree
+by the same rules.  All sums
 are whole numbers and all draws depend on the row, the tree and the node only, so neither the layout of the rows nor
 the way a node is grown changes a tree.
 """
@@ -16,7 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +30,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Bins of a column at most, and rows of smallest draw from which their edges are taken (fewer for very wide vectors).
 MAX_BINS, EDGE_ROWS, EDGE_CELLS = 256, 20_000, 20_000_000
 #: Rows of a staged block at most, and rows of a node that one task finishes.
-BLOCK_ROWS, FINISHED_ROWS = 1 << 16, 8192
+BLOCK_ROWS, FINISHED_ROWS = 1 << 16, 1 << 15
 #: Open nodes whose sums the driver reads at most; those of more are read by tasks.
 DRIVER_NODES = 64
-#: Rounds after which the margins of the rows are written anew.
+#: Sums of all tasks that the driver adds up itself at most, which saves a shuffle; more are grouped by tasks.
+DRIVER_SUMS = 1_000_000
+#: Cells of the sums that a task holds at once, at most.
+HELD_CELLS = 4_000_000
+#: Rounds after which the margins of the rows are written anew, which cuts the lineage of the kept ones.
 MARGIN_ROUNDS = 10
 #: Draws are products modulo this prime, which other engines can compute too.
 PRIME = 2147483647
@@ -291,6 +296,33 @@ def _unpacked(batches: Iterator[pa.RecordBatch], width: int):
 # ── growth ──────────────────────────────────────────────────────────────────
 
 
+def slot_sums(bins: np.ndarray, values: np.ndarray, node: np.ndarray, drawn: np.ndarray, columns: Columns) -> Iterator[tuple[np.ndarray, ...]]:
+    """(node, slot, three sums) of the slots that rows reach, by the columns ``drawn`` for each node.
+
+    Whole numbers below 2^53 are exact in the weights of a count.  Nodes are taken in groups, as many as HELD_CELLS allow.
+    """
+    slots, step = len(columns.owner), max(1, HELD_CELLS // (3 * len(columns.owner)))
+    for begin in range(0, len(drawn), step):
+        own = drawn[begin : begin + step]
+        taken = np.flatnonzero((node >= begin) & (node < begin + len(own))) if step < len(drawn) else slice(None)
+        at, wide, rows = node[taken] - begin, bins[taken], values[taken]
+        weights = [np.ascontiguousarray(rows[:, k], float) for k in range(3)]
+        sums = np.zeros((3, len(own), slots))
+        for place in own.T:
+            if (place == place[0]).all():  # one column for all nodes
+                first, many = columns.offset[place[0]], columns.counts[place[0]]
+                codes = at * many + wide[:, place[0]]
+                for total, weight in zip(sums, weights):
+                    total[:, first : first + many] += np.bincount(codes, weight, len(own) * many).reshape(-1, many)
+            else:
+                column = place[at]
+                codes = at * slots + columns.offset[column] + wide[np.arange(len(at)), column]
+                for total, weight in zip(sums, weights):
+                    total += np.bincount(codes, weight, len(own) * slots).reshape(-1, slots)
+        kept = np.flatnonzero(sums[2])
+        yield kept // slots + begin, kept % slots, *(total.ravel()[kept].astype(np.int64) for total in sums)
+
+
 class Grower:
     """Grows some trees at once over staged blocks; nodes are named by tree and path, 1 for the root and 2p, 2p + 1 below p.
 
@@ -315,7 +347,7 @@ class Grower:
                 (small if sums[2] <= FINISHED_ROWS else open_).append(key)
 
         while open_:
-            now, open_ = open_, []
+            now, open_ = sorted(open_), []
             found = self._splits(now, nodes, weights)
             for key in now:
                 tree, path = key
@@ -324,6 +356,8 @@ class Grower:
                 if column >= 0:
                     place((tree, 2 * path), low)
                     place((tree, 2 * path + 1), total - low)
+            if open_ and len(open_) + len(small) <= DRIVER_NODES:  # the level is summed anyway, with the rows of small nodes
+                open_, small = open_ + small, []
         return nodes | self._finished(small, nodes, weights) if small else nodes
 
     def _routes(self, keys: list[tuple[int, int]], nodes: dict) -> tuple[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], int]:
@@ -358,6 +392,9 @@ class Grower:
         for row, own in zip(drawn, picked):
             row[:] = own
         slots = len(columns.owner)
+        own_nodes: dict[int, list[int]] = {}
+        for node, (tree, _) in enumerate(keys):
+            own_nodes.setdefault(tree, []).append(node)
 
         def sums(batches):
             for block in _unpacked(batches, width):
@@ -365,23 +402,14 @@ class Grower:
                 for tree, (feature, cut, number) in routes.items():
                     values, taking = stats(block, tree)
                     at = number[_routed(bins, taking, feature, cut, levels)]
-                    rows, at = taking[at >= 0], at[at >= 0].astype(np.int64)
+                    rows, at = taking[at >= 0], at[at >= 0]
                     if not len(rows):
                         continue
-                    own = drawn[at]
-                    codes = (at[:, None] * slots + columns.offset[own] + bins[rows[:, None], own]).ravel()
-                    order = np.argsort(codes, kind="stable")
-                    codes = codes[order]
-                    starts = np.flatnonzero(np.diff(codes, prepend=-1))
-                    summed = np.add.reduceat(np.repeat(values[rows], own.shape[1], axis=0)[order], starts, axis=0)
-                    kept = codes[starts]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(kept // slots), pa.array(kept % slots), *(pa.array(summed[:, k]) for k in range(3))], ["node", "slot", "s0", "s1", "s2"]
-                    )
-
-        grouped = self.blocks.mapInArrow(sums, "node long, slot long, s0 long, s1 long, s2 long").groupBy("node", "slot").agg(
-            *(F.sum(f"s{k}").alias(f"s{k}") for k in range(3))
-        )
+                    first = own_nodes[tree][0]  # the nodes of a tree are numbered one after the other
+                    for node, *found in slot_sums(bins[rows], values[rows], at.astype(np.int64) - first, drawn[own_nodes[tree]], columns):
+                        yield pa.RecordBatch.from_arrays([pa.array(a) for a in (node + first, *found)], ["node", "slot", "s0", "s1", "s2"])
+
+        summed = self.blocks.mapInArrow(sums, "node long, slot long, s0 long, s1 long, s2 long")
         weight = np.array([weights[t] for t, _ in keys])
 
         def chosen(node: int, slot: np.ndarray, values: np.ndarray, path: int):
@@ -401,10 +429,15 @@ class Grower:
         def listed(found):
             return {keys[r[0]]: (r[1], r[2], r[3], np.array(r[4:7], np.int64), np.array(r[7:], np.int64)) for r in found}
 
-        if len(keys) <= DRIVER_NODES:  # as many rows as nodes have bins
+        few = self.parts * len(keys) * slots <= DRIVER_SUMS
+        grouped = summed if few else summed.groupBy("node", "slot").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(3)))
+        if few or len(keys) <= DRIVER_NODES:  # as many rows as nodes have bins, of each task if they are few
             table = grouped.toArrow()
-            held = np.stack([table.column(c).to_numpy() for c in ("node", "slot", "s0", "s1", "s2")], axis=1)
-            return listed(chosen(n, *(lambda own: (own[:, 1], own[:, 2:]))(held[held[:, 0] == n]), paths[n]) for n in np.unique(held[:, 0]).tolist())
+            node, slot, *values = (table.column(c).to_numpy() for c in ("node", "slot", "s0", "s1", "s2"))
+            dense = np.zeros((len(keys), slots, 3), np.int64)
+            for k in range(3):
+                np.add.at(dense[..., k], (node, slot), values[k])
+            return listed(chosen(n, every, dense[n], paths[n]) for every in [np.arange(slots)] for n in np.unique(node).tolist())
 
         def best(batches):
             held = None
@@ -456,8 +489,12 @@ class Grower:
                 if rules.open(total, path.bit_length() - 1):
                     drawn = drawn_columns(seed, tree, path, width, share)
                     local = Columns(columns.counts[drawn])
-                    codes = (bins[rows[:, None], drawn] + local.offset).ravel()
-                    sums = np.stack([np.bincount(codes, np.repeat(own[:, k], len(drawn)), len(local.owner)) for k in range(3)], axis=1).astype(np.int64)
+                    weights = [own[:, k].astype(float) for k in range(3)]
+                    sums = np.empty((len(local.owner), 3), np.int64)
+                    for column, first, many in zip(drawn, local.offset, local.counts):
+                        codes = bins[rows, column]
+                        for k in range(3):
+                            sums[first : first + many, k] = np.bincount(codes, weights[k], many)
                     split = best_split(sums, total, local, rules, weight[node])
                 leaf = rules.leaf(total, weight[node])
                 if split is None:
@@ -533,7 +570,8 @@ def _prepared(train: DataFrame, label: str, draw: Column | None, count: int) ->
     rows = train.where(F.col(label).isNotNull()).select(x.alias("x"), F.col(label).cast("int").alias("label"), row.cast("long").alias("row"))
     width = len(rows.first()["x"])
     edges = _edges(rows, count, width)
-    parts = max(spark.sparkContext.defaultParallelism, -(-count // BLOCK_ROWS))
+    cores = spark.sparkContext.defaultParallelism
+    parts = cores * max(1, -(-count // (BLOCK_ROWS * cores)))  # whole waves of tasks
     return _blocks(rows, edges, parts), edges, Columns(np.array([len(e) + 1 for e in edges])), parts
 
 
@@ -562,47 +600,42 @@ def grow_boosted(
     scale = 2.0 ** np.floor(np.log2(2.0**52 / (count * max(positive_weight, 1.0))))
     rules = Rules("boosted", depth, scale=scale, rate=rate, penalty=penalty, least_hessian=least_hessian)
     blocks = _plain_session(blocks)
-    weights: dict[int, np.ndarray] = {}
     nodes: dict[tuple[int, int], tuple] = {}
-    recent: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def margins(block, trees):
-        bins, _, _, margin = block
-        rows = np.arange(len(bins))
-        for feature, cut, value in trees:
-            margin = margin + value[_routed(bins, rows, feature, cut, depth)]
-        return margin
-
-    for number in range(rounds):
-        factor, offset = row_draw(seed, number)
-        trees = list(recent)
-
-        def stats(block, _, trees=trees, factor=factor, offset=offset):
-            _, y, row, _ = block
-            taking = np.flatnonzero(draws(row, factor, offset) < rows_share * PRIME)
-            p, weight = 1 / (1 + np.exp(-margins(block, trees))), np.where(y == 1, positive_weight, 1.0)
-            values = np.stack([np.rint(weight * (p - y) * scale), np.rint(weight * p * (1 - p) * scale), np.ones(len(y))], axis=1).astype(np.int64)
-            out = np.zeros_like(values)
-            out[taking] = values[taking]
-            return out, taking
-
-        grown = Grower(blocks, columns, rules, stats, columns_share, seed, parts).grow({number: np.ones(2)})
-        nodes |= grown
-        size = 2 << depth
-        tree = np.full(size, -1, np.int32), np.zeros(size, np.uint8), np.zeros(size)
-        for (_, path), (column, cut, value, *_) in grown.items():
-            tree[0][path], tree[1][path], tree[2][path] = column, cut, value
-        recent.append(tree)
-        if len(recent) == MARGIN_ROUNDS and number + 1 < rounds:
-            done = list(recent)
-
-            def renewed(batches, done=done):
+    state, before = blocks.persist(StorageLevel.MEMORY_AND_DISK), None
+    try:
+        for number in range(rounds):
+            factor, offset = row_draw(seed, number)
+
+            def stats(block, _, factor=factor, offset=offset):
+                _, y, row, margin = block
+                taking = np.flatnonzero(draws(row, factor, offset) < rows_share * PRIME)
+                p, weight = 1 / (1 + np.exp(-margin)), np.where(y == 1, positive_weight, 1.0)
+                return np.stack([np.rint(weight * (p - y) * scale), np.rint(weight * p * (1 - p) * scale), np.ones(len(y))], axis=1).astype(np.int64), taking
+
+            grown = Grower(state, columns, rules, stats, columns_share, seed, parts).grow({number: np.ones(2)})
+            nodes |= grown
+            if number + 1 == rounds:
+                break
+            size = 2 << depth
+            feature, cut, value = np.full(size, -1, np.int32), np.zeros(size, np.uint8), np.zeros(size)
+            for (_, path), (column, last, worth, *_) in grown.items():
+                feature[path], cut[path], value[path] = column, last, worth
+
+            def renewed(batches, feature=feature, cut=cut, value=value):
                 for batch in batches:
-                    fresh = [margins(block, done).tobytes() for block in _unpacked([batch], width)]
+                    fresh = [(margin + value[_routed(bins, np.arange(len(bins)), feature, cut, depth)]).tobytes() for bins, _, _, margin in _unpacked([batch], width)]
                     yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("bins", "label", "row")] + [pa.array(fresh, pa.binary())], ["bins", "label", "row", "margin"])
 
-            blocks = staged(blocks.mapInArrow(renewed, _BLOCK), "tree-margins")
-            recent = []
+            after = state.mapInArrow(renewed, _BLOCK)
+            if (number + 1) % MARGIN_ROUNDS == 0:
+                after = staged(after, "tree-margins")
+            if before is not None:
+                before.unpersist()
+            before, state = state, after.persist(StorageLevel.MEMORY_AND_DISK)  # filled by the next round, out of the one before
+    finally:
+        for kept in (before, state):
+            if kept is not None:
+                kept.unpersist()
     return assemble(nodes, "boosted", edges)
 
 
@@ -618,7 +651,7 @@ def grow_forest(
     count = sum(counts.values())
     blocks, edges, columns, parts = _prepared(train, label, draw, count)
     rules = Rules("forest", depth, min_split=min_split, min_leaf=min_leaf)
-    blocks = _plain_session(blocks)
+    blocks = _plain_session(blocks).persist(StorageLevel.MEMORY_AND_DISK)
     constants = [row_draw(seed, t) for t in range(trees)]
 
     def stats(block, tree):
@@ -630,6 +663,9 @@ def grow_forest(
     grower = Grower(blocks, columns, rules, stats, columns_share, seed, parts)
     numbers = list(range(trees))
     weights = {t: np.ones(2) for t in numbers}
-    for tree, (pos, neg, _) in grower.totals(numbers).items():
-        weights[tree] = (pos + neg) / 2 / np.maximum(np.array([pos, neg]), 1)
-    return assemble(grower.grow(weights), "forest", edges)
+    try:
+        for tree, (pos, neg, _) in grower.totals(numbers).items():
+            weights[tree] = (pos + neg) / 2 / np.maximum(np.array([pos, neg]), 1)
+        return assemble(grower.grow(weights), "forest", edges)
+    finally:
+        blocks.unpersist()

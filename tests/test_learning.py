@@ -282,6 +282,33 @@ def test_nodes_grow_alike_by_levels_and_in_one_task(spark, monkeypatch):
     assert len(found[0][0]["roots"]) == len(found[0][1]["roots"]) == 4 and max(found[0][0]["feature"]) == 3
 
 
+def test_sums_are_the_same_on_the_driver_and_by_tasks_and_few_need_no_shuffle(spark, monkeypatch):
+    df = grid(spark)
+    vectors = features.add_features(df, features.fit_features(df, ["f0", "f1", "f2", "f3"], []))
+    context, found, shuffled = spark.sparkContext, [], []
+    monkeypatch.setattr(trees, "FINISHED_ROWS", 0)
+    for sums, cells in ((10**6, 4_000_000), (0, 4_000_000), (10**6, 1)):
+        monkeypatch.setattr(trees, "DRIVER_SUMS", sums)
+        monkeypatch.setattr(trees, "HELD_CELLS", cells)
+        splits, stages = trees.Grower._splits, []
+
+        def counted(grower, keys, *others):
+            group = f"level-{sums}-{cells}-{len(stages)}"
+            context.setJobGroup(group, group)
+            done = splits(grower, keys, *others)
+            stages.append(max(len(context.statusTracker().getJobInfo(j).stageIds) for j in context.statusTracker().getJobIdsForGroup(group)))
+            return done
+
+        with monkeypatch.context() as patched:
+            patched.setattr(trees.Grower, "_splits", counted)
+            boosted = models.train_gbt(vectors, rounds=2, depth=3)
+        shuffled.append(max(stages))
+        found.append((ensemble(models.train_rf(vectors, trees=2, depth=4)), ensemble(boosted)))
+    context.setJobGroup("tests", "tests")
+    assert found[0] == found[1] == found[2]
+    assert shuffled == [1, 2, 1]
+
+
 def test_more_values_than_bins_and_equal_values(spark):
     rng = np.random.default_rng(1)
     values = np.stack([rng.random(3000), np.ones(3000), rng.integers(0, 3, 3000), np.where(rng.random(3000) < 0.9, 5.0, rng.random(3000))], axis=1)
