@@ -90,15 +90,18 @@ def text_sentiment_by_table(
     longest = size["longest"] or 1
 
     rows = staged(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
-    words = rows.select("_row", words_of(F.col(text)).alias("words")).where(F.size("words") > 0)
-    places = words.select("_row", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
-    phrases = F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - F.col("at"))), lambda n: F.array_join(F.slice("words", F.col("at") + 1, n), " ")
-    )
-    before, second = (F.coalesce(F.get("words", F.col("at") - k), F.lit("")) for k in (1, 2))
-    intensified = before.isin(list(intensifiers))
-    factor = _lookup(intensifiers, before, 1.0) * F.when(before.isin(list(negators)) | (intensified & second.isin(list(negators))), F.lit(lexicon.NEGATION)).otherwise(F.lit(1.0))
-    tried = places.select("_row", "at", factor.alias("factor"), F.explode(phrases).alias("entry"))
+    words = rows.select("_row", words_of(F.col(text)).alias("words"))
+
+    def phrases(at: Column) -> Column:
+        """The phrases of a text that begin at a place; each word is read by its place, and none brings the whole text along."""
+        before, second = (F.coalesce(F.get("words", at - k), F.lit("")) for k in (1, 2))
+        intensified = before.isin(list(intensifiers))
+        factor = _lookup(intensifiers, before, 1.0) * F.when(before.isin(list(negators)) | (intensified & second.isin(list(negators))), F.lit(lexicon.NEGATION)).otherwise(F.lit(1.0))
+        return F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - at)), lambda n: F.struct(
+            at.alias("at"), factor.alias("factor"), F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.get("words", at + k)), " ").alias("entry"),
+        ))
+
+    tried = words.select("_row", F.inline(F.flatten(F.transform("words", lambda _, at: phrases(at)))))
     table = F.broadcast(listed) if (size["bytes"] or 0) <= BROADCAST_BYTES else listed
     found = tried.join(table, "entry").select("_row", "at", (F.col("at") + F.col("n")).alias("end"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("weight") * F.col("factor"))).alias("score"))
     earlier = Window.partitionBy("_row").orderBy("at", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)

@@ -91,6 +91,16 @@ def test_lexicon_as_a_table(spark, monkeypatch, most):
 # ── files ───────────────────────────────────────────────────────────────────
 
 
+def test_a_lexicon_table_does_not_copy_a_text_for_each_of_its_words(spark):
+    df = spark.createDataFrame([(1, "very good day " * 400), (2, ""), (3, None)], "id int, ticket_text string")
+    entries = spark.createDataFrame([("good day", 0.5), ("good", 0.1)], "entry string, weight double")
+    scored = text.text_sentiment_by_table(df, entries, output="score")
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.splitlines() if "Generate " in line]
+    assert len(made) == 1 and "slice(" not in plan  # a slice unpacks all words, and a second explode carries them along
+    assert {r["id"]: round(r["score"], 9) for r in scored.collect()} == {1: 0.65, 2: 0.0, 3: 0.0}
+
+
 def test_csv_spellings(spark, tmp_path, rows):
     path = tmp_path / "in.csv"
     path.write_text(
