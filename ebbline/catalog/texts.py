@@ -8,6 +8,7 @@ from ebbline.catalog.base import query, read, rounded, shared
 from ebbline.functions import lexicon, roles
 from ebbline.functions.scalar import portable_uniform
 from ebbline.operators import text
+from ebbline.session import spread
 from ebbline.sources import synth
 
 # ── SQL twins of the generator ──────────────────────────────────────────────
@@ -100,7 +101,7 @@ felt AS (SELECT k, AVG(s) AS score FROM hits GROUP BY k)"""
 
 def made_customers(spark, sf_dir):
     """One generated customer per row of the customer table."""
-    keys = read(spark, sf_dir, "customer").select("c_custkey")
+    keys = spread(read(spark, sf_dir, "customer").select("c_custkey"))
     return synth.draw_customers(keys, "c_custkey", draw=portable_uniform)
 
 

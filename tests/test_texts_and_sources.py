@@ -59,6 +59,14 @@ def test_generation_does_not_hang_on_partitions(spark):
     assert parts[0] == parts[1]
 
 
+def test_customers_of_one_file_are_made_by_all_cores(spark, tmp_path):
+    from ebbline.catalog.texts import made_customers
+
+    spark.range(500).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    made = made_customers(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and made.select("CustomerID").distinct().count() == 500
+
+
 def test_texts_of_churned_customers_are_negative(spark):
     df = text.text_sentiment(synth.gen_ticket_text(synth.gen_customers(spark, 3000)))
     row = text.sentiment_summary(df).first()
