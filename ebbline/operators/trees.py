@@ -1,7 +1,8 @@
 """Ensembles of decision trees grown from grouped sums over binned columns.
 
-Training rows are binned once and staged in blocks, which the executors keep while trees grow.  A level of all open nodes
-is one grouped aggregate: the sums of three whole numbers by (node, column, bin), from which the best split of each node
+Training rows are binned once and staged in blocks, which the executors keep while trees grow.  A level of a boosted tree is
+one small job, in which each task adds up its blocks and the driver adds up the tasks, as long as these are few.  Otherwise, and for
+forests, a level of all open nodes is one grouped aggregate: the sums of three whole numbers by (node, column, bin), from which the best split of each node
 is read.  Nodes that few rows have reached are handed, rows and all, to one task each, which grows the rest of their tree
 by the same rules.  All sums
 are whole numbers and all draws depend on the row, the tree and the node only, so neither the layout of the rows nor
@@ -10,6 +11,7 @@ the way a node is grown changes a tree.
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -35,6 +37,8 @@ BLOCK_ROWS, FINISHED_ROWS = 1 << 16, 1 << 15
 DRIVER_NODES = 64
 #: Sums of all tasks that the driver adds up itself at most, which saves a shuffle; more are grouped by tasks.
 DRIVER_SUMS = 1_000_000
+#: Rows, in multiples of FINISHED_ROWS, up to which levels of boosted trees are summed by small jobs, and those worth one more task.
+KEPT_NODES, TASK_ROWS = 1024, 1 << 13
 #: Cells of the sums that a task holds at once, at most.
 HELD_CELLS = 4_000_000
 #: Rounds after which the margins of the rows are written anew, which cuts the lineage of the kept ones.
@@ -293,6 +297,10 @@ def _unpacked(batches: Iterator[pa.RecordBatch], width: int):
             yield bins.reshape(-1, width), label, row, margin
 
 
+_NODE = "tree long, path long, column long, cut long, value double, cover double, gain double"
+_NODE_NAMES = [column.split()[0] for column in _NODE.split(", ")]
+
+
 # ── growth ──────────────────────────────────────────────────────────────────
 
 
@@ -512,7 +520,7 @@ class Grower:
                 bins = np.concatenate([np.frombuffer(b, np.uint8).reshape(-1, width) for b, _ in held])
                 values = np.concatenate([np.frombuffer(v, np.int64).reshape(-1, 3) for _, v in held])
                 rows = list(grown(node, bins, values))
-                return pa.RecordBatch.from_pydict(dict(zip(("tree", "path", "column", "cut", "value", "cover", "gain"), map(list, zip(*rows)))))
+                return pa.RecordBatch.from_pydict(dict(zip(_NODE_NAMES, map(list, zip(*rows)))))
 
             for batch in batches:
                 for n, b, v in zip(*(batch.column(c).to_pylist() for c in ("node", "bins", "sums"))):
@@ -526,7 +534,7 @@ class Grower:
 
         gathered = self.blocks.mapInArrow(gather, "node long, bins binary, sums binary")
         gathered = gathered.repartition(min(4 * self.parts, len(keys)), "node").sortWithinPartitions("node")
-        rows = gathered.mapInArrow(finish, "tree long, path long, column long, cut long, value double, cover double, gain double").toArrow()
+        rows = gathered.mapInArrow(finish, _NODE).toArrow()
         lists = [rows.column(c).to_pylist() for c in rows.column_names]  # as many as the trees have nodes
         return {(t, p): (c, cut, v, cover, g) for t, p, c, cut, v, cover, g in zip(*lists)}
 
@@ -535,13 +543,17 @@ def _routed(bins: np.ndarray, rows: np.ndarray, feature: np.ndarray, cut: np.nda
     """The paths that rows have come to after so many levels; a row stays in a leaf."""
     path = np.ones(len(rows), np.int64)
     for _ in range(levels):
-        column = feature[path]
-        inner = column >= 0
-        low = bins[rows, np.maximum(column, 0)] <= cut[path]
-        path = np.where(inner, 2 * path + ~low, path)
+        path = _advanced(path, bins, rows, feature, cut)
     return path
 
 
+def _advanced(path: np.ndarray, bins: np.ndarray, rows: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The paths one level down."""
+    column = feature[path]
+    low = bins[rows, np.maximum(column, 0)] <= cut[path]
+    return np.where(column >= 0, 2 * path + ~low, path)
+
+
 def assemble(nodes: dict[tuple[int, int], tuple], kind: str, edges: list[np.ndarray]) -> TreeEnsemble:
     """The flat arrays of the grown nodes."""
     keys = sorted(nodes)
@@ -584,6 +596,142 @@ def _plain_session(blocks: DataFrame) -> DataFrame:
     return session.read.schema(_BLOCK).parquet(*sorted(paths))
 
 
+def _derivatives(y: np.ndarray, margin: np.ndarray, positive_weight: float, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients and Hessians of the rows in whole units of 1 / ``scale``."""
+    p, weight = 1 / (1 + np.exp(-margin)), np.where(y == 1, positive_weight, 1.0)
+    return np.rint(weight * (p - y) * scale), np.rint(weight * p * (1 - p) * scale)
+
+
+@dataclass
+class _Rounds:
+    """What tasks do with their blocks in a round of boosting; ``feature``, ``cut`` and ``value`` are the tree so far by path."""
+
+    columns: Columns
+    rules: Rules
+    positive_weight: float
+    rows_share: float
+    share: float
+    seed: int
+
+    def drawn(self, number: int) -> tuple[np.ndarray, Columns]:
+        """The columns of a round, and where their bins lie."""
+        own = drawn_columns(self.seed, number, 1, len(self.columns.counts), self.share)
+        return own, Columns(self.columns.counts[own])
+
+    def sums(self, blocks, number: int, wanted: list[int], feature: np.ndarray, cut: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+        """Which (node, slot) of the wanted paths rows reach, as bits, and the three sums of those."""
+        own, local = self.drawn(number)
+        step = max(1, HELD_CELLS // (3 * len(local.owner)))
+        levels, place = wanted[0].bit_length() - 1, np.full(len(feature), -1)
+        place[wanted] = np.arange(len(wanted))
+        total = np.zeros((len(wanted), len(local.owner), 3), np.int64)
+        for bins, y, row, margin in blocks:
+            taking = np.flatnonzero(draws(row, *row_draw(self.seed, number)) < self.rows_share * PRIME)
+            at = place[_routed(bins, taking, feature, cut, levels)]
+            rows, at = taking[at >= 0], at[at >= 0]
+            weights = _derivatives(y[rows], margin[rows], self.positive_weight, self.rules.scale)
+            for begin in range(0, len(wanted), step):
+                some = np.flatnonzero((at >= begin) & (at < begin + step)) if step < len(wanted) else slice(None)
+                part, near, of = total[begin : begin + step], at[some] - begin, rows[some]
+                first, second = (w[some] for w in weights)
+                for column, slot, many in zip(own, local.offset, local.counts):
+                    codes, size = near * many + bins[:, column][of], len(part) * many
+                    for k, found in enumerate((np.bincount(codes, first, size), np.bincount(codes, second, size), np.bincount(codes, minlength=size))):
+                        part[:, slot : slot + many, k] += found.reshape(-1, many).astype(np.int64)
+        flat = total.reshape(-1, 3)
+        there = flat[:, 2] > 0
+        yield np.packbits(there).tobytes(), flat[there].tobytes()
+
+    def renewed(self, blocks, feature: np.ndarray, cut: np.ndarray, value: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """The blocks with the margins after the tree."""
+        for bins, y, row, margin in blocks:
+            yield bins, y, row, margin + value[_routed(bins, np.arange(len(bins)), feature, cut, self.rules.depth)]
+
+
+def _boosted_in_jobs(blocks: DataFrame, steps: _Rounds, rounds: int, tasks: int) -> dict[tuple[int, int], tuple]:
+    """The nodes of all rounds as :meth:`Grower.grow` finds them, by one job a level, which returns the sums of each task.
+
+    Of two children only the one of fewer rows is summed; the other one has what is left of their parent.
+    """
+    session, width, rules, unit = blocks.sparkSession, len(steps.columns.counts), steps.rules, np.ones(2)
+    shared = session.sparkContext.broadcast(cloudpickle.dumps(steps))  # as large as the bins are many; sent once, with its code
+
+    def arrays(rows):
+        for row in rows:
+            bins, label, number, margin = (np.frombuffer(v, k) for v, k in zip(row, (np.uint8, np.uint8, np.int64, np.float64)))
+            yield np.asfortranarray(bins.reshape(-1, width)), label, number, margin
+
+    def packed(rows):
+        for bins, *others in rows:
+            yield tuple(bytearray(np.ascontiguousarray(a).tobytes()) for a in (bins, *others))
+
+    def read(frame):
+        return frame.rdd.coalesce(tasks).mapPartitions(arrays)
+
+    state, before = read(blocks).persist(StorageLevel.MEMORY_AND_DISK), None
+    nodes: dict[tuple[int, int], tuple] = {}
+    try:
+        for number in range(rounds):
+            own, local = steps.drawn(number)
+            size = 2 << rules.depth
+            feature, cut, value = np.full(size, -1, np.int32), np.zeros(size, np.uint8), np.zeros(size)
+
+            def summed(wanted, number=number, slots=len(local.owner), feature=feature, cut=cut):
+                total = np.zeros((len(wanted) * slots, 3), np.int64)
+                for there, told in state.mapPartitions(lambda rows: pickle.loads(shared.value).sums(rows, number, wanted, feature, cut)).collect():
+                    reached = np.unpackbits(np.frombuffer(there, np.uint8), count=len(total)).astype(bool)
+                    total[reached] += np.frombuffer(told, np.int64).reshape(-1, 3)
+                return total.reshape(len(wanted), slots, 3)
+
+            def leaf(path, sums):
+                nodes[number, path] = (-1, 0, *rules.leaf(sums, unit), 0.0)
+
+            open_ = {1: summed([1])[0]}
+            while open_:
+                below: list[tuple[int, int, list[int]]] = []
+                for path, sums in open_.items():
+                    total = sums[: local.counts[0]].sum(axis=0)
+                    split = best_split(sums, total, local, rules, unit) if rules.open(total, path.bit_length() - 1) else None
+                    if split is None:
+                        leaf(path, total)
+                        continue
+                    column, last, gain, low = split
+                    nodes[number, path] = (int(own[column]), last, *rules.leaf(total, unit), gain)
+                    feature[path], cut[path] = own[column], last
+                    sides = {2 * path: low, 2 * path + 1: total - low}
+                    opened = [child for child, side in sides.items() if rules.open(side, child.bit_length() - 1)]
+                    for child in sides.keys() - opened:
+                        leaf(child, sides[child])
+                    if opened:
+                        below.append((path, min(sides, key=lambda child: sides[child][2]), opened))
+                found = summed([fewer for _, fewer, _ in below]) if below else []
+                above, open_ = open_, {}
+                for (path, fewer, opened), sums in zip(below, found):
+                    both = {fewer: sums, fewer ^ 1: above[path] - sums}
+                    open_ |= {child: both[child] for child in opened}
+            if number + 1 == rounds:
+                break
+            for (tree, path), node in nodes.items():
+                if tree == number:
+                    value[path] = node[2]
+
+            def renewed(rows, feature=feature, cut=cut, value=value):
+                return pickle.loads(shared.value).renewed(rows, feature, cut, value)
+
+            after = state.mapPartitions(renewed)
+            if (number + 1) % MARGIN_ROUNDS == 0:
+                after = read(staged(session.createDataFrame(after.mapPartitions(packed), _BLOCK), "tree-margins"))
+            if before is not None:
+                before.unpersist()
+            before, state = state, after.persist(StorageLevel.MEMORY_AND_DISK)  # filled by the next round, out of the one before
+    finally:
+        for kept in (before, state):
+            if kept is not None:
+                kept.unpersist()
+        shared.unpersist()
+    return nodes
+
+
 def grow_boosted(
     train: DataFrame, label: str, counts: dict[int, int], *, rounds: int, depth: int, rate: float, rows_share: float, columns_share: float,
     penalty: float, least_hessian: float, positive_weight: float, seed: int, draw: Column | None,
@@ -601,6 +749,10 @@ def grow_boosted(
     rules = Rules("boosted", depth, scale=scale, rate=rate, penalty=penalty, least_hessian=least_hessian)
     blocks = _plain_session(blocks)
     nodes: dict[tuple[int, int], tuple] = {}
+    tasks = min(blocks.sparkSession.sparkContext.defaultParallelism, max(2, -(-count // TASK_ROWS)))
+    if columns_share != "sqrt" and count <= KEPT_NODES * FINISHED_ROWS and tasks * ((1 << depth) // 4 + 1) * len(columns.owner) <= DRIVER_SUMS:
+        steps = _Rounds(columns, rules, positive_weight, rows_share, columns_share, seed)
+        return assemble(_boosted_in_jobs(blocks, steps, rounds, tasks), "boosted", edges)
     state, before = blocks.persist(StorageLevel.MEMORY_AND_DISK), None
     try:
         for number in range(rounds):
@@ -609,8 +761,7 @@ def grow_boosted(
             def stats(block, _, factor=factor, offset=offset):
                 _, y, row, margin = block
                 taking = np.flatnonzero(draws(row, factor, offset) < rows_share * PRIME)
-                p, weight = 1 / (1 + np.exp(-margin)), np.where(y == 1, positive_weight, 1.0)
-                return np.stack([np.rint(weight * (p - y) * scale), np.rint(weight * p * (1 - p) * scale), np.ones(len(y))], axis=1).astype(np.int64), taking
+                return np.stack([*_derivatives(y, margin, positive_weight, scale), np.ones(len(y))], axis=1).astype(np.int64), taking
 
             grown = Grower(state, columns, rules, stats, columns_share, seed, parts).grow({number: np.ones(2)})
             nodes |= grown

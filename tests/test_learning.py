@@ -309,6 +309,29 @@ def test_sums_are_the_same_on_the_driver_and_by_tasks_and_few_need_no_shuffle(sp
     assert shuffled == [1, 2, 1]
 
 
+def test_boosting_by_small_jobs_gives_the_same_trees_and_needs_no_shuffle(spark, monkeypatch):
+    df = grid(spark)
+    vectors = features.add_features(df, features.fit_features(df, ["f0", "f1", "f2", "f3"], []))
+    context, found = spark.sparkContext, []
+    for nodes, tasks, cells, margins in ((0, 1 << 13, 4_000_000, 10), (1024, 1 << 13, 4_000_000, 10), (1024, 100, 1, 2)):
+        monkeypatch.setattr(trees, "KEPT_NODES", nodes)
+        monkeypatch.setattr(trees, "TASK_ROWS", tasks)
+        monkeypatch.setattr(trees, "HELD_CELLS", cells)
+        monkeypatch.setattr(trees, "MARGIN_ROUNDS", margins)
+        for options in ({"rounds": 5, "depth": 4}, {"rounds": 2, "depth": 3, "least_hessian": 60.0}, {"rounds": 2, "depth": 2, "rows_share": 0.0}):
+            found.append(ensemble(models.train_gbt(vectors, **options)))
+    assert found[:3] == found[3:6] == found[6:]
+    prepared, edges, columns, parts = trees._prepared(vectors, "label", None, 1500)
+    steps = trees._Rounds(columns, trees.Rules("boosted", 3, scale=1024.0), 1.0, 0.8, 0.8, 1)
+    before = {j for j in context.statusTracker().getJobIdsForGroup("small-jobs")}
+    context.setJobGroup("small-jobs", "small-jobs")
+    nodes = trees._boosted_in_jobs(prepared, steps, 4, 2)
+    jobs = set(context.statusTracker().getJobIdsForGroup("small-jobs")) - before
+    context.setJobGroup("tests", "tests")
+    assert {tree for tree, _ in nodes} == {0, 1, 2, 3} and len(jobs) < 4 * 4  # one for each level, no more for the margins
+    assert all(len(context.statusTracker().getJobInfo(j).stageIds) == 1 for j in jobs)
+
+
 def test_more_values_than_bins_and_equal_values(spark):
     rng = np.random.default_rng(1)
     values = np.stack([rng.random(3000), np.ones(3000), rng.integers(0, 3, 3000), np.where(rng.random(3000) < 0.9, 5.0, rng.random(3000))], axis=1)
