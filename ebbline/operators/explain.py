@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -18,6 +18,8 @@ from ebbline.operators.trees import TreeEnsemble
 
 NEGLIGIBLE = 1e-6
 CHUNK_CELLS = 200_000
+#: Levels of splits that share a state, tests that make up a state at most, and rows looked up at once.
+STATE_LEVELS, STATE_BITS, STATE_ROWS = 2, 8, 256
 
 # The one function that runs in Python workers travels with the task, so the
 # workers need not have this package installed.
@@ -95,9 +97,6 @@ def leaf_attributions(table: dict[str, Any], x: np.ndarray) -> np.ndarray:
     The integrand is a polynomial, so a few Gauss points give it exactly.
     """
     feature, share, value = table["feature"], table["share"], table["value"]
-    width, leaves = feature.shape
-    points, weights = np.polynomial.legendre.leggauss((width + 1) // 2)
-    points, weights = (points + 1) / 2, weights / 2
     # Per path position, its leaves in the order of their features, to sum up runs of one feature.
     orders = [np.argsort(row, kind="stable") for row in feature]
     starts = [np.flatnonzero(np.r_[True, np.diff(row[order]) > 0]) for row, order in zip(feature, orders)]
@@ -107,21 +106,125 @@ def leaf_attributions(table: dict[str, Any], x: np.ndarray) -> np.ndarray:
         rows = x[begin:begin + step]
         target = out[begin:begin + step]
         inside = [(rows[:, f] > low) & (rows[:, f] <= high) for f, low, high in zip(feature, table["low"], table["high"])]
-        totals = [np.zeros((len(rows), leaves)) for _ in range(width)]
-        for t, w in zip(points, weights):
-            factors = [z * (1 - t) + o * t for z, o in zip(share, inside)]
-            product = w * value * factors[0]
-            for factor in factors[1:]:
-                product *= factor
-            for total, factor in zip(totals, factors):
-                total += product / factor
-        for k in range(width):
-            totals[k] *= inside[k] - share[k]
-            runs = np.add.reduceat(totals[k][:, orders[k]], starts[k], axis=1)
+        for k, total in enumerate(_contributions(inside, share, value)):
+            runs = np.add.reduceat(total[:, orders[k]], starts[k], axis=1)
             target[:, feature[k][orders[k]][starts[k]]] += runs
     return out
 
 
+def _contributions(inside: list[np.ndarray], share: np.ndarray, value: np.ndarray) -> list[np.ndarray]:
+    """What each path position of each leaf (columns) contributes, where ``inside`` says which intervals hold (rows)."""
+    points, weights = np.polynomial.legendre.leggauss((len(share) + 1) // 2)
+    points, weights = (points + 1) / 2, weights / 2
+    totals = [np.zeros(inside[0].shape) for _ in share]
+    for t, w in zip(points, weights):
+        factors = [z * (1 - t) + o * t for z, o in zip(share, inside)]
+        product = w * value * factors[0]
+        for factor in factors[1:]:
+            product *= factor
+        for total, factor in zip(totals, factors):
+            total += product / factor
+    return [total * (o - z) for total, o, z in zip(totals, inside, share)]
+
+
+def _groups(model: TreeEnsemble) -> Iterator[tuple[list[tuple[int, float, float]], list[tuple[dict[int, tuple[float, int, int]], float]]]]:
+    """(tests, leaves) of the lowest subtrees.
+
+    A test (feature, low, high) asks whether the feature lies in (``low``, ``high``]; its place is a bit of the state.  For each
+    feature on its path a leaf has (share, mask, wanted): a row lies in its interval if the masked bits are the wanted ones.
+    """
+    top = max(0, model.depth - STATE_LEVELS)
+    stack = [(int(root), 0, {}) for root in model.roots]
+    while stack:
+        at, depth, box = stack.pop()
+        feature = int(model.feature[at])
+        if feature >= 0 and depth < top:
+            threshold = float(model.threshold[at])
+            for child, low_side in ((int(model.left[at]), True), (int(model.right[at]), False)):
+                low, high, share = box.get(feature, (-np.inf, np.inf, 1.0))
+                low, high = (low, min(high, threshold)) if low_side else (max(low, threshold), high)
+                stack.append((child, depth + 1, box | {feature: (low, high, share * model.cover[child] / model.cover[at])}))
+            continue
+        tests = [(f, low, high) for f, (low, high, _) in box.items()]
+        leaves = []
+        below = [(at, {f: (share, 1 << k, 1 << k) for k, (f, (_, _, share)) in enumerate(box.items())})]
+        while below:
+            node, held = below.pop()
+            feature = int(model.feature[node])
+            if feature < 0:
+                leaves.append((held, float(model.value[node])))
+                continue
+            bit = 1 << len(tests)
+            tests.append((feature, -np.inf, float(model.threshold[node])))
+            for child, wanted in ((int(model.left[node]), bit), (int(model.right[node]), 0)):
+                share, mask, want = held.get(feature, (1.0, 0, 0))
+                below.append((child, held | {feature: (share * model.cover[child] / model.cover[node], mask | bit, want | wanted)}))
+        yield tests, leaves
+
+
+def state_table(model: TreeEnsemble) -> dict[str, Any] | None:
+    """What the lowest subtrees of a boosted model contribute to each feature in every state; None if states have too many bits.
+
+    A row's state in a subtree says which of the tests hold that lead to and through it, so a few look-ups replace
+    the integrals of its leaves.  ``codes`` has for each feature the bits of all subtrees by its bin among ``edges``, ``worth``
+    by (subtree, feature) and state the contribution, sorted by feature.  The size is set by the model.
+    """
+    groups = list(_groups(model))
+    bits = max(len(tests) for tests, _ in groups)
+    if bits > STATE_BITS:
+        return None
+    tested: dict[int, list[tuple[int, int, float, float]]] = {}
+    for group, (tests, _) in enumerate(groups):
+        for bit, (feature, low, high) in enumerate(tests):
+            tested.setdefault(feature, []).append((group, bit, low, high))
+    edges, codes = {}, {}
+    for feature, own in tested.items():
+        ends = edges[feature] = np.unique([e for _, _, *both in own for e in both if np.isfinite(e)])
+        code = codes[feature] = np.zeros((len(ends) + 1, len(groups)), np.uint8)
+        for group, bit, low, high in own:
+            first = np.searchsorted(ends, low) + 1 if np.isfinite(low) else 0
+            last = np.searchsorted(ends, high) + 1 if np.isfinite(high) else len(code)
+            code[first:last, group] |= 1 << bit
+    features = sorted(tested)
+    entry = {pair: i for i, pair in enumerate(sorted({(f, g) for g, (_, leaves) in enumerate(groups) for held, _ in leaves for f in held}))}
+    worth, states = np.zeros((len(entry) + 1, 1 << bits)), np.arange(1 << bits)[:, None]  # the last one is for unused places
+    leaves = [(g, held, value) for g, (_, own) in enumerate(groups) for held, value in own]
+    width = max([len(held) for _, held, _ in leaves] + [1])
+    step = max(1, CHUNK_CELLS // (width * len(states)))
+    for begin in range(0, len(leaves), step):
+        part = leaves[begin : begin + step]
+        share, mask, want, place = np.ones((width, len(part))), *np.zeros((2, width, len(part)), np.int64), np.full((width, len(part)), len(entry))
+        for i, (group, held, _) in enumerate(part):
+            for k, (feature, (kept, masked, wanted)) in enumerate(held.items()):
+                share[k, i], mask[k, i], want[k, i], place[k, i] = kept, masked, wanted, entry[feature, group]
+        inside = [(states & m) == w for m, w in zip(mask, want)]
+        for total, at in zip(_contributions(inside, share, np.array([value for *_, value in part])), place):
+            np.add.at(worth, at, total.T)
+    spans = {f: [i for (g, _), i in entry.items() if g == f] for f in features}
+    return {
+        "edges": [edges[f] for f in features], "codes": [codes[f] for f in features], "features": features, "worth": worth[:-1],
+        "groups": np.array([g for _, g in entry], np.int64), "spans": [(min(own), max(own) + 1) for own in spans.values()],
+    }
+
+
+def state_attributions(table: dict[str, Any], x: np.ndarray) -> np.ndarray:
+    """Shapley values of each row of ``x`` as :func:`leaf_attributions` has them, read from the states of the subtrees."""
+    out, worth = np.zeros(x.shape), table["worth"]
+    size, flat = worth.shape[1], worth.ravel()
+    if not table["features"]:
+        return out
+    for begin in range(0, len(x), STATE_ROWS):
+        rows, target = x[begin : begin + STATE_ROWS], out[begin : begin + STATE_ROWS]
+        state: Any = 0
+        for feature, ends, code in zip(table["features"], table["edges"], table["codes"]):
+            state = code[np.searchsorted(ends, rows[:, feature], side="left")] | state
+        state = np.ascontiguousarray(state.T)  # a subtree's values lie together, and so do its look-ups
+        for feature, (first, last) in zip(table["features"], table["spans"]):
+            at = state[table["groups"][first:last]] + (np.arange(first, last) * size)[:, None]
+            target[:, feature] = flat.take(at).sum(axis=0)
+    return out
+
+
 def shap_tree(featured: DataFrame, model: TreeEnsemble) -> DataFrame:
     """Add ``shap`` and ``base_value`` of a boosted model; base + sum of shap is the log-odds of the score.
 
@@ -129,13 +232,15 @@ def shap_tree(featured: DataFrame, model: TreeEnsemble) -> DataFrame:
     """
     spark = featured.sparkSession
     table = leaf_table(model)
-    shared = spark.sparkContext.broadcast(table)
+    states = state_table(model)
+    attribute = leaf_attributions if states is None else state_attributions
+    shared = spark.sparkContext.broadcast(table if states is None else states)
 
     @F.pandas_udf("array<double>")
     def attributions(rows: pd.Series) -> pd.Series:
         if rows.empty:
             return rows
-        return pd.Series(list(leaf_attributions(shared.value, np.stack(rows.to_numpy()))))
+        return pd.Series(list(attribute(shared.value, np.stack(rows.to_numpy()))))
 
     return featured.withColumns({"shap": attributions(vector_to_array("features")), "base_value": F.lit(table["base"])})
 

@@ -332,6 +332,21 @@ def test_boosting_by_small_jobs_gives_the_same_trees_and_needs_no_shuffle(spark,
     assert all(len(context.statusTracker().getJobInfo(j).stageIds) == 1 for j in jobs)
 
 
+def test_attributions_by_states_equal_those_by_leaves(spark):
+    df = grid(spark)
+    vectors = features.add_features(df, features.fit_features(df, ["f0", "f1", "f2", "f3"], []))
+    x = np.array([r[0] for r in vectors.select(vector_to_array("features")).collect()])
+    for depth in (0, 1, 3, 5):
+        model = models.train_gbt(vectors, rounds=6, depth=depth, columns_share=1.0)
+        states = explain.state_table(model)
+        np.testing.assert_allclose(explain.state_attributions(states, x), explain.leaf_attributions(explain.leaf_table(model), x), atol=1e-12)
+        # a subtree of up to four leaves is looked up once, where each leaf was integrated over
+        assert states["codes"] == [] or len(states["groups"]) < explain.leaf_table(model)["feature"].size
+    deep = models.train_gbt(vectors, rounds=2, depth=8, columns_share=1.0, least_hessian=0.1)
+    assert max(len(tests) for tests, _ in explain._groups(deep)) <= explain.STATE_BITS or explain.state_table(deep) is None
+    assert explain.shap_tree(vectors, deep).select("shap").count() == len(x)
+
+
 def test_more_values_than_bins_and_equal_values(spark):
     rng = np.random.default_rng(1)
     values = np.stack([rng.random(3000), np.ones(3000), rng.integers(0, 3, 3000), np.where(rng.random(3000) < 0.9, 5.0, rng.random(3000))], axis=1)
