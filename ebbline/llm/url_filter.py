@@ -175,9 +175,10 @@ def _scored(blocks: DataFrame) -> DataFrame:
     """The rows with ``ratio`` by all counts and, of the labelled ones, ``bin`` of their ratio by the counts of the other fold.
 
     Counts stay in their table: the grams of each block are joined to it, and what they
-    find meets the rows of the block again.
+    find meets the rows of the block again.  Spark takes both sides for as small as the
+    urls they are made of, so it is told not to broadcast one.
     """
-    looked = _wanted(blocks).join(_counts(blocks.where("kind IS NOT NULL")), "key")
+    looked = _wanted(blocks).join(_counts(blocks.where("kind IS NOT NULL")).hint("merge"), "key")
 
     def work(rows: pa.Table, found: pa.Table) -> pa.Table:
         keys = found.column("key").to_numpy()

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from ebbline.llm.corpus import URL_RULES
-from ebbline.llm.url_filter import BACKOFF, ORDER, url_filter
+from ebbline.llm.url_filter import BACKOFF, ORDER, _scored, url_filter
 
 PAGE = "page_id long, url string, html string, host int, rule int"
 
@@ -139,3 +139,10 @@ def test_the_whole_url_is_scored(spark):
     found = rows[-9:]
     assert [r[4] for r in found[:2]] == ["allow", "block"] and [r[4] for r in found[5:7]] == ["allow", "block"]
     assert found[2][5] > found[3][5] and found[2][5] > found[4][5] and found[7][4:] == found[8][4:]
+
+
+def test_no_grams_are_sent_to_the_driver(spark, tmp_path):
+    columns = "page_id long, address string, host string, path string, rule string, ruled string, kind int, block long"
+    spark.createDataFrame([(i, f"http://x.net/{i}", "x.net", f"/{i}", "net/", "block", i % 4, i // 50) for i in range(200)], columns).write.parquet(f"{tmp_path}/blocks")
+    scored = _scored(spark.read.parquet(f"{tmp_path}/blocks"))  # a few kilobytes, whose grams may be many
+    assert scored.count() == 200 and "Broadcast" not in scored._jdf.queryExecution().executedPlan().toString()
