@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ebbline.catalog.base import query, read, rounded, shared
 from ebbline.functions import lexicon, roles
 from ebbline.functions.scalar import portable_uniform
 from ebbline.operators import text
+from ebbline.operators.phrases import in_blocks
 from ebbline.session import spread
 from ebbline.sources import synth
 
@@ -186,6 +190,19 @@ _ENTRY_WEIGHT = "CAST((LENGTH(entry) * 7 + ASCII(entry)) % 21 - 10 AS DOUBLE) /
 _PAIRED = "LENGTH(w) >= 3 AND (LENGTH(w) * 3 + LENGTH(p)) % 5 = 0"
 
 
+def _doc_entries(batches):
+    """The words of three characters and more and the pairs of _PAIRED, each once a block of texts."""
+    for _, sizes, words in in_blocks(batches):
+        different, codes = words.dictionary, words.indices.to_numpy().astype(np.int64)
+        length, ends = pc.utf8_length(different).to_numpy().astype(np.int64), np.zeros(len(codes), bool)
+        ends[np.cumsum(sizes[sizes > 0]) - 1] = True
+        p, w = codes[:-1], codes[1:]
+        pairs = np.unique((p * len(different) + w)[~ends[:-1] & (length[w] >= 3) & ((length[w] * 3 + length[p]) % 5 == 0)])
+        first, second = (different.take(pa.array(c)) for c in np.divmod(pairs, len(different)))
+        for entries in (different.filter(pa.array(length >= 3)), pc.binary_join_element_wise(first, second, " ")):
+            yield pa.RecordBatch.from_arrays([entries.cast(pa.string())], ["entry"])
+
+
 @query("text_sentiment_table", f"""
 WITH words AS (SELECT doc_id AS k, REGEXP_EXTRACT_ALL(LOWER(text), '[\\p{{L}}'']+') AS ws FROM documents),
 tok AS (SELECT k, GENERATE_SUBSCRIPTS(ws, 1) AS i, UNNEST(ws) AS w FROM words),
@@ -203,10 +220,8 @@ hits AS (SELECT k, GREATEST(-1.0::DOUBLE, LEAST(1.0::DOUBLE, v * (COALESCE(s, 1.
 SELECT doc_id, ROUND(COALESCE(m, 0), 9) AS polarity FROM documents LEFT JOIN (SELECT k, AVG(score) AS m FROM hits GROUP BY k) ON doc_id = k""")
 def text_sentiment_table(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    words = docs.select(text.words_of(F.col("text")).alias("words")).where("size(words) > 0")
-    ones = words.select(F.explode("words").alias("entry")).where("length(entry) >= 3")
-    pairs = words.where("size(words) > 1").select(F.explode(F.expr("transform(sequence(2, size(words)), i -> struct(words[i - 2] AS p, words[i - 1] AS w))")).alias("x")).select("x.*")
-    entries = ones.distinct().unionByName(pairs.where(_PAIRED).select(F.concat_ws(" ", "p", "w").alias("entry")).distinct())
+    words = docs.select(F.lit(0).cast("long").alias("_row"), text.words_of(F.col("text")).alias("words"))
+    entries = words.mapInArrow(_doc_entries, "entry string").distinct()
     scored = text.text_sentiment_by_table(
         docs, entries.withColumn("weight", F.expr(_ENTRY_WEIGHT)), "text", "polarity", intensifiers=_DOC_STRONG, negators=_DOC_NEGATORS,
     )

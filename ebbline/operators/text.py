@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.functions import lexicon, roles
-from ebbline.session import staged
+from ebbline.operators.phrases import means_by_table, stage
 
 #: A lexicon of at most so many bytes goes to every task.
 BROADCAST_BYTES = 16 << 20
@@ -80,17 +80,22 @@ def text_sentiment_by_table(
     An entry inside a longer one that is found there does not count.  Entries are compared word by word in lower case; of
     equal ones the greatest weight counts.  An intensifier or negator acts on the entry that follows it.
 
-    Words are exploded with their places and joined to the table, which is broadcast if it is measured to be small; only
-    entries that are found are shuffled, once, by their text.
+    Of a table that is measured to be small, which is broadcast, words are exploded with their places and joined to it, and
+    only entries that are found are shuffled, once, by their text.  For a larger one the phrases of blocks of texts are looked
+    up, each once a block (``phrases``), and no row for each word is shuffled or sorted.
     """
     listed = entries.select(words_of(F.col("entry")).alias("words"), F.col("weight").cast("double").alias("weight")).where(F.size("words") > 0)
     listed = listed.groupBy(F.array_join("words", " ").alias("entry"), F.size("words").alias("n")).agg(F.max("weight").alias("weight"))
-    listed = staged(listed, "lexicon")
-    size = listed.agg(F.max("n").alias("longest"), F.sum(F.octet_length("entry") + 40).alias("bytes")).first()
-    longest = size["longest"] or 1
+    listed = stage(listed, "lexicon")
+    size = listed.agg(F.collect_set("n").alias("lengths"), F.sum(F.octet_length("entry") + 40).alias("bytes")).first()
+    longest = max(size["lengths"], default=1)
 
-    rows = staged(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
     words = rows.select("_row", words_of(F.col(text)).alias("words"))
+    if (size["bytes"] or 0) > BROADCAST_BYTES:
+        known = listed.withColumn("weight", F.coalesce("weight", F.lit(float("nan"))))  # as greatest and least take null
+        means = means_by_table(words, known, size["bytes"], sorted(size["lengths"]), intensifiers, negators, lexicon.NEGATION)
+        return rows.join(means, "_row", "left").withColumn(output, F.coalesce("_mean", F.lit(0.0))).drop("_row", "_mean")
 
     def phrases(at: Column) -> Column:
         """The phrases of a text that begin at a place; each word is read by its place, and none brings the whole text along."""
@@ -102,8 +107,7 @@ def text_sentiment_by_table(
         ))
 
     tried = words.select("_row", F.inline(F.flatten(F.transform("words", lambda _, at: phrases(at)))))
-    table = F.broadcast(listed) if (size["bytes"] or 0) <= BROADCAST_BYTES else listed
-    found = tried.join(table, "entry").select("_row", "at", (F.col("at") + F.col("n")).alias("end"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("weight") * F.col("factor"))).alias("score"))
+    found = tried.join(F.broadcast(listed), "entry").select("_row", "at", (F.col("at") + F.col("n")).alias("end"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("weight") * F.col("factor"))).alias("score"))
     earlier = Window.partitionBy("_row").orderBy("at", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     outer = found.withColumn("covered", F.max("end").over(earlier)).where("covered IS NULL OR covered < end")
     means = outer.groupBy("_row").agg(F.avg("score").alias("_mean"))

@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ebbline.functions import lexicon, roles
-from ebbline.operators import scores, text
+from ebbline.operators import phrases, scores, text
 from ebbline.plans import store
 from ebbline.plans.cleaning import run_cleaning
 from ebbline.plans.store import current_store, load_store, register_store
@@ -109,6 +111,59 @@ def test_a_lexicon_table_does_not_copy_a_text_for_each_of_its_words(spark):
     assert {r["id"]: round(r["score"], 9) for r in scored.collect()} == {1: 0.65, 2: 0.0, 3: 0.0}
 
 
+@pytest.mark.parametrize("words", [7, 1 << 20])
+def test_a_large_lexicon_is_looked_up_by_blocks(spark, monkeypatch, words):
+    """Equal to counting by hand whatever the blocks and buckets; no row for each word is shuffled."""
+    monkeypatch.setattr(text, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(phrases, "BLOCK_WORDS", words)
+    monkeypatch.setattr(phrases, "TABLE_BYTES", 100)
+    rng = random.Random(words)
+    known = {" ".join(rng.choices("abcdefgh", k=n)): rng.choice([-0.9, -0.3, 0.2, 0.7, 1.5, None, float("nan")]) for n in (1, 1, 1, 2, 2, 2, 2, 3, 3, 5)}
+    texts = [" ".join(rng.choices("abcdefgh", k=k % 17)) for k in range(120)] + [None, "", "...", "éé a"]
+
+    def score(line):
+        held, scores, covered = (line or "").split(), [], 0
+        for at in range(len(held)):
+            for n in (5, 3, 2, 1):
+                entry = " ".join(held[at:at + n])
+                if at + n <= len(held) and entry in known and covered < at + n:
+                    before, second = (held[at - k] if at >= k else "" for k in (1, 2))
+                    factor = {"c": 1.4}.get(before, 1.0) * (-0.5 if before == "d" or before == "c" and second == "d" else 1.0)
+                    weight = known[entry]
+                    scores.append(1.0 if weight is None or weight != weight else max(-1.0, min(1.0, weight * factor)))
+                    covered = at + n
+        return sum(scores) / len(scores) if scores else 0.0
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, ticket_text string").repartition(2)
+    entries = spark.createDataFrame(list(known.items()), "entry string, weight double")
+    scored = text.text_sentiment_by_table(df, entries, output="score", intensifiers={"c": 1.4}, negators=["d"])
+    assert {r["id"]: r["score"] for r in scored.collect()} == {i: pytest.approx(score(t)) for i, t in enumerate(texts)}
+    assert "Generate" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_phrases_of_equal_hashes_are_told_apart(monkeypatch):
+    hashes = phrases._Runs.hashes
+    monkeypatch.setattr(phrases._Runs, "hashes", lambda self, begins, sizes: hashes(self, begins, sizes) % np.uint64(2))
+    texts = ["a b c d", "b a", "d c b a"]
+    words = pa.array([w for t in texts for w in t.split()]).dictionary_encode()
+    sizes = np.array([len(t.split()) for t in texts])
+    block = phrases._Block(*(phrases._pressed(x.astype(kind).tobytes()) for x, kind in ((np.arange(3), np.int64), (sizes, np.int64))),
+                           phrases._joined(words.dictionary), phrases._pressed(words.indices.to_numpy().astype(np.int32).tobytes()))
+    entries = ["a", "a b", "b a", "c d", "d b", "x a", "d c b", "c b a"]
+    begin, end, weight = phrases._hits(block, pa.array(entries), np.arange(8.0))
+    assert [*zip(begin.tolist(), end.tolist(), weight.tolist(), strict=True)] == [(0, 2, 1.0), (2, 4, 3.0), (4, 6, 2.0), (6, 9, 6.0), (7, 10, 7.0)]
+
+
+def test_shuffles_of_a_staged_frame_are_deleted(spark):
+    def shuffles():
+        return spark._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+
+    before = shuffles()
+    kept = phrases.stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    assert shuffles() <= before and kept.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
 def test_csv_spellings(spark, tmp_path, rows):
     path = tmp_path / "in.csv"
     path.write_text(
