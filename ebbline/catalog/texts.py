@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ebbline.catalog.base import query, read, rounded, shared
@@ -15,6 +18,9 @@ from ebbline.operators.phrases import in_blocks
 from ebbline.session import spread
 from ebbline.sources import synth
 
+# As in operators/phrases.py: the workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # ── SQL twins of the generator ──────────────────────────────────────────────
 
 
